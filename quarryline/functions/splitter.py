@@ -11,6 +11,7 @@ SEPARATORS = ("\n\n", "\n", " ", "")
 CHUNK_SIZE = 1000
 CHUNK_OVERLAP = 200
 
+PIECES = "array<struct<content: string, start_index: int>>"
 _PIECE = pa.list_(pa.struct([("content", pa.string()), ("start_index", pa.int32())]))
 
 
@@ -77,7 +78,7 @@ def split_text(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP)
 def split_column(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
     """Pieces of every text: array<struct<content string, start_index int>>."""
 
-    @F.arrow_udf("array<struct<content: string, start_index: int>>")
+    @F.arrow_udf(PIECES)
     def pieces(batch: pa.Array) -> pa.Array:
         return pa.array(
             [None if t is None else split_text(t, size, overlap) for t in batch.to_pylist()],
@@ -85,3 +86,21 @@ def split_column(text: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVER
         )
 
     return pieces(text)
+
+
+def split_columns(texts: Column, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> Column:
+    """Pieces of every text of an array, in its order; null stays null."""
+
+    @F.arrow_udf(f"array<{PIECES}>")
+    def pieces(batch: pa.Array) -> pa.Array:
+        return pa.array(
+            [
+                None
+                if row is None
+                else [None if t is None else split_text(t, size, overlap) for t in row]
+                for row in batch.to_pylist()
+            ],
+            type=pa.list_(_PIECE),
+        )
+
+    return pieces(texts)

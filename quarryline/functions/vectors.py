@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -112,11 +112,12 @@ def bucket(embedding: Column, bits: int, seed: int) -> Column:
     return bucket_of(embedding)
 
 
-@lru_cache(maxsize=1 << 18)
-def _slot(token: str, dim: int) -> tuple[int, int]:
-    """Position and sign of a token, from its md5."""
-    digest = hashlib.md5(token.encode("utf-8")).hexdigest()
-    return int(digest[:8], 16) % dim, 1 if int(digest[8], 16) < 8 else -1
+def _slots(tokens: list[str], dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Position and sign of every token, from its md5."""
+    digests = [hashlib.md5(token.encode("utf-8")).hexdigest() for token in tokens]
+    places = np.array([int(d[:8], 16) % dim for d in digests], dtype=np.int64)
+    signs = np.array([1.0 if int(d[8], 16) < 8 else -1.0 for d in digests])
+    return places, signs
 
 
 def hash_embedding(tokens: Column, dim: int) -> Column:
@@ -128,11 +129,15 @@ def hash_embedding(tokens: Column, dim: int) -> Column:
     @F.arrow_udf("array<double>")
     def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            vectors = np.zeros((len(batch), dim))
-            for row, words in enumerate(batch.to_pylist()):
-                for word in words or ():
-                    at, sign = _slot(word, dim)
-                    vectors[row, at] += sign
+            spoken = batch.flatten().dictionary_encode()
+            places, signs = _slots(spoken.dictionary.to_pylist(), dim)
+            which = spoken.indices.to_numpy()
+            lengths = pc.fill_null(batch.value_lengths(), 0).to_numpy()
+            owner = np.repeat(np.arange(len(batch)), lengths)
+            sums = np.bincount(
+                owner * dim + places[which], weights=signs[which], minlength=dim * len(batch)
+            )
+            vectors = sums.reshape(len(batch), dim)
             norms = np.linalg.norm(vectors, axis=1, keepdims=True)
             vectors = vectors / np.where(norms == 0, 1.0, norms)
             offsets = np.arange(0, dim * (len(batch) + 1), dim, dtype=np.int32)

@@ -10,13 +10,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions import text as fx
-from quarryline.functions.splitter import split_column
+from quarryline.functions.binding import bind
+from quarryline.functions.splitter import PIECES, split_column, split_columns
 from quarryline.operators import parse
 
 # Fixed values.
 TURN_PATTERN = r"([A-Z][a-z]+ [A-Z][a-z]+|[A-Z]{2,}|Q:|A:)"
 MAX_TABLE_ROWS = 10
 PAGES_PER_SHARD = 50
+QA_SECTION = "qa_session"
 
 _META = "map<string,string>"
 
@@ -57,7 +59,7 @@ def turns(text: Column) -> Column:
         ),
     )
     whole = F.array(F.struct(text.alias("content"), F.lit(None).cast("string").alias("speaker")))
-    return F.when(F.size(found) > 0, found).otherwise(whole)
+    return bind(found, lambda f: F.when(F.size(f) > 0, f).otherwise(whole))
 
 
 def utterances(sections: DataFrame) -> DataFrame:
@@ -166,61 +168,63 @@ def _numbers(values: Column) -> Column:
 def chunk_transcripts(transcripts: DataFrame) -> DataFrame:
     """Q&A sections by speaker turn, other sections by splitting; one running sequence.
 
-    When the sections give no chunk, the non-blank full text is split instead.
-    Sections come in one array per document, the non-Q&A ones before the Q&A.
+    When the sections give no chunk, the non-blank full text is split instead; that can
+    only be where no section is a Q&A and all of them are blank. All texts of a document
+    go to the splitter in one array and the pieces stay in the document's row.
     """
-    plain = F.element_at(F.filter("sections", lambda s: s["type"] != "qa_session"), 1)
-    talk = F.filter("sections", lambda s: s["type"] == "qa_session")
-    prepared = transcripts.select(
-        "document_id",
-        "full_text",
-        F.when(F.size(F.filter("sections", lambda s: s["type"] != "qa_session")) > 0, plain).alias("plain"),
-        F.when(F.size(talk) > 0, F.element_at(talk, 1)).alias("talk"),
-    ).withColumn("plain_pieces", split_column(F.col("plain.content")))
-    plain_part = F.transform(
-        "plain_pieces",
-        lambda p: _piece(
-            p["content"],
-            _meta(
-                section_type=F.col("plain.type"),
-                page_range=_numbers(F.col("plain.page_range")),
-                start_index=p["start_index"],
-            ),
-        ),
+    nothing_else = F.forall(
+        "sections", lambda s: (s["type"] != QA_SECTION) & fx.is_blank(s["content"])
     )
-    talk_part = F.transform(
-        turns(F.col("talk.content")),
-        lambda t, i: _piece(
-            t["content"],
-            _meta(
-                section_type=F.col("talk.type"),
-                qa_index=i,
-                speaker=t["speaker"],
-                page_range=_numbers(F.col("talk.page_range")),
-            ),
-        ),
+    spare = F.when(nothing_else & ~fx.is_blank(F.col("full_text")), F.col("full_text"))
+    texts = F.concat(
+        F.transform("sections", lambda s: F.when(s["type"] != QA_SECTION, s["content"])),
+        F.array(spare),
     )
-    nothing = F.array().cast(f"array<struct<content:string,metadata:{_META}>>")
-    joined = prepared.withColumn(
-        "pieces",
-        F.concat(
-            F.coalesce(plain_part, nothing),
-            F.when(F.col("talk").isNotNull(), talk_part).otherwise(nothing),
+    split = transcripts.select("document_id", "sections", split_columns(texts).alias("found"))
+
+    def talk_pieces(section: Column) -> Column:
+        return F.transform(
+            turns(section["content"]),
+            lambda t, i: _piece(
+                t["content"],
+                _meta(
+                    section_type=section["type"],
+                    qa_index=i,
+                    speaker=t["speaker"],
+                    page_range=_numbers(section["page_range"]),
+                ),
+            ),
+        )
+
+    def plain_pieces(section: Column, found: Column) -> Column:
+        return F.transform(
+            found,
+            lambda p: _piece(
+                p["content"],
+                _meta(
+                    section_type=section["type"],
+                    page_range=_numbers(section["page_range"]),
+                    start_index=p["start_index"],
+                ),
+            ),
+        )
+
+    by_section = F.zip_with(
+        "sections",
+        F.slice("found", 1, F.size("sections")),
+        lambda s, found: F.when(s["type"] == QA_SECTION, talk_pieces(s)).otherwise(
+            plain_pieces(s, found)
         ),
     )
-    spare = F.when((F.size("pieces") == 0) & ~fx.is_blank(F.col("full_text")), F.col("full_text"))
     fallback = F.transform(
-        "spare_pieces",
+        F.coalesce(F.element_at("found", -1), F.array().cast(PIECES)),
         lambda p: _piece(
             p["content"],
             _meta(section_type=F.lit("full_text_fallback"), start_index=p["start_index"]),
         ),
     )
-    whole = joined.withColumn("spare_pieces", split_column(spare)).select(
-        "document_id",
-        F.when(F.size("pieces") > 0, F.col("pieces")).otherwise(fallback).alias("pieces"),
-    )
-    return finish_chunks(_explode_pieces(whole))
+    pieces = F.concat(F.flatten(by_section), fallback)
+    return finish_chunks(_explode_pieces(split.select("document_id", pieces.alias("pieces"))))
 
 
 def _explode_pieces(rows: DataFrame) -> DataFrame:

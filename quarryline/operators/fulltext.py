@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarryline.functions.binding import bind
 from quarryline.functions.ranking import broadcast_if_small, top_per_group
 from quarryline.operators.index import lexemes
 from quarryline.schemas import DEFAULT_COLLECTION
@@ -55,35 +56,39 @@ def cover_density(places: Column) -> Column:
     start that still covers all terms is found; of the occurrences sharing a start the
     first ends the cover.
     """
-    spots = F.array_sort(F.flatten(places))
-    ends = F.transform(
-        spots,
-        lambda q: F.struct(
-            F.array_min(
-                F.transform(
-                    places,
-                    lambda p: F.coalesce(F.array_max(F.filter(p, lambda x: x <= q)), F.lit(0)),
-                )
-            ).alias("start"),
-            q.alias("end"),
-        ),
-    )
-    covering = F.filter(ends, lambda e: e["start"] > 0)
-    covers = F.filter(
-        covering,
-        lambda e, i: (i == 0) | (e["start"] != F.get(covering, i - 1)["start"]),
-    )
-    several = F.aggregate(
-        covers,
-        F.lit(0.0),
-        lambda total, c: total
-        + F.lit(DEFAULT_WEIGHT)
-        / (
-            F.lit(2)
-            + (c["end"] - c["start"])
-            - F.size(F.filter(spots, lambda s: s.between(c["start"], c["end"])))
-        ),
-    )
+    def ends(spots: Column) -> Column:
+        """For every occurrence the latest start that covers all terms up to it."""
+        return F.filter(
+            F.transform(
+                spots,
+                lambda q: F.struct(
+                    F.array_min(
+                        F.transform(
+                            places,
+                            lambda p: F.coalesce(F.array_max(F.filter(p, lambda x: x <= q)), F.lit(0)),
+                        )
+                    ).alias("start"),
+                    q.alias("end"),
+                ),
+            ),
+            lambda e: e["start"] > 0,
+        )
+
+    def covers(found: Column) -> Column:
+        return F.filter(
+            found, lambda e, i: (i == 0) | (e["start"] != F.get(found, i - 1)["start"])
+        )
+
+    def total(spots: Column) -> Column:
+        def gain(cover: Column) -> Column:
+            inside = F.size(F.filter(spots, lambda s: s.between(cover["start"], cover["end"])))
+            return F.lit(DEFAULT_WEIGHT) / (F.lit(2) + cover["end"] - cover["start"] - inside)
+
+        return F.aggregate(
+            bind(ends(spots), covers), F.lit(0.0), lambda summed, cover: summed + gain(cover)
+        )
+
+    several = bind(F.array_sort(F.flatten(places)), total)
     single = F.size(F.element_at(places, 1)) * F.lit(DEFAULT_WEIGHT)
     return F.round(F.when(F.size(places) == 1, single).otherwise(several), SCORE_DIGITS)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.functions import text as fx
+from quarryline.functions.binding import bind
 
 # Patterns, markers and aliases.
 SPEAKER_PATTERN = rf"^([A-Z][a-z]+ [A-Z][a-z]+|[A-Z]{{2,}})[{fx.BLANK_CLASS}]*[-:]"
@@ -124,17 +125,22 @@ def transcript_sections(text: Column, pages: Column, qa_at: Column) -> Column:
     ).otherwise(F.array(_section("full_transcript", text, one, pages)))
 
 
+def transcript_fields(text: Column, pages: Column) -> Column:
+    """Struct of `sections` and `has_qa`; the marker is searched for once."""
+    return bind(
+        qa_position(text),
+        lambda at: F.struct(
+            transcript_sections(text, pages, at).alias("sections"),
+            at.isNotNull().alias("has_qa"),
+        ),
+    )
+
+
 def parse_transcripts(documents: DataFrame) -> DataFrame:
     """Adds `sections`, `speakers`, `has_qa` to rows with `full_text`, `page_count`."""
-    return (
-        documents.withColumn("qa_at", qa_position(F.col("full_text")))
-        .withColumn(
-            "sections",
-            transcript_sections(F.col("full_text"), F.col("page_count"), F.col("qa_at")),
-        )
-        .withColumn("speakers", speakers(F.col("full_text")))
-        .withColumn("has_qa", F.col("qa_at").isNotNull())
-        .drop("qa_at")
+    found = transcript_fields(F.col("full_text"), F.col("page_count"))
+    return documents.withColumn("speakers", speakers(F.col("full_text"))).select(
+        "*", F.inline(F.array(found))
     )
 
 
@@ -290,21 +296,20 @@ def parse_documents(documents: DataFrame) -> DataFrame:
     Fields of other branches stay null; nothing is scanned twice and nothing shuffles.
     """
     text, branch = F.col("full_text"), F.col("branch")
-    routed = documents.withColumn("branch", route(F.col("document_type"))).withColumn(
-        "qa_at", F.when(F.col("branch") == "transcript", qa_position(text))
-    )
-    return routed.select(
-        *documents.columns,
-        "branch",
-        strategy(F.col("document_type")).alias("strategy"),
-        F.when(branch == "transcript", transcript_sections(text, F.col("page_count"), F.col("qa_at"))).alias(
-            "sections"
-        ),
-        F.when(branch == "transcript", speakers(text)).alias("speakers"),
-        F.when(branch == "transcript", F.col("qa_at").isNotNull()).alias("has_qa"),
-        F.when(branch == "release", metric_values(text, RELEASE_METRICS))
-        .when(branch == "slides", metric_values(text, DECK_METRICS))
-        .alias("metrics"),
-        F.when(branch == OTHER_TYPE, dates_mentioned(text)).alias("dates_mentioned"),
-        F.when(branch == OTHER_TYPE, fx.word_count(text)).alias("word_count"),
+    found = F.when(branch == "transcript", transcript_fields(text, F.col("page_count")))
+    return (
+        documents.withColumn("branch", route(F.col("document_type")))
+        .select("*", found.alias("found"))
+        .select(
+            *documents.columns,
+            "branch",
+            strategy(F.col("document_type")).alias("strategy"),
+            F.when(branch == "transcript", speakers(text)).alias("speakers"),
+            F.when(branch == "release", metric_values(text, RELEASE_METRICS))
+            .when(branch == "slides", metric_values(text, DECK_METRICS))
+            .alias("metrics"),
+            F.when(branch == OTHER_TYPE, dates_mentioned(text)).alias("dates_mentioned"),
+            F.when(branch == OTHER_TYPE, fx.word_count(text)).alias("word_count"),
+            F.inline(F.array("found")),
+        )
     )

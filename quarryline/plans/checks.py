@@ -1,5 +1,5 @@
-"""All registered checks, in the order of the operator list."""
+"""All registered checks, in the order of the operator list, and the flagship query."""
 
 from __future__ import annotations
 
-from quarryline.plans import checks_intake  # noqa: F401
+from quarryline.plans import checks_intake, checks_parse, checks_retrieval  # noqa: F401
