@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quarryline.functions.binding import bind
+
 _NUMBER = r"\A\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*\z"
 _SPAN = r"(?s)(\{.*\}|\[.*\])"
 
@@ -15,7 +17,8 @@ def _valid(text: Column) -> Column:
 
 def lenient_json(text: Column) -> Column:
     """The text when it is JSON, else its widest {...} or [...] span when that is."""
-    return F.coalesce(_valid(text), _valid(F.nullif(F.regexp_extract(text, _SPAN, 1), F.lit(""))))
+    span = F.nullif(F.regexp_extract(text, _SPAN, 1), F.lit(""))
+    return F.coalesce(_valid(text), bind(span, _valid))
 
 
 def json_kind(text: Column, path: str = "$") -> Column:
@@ -26,15 +29,24 @@ def json_kind(text: Column, path: str = "$") -> Column:
 
 def is_falsy(text: Column, path: str = "$") -> Column:
     """Whether the value is null, false, zero or empty; null where nothing is there."""
-    kind = json_kind(text, path)
-    value = F.get_json_object(text, path)
-    return (
-        F.when(kind == "VOID", True)
-        .when(kind == "BOOLEAN", value == "false")
-        .when(kind == "STRING", F.coalesce(value, F.lit("")) == "")
-        .when(kind == "OBJECT", F.regexp_replace(value, r"\s", "") == "{}")
-        .when(kind == "ARRAY", F.regexp_replace(value, r"\s", "") == "[]")
-        .when(kind.isNotNull(), as_number(value) == 0.0)
+
+    def judged(found: Column) -> Column:
+        kind, value = found["kind"], found["value"]
+        return (
+            F.when(kind == "VOID", True)
+            .when(kind == "BOOLEAN", value == "false")
+            .when(kind == "STRING", F.coalesce(value, F.lit("")) == "")
+            .when(kind == "OBJECT", F.regexp_replace(value, r"\s", "") == "{}")
+            .when(kind == "ARRAY", F.regexp_replace(value, r"\s", "") == "[]")
+            .when(kind.isNotNull(), as_number(value) == 0.0)
+        )
+
+    return bind(_found(text, path), judged)
+
+
+def _found(text: Column, path: str) -> Column:
+    return F.struct(
+        json_kind(text, path).alias("kind"), F.get_json_object(text, path).alias("value")
     )
 
 
@@ -47,9 +59,9 @@ def as_number(text: Column) -> Column:
     )
 
 
-def number_at(text: Column, path: str) -> tuple[Column, Column]:
-    """Number at a path (0 when the key is missing), and whether it could be read."""
-    raw = F.get_json_object(text, path)
-    missing = json_kind(text, path).isNull()
-    value = F.when(missing, 0.0).otherwise(as_number(raw))
-    return value, value.isNotNull()
+def number_at(text: Column, path: str) -> Column:
+    """Number at a path: 0 when the key is missing, null when it cannot be read."""
+    return bind(
+        _found(text, path),
+        lambda found: F.when(found["kind"].isNull(), 0.0).otherwise(as_number(found["value"])),
+    )

@@ -8,6 +8,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from quarryline.functions.binding import bind
+
 # The characters a Unicode-aware strip() and split() treat as blank.
 BLANKS = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
@@ -128,3 +130,34 @@ def is_valid_uuid(text: Column) -> Column:
 def search_tokens(text: Column) -> Column:
     """Lower-cased runs of letters and digits, in order."""
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}\p{M}]+"), lambda w: w != "")
+
+
+def run_starts(ordered: Column, key=lambda x: x) -> Column:
+    """Indexes at which a sorted array's key changes, the first included."""
+    numbers = F.transform(ordered, lambda _, i: i)
+    return F.filter(
+        numbers, lambda i: (i == 0) | (key(F.get(ordered, i)) != key(F.get(ordered, i - 1)))
+    )
+
+
+def run_length(ordered: Column, starts: Column, start: Column, number: Column) -> Column:
+    """Length of the run that begins at `start`, the `number`-th of `starts`."""
+    return F.coalesce(F.get(starts, number + 1), F.size(ordered)) - start
+
+
+def word_counts(spoken: Column) -> Column:
+    """Counts of a word array as (word, tf) structs, sorted by word; linear after sorting."""
+
+    def counted(ordered: Column) -> Column:
+        return bind(
+            run_starts(ordered),
+            lambda starts: F.transform(
+                starts,
+                lambda s, i: F.struct(
+                    F.get(ordered, s).alias("word"),
+                    run_length(ordered, starts, s, i).alias("tf"),
+                ),
+            ),
+        )
+
+    return bind(F.array_sort(spoken), counted)

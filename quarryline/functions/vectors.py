@@ -36,7 +36,8 @@ def similarity(distance: Column) -> Column:
     """1 - d inside [0, 1], else 1 / (1 + max(d, 0)); six decimals."""
     inside = (distance >= 0.0) & (distance <= 1.0)
     outside = F.lit(1.0) / (F.lit(1.0) + F.greatest(distance, F.lit(0.0)))
-    return F.round(F.when(inside, F.lit(1.0) - distance).otherwise(outside), 6)
+    known = F.when(distance.isNotNull(), F.when(inside, F.lit(1.0) - distance).otherwise(outside))
+    return F.round(known, 6)
 
 
 def matrix(vectors: pa.Array, dim: int | None = None) -> np.ndarray:

@@ -10,6 +10,7 @@ from quarryline.functions import vectors as vx
 from quarryline.functions.ranking import broadcast_if_small, top_per_group
 from quarryline.operators import fulltext, vector_search
 from quarryline.schemas import DEFAULT_COLLECTION
+from quarryline.session import materialise
 
 # Fixed values.
 RRF_K = 60
@@ -170,71 +171,64 @@ def pool_size(k: int) -> int:
     return max(k * POOL_FACTOR, POOL_MIN)
 
 
-def bm25(pool: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def bm25(pool: DataFrame, chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Okapi BM25 of each query over its own candidate pool, top k.
 
-    `pool` has query_id, chunk_id, document_id, content (at most `pool_size(k)` rows a
-    query). Words are blank-separated and keep their case; a repeated query word counts
-    again; words rarer than half the pool keep their idf, others get 0.25 of the mean.
+    `pool` has query_id, chunk_id, document_id (at most `pool_size(k)` rows a query),
+    `chunks` the texts. Words are blank-separated and keep their case; a repeated query
+    word counts again; words in at most half the pool keep their idf, others get 0.25 of
+    the pool's mean idf. Each pooled text is cut into words once, whatever the number of
+    queries that pooled it, and its counts are made inside its row.
     """
-    spoken = pool.select(
-        "query_id", "chunk_id", "document_id", fx.words(F.col("content")).alias("words")
+    pooled = pool.select("query_id", "chunk_id", "document_id")
+    texts = chunks.select("chunk_id", "content").join(
+        pooled.select("chunk_id").distinct(), "chunk_id", "left_semi"
     )
-    sizes = spoken.groupBy("query_id").agg(
-        F.count("*").alias("n"), F.avg(F.size("words")).alias("mean_length")
+    spoken = texts.select("chunk_id", fx.words(F.col("content")).alias("words"))
+    lengths = spoken.select("chunk_id", F.size("words").alias("length"))
+    counts = spoken.select("chunk_id", F.inline(fx.word_counts(F.col("words"))))
+    members = pooled.join(lengths, "chunk_id")
+    sizes = members.groupBy("query_id").agg(
+        F.count("*").alias("n"), F.avg("length").alias("mean_length")
     )
-    seen = spoken.select("query_id", F.explode(F.array_distinct("words")).alias("word"))
-    frequency = seen.groupBy("query_id", "word").agg(F.count("*").alias("df"))
-    raw = frequency.join(sizes, "query_id").select(
+    frequency = (
+        pooled.select("query_id", "chunk_id")
+        .join(counts, "chunk_id")
+        .groupBy("query_id", "word")
+        .agg(F.count("*").alias("df"))
+    )
+    raw = frequency.join(sizes.select("query_id", "n"), "query_id").select(
         "query_id",
         "word",
         (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("idf"),
     )
-    mean = raw.groupBy("query_id").agg(F.avg("idf").alias("mean_idf"))
-    asked = (
-        queries.select("query_id", F.explode(fx.words(F.col("text"))).alias("word"))
-        .groupBy("query_id", "word")
-        .agg(F.count("*").alias("times"))
-    )
-    weights = (
-        asked.join(raw, ["query_id", "word"])
-        .join(mean, "query_id")
-        .select(
-            "query_id",
-            "word",
-            (
-                F.col("times")
-                * F.when(F.col("idf") < 0, F.lit(BM25_EPSILON) * F.col("mean_idf")).otherwise(F.col("idf"))
-            ).alias("weight"),
-        )
+    asked = queries.select(
+        "query_id", F.inline(fx.word_counts(fx.words(F.col("text"))))
+    ).withColumnRenamed("tf", "times")
+    valued = raw.join(asked, ["query_id", "word"], "left").groupBy("query_id").agg(
+        F.avg("idf").alias("mean_idf"),
+        F.collect_list(
+            F.when(F.col("times").isNotNull(), F.struct("word", "times", "idf"))
+        ).alias("asked"),
     )
-    lengths = spoken.select("query_id", "chunk_id", "document_id", F.size("words").alias("length"))
-    tf = (
-        spoken.select("query_id", "chunk_id", F.explode("words").alias("word"))
-        .join(weights, ["query_id", "word"])
-        .groupBy("query_id", "chunk_id", "word")
-        .agg(F.count("*").alias("tf"), F.first("weight").alias("weight"))
+    chosen = F.when(F.col("idf") < 0, F.lit(BM25_EPSILON) * F.col("mean_idf")).otherwise(F.col("idf"))
+    weights = valued.select("query_id", "mean_idf", F.inline("asked")).select(
+        "query_id", "word", (F.col("times") * chosen).alias("weight")
     )
-    part = (
-        tf.join(lengths, ["query_id", "chunk_id"])
-        .join(sizes, "query_id")
-        .select(
-            "query_id",
-            "chunk_id",
-            (
-                F.col("weight")
-                * F.col("tf")
-                * (BM25_K1 + 1)
-                / (
-                    F.col("tf")
-                    + F.lit(BM25_K1)
-                    * (F.lit(1 - BM25_B) + F.lit(BM25_B) * F.col("length") / F.col("mean_length"))
-                )
-            ).alias("part"),
+    norm = F.lit(1 - BM25_B) + F.lit(BM25_B) * F.col("length") / F.col("mean_length")
+    totals = (
+        members.select("query_id", "chunk_id", "length")
+        .join(sizes.select("query_id", "mean_length"), "query_id")
+        .join(weights, "query_id")
+        .join(counts, ["chunk_id", "word"])
+        .groupBy("query_id", "chunk_id")
+        .agg(
+            F.sum(
+                F.col("weight") * F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + F.lit(BM25_K1) * norm)
+            ).alias("total")
         )
     )
-    totals = part.groupBy("query_id", "chunk_id").agg(F.sum("part").alias("total"))
-    scored = lengths.join(totals, ["query_id", "chunk_id"], "left").select(
+    scored = pooled.join(totals, ["query_id", "chunk_id"], "left").select(
         "query_id",
         "chunk_id",
         "document_id",
@@ -243,13 +237,6 @@ def bm25(pool: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return top_per_group(scored, ["query_id"], [F.col("score").desc(), F.col("chunk_id")], k)
 
 
-def pool_contents(hits: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Texts of pooled hits."""
-    return hits.select("query_id", "chunk_id", "document_id").join(
-        chunks.select("chunk_id", "content"), "chunk_id"
-    )
-
-
 def check_weights(weights: list[float]) -> None:
     if abs(sum(weights) - 1.0) > WEIGHT_TOLERANCE:
         raise ValueError("weights must sum to 1.0")
@@ -302,13 +289,12 @@ def hybrid_ensemble(
 
     One search serves both legs: the vector leg is the head of the pool.
     """
-    hits = vector_search.knn(vectors, queries, pool_size(k), collection=collection)
-    pool = hits.join(vectors.select("chunk_id", "content"), "chunk_id")
-    near = pool.filter(F.col("rank") <= k)
-    words = bm25(pool, queries, k).join(
-        pool.select("query_id", "chunk_id", "content"), ["query_id", "chunk_id"]
+    hits = materialise(
+        vector_search.knn(vectors, queries, pool_size(k), collection=collection), "pool"
     )
-    return ensemble([near, words], list(weights))
+    texts = vectors.select("chunk_id", "content")
+    legs = [hits.filter(F.col("rank") <= k), bm25(hits, texts, queries, k)]
+    return ensemble([leg.join(texts, "chunk_id") for leg in legs], list(weights))
 
 
 def rerank(hits: DataFrame, scores: DataFrame, top_n: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions import jsontext as jx
-from quarryline.functions import text as fx
+from quarryline.functions.binding import bind
 from quarryline.functions.ranking import top_per_group
 
 # Fixed values.
@@ -26,29 +26,40 @@ GRADE_KEYS = ("relevance", "supportiveness", "usefulness")
 SCORE_DIGITS = 6
 
 
+def _scores(text: Column, sound: Column, unreadable: Column) -> Column:
+    """Struct of the three scores; all `unreadable` unless `sound` and all can be read."""
+
+    def settled(read: Column) -> Column:
+        good = sound
+        for key in GRADE_KEYS:
+            good = good & read[key].isNotNull()
+        return F.struct(*[F.when(good, read[k]).otherwise(unreadable).alias(k) for k in GRADE_KEYS])
+
+    return bind(
+        F.struct(*[jx.number_at(text, f"$.{key}").alias(key) for key in GRADE_KEYS]), settled
+    )
+
+
 def parse_scores(grades: DataFrame, raw: str = "raw") -> DataFrame:
     """Adds the three scores; a missing key is 0, anything unreadable makes all three 0."""
-    read = {key: jx.number_at(F.col(raw), f"$.{key}") for key in GRADE_KEYS}
-    sound = F.try_parse_json(raw).isNotNull()
-    for _, ok in read.values():
-        sound = sound & ok
-    return grades.select(
-        "*", *[F.when(sound, value).otherwise(0.0).alias(key) for key, (value, _) in read.items()]
-    )
+    text = F.col(raw)
+    found = _scores(text, F.try_parse_json(text).isNotNull(), F.lit(0.0))
+    return grades.select("*", F.inline(F.array(found)))
 
 
 def parse_grades(grades: DataFrame, raw: str = "raw") -> DataFrame:
     """Lenient variant: surrounding prose is cut off; unreadable text counts as all zero,
     a readable answer of the wrong shape leaves nulls (a failed grading)."""
-    found = F.coalesce(jx.lenient_json(F.col(raw)), F.lit("{}"))
-    staged = grades.withColumn("_json", F.when(jx.is_falsy(found), F.lit("{}")).otherwise(found))
-    read = {key: jx.number_at(F.col("_json"), f"$.{key}") for key in GRADE_KEYS}
-    sound = jx.json_kind(F.col("_json")) == "OBJECT"
-    for _, ok in read.values():
-        sound = sound & ok
-    return staged.select(
-        "*", *[F.when(sound, value).alias(key) for key, (value, _) in read.items()]
-    ).drop("_json")
+    found = bind(
+        F.coalesce(jx.lenient_json(F.col(raw)), F.lit("{}")),
+        lambda text: bind(
+            F.when(jx.is_falsy(text), F.lit("{}")).otherwise(text),
+            lambda kept: _scores(
+                kept, jx.json_kind(kept) == "OBJECT", F.lit(None).cast("double")
+            ),
+        ),
+    )
+    return grades.select("*", F.inline(F.array(found)))
 
 
 def _weighted(weights: dict[str, float]) -> Column:
@@ -125,20 +136,29 @@ def select_evidence(ordered: DataFrame, top_m: int = TOP_M) -> DataFrame:
 
 def hyde_keywords(question: Column, raw: Column) -> Column:
     """First twelve keywords of the model's JSON joined by commas, else the question."""
-    found = F.from_json(
+    keywords = F.from_json(
         F.get_json_object(jx.lenient_json(raw), "$.keywords"), "array<string>"
     )
-    return F.when(
-        F.size(found) > 0, F.array_join(F.slice(found, 1, MAX_KEYWORDS), ", ", "None")
-    ).otherwise(question)
+    return bind(
+        keywords,
+        lambda found: F.when(
+            F.size(found) > 0, F.array_join(F.slice(found, 1, MAX_KEYWORDS), ", ", "None")
+        ).otherwise(question),
+    )
 
 
 def variant_list(question: Column, raw: Column, n: int = FUSION_QUERIES) -> Column:
     """Up to n alternative queries of a JSON list, each cut to 200 characters."""
-    text = jx.lenient_json(raw)
-    found = F.when(jx.json_kind(text) == "ARRAY", F.from_json(text, "array<string>"))
-    cut = F.transform(F.slice(found, 1, n), lambda q: F.substring(q, 1, MAX_VARIANT_CHARS))
-    return F.when(F.size(found) > 0, cut).otherwise(F.array(question))
+    listed = bind(
+        jx.lenient_json(raw),
+        lambda text: F.when(jx.json_kind(text) == "ARRAY", F.from_json(text, "array<string>")),
+    )
+
+    def chosen(found: Column) -> Column:
+        cut = F.transform(F.slice(found, 1, n), lambda q: F.substring(q, 1, MAX_VARIANT_CHARS))
+        return F.when(F.size(found) > 0, cut).otherwise(F.array(question))
+
+    return bind(listed, chosen)
 
 
 def query_variants(questions: DataFrame, n: int = FUSION_QUERIES) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.functions import text as fx
 from quarryline.functions import vectors as vx
+from quarryline.functions.binding import bind
 from quarryline.schemas import DEFAULT_COLLECTION
 
 # Words an English full-text search leaves out.
@@ -36,43 +37,71 @@ def lexemes(text: Column) -> Column:
     return F.filter(numbered, lambda t: ~t["term"].isin(*STOP_WORDS))
 
 
+def chunk_postings(text: Column) -> Column:
+    """Postings of one text: array of (term, tf, positions).
+
+    Lexemes are sorted within the row and cut where the term changes, which is linear
+    after the sort and needs no grouping.
+    """
+
+    def cut(ordered: Column, starts: Column) -> Column:
+        return F.transform(
+            starts,
+            lambda s, i: bind(
+                F.slice(ordered, s + 1, fx.run_length(ordered, starts, s, i)),
+                lambda run: F.struct(
+                    F.get(run, F.lit(0))["term"].alias("term"),
+                    F.size(run).cast("long").alias("tf"),
+                    F.transform(run, lambda t: t["position"]).alias("positions"),
+                ),
+            ),
+        )
+
+    return bind(
+        F.array_sort(lexemes(text)),
+        lambda ordered: bind(
+            fx.run_starts(ordered, lambda t: t["term"]), lambda starts: cut(ordered, starts)
+        ),
+    )
+
+
 def postings(chunks: DataFrame, text: str = "content") -> DataFrame:
     """Full-text index: one row per (term, chunk) with tf and sorted positions.
 
-    No stemming: terms are lower-cased words. Grouping is on (chunk, term), never on the
-    term alone, so a frequent term cannot fill one task.
+    No stemming: terms are lower-cased words. A chunk's postings are built inside its
+    own row, so building the index shuffles nothing and a frequent term fills no task.
     """
     keys = [c for c in ("chunk_id", "document_id", "collection") if c in chunks.columns]
-    return (
-        chunks.select(*keys, F.inline(lexemes(F.coalesce(F.col(text), F.lit("")))))
-        .groupBy(*keys, "term")
-        .agg(
-            F.count("*").alias("tf"),
-            F.array_sort(F.collect_list("position")).alias("positions"),
-        )
-    )
+    return chunks.select(*keys, F.inline(chunk_postings(F.coalesce(F.col(text), F.lit("")))))
 
 
-def term_bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(TERM_BUCKETS)).cast("int")
+def term_bucket(term: Column, buckets: int = TERM_BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
 
 
-def write_postings(table: DataFrame, path: str, files_per_bucket: int = 4) -> None:
+def write_postings(
+    table: DataFrame, path: str, buckets: int = TERM_BUCKETS, files_per_bucket: int = 4
+) -> None:
     """Postings partitioned by term bucket; a hot term is spread over several files."""
-    placed = table.withColumn("term_bucket", term_bucket(F.col("term")))
+    placed = table.withColumn("term_bucket", term_bucket(F.col("term"), buckets))
     salt = F.pmod(F.xxhash64("chunk_id"), F.lit(files_per_bucket))
     placed.repartition("term_bucket", salt).sortWithinPartitions("term_bucket", "term").write.mode(
         "errorifexists"
     ).partitionBy("term_bucket").parquet(path)
 
 
-def read_postings(spark, path: str, terms: DataFrame | None = None) -> DataFrame:
-    """Postings; with a table of query `terms` only the buckets those need are scanned."""
+def read_postings(
+    spark: SparkSession, path: str, terms: DataFrame | None = None, buckets: int = TERM_BUCKETS
+) -> DataFrame:
+    """Postings; with a table of query `terms` only the buckets those need are scanned.
+
+    There are at most `buckets` distinct numbers to broadcast.
+    """
     table = spark.read.parquet(path)
     if terms is None:
         return table
-    buckets = terms.select(term_bucket(F.col("term")).alias("term_bucket")).distinct()
-    return table.join(F.broadcast(buckets), "term_bucket", "left_semi")
+    needed = terms.select(term_bucket(F.col("term"), buckets).alias("term_bucket")).distinct()
+    return table.join(F.broadcast(needed), "term_bucket", "left_semi")
 
 
 def with_buckets(vectors: DataFrame, bits: int = LSH_BITS, seed: int = LSH_SEED) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quarryline.functions import text as fx
 from quarryline.operators import fulltext, fusion, index, vector_search
 from quarryline.plans.registry import check
-from quarryline.session import fresh_path
+from quarryline.session import fresh_path, materialise
 
 K = 10
 STOPS = ", ".join(f"'{w}'" for w in index.STOP_WORDS)
@@ -18,7 +18,7 @@ SIMILARITY = "round(CASE WHEN distance BETWEEN 0 AND 1 THEN 1 - distance ELSE 1
 def knn_sql(where: str = "v.collection = 'rag_chunks_v1'", queries: str = "queries") -> str:
     return f"""SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM (
       SELECT q.query_id, v.chunk_id, v.document_id, v.sequence, {COSINE} AS distance
-      FROM {queries} q, vectors v WHERE {where}) d"""
+      FROM {queries} q JOIN vectors v ON {where}) d"""
 
 
 def postings_sql(source: str) -> str:
@@ -71,20 +71,16 @@ def ix1(t):
 )
 def ix1_stored(t):
     path = fresh_path(t.spark, "postings")
-    index.write_postings(index.postings(t.line_chunks), path)
+    index.write_postings(index.postings(t.line_chunks), path, buckets=16, files_per_bucket=2)
     terms = t.word_queries.select(F.lower("text").alias("term")).distinct()
     return (
-        index.read_postings(t.spark, path, terms)
+        index.read_postings(t.spark, path, terms, buckets=16)
         .join(terms, "term", "left_semi")
         .groupBy("term")
         .agg(F.count("*").alias("chunks"), F.sum("tf").alias("occurrences"))
     )
 
 
-def _doc_vectors(t):
-    return t.vectors
-
-
 @check("ix2_approximate_knn")
 def ix2(t):
     vectors = index.with_buckets(t.vectors.filter("collection = 'rag_chunks_v1'"))
@@ -250,11 +246,14 @@ def rt9(t):
     )
 
 
+WITH_TEXT = "v.collection = 'rag_chunks_v1' AND v.chunk_id IN (SELECT chunk_id FROM doc_chunks)"
+
+
 def bm25_sql(k: int) -> str:
     """Common tables `near` (pool with texts) and `bm` (ranked BM25)."""
     blank = fx.BLANK_CLASS
     return f"""
-    near AS (SELECT x.query_id, x.chunk_id, x.document_id, x.rank, d.content FROM ({knn_sql()}) x
+    near AS (SELECT x.query_id, x.chunk_id, x.document_id, x.rank, d.content FROM ({knn_sql(WITH_TEXT)}) x
       JOIN doc_chunks d USING (chunk_id) WHERE x.rank <= {max(20 * k, 200)}),
     said AS (SELECT query_id, chunk_id, regexp_extract_all(content, '[^{blank}]+') AS ws FROM near),
     sizes AS (SELECT query_id, count(*) AS n, avg(len(ws)) AS mean_length FROM said GROUP BY query_id),
@@ -271,22 +270,25 @@ def bm25_sql(k: int) -> str:
       SELECT query_id, chunk_id, round(coalesce(total, 0), 6) AS score FROM said LEFT JOIN totals USING (query_id, chunk_id)) s)"""
 
 
+POOLED_SQL = bm25_sql(5)
+
+
 def _with_text(t):
     return t.vectors.join(t.doc_chunks.select("chunk_id", "content"), "chunk_id")
 
 
-@check("rt10_bm25", f"WITH {bm25_sql(5)} SELECT query_id, chunk_id, score, rank FROM bm WHERE rank <= 5")
+@check("rt10_bm25", f"WITH {POOLED_SQL} SELECT query_id, chunk_id, score, rank FROM bm WHERE rank <= 5")
 def rt10(t):
-    hits = vector_search.knn(t.vectors, t.queries, fusion.pool_size(5), collection="rag_chunks_v1")
-    pool = fusion.pool_contents(hits, t.doc_chunks)
-    return fusion.bm25(pool, t.queries, 5).select(
+    pool = materialise(
+        vector_search.knn(_with_text(t), t.queries, fusion.pool_size(5), collection="rag_chunks_v1"), "pool"
+    )
+    return fusion.bm25(pool, t.doc_chunks, t.queries, 5).select(
         "query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank")
     )
 
 
 ENSEMBLE_SQL = f"""
-  {bm25_sql(5).replace('JOIN doc_chunks d USING (chunk_id) WHERE', 'JOIN doc_chunks d USING (chunk_id) WHERE true AND').replace(
-      f"({knn_sql()}) x", f"({knn_sql("v.collection = 'rag_chunks_v1' AND v.chunk_id IN (SELECT chunk_id FROM doc_chunks)")}) x")},
+  {POOLED_SQL},
   both_legs AS (SELECT 0 AS leg, query_id, chunk_id, rank, content, 0.6::double AS w FROM near WHERE rank <= 5
     UNION ALL SELECT 1, b.query_id, b.chunk_id, b.rank, n.content, 0.4::double FROM bm b JOIN near n USING (query_id, chunk_id) WHERE b.rank <= 5),
   fused AS (SELECT query_id, content, round(sum(w / (60.0::double + rank)), 6) AS score, min(leg * 1000 + rank) AS first,
@@ -305,8 +307,8 @@ def rt11(t):
     "rt12_search_dispatch",
     f"""WITH {ENSEMBLE_SQL},
     {fts_sql('doc_chunks', 'queries').replace('post AS', 'post AS', 1)},
-    sem AS ({knn_sql("v.collection = 'rag_chunks_v1' AND v.chunk_id IN (SELECT chunk_id FROM doc_chunks)")}),
-    selfq AS ({knn_sql("v.collection = 'rag_chunks_v1' AND v.label < 5 AND v.chunk_id IN (SELECT chunk_id FROM doc_chunks)")})
+    sem AS ({knn_sql(WITH_TEXT)}),
+    selfq AS ({knn_sql(WITH_TEXT + " AND v.label < 5")})
     SELECT query_id, chunk_id, {SIMILARITY} AS score, rank, 'semantic' AS search_type FROM sem WHERE rank <= 5 AND query_id % 4 = 0
     UNION ALL SELECT query_id, chunk_id, score, rank, 'keyword' FROM fts_ranked WHERE rank <= 5 AND query_id % 4 = 1
     UNION ALL SELECT query_id, chunk_id, score, rank, 'hybrid' FROM ens WHERE query_id % 4 = 2

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 
 from quarryline.plans import fixtures
+from quarryline.sources import readers
 
 
 class Tables:
@@ -19,7 +20,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name in fixtures.DERIVED:
             return fixtures.derive(self, name)
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return readers.spread(table) if name == "documents" else table
 
 
 @dataclass(frozen=True)

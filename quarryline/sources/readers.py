@@ -20,6 +20,16 @@ def raw_objects(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame
     )
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """Spreads a table that is stored in fewer pieces than there are cores.
+
+    Text work is bound by computing, so a few large files should not decide how many
+    tasks do it. A table in many files is left as it is.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+
+
 def measured(objects: DataFrame) -> DataFrame:
     """Size and sha256 of every object's content (bytes or text)."""
     return objects.withColumn("size_bytes", F.octet_length("content").cast("long")).withColumn(
