@@ -102,7 +102,7 @@ def gr6(t):
 def _questions(t):
     first, other = F.col("text"), F.reverse("text")
     kind = F.col("item_id") % 4
-    listed = F.to_json(F.array(first, F.concat(other, other), F.upper(first), F.lit("fourth")))
+    listed = F.to_json(F.array(first, F.concat(other, other), F.concat(first, F.lit("!")), F.lit("fourth")))
     words = F.to_json(F.struct(fx.words(first).alias("keywords")))
     return t.benchmark.select(
         F.col("item_id").alias("query_id"),
@@ -119,7 +119,7 @@ HYDE_SQL = f"""CASE WHEN item_id % 4 IN (0, 2) THEN array_to_string(regexp_extra
     "gr7_query_variants",
     f"""
     WITH lists AS (SELECT item_id, text, {HYDE_SQL} AS hyde,
-      CASE WHEN item_id % 4 IN (0, 1) THEN [text[1:200], (reverse(text) || reverse(text))[1:200], upper(text)[1:200]] ELSE [text] END AS variants FROM benchmark),
+      CASE WHEN item_id % 4 IN (0, 1) THEN [text[1:200], (reverse(text) || reverse(text))[1:200], (text || chr(33))[1:200]] ELSE [text] END AS variants FROM benchmark),
     items AS (SELECT item_id, 0 AS place, text AS q FROM lists UNION ALL
       SELECT item_id, unnest(range(1, len(variants) + 1)), unnest(variants) FROM lists UNION ALL SELECT item_id, 100, hyde FROM lists),
     firsts AS (SELECT item_id, q, min(place) AS place FROM items GROUP BY ALL)

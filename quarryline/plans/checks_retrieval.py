@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from quarryline.functions import text as fx
 from quarryline.operators import fulltext, fusion, index, vector_search
+from quarryline.plans import corpus
+from quarryline.plans import search as searching
 from quarryline.plans.registry import check
 from quarryline.session import fresh_path, materialise
 
@@ -280,7 +282,10 @@ def _with_text(t):
 @check("rt10_bm25", f"WITH {POOLED_SQL} SELECT query_id, chunk_id, score, rank FROM bm WHERE rank <= 5")
 def rt10(t):
     pool = materialise(
-        vector_search.knn(_with_text(t), t.queries, fusion.pool_size(5), collection="rag_chunks_v1"), "pool"
+        vector_search.knn(
+            _with_text(t), t.queries, fusion.pool_size(5), collection="rag_chunks_v1", model="model-a"
+        ),
+        "pool",
     )
     return fusion.bm25(pool, t.doc_chunks, t.queries, 5).select(
         "query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank")
@@ -432,3 +437,17 @@ def rt20(t):
     return fusion.suggestions(table, "TH", 10).select(
         "position", F.substring("suggestion", 1, 60).alias("suggestion")
     )
+
+
+@check("rt16_hybrid_search_results")
+def hybrid_search_results(t):
+    """Documents to chunks, vectors and postings; all benchmark texts as questions."""
+    pages = t.documents.select(
+        F.col("doc_id").cast("string").alias("document_id"),
+        F.lit("general").alias("document_type"),
+        F.lit(1).alias("page_no"),
+        "text",
+    )
+    vectors = materialise(corpus.ingest(pages), "vectors")
+    questions = searching.embed_queries(t.benchmark.select(F.col("item_id").alias("query_id"), "text"))
+    return searching.search(vectors, searching.postings_of(vectors), questions, t.catalog)
