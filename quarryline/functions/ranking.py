@@ -45,7 +45,11 @@ def positions(
     )
 
 
+def is_small(df: DataFrame, max_rows: int) -> bool:
+    """Whether a count, stopped at the limit, finds at most `max_rows` rows."""
+    return df.limit(max_rows + 1).count() <= max_rows
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """`df` with a broadcast hint when a count, stopped at the limit, proves it small."""
-    small = df.limit(max_rows + 1).count() <= max_rows
-    return F.broadcast(df) if small else df
+    """`df` with a broadcast hint when its size is proven."""
+    return F.broadcast(df) if is_small(df, max_rows) else df

@@ -21,6 +21,7 @@ PAGES_PER_SHARD = 50
 QA_SECTION = "qa_session"
 
 _META = "map<string,string>"
+_TABLES = "array<struct<table_id:string,method:string,page:int,content:string>>"
 
 
 def chunk_id(document_id: Column, sequence: Column, content: Column) -> Column:
@@ -165,24 +166,26 @@ def _numbers(values: Column) -> Column:
     return F.array_join(values.cast("array<string>"), ",")
 
 
-def chunk_transcripts(transcripts: DataFrame) -> DataFrame:
-    """Q&A sections by speaker turn, other sections by splitting; one running sequence.
+def _transcript_texts() -> Column:
+    """Texts of a transcript to split: its sections but the Q&A, and a spare.
 
-    When the sections give no chunk, the non-blank full text is split instead; that can
-    only be where no section is a Q&A and all of them are blank. All texts of a document
-    go to the splitter in one array and the pieces stay in the document's row.
+    The spare is the non-blank full text where the sections give no chunk, which can only
+    be where no section is a Q&A and all of them are blank.
     """
     nothing_else = F.forall(
         "sections", lambda s: (s["type"] != QA_SECTION) & fx.is_blank(s["content"])
     )
     spare = F.when(nothing_else & ~fx.is_blank(F.col("full_text")), F.col("full_text"))
-    texts = F.concat(
+    return F.concat(
         F.transform("sections", lambda s: F.when(s["type"] != QA_SECTION, s["content"])),
         F.array(spare),
     )
-    split = transcripts.select("document_id", "sections", split_columns(texts).alias("found"))
 
-    def talk_pieces(section: Column) -> Column:
+
+def _transcript_pieces(found: Column) -> Column:
+    """Q&A sections by speaker turn, other sections by splitting, in section order."""
+
+    def talk(section: Column) -> Column:
         return F.transform(
             turns(section["content"]),
             lambda t, i: _piece(
@@ -196,9 +199,9 @@ def chunk_transcripts(transcripts: DataFrame) -> DataFrame:
             ),
         )
 
-    def plain_pieces(section: Column, found: Column) -> Column:
+    def plain(section: Column, pieces: Column) -> Column:
         return F.transform(
-            found,
+            pieces,
             lambda p: _piece(
                 p["content"],
                 _meta(
@@ -211,63 +214,95 @@ def chunk_transcripts(transcripts: DataFrame) -> DataFrame:
 
     by_section = F.zip_with(
         "sections",
-        F.slice("found", 1, F.size("sections")),
-        lambda s, found: F.when(s["type"] == QA_SECTION, talk_pieces(s)).otherwise(
-            plain_pieces(s, found)
-        ),
+        F.slice(found, 1, F.size("sections")),
+        lambda s, pieces: F.when(s["type"] == QA_SECTION, talk(s)).otherwise(plain(s, pieces)),
     )
     fallback = F.transform(
-        F.coalesce(F.element_at("found", -1), F.array().cast(PIECES)),
+        F.coalesce(F.element_at(found, -1), F.array().cast(PIECES)),
         lambda p: _piece(
             p["content"],
             _meta(section_type=F.lit("full_text_fallback"), start_index=p["start_index"]),
         ),
     )
-    pieces = F.concat(F.flatten(by_section), fallback)
-    return finish_chunks(_explode_pieces(split.select("document_id", pieces.alias("pieces"))))
+    return F.concat(F.flatten(by_section), fallback)
 
 
-def _explode_pieces(rows: DataFrame) -> DataFrame:
-    return rows.select("document_id", F.posexplode("pieces").alias("position", "piece")).select(
-        "document_id", (F.col("position") + 1).alias("sequence"), "piece.*"
+def _text_pieces(found: Column, **extra: Column) -> Column:
+    """Pieces of the full text."""
+    return F.transform(
+        F.coalesce(F.element_at(found, 1), F.array().cast(PIECES)),
+        lambda p: _piece(
+            p["content"],
+            _meta(content_type=F.lit("text"), start_index=p["start_index"], **extra),
+        ),
     )
 
 
-def chunk_releases(documents: DataFrame, tables: DataFrame) -> DataFrame:
-    """Text pieces first, then one chunk per table; the sequence continues.
+def _table_pieces(tables: Column) -> Column:
+    """One piece per non-blank table text, in table order."""
+    return F.transform(
+        F.filter(F.coalesce(tables, F.array().cast(_TABLES)), lambda t: ~fx.is_blank(t["content"])),
+        lambda t: _piece(
+            t["content"],
+            _meta(
+                content_type=F.lit("table"),
+                table_id=t["table_id"],
+                table_method=t["method"],
+                page=t["page"],
+            ),
+        ),
+    )
+
+
+def _dates(dates: Column) -> Column:
+    return fx.truthy(F.array_join(dates, "; "))
 
-    `tables` are rows of `table_texts`. Text and table chunks are separate branches:
-    a table's number is the document's piece count plus its rank among the tables.
+
+def _with_tables(documents: DataFrame, tables: DataFrame) -> DataFrame:
+    """Documents with the texts of their tables, a few per admitted document."""
+    listed = F.array_sort(F.collect_list(F.struct("table_id", "method", "page", "content")))
+    return documents.join(
+        tables.groupBy("document_id").agg(listed.cast(_TABLES).alias("tables")), "document_id", "left"
+    )
+
+
+def _exploded(pieces: DataFrame) -> DataFrame:
+    rows = pieces.select("document_id", F.posexplode("pieces").alias("position", "piece"))
+    return finish_chunks(
+        rows.select("document_id", (F.col("position") + 1).alias("sequence"), "piece.*")
+    )
+
+
+def chunk_transcripts(transcripts: DataFrame) -> DataFrame:
+    """Chunks of transcripts with one running sequence over their sections.
+
+    All texts of a document go to the splitter in one array and the pieces stay in the
+    document's row.
     """
-    split = documents.select("document_id", split_column(F.col("full_text")).alias("found"))
-    text_pieces = split.select(
-        "document_id",
-        F.transform(
-            "found",
-            lambda p: _piece(
-                p["content"], _meta(content_type=F.lit("text"), start_index=p["start_index"])
-            ),
-        ).alias("pieces"),
+    split = transcripts.select(
+        "document_id", "sections", split_columns(_transcript_texts()).alias("found")
     )
-    order = Window.partitionBy("document_id").orderBy("table_id")
-    counts = split.select("document_id", F.coalesce(F.size("found"), F.lit(0)).alias("pieces"))
-    table_pieces = (
-        tables.filter(~fx.is_blank(F.col("content")))
-        .withColumn("_rank", F.row_number().over(order))
-        .join(counts, "document_id")
-        .select(
-            "document_id",
-            (F.col("pieces") + F.col("_rank")).alias("sequence"),
-            "content",
-            _meta(
-                content_type=F.lit("table"),
-                table_id=F.col("table_id"),
-                table_method=F.col("method"),
-                page=F.col("page"),
-            ).alias("metadata"),
-        )
+    return _exploded(split.select("document_id", _transcript_pieces(F.col("found")).alias("pieces")))
+
+
+def chunk_releases(documents: DataFrame, tables: DataFrame) -> DataFrame:
+    """Text pieces first, then one chunk per table of `table_texts`; the sequence continues."""
+    split = _with_tables(documents, tables).select(
+        "document_id", "tables", split_columns(F.array("full_text")).alias("found")
     )
-    return finish_chunks(_explode_pieces(text_pieces).unionByName(table_pieces))
+    pieces = F.concat(_text_pieces(F.col("found")), _table_pieces(F.col("tables")))
+    return _exploded(split.select("document_id", pieces.alias("pieces")))
+
+
+def chunk_press(documents: DataFrame) -> DataFrame:
+    """Pieces of the full text, each carrying the dates the document mentions."""
+    split = documents.select(
+        "document_id",
+        _dates(parse.dates_mentioned(F.col("full_text"))).alias("dates"),
+        split_columns(F.array("full_text")).alias("found"),
+    )
+    pieces = _text_pieces(F.col("found"), dates_mentioned=F.col("dates"))
+    return _exploded(split.select("document_id", pieces.alias("pieces")))
 
 
 def chunk_decks(slides: DataFrame) -> DataFrame:
@@ -286,45 +321,37 @@ def chunk_decks(slides: DataFrame) -> DataFrame:
     )
 
 
-def chunk_press(documents: DataFrame) -> DataFrame:
-    """Pieces of the full text, each carrying the dates the document mentions."""
-    dates = F.array_join(parse.dates_mentioned(F.col("full_text")), "; ")
-    split = documents.select(
-        "document_id", dates.alias("dates"), split_column(F.col("full_text")).alias("found")
-    )
-    return finish_chunks(
-        _explode_pieces(
-            split.select(
-                "document_id",
-                F.transform(
-                    "found",
-                    lambda p: _piece(
-                        p["content"],
-                        _meta(
-                            content_type=F.lit("text"),
-                            start_index=p["start_index"],
-                            dates_mentioned=fx.truthy(F.col("dates")),
-                        ),
-                    ),
-                ).alias("pieces"),
-            )
-        )
-    )
-
-
-def chunk_documents(documents: DataFrame, slides: DataFrame, tables: DataFrame) -> DataFrame:
+def chunk_documents(
+    documents: DataFrame, slides: DataFrame | None = None, tables: DataFrame | None = None
+) -> DataFrame:
     """Chunks of parsed documents of every type (rows of `parse.parse_documents`).
 
-    The branches read disjoint documents; write the parsed table first, so that the
-    branch filter prunes a stored column instead of parsing four times.
+    One pass: the branch decides, row by row, which texts are split and how pieces are
+    labelled. Decks come as `slides`, tables of releases as rows of `table_texts`.
     """
-    of = {b: documents.filter(F.col("branch") == b) for b in ("transcript", "release", "press")}
-    return (
-        chunk_transcripts(of["transcript"])
-        .unionByName(chunk_releases(of["release"], tables))
-        .unionByName(chunk_press(of["press"]))
-        .unionByName(chunk_decks(slides))
+    is_transcript, is_release = F.col("branch") == "transcript", F.col("branch") == "release"
+    whole = documents.filter(F.col("branch") != "slides")
+    if tables is None:
+        whole = whole.withColumn("tables", F.lit(None).cast(_TABLES))
+    else:
+        whole = _with_tables(whole, tables)
+    texts = F.when(is_transcript, _transcript_texts()).otherwise(F.array("full_text"))
+    split = whole.select(
+        "document_id",
+        "branch",
+        "sections",
+        "tables",
+        _dates(F.col("dates_mentioned")).alias("dates"),
+        split_columns(texts).alias("found"),
+    )
+    found = F.col("found")
+    pieces = (
+        F.when(is_transcript, _transcript_pieces(found))
+        .when(is_release, F.concat(_text_pieces(found), _table_pieces(F.col("tables"))))
+        .otherwise(_text_pieces(found, dates_mentioned=F.col("dates")))
     )
+    chunks = _exploded(split.select("document_id", pieces.alias("pieces")))
+    return chunks if slides is None else chunks.unionByName(chunk_decks(slides))
 
 
 def chunk_page_shards(pages: DataFrame, pages_per_shard: int = PAGES_PER_SHARD) -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.functions.binding import bind
-from quarryline.functions.ranking import broadcast_if_small, top_per_group
+from quarryline.functions.ranking import broadcast_if_small, is_small, top_per_group
 from quarryline.operators.index import lexemes
 from quarryline.schemas import DEFAULT_COLLECTION
+from quarryline.session import materialise
 
 # Fixed value: weight of an unlabelled lexeme in the cover-density rank.
 DEFAULT_WEIGHT = 0.1
@@ -30,23 +31,61 @@ def keys_as(names: list[str]) -> list[Column]:
     return [F.col(n).cast("string").alias(n) if n == "document_id" else F.col(n) for n in names]
 
 
+def anchors(postings: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
+    """Rarest term of every query; queries with a term that occurs nowhere vanish.
+
+    Only the term column of the postings is read, and counted per task first.
+    """
+    hint = F.broadcast if small else (lambda df: df)
+    wanted = hint(terms.select("term").distinct())
+    frequency = postings.join(wanted, "term", "left_semi").groupBy("term").agg(
+        F.count("*").alias("df")
+    )
+    found = terms.join(frequency, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    keep = ["query_id", "n_terms"] + (["document_id"] if "document_id" in terms.columns else [])
+    return (
+        found.groupBy(*keep)
+        .agg(F.min(F.struct("df", "term")).alias("rarest"))
+        .filter(F.col("rarest.df") > 0)
+        .select(*keep, F.col("rarest.term").alias("term"))
+    )
+
+
 def match(postings: DataFrame, terms: DataFrame) -> DataFrame:
     """Chunks holding every term of a query, with the positions of each term.
 
-    The query side is broadcast once its size is checked, so the postings are filtered
-    where they lie and only matching (query, chunk) rows are grouped; otherwise both
-    sides shuffle on the term and skewed terms are split by adaptive execution.
+    A chunk can only match where the query's rarest term occurs, so candidates come from
+    that term's postings alone and the other terms are looked up by (chunk, term). Common
+    terms never produce (query, chunk) rows of their own. The query side is broadcast only
+    when a count proves it small (anchors and distinct terms are never more rows than it),
+    the looked-up pairs only when theirs does. The postings are read three times, the
+    candidates are stored once: pass a stored table.
     """
+    small = is_small(terms, MAX_BROADCAST_TERMS)
+    rare = anchors(postings, terms, small)
     filtered = "document_id" in terms.columns
-    asked = terms.withColumnRenamed("document_id", "_only") if filtered else terms
-    hits = postings.join(broadcast_if_small(asked, MAX_BROADCAST_TERMS), "term")
     if filtered:
-        hits = hits.filter(F.col("_only").isNull() | (F.col("_only") == F.col("document_id")))
-    return (
-        hits.groupBy("query_id", "chunk_id", "document_id", "n_terms")
-        .agg(F.count("*").alias("found"), F.collect_list("positions").alias("places"))
-        .filter(F.col("found") == F.col("n_terms"))
+        rare = rare.withColumnRenamed("document_id", "_only")
+    candidates = postings.join(F.broadcast(rare) if small else rare, "term")
+    if filtered:
+        candidates = candidates.filter(
+            F.col("_only").isNull() | (F.col("_only") == F.col("document_id"))
+        )
+    keys = ["query_id", "chunk_id", "document_id", "n_terms"]
+    found = materialise(candidates.select(*keys, "positions"), "candidates")
+    single = found.filter("n_terms = 1").select(*keys, F.array("positions").alias("places"))
+    asked = terms.select("query_id", "term")
+    wanted = found.filter("n_terms > 1").select(*keys).join(
+        F.broadcast(asked) if small else asked, "query_id"
+    )
+    several = (
+        postings.select("chunk_id", "term", "positions")
+        .join(broadcast_if_small(wanted, MAX_BROADCAST_TERMS), ["chunk_id", "term"])
+        .groupBy(*keys)
+        .agg(F.collect_list("positions").alias("places"))
+        .filter(F.size("places") == F.col("n_terms"))
     )
+    return single.unionByName(several)
 
 
 def cover_density(places: Column) -> Column:

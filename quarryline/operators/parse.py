@@ -69,7 +69,8 @@ def full_texts(pages: DataFrame) -> DataFrame:
     bounded; larger inputs go through `chunk.chunk_page_shards`.
     """
     ordered = F.array_sort(F.collect_list(F.struct("page_no", "text")))
-    return pages.groupBy("document_id", "document_type").agg(
+    return pages.groupBy("document_id").agg(
+        F.min("document_type").alias("document_type"),
         F.array_join(F.transform(ordered, lambda p: p["text"]), PAGE_BREAK).alias("full_text"),
         F.count("*").cast("int").alias("page_count"),
     )

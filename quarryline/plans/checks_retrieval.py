@@ -53,6 +53,11 @@ def fts_sql(source: str, queries: str, document_filter: str = "") -> str:
     fts_ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM fts)"""
 
 
+def _postings(chunks):
+    """The full-text index of a chunk table, stored once as an ingest would."""
+    return materialise(index.postings(chunks), "postings")
+
+
 ONLY = "WHERE q.only_document IS NULL OR q.only_document = p.document_id"
 
 
@@ -138,7 +143,7 @@ def rt2_document(t):
     f"WITH {fts_sql('line_chunks', 'pair_queries')} SELECT query_id, chunk_id, n_terms FROM matched",
 )
 def rt3(t):
-    postings = index.postings(t.line_chunks).filter("collection = 'rag_chunks_v1'")
+    postings = _postings(t.line_chunks).filter("collection = 'rag_chunks_v1'")
     return fulltext.match(postings, fulltext.query_terms(t.pair_queries)).select(
         "query_id", "chunk_id", F.col("n_terms").cast("long").alias("n_terms")
     )
@@ -149,7 +154,7 @@ def rt3(t):
     f"WITH {fts_sql('doc_chunks', 'pair_queries')} SELECT query_id, chunk_id, score FROM fts",
 )
 def rt4(t):
-    matched = fulltext.match(index.postings(t.doc_chunks), fulltext.query_terms(t.pair_queries))
+    matched = fulltext.match(_postings(t.doc_chunks), fulltext.query_terms(t.pair_queries))
     return matched.select("query_id", "chunk_id", fulltext.cover_density(F.col("places")).alias("score"))
 
 
@@ -158,7 +163,7 @@ def rt4(t):
     f"WITH {fts_sql('doc_chunks', 'queries')} SELECT query_id, chunk_id, score FROM fts",
 )
 def rt4_passages(t):
-    matched = fulltext.match(index.postings(t.doc_chunks), fulltext.query_terms(t.queries))
+    matched = fulltext.match(_postings(t.doc_chunks), fulltext.query_terms(t.queries))
     return matched.select("query_id", "chunk_id", fulltext.cover_density(F.col("places")).alias("score"))
 
 
@@ -168,7 +173,7 @@ def rt4_passages(t):
     SELECT query_id, chunk_id, document_id, score, rank FROM fts_ranked WHERE rank <= {K}""",
 )
 def rt5(t):
-    hits = fulltext.search(index.postings(t.line_chunks), t.word_queries, K)
+    hits = fulltext.search(_postings(t.line_chunks), t.word_queries, K)
     return hits.select("query_id", "chunk_id", "document_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -182,7 +187,7 @@ def rt6(t):
     chunks = t.line_chunks.withColumn(
         "metadata", F.create_map(F.lit("filename"), F.concat(F.lit("file-"), "document_id"))
     )
-    hits = fulltext.search(index.postings(chunks), t.word_queries.drop("document_id"), 3)
+    hits = fulltext.search(_postings(chunks), t.word_queries.drop("document_id"), 3)
     return fulltext.project_hits(hits, chunks).select(
         "query_id", "chunk_id", "document_id", "document_name", F.col("sequence").cast("long").alias("sequence"), "retriever", "content"
     )
@@ -215,7 +220,7 @@ def rt8(t):
 
 
 def _hybrid(t, **options):
-    return fusion.hybrid_search(t.vectors, index.postings(t.doc_chunks), t.queries, **options)
+    return fusion.hybrid_search(t.vectors, _postings(t.doc_chunks), t.queries, **options)
 
 
 @check(
@@ -326,7 +331,7 @@ def rt12(t):
         F.when(kind == 0, "semantic").when(kind == 1, "keyword").when(kind == 2, "hybrid").otherwise("self_query"),
     )
     hits = fusion.dispatch(
-        asked, _with_text(t), index.postings(t.doc_chunks), 5,
+        asked, _with_text(t), _postings(t.doc_chunks), 5,
         metadata_filter=vector_search.metadata_predicate(("label", "lt", 5)),
     )
     return hits.select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"), "search_type")
@@ -342,7 +347,7 @@ def rt12(t):
     SELECT query_id, chunk_id, rank, distance, CASE WHEN distance IS NOT NULL THEN {SIMILARITY} END AS score FROM (SELECT * FROM rescored UNION ALL SELECT * FROM spare) y""",
 )
 def rt13(t):
-    hits = fulltext.search(index.postings(t.doc_chunks), t.queries, 5)
+    hits = fulltext.search(_postings(t.doc_chunks), t.queries, 5)
     return fusion.rescore_or_fall_back(hits, t.vectors, t.queries, 5).select(
         "query_id", "chunk_id", F.col("rank").cast("long").alias("rank"), "distance", "score"
     )
@@ -450,4 +455,4 @@ def hybrid_search_results(t):
     )
     vectors = materialise(corpus.ingest(pages), "vectors")
     questions = searching.embed_queries(t.benchmark.select(F.col("item_id").alias("query_id"), "text"))
-    return searching.search(vectors, searching.postings_of(vectors), questions, t.catalog)
+    return searching.search(vectors, _postings(vectors), questions, t.catalog)

@@ -14,19 +14,12 @@ def parsed_documents(pages: DataFrame) -> DataFrame:
     return parse.parse_documents(parse.full_texts(pages))
 
 
-def no_tables(pages: DataFrame) -> DataFrame:
-    """An empty table of extracted-table texts."""
-    return pages.sparkSession.createDataFrame(
-        [], "document_id string, table_id string, method string, page int, content string"
-    )
-
-
 def chunked(pages: DataFrame, tables: DataFrame | None = None) -> DataFrame:
     """Chunks of all documents; deck pages are slides and need no joining."""
     is_deck = parse.route(F.col("document_type")) == "slides"
     documents = parsed_documents(pages.filter(~is_deck))
     slides = parse.slide_rows(pages.filter(is_deck))
-    return chunk.chunk_documents(documents, slides, no_tables(pages) if tables is None else tables)
+    return chunk.chunk_documents(documents, slides, tables)
 
 
 def ingest(

@@ -11,6 +11,10 @@ from quarryline.plans import fixtures
 from quarryline.sources import readers
 
 
+# Tables whose text work outweighs moving their rows between tasks.
+TEXT_SOURCES = ("documents", "orders")
+
+
 class Tables:
     """Driver tables and the tables derived from them, read lazily by name."""
 
@@ -21,7 +25,7 @@ class Tables:
         if name in fixtures.DERIVED:
             return fixtures.derive(self, name)
         table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-        return readers.spread(table) if name == "documents" else table
+        return readers.spread(table) if name in TEXT_SOURCES else table
 
 
 @dataclass(frozen=True)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.operators import embed, fusion, index
+from quarryline.operators import embed, fusion
 from quarryline.schemas import DEFAULT_COLLECTION
 
 
@@ -31,7 +31,3 @@ def search(
     hits = fusion.hybrid_search(vectors, postings, queries, k, collection=collection)
     return fusion.result_rows(fusion.attach_names(hits, catalog))
 
-
-def postings_of(vectors: DataFrame) -> DataFrame:
-    """Full-text index over the stored chunk texts."""
-    return index.postings(vectors)
