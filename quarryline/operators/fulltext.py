@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.functions.binding import bind
-from quarryline.functions.ranking import broadcast_if_small, is_small, top_per_group
+from quarryline.functions.ranking import broadcast_if_small, top_per_group
 from quarryline.operators.index import lexemes
 from quarryline.schemas import DEFAULT_COLLECTION
 from quarryline.session import materialise
@@ -54,30 +54,30 @@ def anchors(postings: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
 def match(postings: DataFrame, terms: DataFrame) -> DataFrame:
     """Chunks holding every term of a query, with the positions of each term.
 
-    A chunk can only match where the query's rarest term occurs, so candidates come from
-    that term's postings alone and the other terms are looked up by (chunk, term). Common
-    terms never produce (query, chunk) rows of their own. The query side is broadcast only
-    when a count proves it small (anchors and distinct terms are never more rows than it),
-    the looked-up pairs only when theirs does. The postings are read three times, the
-    candidates are stored once: pass a stored table.
+    A query of one term takes that term's postings. A query of several can only match
+    where its rarest term occurs, so its candidates come from that term's postings alone
+    and the other terms are looked up by (chunk, term): common terms never produce
+    (query, chunk) rows of their own. The query side is broadcast only when its count
+    proves it small (anchors and distinct terms are never more rows than it), the
+    looked-up pairs only when theirs does. Several terms read the postings three times
+    and store the candidates: pass a stored table.
     """
-    small = is_small(terms, MAX_BROADCAST_TERMS)
-    rare = anchors(postings, terms, small)
-    filtered = "document_id" in terms.columns
-    if filtered:
-        rare = rare.withColumnRenamed("document_id", "_only")
-    candidates = postings.join(F.broadcast(rare) if small else rare, "term")
-    if filtered:
-        candidates = candidates.filter(
-            F.col("_only").isNull() | (F.col("_only") == F.col("document_id"))
-        )
+    counts = terms.agg(
+        F.count("*").alias("all"), F.count_if(F.col("n_terms") > 1).alias("several")
+    ).first()
+    small = counts["all"] <= MAX_BROADCAST_TERMS
     keys = ["query_id", "chunk_id", "document_id", "n_terms"]
-    found = materialise(candidates.select(*keys, "positions"), "candidates")
-    single = found.filter("n_terms = 1").select(*keys, F.array("positions").alias("places"))
-    asked = terms.select("query_id", "term")
-    wanted = found.filter("n_terms > 1").select(*keys).join(
-        F.broadcast(asked) if small else asked, "query_id"
+    single = _candidates(postings, terms.filter("n_terms = 1"), small).select(
+        *keys, F.array("positions").alias("places")
+    )
+    if not counts["several"]:
+        return single
+    compound = terms.filter("n_terms > 1")
+    pairs = materialise(
+        _candidates(postings, anchors(postings, compound, small), small).select(*keys), "candidates"
     )
+    asked = compound.select("query_id", "term")
+    wanted = pairs.join(F.broadcast(asked) if small else asked, "query_id")
     several = (
         postings.select("chunk_id", "term", "positions")
         .join(broadcast_if_small(wanted, MAX_BROADCAST_TERMS), ["chunk_id", "term"])
@@ -88,6 +88,16 @@ def match(postings: DataFrame, terms: DataFrame) -> DataFrame:
     return single.unionByName(several)
 
 
+def _candidates(postings: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
+    """Postings of the terms, kept to the document a query names."""
+    filtered = "document_id" in terms.columns
+    asked = terms.withColumnRenamed("document_id", "_only") if filtered else terms
+    found = postings.join(F.broadcast(asked) if small else asked, "term")
+    if not filtered:
+        return found
+    return found.filter(F.col("_only").isNull() | (F.col("_only") == F.col("document_id")))
+
+
 def cover_density(places: Column) -> Column:
     """Rank by minimal covers: 0.1 / (1 + words in between) each.
 
