@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,8 @@ MAX_SHIPPED_QUERIES = 4096
 # Beyond that, both sides are cut into blocks of about this many rows.
 QUERIES_PER_BLOCK = 1024
 ROWS_PER_BLOCK = 50_000
-MAX_PROBED_BITS = 2
+FIRST_FLIPS = 1
+TARGET_RECALL = 0.95
 
 _HIT = "query_id long, chunk_id string, document_id string, sequence int, distance double"
 _HIT_SCHEMA = pa.schema(
@@ -202,11 +204,28 @@ def metadata_predicate(*terms: tuple) -> Column:
     return combined
 
 
-def probed_buckets(signature: int, bits: int = LSH_BITS, flips: int = MAX_PROBED_BITS) -> list[int]:
+def probed_buckets(signature: int, bits: int, flips: int) -> list[int]:
     """The bucket itself and those at most `flips` bits away."""
     return [b for b in range(1 << bits) if bin(b ^ signature).count("1") <= flips]
 
 
+def flips_needed(distance: float | None, bits: int, recall: float) -> int:
+    """Bits to flip so that a neighbour at this distance is found with the given chance.
+
+    A random hyperplane parts two vectors with probability angle / pi, so the number of
+    differing bits is binomial.
+    """
+    if distance is None:
+        return bits
+    parted = math.acos(min(1.0, max(-1.0, 1.0 - distance))) / math.pi
+    reached = 0.0
+    for flips in range(bits + 1):
+        reached += math.comb(bits, flips) * parted**flips * (1 - parted) ** (bits - flips)
+        if reached >= recall:
+            return flips
+    return bits
+
+
 def approximate_knn(
     indexed: DataFrame,
     queries: DataFrame,
@@ -214,26 +233,57 @@ def approximate_knn(
     *,
     bits: int = LSH_BITS,
     seed: int = LSH_SEED,
-    flips: int = MAX_PROBED_BITS,
+    flips: int = FIRST_FLIPS,
+    recall: float = TARGET_RECALL,
     max_shipped: int = MAX_SHIPPED_QUERIES,
 ) -> DataFrame:
     """k nearest among the probed buckets, exact distances, full k for every query.
 
     `indexed` carries `bucket` (see `index.with_buckets`); probed buckets become a
-    partition filter. Queries that find fewer than k chunks are searched exactly.
-    More queries than can be shipped are all searched exactly, in blocks.
+    partition filter. The distance of the k-th chunk found in the nearest buckets tells
+    how many more bits to flip for the expected `recall`; queries that need more buckets,
+    or found fewer than k chunks, are searched again in all those. More queries than can
+    be shipped are all searched exactly, in blocks.
     """
     present = queries.filter(F.col("embedding").isNotNull())
-    shipped = with_buckets(present, bits, seed).select(
-        F.col("query_id").cast("long").alias("query_id"), "embedding", "bucket"
-    ).limit(max_shipped + 1).toArrow()
+    shipped = (
+        with_buckets(present, bits, seed)
+        .select(F.col("query_id").cast("long").alias("query_id"), "embedding", "bucket")
+        .limit(max_shipped + 1)
+        .toArrow()
+    )
     if shipped.num_rows > max_shipped:
         return knn(indexed, queries, k, max_shipped=max_shipped)
-    ids = shipped["query_id"].to_numpy()
-    rows = vx.unit_rows(vx.matrix(shipped["embedding"].combine_chunks()))
+    if not shipped.num_rows:
+        return knn(indexed, present, k)
+    asked = {
+        query: (row, bucket)
+        for query, row, bucket in zip(
+            shipped["query_id"].to_pylist(),
+            vx.unit_rows(vx.matrix(shipped["embedding"].combine_chunks())),
+            shipped["bucket"].to_pylist(),
+        )
+    }
+    first = _probe(indexed, asked, dict.fromkeys(asked, flips), k, bits)
+    reached = first.groupBy("query_id").agg(
+        F.max(F.when(F.col("rank") == k, F.col("distance"))).alias("distance")
+    )
+    last = {row.query_id: row.distance for row in reached.collect()}
+    needed = {query: flips_needed(last.get(query), bits, recall) for query in asked}
+    again = {query: n for query, n in needed.items() if n > flips}
+    if not again:
+        return first
+    second = _probe(indexed, {q: asked[q] for q in again}, again, k, bits)
+    return first.filter(~F.col("query_id").isin(list(again))).unionByName(second)
+
+
+def _probe(indexed: DataFrame, asked: dict, flips: dict[int, int], k: int, bits: int) -> DataFrame:
+    """Search of the buckets within each query's number of flipped bits; stored once."""
+    ids = np.array(list(asked), dtype=np.int64)
+    rows = np.array([row for row, _ in asked.values()])
     probes = np.zeros((len(ids), 1 << bits), dtype=bool)
-    for i, signature in enumerate(shipped["bucket"].to_pylist()):
-        probes[i, probed_buckets(signature, bits, flips)] = True
+    for i, (query, (_, signature)) in enumerate(asked.items()):
+        probes[i, probed_buckets(signature, bits, flips[query])] = True
     sent = indexed.sparkSession.sparkContext.broadcast((ids, rows, probes))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,14 +301,14 @@ def approximate_knn(
 
     buckets = [int(b) for b in np.nonzero(probes.any(axis=0))[0]]
     slim = indexed.filter(F.col("bucket").isin(buckets)).select(
-        "chunk_id", "document_id", F.col("sequence").cast("int").alias("sequence"), "embedding", "bucket"
+        "chunk_id",
+        "document_id",
+        F.col("sequence").cast("int").alias("sequence"),
+        "embedding",
+        F.col("bucket").cast("int").alias("bucket"),
     )
     order = [F.col("distance").asc_nulls_last(), F.col("chunk_id")]
     ranked = top_per_group(slim.mapInArrow(search, _HIT), ["query_id"], order, k)
-    probed = materialise(
+    return materialise(
         ranked.withColumn("relevance", vx.relevance(F.col("distance"))), "probed-hits"
     )
-    full = probed.filter(F.col("rank") == k).select("query_id")
-    short = present.join(full, "query_id", "left_anti")
-    exact = knn(indexed, short, k, max_shipped=max_shipped)
-    return probed.join(full, "query_id", "left_semi").unionByName(exact)

@@ -10,13 +10,16 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from quarryline.session import build_session
 
 
+# Started on import: column expressions in parametrised tests need a session.
+SESSION = build_session(
+    "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"}
+)
+SESSION.sparkContext.setLogLevel("OFF")
+
+
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session(
-        "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"}
-    )
-    session.sparkContext.setLogLevel("OFF")
-    return session
+    return SESSION
 
 
 @pytest.fixture(scope="session")

@@ -78,13 +78,19 @@ def test_approximate_search_has_full_k_and_recall(spark):
     assert len(near & exact) / len(exact) >= 0.9
 
 
-def test_queries_short_of_candidates_are_searched_exactly(spark):
+def test_clustered_vectors_need_few_buckets_and_short_queries_many(spark):
     rng = np.random.default_rng(2)
-    points, asked = rng.standard_normal((40, 8)), rng.standard_normal((5, 8))
-    table = index.with_buckets(vectors_of(spark, points), bits=6)
-    got = found(vector_search.approximate_knn(table, queries_of(spark, asked), 10, bits=6, flips=0))
+    centres = rng.standard_normal((4, 8))
+    points = np.repeat(centres, 30, axis=0) + 0.01 * rng.standard_normal((120, 8))
+    asked = np.vstack([centres, rng.standard_normal((1, 8))])
+    table = index.with_buckets(vectors_of(spark, points))
+    got = found(vector_search.approximate_knn(table, queries_of(spark, asked), 10))
     exact = brute(points.astype(np.float32).astype(float), asked.astype(np.float32).astype(float), 10)
     assert len(got) == 50 and len(got & exact) >= 45
+    assert vector_search.flips_needed(0.0, 8, 0.95) == 0
+    assert vector_search.flips_needed(0.0005, 8, 0.95) == 1
+    assert vector_search.flips_needed(1.0, 8, 0.95) == 6
+    assert vector_search.flips_needed(None, 8, 0.95) == 8
 
 
 def test_similarity_branches(one):
