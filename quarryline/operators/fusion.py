@@ -21,7 +21,7 @@ BM25_K1, BM25_B, BM25_EPSILON = 1.5, 0.75, 0.25
 VECTOR_WEIGHT, KEYWORD_WEIGHT = 0.6, 0.4
 WEIGHT_TOLERANCE = 0.001
 SCORE_DIGITS = 6
-MAX_BROADCAST_NAMES = 1_000_000
+MAX_BROADCAST_NAMES = 500_000
 
 
 def hit_key(chunk_id: Column, document_id: Column, sequence: Column) -> Column:

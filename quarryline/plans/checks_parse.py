@@ -313,7 +313,21 @@ def _in_order():
     return Window.partitionBy("document_id").orderBy("sequence")
 
 
-@check("ch1_all_chunks")
+CHUNK_ID_SQL = "sha256(document_id || chr(1) || cast(sequence as string) || chr(1) || content)"
+
+# Chunks of the narratives by branch: short texts are one piece each.
+ALL_CHUNKS_SQL = f"""{SECTIONS_SQL}, {TURNS_SQL},
+  kinds AS (SELECT document_id, full_text, {BRANCH_SQL} AS branch FROM narratives),
+  pieces AS (
+    SELECT document_id, 1 AS sequence, trim(content, '{B}') AS content FROM sections JOIN kinds USING (document_id) WHERE branch = 'transcript' AND type <> 'qa_session'
+    UNION ALL SELECT document_id, 1 + turn_index, speech FROM numbered JOIN kinds USING (document_id) WHERE branch = 'transcript'
+    UNION ALL SELECT document_id, 1, full_text FROM kinds WHERE branch <> 'transcript')"""
+
+
+@check(
+    "ch1_all_chunks",
+    f"WITH {ALL_CHUNKS_SQL} SELECT {CHUNK_ID_SQL} AS chunk_id, document_id, sequence, content, len(regexp_extract_all(content, '{WORD}')) AS token_count FROM pieces",
+)
 def ch1(t):
     pages = t.narratives.select(
         "document_id", "document_type", F.lit(1).alias("page_no"), F.col("full_text").alias("text")

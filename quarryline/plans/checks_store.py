@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quarryline.functions import text as fx
 from quarryline.operators import catalog, conversations, costs, requests
 from quarryline.plans.checks_intake import _manifests
+from quarryline.plans.checks_parse import ALL_CHUNKS_SQL, CHUNK_ID_SQL
 from quarryline.plans.registry import check
 from quarryline.session import fresh_path
 from quarryline.streaming import dedup, ingest, spend
@@ -385,7 +386,10 @@ def _stored(t, table, label, files=4):
     return path
 
 
-@check("st1_streamed_ingest")
+@check(
+    "st1_streamed_ingest",
+    f"WITH {ALL_CHUNKS_SQL} SELECT {CHUNK_ID_SQL} AS chunk_id, document_id, sequence, trim(content, '{fx.BLANKS}') AS content FROM pieces",
+)
 def st1(t):
     pages = t.narratives.select(
         "document_id", "document_type", F.lit(1).alias("page_no"), F.col("full_text").alias("text")
@@ -408,17 +412,17 @@ def st2(t):
     source = _stored(t, _requests(t).select("key", "request_id", "ts"), "requests", 1)
     rows = t.spark.readStream.schema("key string, request_id long, ts timestamp").parquet(source)
     target = fresh_path(t.spark, "accepted")
-    _finished(dedup.accept_first_stream(rows), target, fresh_path(t.spark, "accepted-checkpoint"))
-    return t.spark.read.schema("key string, request_id long, ts timestamp").parquet(target).select("request_id")
+    dedup.accept_first_stream(rows, target, fresh_path(t.spark, "accepted-checkpoint")).awaitTermination()
+    return dedup.accepted_rows(t.spark, target).select("request_id")
 
 
-@check("st2_streamed_repeats")
+@check("st2_streamed_repeats", ACCEPTED_SQL + " SELECT key, count(DISTINCT key) AS kept FROM keyed GROUP BY key")
 def st2_repeats(t):
     source = _stored(t, _requests(t).select("key", "request_id", "ts"), "requests", 1)
     rows = t.spark.readStream.schema("key string, request_id long, ts timestamp").parquet(source)
     target = fresh_path(t.spark, "repeats")
     _finished(dedup.drop_repeats(rows), target, fresh_path(t.spark, "repeats-checkpoint"))
-    return t.spark.read.schema("key string, request_id long, ts timestamp").parquet(target).select("key", "request_id")
+    return t.spark.read.schema("key string, request_id long, ts timestamp").parquet(target).groupBy("key").agg(F.count("*").alias("kept"))
 
 
 @check(

@@ -2,65 +2,67 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
-from quarryline.operators.requests import TTL_SECONDS
+from quarryline.operators.requests import TTL_SECONDS, accept_first
 
-_ACCEPTED = "key string, request_id long, at long"
+_ACCEPTED = "key string, request_id long, ts timestamp"
 
 
-def drop_repeats(requests: DataFrame, horizon: str = "1 hour", lateness: str = "1 hour") -> DataFrame:
-    """First row per key within the watermark horizon; late rows are dropped.
+def drop_repeats(requests: DataFrame, lateness: str = "1 hour") -> DataFrame:
+    """First row per key within the watermark; late rows are dropped.
 
-    Kept in state until the watermark passes, so a key may stay closed for longer than
+    State is kept until the watermark passes, so a key may stay closed for longer than
     one time to live after its first row. `accept_first_stream` is the exact form.
     """
     return requests.withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["key"])
 
 
 def accept_first_stream(
-    requests: DataFrame, ttl_seconds: int = TTL_SECONDS, lateness: str = "1 hour"
-) -> DataFrame:
-    """Accepted requests (key, request_id, ts): at least the time to live after the last
-    accepted one of their key.
+    requests: DataFrame, target: str, checkpoint: str, ttl_seconds: int = TTL_SECONDS
+) -> StreamingQuery:
+    """Stores accepted requests (key, request_id, ts) of all available input, then stops.
 
-    State is one time per key and expires by event time. Rows of a key are put in order
-    within a micro-batch; batches must arrive in time order, up to `lateness`.
+    The accepted rows are the state: a batch first drops rows closer than the time to
+    live to the last accepted one of their key, then applies the batch operator to the
+    rest, so a hot key is handled as it is there. A batch writes its own numbered folder
+    with overwrite and reads only lower numbers: a repeated batch replaces itself. Rows
+    that arrive after a later one of their key was accepted count as repeats of it.
     """
-    ttl = ttl_seconds * 1_000_000
+    ttl = F.expr(f"INTERVAL {int(ttl_seconds)} SECONDS")
 
-    def accept(
-        key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["at", "request_id"])
-        kept = []
-        for place, at in enumerate(rows["at"].to_numpy()):
-            if last is None or at - last >= ttl:
-                kept.append(place)
-                last = int(at)
-        state.update((last,))
-        state.setTimeoutTimestamp(max((last + ttl) // 1000, state.getCurrentWatermarkMs()) + 1)
-        yield rows.iloc[kept][["key", "request_id", "at"]].reset_index(drop=True)
+    def store(batch: DataFrame, number: int) -> None:
+        rows = batch.select("key", "request_id", F.col("ts").cast("timestamp").alias("ts"))
+        if number > 0:
+            earliest = rows.agg(F.min("ts")).first()[0]
+            last = (
+                accepted_rows(batch.sparkSession, target)
+                .filter((F.col("batch") < number) & (F.col("ts") > F.lit(earliest) - ttl))
+                .groupBy("key")
+                .agg(F.max("ts").alias("_last"))
+            )
+            rows = (
+                rows.join(last, "key", "left")
+                .filter(F.col("_last").isNull() | (F.col("ts") >= F.col("_last") + ttl))
+                .drop("_last")
+            )
+        accepted = accept_first(rows, ttl_seconds).filter("accepted").drop("accepted")
+        accepted.select("key", "request_id", "ts").write.mode("overwrite").parquet(
+            f"{target}/batch={number}"
+        )
 
-    timed = requests.select("key", "request_id", "ts", F.unix_micros("ts").alias("at"))
     return (
-        timed.withWatermark("ts", lateness)
-        .groupBy("key")
-        .applyInPandasWithState(
-            accept, _ACCEPTED, "last long", "append", GroupStateTimeout.EventTimeTimeout
-        )
-        .select("key", "request_id", F.timestamp_micros("at").alias("ts"))
+        requests.writeStream.foreachBatch(store)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
     )
 
 
-def with_key(requests: DataFrame, *columns: str) -> DataFrame:
-    return requests.withColumn("key", F.concat_ws(":", *columns))
+def accepted_rows(spark: SparkSession, target: str) -> DataFrame:
+    """Everything accepted so far, with the number of its batch."""
+    return spark.read.schema(f"{_ACCEPTED}, batch long").option("basePath", target).parquet(
+        f"{target}/batch=*"
+    )

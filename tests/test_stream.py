@@ -39,3 +39,26 @@ def test_upsert_twice_is_upsert_once(spark):
     once = upsert(table, new)
     assert once.count() == table.count()
     assert content(upsert(once, new)) == content(once)
+
+
+def test_streamed_requests_follow_the_batch_rule_over_several_batches(spark):
+    from quarryline.operators.requests import accept_first
+    from quarryline.streaming import dedup
+
+    rows = spark.range(2000).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 11).cast("string")).alias("key"),
+        F.col("id").alias("request_id"),
+        F.timestamp_seconds(F.col("id") * 37).alias("ts"),
+    )
+    source, target, checkpoint = (fresh_path(spark, n) for n in ("requests", "accepted", "checkpoint"))
+
+    def run():
+        stream = spark.readStream.schema("key string, request_id long, ts timestamp").parquet(source)
+        dedup.accept_first_stream(stream, target, checkpoint).awaitTermination()
+
+    for low in range(0, 2000, 500):
+        rows.filter(F.col("request_id").between(low, low + 499)).coalesce(1).write.mode("append").parquet(source)
+        run()
+    run()
+    want = {r.request_id for r in accept_first(rows).filter("accepted").collect()}
+    assert {r.request_id for r in dedup.accepted_rows(spark, target).collect()} == want
