@@ -146,6 +146,7 @@ def gr8(t):
     FROM decided d LEFT JOIN (SELECT query_id, count(*) AS rows_ FROM (
       SELECT e.query_id FROM evidence e JOIN decided x ON x.query_id = e.query_id AND x.n >= 2
       UNION ALL SELECT s.query_id FROM sorted s JOIN decided x ON x.query_id = s.query_id AND x.n < 2) r GROUP BY query_id) f ON f.query_id = d.query_id""",
+    longs="round",
 )
 def gr9(t):
     ordered = _sorted(t)
@@ -248,6 +249,7 @@ def gr12(t):
     """SELECT query_id, turn % 2 = 1 AS needs_revision, CASE WHEN conv_id % 3 = 0 THEN 0 ELSE 1 + turn % 2 END AS claims,
       CASE WHEN conv_id % 3 = 0 THEN 0 ELSE 1 END AS verified, CASE WHEN conv_id % 3 = 0 OR turn % 2 = 0 THEN 0 ELSE 1 END AS unsupported, 0 AS contradicted
     FROM answers""",
+    longs="verified unsupported contradicted",
 )
 def gr13(t):
     claim = F.to_json(
@@ -290,6 +292,7 @@ def gr15(t):
     "gr15_answer_records",
     f"""SELECT b.item_id AS query_id, 0.85 AS confidence, coalesce(c.n, 0) AS citations, c.first_chunk
     FROM benchmark b LEFT JOIN (SELECT query_id, count(*) AS n, arg_min(chunk_id, rank) AS first_chunk FROM {CITED_SQL} x GROUP BY query_id) c ON c.query_id = b.item_id""",
+    doubles="confidence",
 )
 def gr15_records(t):
     answers = t.benchmark.select(F.col("item_id").alias("query_id"), F.lit(None).cast("double").alias("confidence"))

@@ -105,6 +105,7 @@ def sk1(t):
     f"""SELECT document_id, count(*) AS chunk_count,
       sum(len(regexp_extract_all(content, '{WORD}'))) AS token_count, sum(length(content)) AS char_count
     FROM line_chunks GROUP BY document_id""",
+    longs="token_count char_count",
 )
 def sk2(t):
     path = fresh_path(t.spark, "manifest")
@@ -379,6 +380,7 @@ def em1(t):
       FROM placed GROUP BY ALL)
     SELECT document_id, sum(chunks) AS chunk_count, count(*) AS batch_count,
       sum(cast(floor(words * 13 / 10) as bigint)) AS total_tokens FROM batches GROUP BY document_id""",
+    longs="chunk_count total_tokens",
 )
 def em2(t):
     return embed.token_estimates(t.line_chunks)

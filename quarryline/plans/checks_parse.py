@@ -99,6 +99,7 @@ def px3(t):
 @check(
     "px4_sections",
     f"WITH {SECTIONS_SQL} SELECT document_id, section_no, type, content, first_page, last_page FROM sections",
+    longs="section_no",
 )
 def px4(t):
     return parse.section_rows(parse.parse_transcripts(t.narratives)).select(
@@ -116,6 +117,7 @@ def px4(t):
     f"""SELECT document_id, page_count, {QA_SQL} IS NOT NULL AS has_qa,
       CASE WHEN {QA_SQL} > 1 THEN 2 ELSE 1 END AS sections,
       len(list_distinct(regexp_extract_all(full_text, '(?m){SPEAKER}', 1))) AS speakers FROM narratives""",
+    longs="page_count sections",
 )
 def px5(t):
     return parse.parse_transcripts(t.narratives).select(
@@ -139,6 +141,7 @@ RECORDS_SQL = """
     SELECT document_id, table_id, row_no, header[2] AS key, cells[2] AS value FROM body WHERE method = 'plumber'
     UNION ALL SELECT document_id, table_id, row_no, header[3], cells[3] FROM body WHERE method = 'plumber'
     UNION ALL SELECT document_id, table_id, row_no, header[1], cells[4] FROM body WHERE method = 'plumber'""",
+    longs="row_no",
 )
 def px6(t):
     records = parse.table_records(t.cells.filter("method = 'plumber'"))
@@ -219,6 +222,7 @@ MERGED_SQL = f"""
     f"""WITH {MERGED_SQL}
     SELECT document_id, count(*) AS slide_count, count(*) FILTER (WHERE has_potential_chart) AS charts_detected,
       count(vision_description) AS vision_descriptions, sum(tokens_used) AS vision_tokens_used FROM merged GROUP BY document_id""",
+    longs="vision_tokens_used",
 )
 def px11(t):
     return parse.deck_summaries(parse.merge_slide_outputs(parse.slide_rows(t.slides), t.slide_outputs))
@@ -291,6 +295,7 @@ def ch2(t):
     "ch2_split_invariants",
     f"""SELECT cast(doc_id as string) AS document_id, 0 AS too_long, 0 AS misplaced, 0 AS out_of_order,
       trim(text, '{B}') = '' AS blank FROM documents""",
+    longs="too_long misplaced out_of_order",
 )
 def ch2_invariants(t):
     pieces = chunk.split_documents(_documents(t))
@@ -389,6 +394,7 @@ def ch5(t):
     f"""SELECT sha256(document_id || chr(1) || '1' || chr(1) || full_text) AS chunk_id, document_id, 1 AS sequence, full_text AS content,
       len(regexp_extract_all(full_text, '{WORD}')) AS token_count,
       array_to_string(regexp_extract_all(full_text, '{parse.DATE_PATTERN}'), '; ') AS dates FROM narratives""",
+    longs="sequence",
 )
 def ch6(t):
     chunks = chunk.chunk_press(t.narratives)

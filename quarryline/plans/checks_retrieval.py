@@ -75,6 +75,7 @@ def ix1(t):
     "ix1_stored_postings_lookup",
     f"""SELECT p.term, count(*) AS chunks, sum(p.tf) AS occurrences FROM ({postings_sql('line_chunks')}) p
     WHERE p.term IN (SELECT lower(text) FROM word_queries) GROUP BY p.term""",
+    longs="occurrences",
 )
 def ix1_stored(t):
     path = fresh_path(t.spark, "postings")

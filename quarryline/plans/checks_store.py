@@ -130,6 +130,7 @@ def ct1(t):
 @check(
     "ct2_page_info",
     "SELECT count(*) AS total, 3 AS page, 20 AS page_size, count(*) > 60 AS has_next FROM catalog WHERE status = 'failed'",
+    longs="page page_size",
 )
 def ct2(t):
     info = catalog.page_info(_catalog(t), 40, 20, status="failed")
@@ -236,6 +237,7 @@ def ct9(t):
     """SELECT (SELECT count(*) FROM catalog) AS total_documents, (SELECT count(*) FROM catalog WHERE status = 'processing') AS processing,
       (SELECT count(*) FROM catalog WHERE status = 'indexed') AS completed, (SELECT count(*) FROM catalog WHERE status = 'failed') AS failed,
       (SELECT count(*) FROM line_chunks) AS chunks, (SELECT count(*) FROM vectors) AS embeddings, (SELECT sum(file_size) FROM catalog) AS bytes""",
+    longs="bytes",
 )
 def ct10(t):
     return catalog.corpus_stats(_catalog(t), t.line_chunks, t.vectors)
@@ -292,6 +294,7 @@ def co1(t):
 @check(
     "co2_priced_events",
     """SELECT id, model, total_tokens, 0.000015 AS price_in, 0.00006 AS price_out, cast(cost_total_usd as double) AS usd FROM ledger""",
+    doubles="price_in price_out",
 )
 def co2(t):
     return costs.priced_events(t.calls).select(
@@ -332,6 +335,7 @@ def co4(t):
     "co5_daily_spend",
     """SELECT cast(floor(ts_us / 86400000000) as bigint) AS day, provider, model, route, count(*) AS calls, sum(total_tokens) AS tokens,
       cast(sum(cost_total_usd) as double) AS spend FROM ledger GROUP BY ALL""",
+    longs="tokens",
 )
 def co5(t):
     daily = costs.rollup(_ledger(t))
@@ -344,6 +348,7 @@ def co5(t):
 @check(
     "co5_spend_subtotals",
     """SELECT model, route, count(*) AS calls, sum(total_tokens) AS tokens, cast(sum(cost_total_usd) as double) AS spend FROM ledger GROUP BY ROLLUP (model, route)""",
+    longs="tokens",
 )
 def co5_subtotals(t):
     return costs.rollup_subtotals(_ledger(t)).withColumn("spend", F.col("spend").cast("double"))
@@ -429,6 +434,7 @@ def st2_repeats(t):
     "st3_spend_per_minute",
     """SELECT cast(floor(ts_us / 60000000) as bigint) AS minute, model, count(*) AS calls, sum(total_tokens) AS tokens, cast(sum(cost_total_usd) as double) AS spend,
       sum(total_tokens) > 6000 AS over_quota FROM ledger GROUP BY ALL""",
+    longs="tokens",
 )
 def st3(t):
     ledger = _ledger(t)

@@ -37,16 +37,26 @@ class Check:
 CHECKS: dict[str, Check] = {}
 
 
-def check(name: str, sql: str | None = None):
-    """Registers a query; its SQL may use any derived table by name."""
+def check(name: str, sql: str | None = None, *, longs: str = "", doubles: str = ""):
+    """Registers a query; its SQL may use any derived table by name.
+
+    `longs` and `doubles` name twin columns whose type SQL would widen or narrow.
+    """
 
     def register(build: Callable[[Tables], DataFrame]):
-        CHECKS[name] = Check(build, None if sql is None else fixtures.with_ctes(sql))
+        CHECKS[name] = Check(build, None if sql is None else _typed(sql, longs, doubles))
         return build
 
     return register
 
 
+def _typed(sql: str, longs: str, doubles: str) -> str:
+    text = fixtures.with_ctes(sql)
+    casts = [f"cast({c} AS bigint) AS {c}" for c in longs.split()]
+    casts += [f"cast({c} AS double) AS {c}" for c in doubles.split()]
+    return f"SELECT * REPLACE ({', '.join(casts)}) FROM ({text}) typed" if casts else text
+
+
 def runner(name: str) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return CHECKS[name].build(Tables(spark, sf_dir))

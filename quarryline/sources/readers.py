@@ -49,8 +49,9 @@ def present(wanted: DataFrame, listing: DataFrame) -> DataFrame:
 
 def page_files(spark: SparkSession, path: str, page_separator: str = "\f") -> DataFrame:
     """Text files as ordered pages; the file name without its suffix is the document id."""
-    whole = spark.read.option("wholetext", "true").text(path).select(
-        F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.[^./]*)?\z", 1).alias("document_id"), "value"
+    whole = spark.read.text(path, wholetext=True).select(
+        F.regexp_extract(F.col("_metadata.file_name"), r"(?s)^(.+?)(\.[^.]*)?\z", 1).alias("document_id"),
+        "value",
     )
     return whole.select(
         "document_id", F.posexplode(F.split("value", page_separator)).alias("position", "text")
