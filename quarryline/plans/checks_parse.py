@@ -228,6 +228,25 @@ def px11(t):
     return parse.deck_summaries(parse.merge_slide_outputs(parse.slide_rows(t.slides), t.slide_outputs))
 
 
+@check(
+    "px11_deck_documents",
+    f"""WITH {MERGED_SQL},
+    decks AS (SELECT document_id, count(*) AS slide_count, count(*) FILTER (WHERE has_potential_chart) AS charts_detected FROM merged GROUP BY document_id)
+    SELECT n.document_id, array_to_string(regexp_extract_all(n.full_text, '(?i){parse.GROWTH_PATTERN}', 1), '; ') AS growth,
+      d.slide_count, d.charts_detected, 0 AS table_count FROM narratives n LEFT JOIN decks d ON d.document_id = n.document_id""",
+    longs="table_count",
+)
+def px11_documents(t):
+    slides = parse.merge_slide_outputs(parse.slide_rows(t.slides), t.slide_outputs)
+    return parse.parse_decks(t.narratives, slides, t.cells).select(
+        "document_id",
+        F.coalesce(F.array_join(F.try_element_at("metrics", F.lit("growth")), "; "), F.lit("")).alias("growth"),
+        "slide_count",
+        "charts_detected",
+        "table_count",
+    )
+
+
 @check(
     "px12_slide_outputs",
     f"""WITH {MERGED_SQL} SELECT document_id, cast(slide_number as bigint) AS slide_number, has_potential_chart, vision_description,

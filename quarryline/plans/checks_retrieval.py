@@ -232,6 +232,22 @@ def rt8_pure(t):
     return _hybrid(t, mode="rrf").select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+# A query restricted to one document: both legs rank inside it.
+@check(
+    "rt8_hybrid_in_one_document",
+    f"""WITH only_queries AS (SELECT *, cast(query_id * 5 as string) AS document_id FROM queries),
+    {fts_sql('doc_chunks', 'only_queries', ONLY)},
+    vec AS (SELECT * FROM ({knn_sql("v.collection = 'rag_chunks_v1' AND v.document_id = q.document_id", 'only_queries')}) x WHERE rank <= 30),
+    legs AS (SELECT query_id, chunk_id, 1 / (1 + distance) + 1 / (60.0::double + rank) AS gain FROM vec
+      UNION ALL SELECT query_id, chunk_id, score + 1 / (60.0::double + rank) FROM fts_ranked WHERE rank <= 30)
+    SELECT query_id, chunk_id, round(sum(gain), 6) AS score FROM legs GROUP BY query_id, chunk_id""",
+)
+def rt8_document(t):
+    asked = t.queries.withColumn("document_id", (F.col("query_id") * 5).cast("string"))
+    hits = fusion.hybrid_search(t.vectors, _postings(t.doc_chunks), asked)
+    return hits.select("query_id", "chunk_id", "score")
+
+
 @check(
     "rt9_variant_fusion",
     f"""WITH near AS (SELECT cast(floor(query_id / 2) as bigint) AS question_id, query_id % 2 AS variant, rank - 1 AS position, chunk_id, document_id
