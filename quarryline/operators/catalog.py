@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -151,10 +149,6 @@ def insert(rows: DataFrame, new: DataFrame) -> DataFrame:
     return rows.unionByName(new, allowMissingColumns=True)
 
 
-def _domain(rows: DataFrame, values: Sequence[str]) -> DataFrame:
-    return rows.sparkSession.createDataFrame([(v,) for v in values], "value string")
-
-
 def processing_stats(rows: DataFrame) -> DataFrame:
     """Documents per status and per type, zeros included, and in total: one pass."""
     counted = (

@@ -65,8 +65,8 @@ def strategy(kind: Column) -> Column:
 def full_texts(pages: DataFrame) -> DataFrame:
     """One row per document: pages in order joined by a blank line, and their number.
 
-    A document is one admitted upload (see `intake.MAX_FILE_BYTES`), so a group is
-    bounded; larger inputs go through `chunk.chunk_page_shards`.
+    A document is one admitted upload (see `intake.MAX_FILE_BYTES`); `corpus.chunked`
+    sends documents of very many pages through `chunk.chunk_page_shards` instead.
     """
     ordered = F.array_sort(F.collect_list(F.struct("page_no", "text")))
     return pages.groupBy("document_id").agg(

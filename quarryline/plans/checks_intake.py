@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarryline.functions import text as fx
-from quarryline.functions import vectors as vx
 from quarryline.operators import chunk, embed, index, intake
 from quarryline.plans.registry import Tables, check
 from quarryline.session import fresh_path

@@ -116,3 +116,17 @@ def test_release_tables_follow_the_text(spark):
     assert sorted((r.document_id, r.sequence, r.content) for r in got) == [
         ("d", 1, "some text"), ("d", 2, "one"), ("d", 3, "two"), ("e", 1, "three"),
     ]
+
+
+def test_long_documents_are_chunked_by_page_range(spark):
+    from quarryline.plans import corpus
+
+    rows = [("long", "transcript", i, f"page {i}") for i in range(1, 121)] + [("short", "press", 1, "a text"), ("deck", "slides", 1, "slide")]
+    pages = spark.createDataFrame(rows, "document_id string, document_type string, page_no int, text string")
+    got = corpus.chunked(pages, max_pages=100).collect()
+    long = sorted((r for r in got if r.document_id == "long"), key=lambda r: r.sequence)
+    assert [r.sequence for r in long] == list(range(1, len(long) + 1))
+    assert sorted({r.metadata["shard"] for r in long}) == ["0", "1", "2"]
+    assert all(any(f"page {i}" in r.content for r in long) for i in range(1, 121))
+    assert sorted(r.content for r in got if r.document_id != "long") == ["a text", "slide"]
+    assert corpus.chunked(pages).filter("document_id = 'long'").count() >= 1
