@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +14,7 @@ def build_session(master: str | None = None, **conf: str) -> SparkSession:
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        "spark.sql.execution.arrow.maxBytesPerBatch": str(64 << 20),
         "spark.ui.enabled": "false",
         **conf,
     }
@@ -27,18 +27,13 @@ def build_session(master: str | None = None, **conf: str) -> SparkSession:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``.
+    """The shared folder named in ``spark.checkpoint.dir``; where unset, one in the warehouse.
 
-    A temporary folder is made only where the setting is empty, as in local tests.
+    Both are folders that the driver and all executors reach.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = getattr(spark, "_quarryline_work_dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        folder = tempfile.mkdtemp(prefix="quarryline-")
-        spark._quarryline_work_dir = folder
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/work"
     return folder
 
 
