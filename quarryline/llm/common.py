@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.session import materialise
@@ -21,7 +21,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return materialise(df, label)
 
 
-def arrow_map(df: DataFrame, per_batch: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str):
+def arrow_map(df: DataFrame, per_batch: Callable[[pa.RecordBatch], pa.RecordBatch], schema):
     """Rows made from each Arrow batch on its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,8 +100,27 @@ def repeated_rows(df: DataFrame, keys: list[str], columns: list[str]) -> DataFra
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
-def null_safe(columns: list[str], left: DataFrame, right: DataFrame) -> Column:
-    condition = F.lit(True)
-    for c in columns:
-        condition = condition & left[c].eqNullSafe(right[c])
-    return condition
+def unused(columns: list[str], name: str) -> str:
+    """A column name that none of `columns` has."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def text_mark(text_column: str):
+    """A 64-bit mark that tells rows of one id apart."""
+    return F.xxhash64(text_column)
+
+
+def keep_rows(docs: DataFrame, stay: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    """The rows of `docs`, all columns, whose (id, mark) is in `stay`; of repeated rows one."""
+    mark, number, missing = (unused(docs.columns, n) for n in ("mark", "number", "missing"))
+    keys = [mark, number, missing]
+
+    def keyed(rows: DataFrame, value) -> DataFrame:
+        return rows.withColumns({number: F.coalesce(value, F.lit(0)), missing: value.isNull()})
+
+    rows = keyed(docs.withColumn(mark, text_mark(text_column)), F.col(id_column).cast("long"))
+    wanted = keyed(stay.select("id", F.col("mark").alias(mark)), F.col("id")).select(*keys).distinct()
+    return rows.join(wanted, keys).dropDuplicates(keys).select(*docs.columns)

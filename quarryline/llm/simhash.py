@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import arrow_map, byte_values, longs, unsigned, written
+from quarryline.llm.common import arrow_map, byte_values, keep_rows, longs, text_mark, unsigned, written
 from quarryline.llm.components import components
 
 SHINGLE_WORDS = 4
@@ -50,14 +50,20 @@ def simhash(text: bytes, words: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, fingerprint bigint) of every row; a text without words has fingerprint zero."""
+    """(id, fingerprint bigint, mark) of every row; a text without words has fingerprint zero."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         values = np.array([simhash(t) for t in byte_values(batch.column(1))], np.uint64)
-        return pa.record_batch([batch.column(0), longs(values)], ["id", "fingerprint"])
-
-    rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
-    return arrow_map(rows, run, "id long, fingerprint long")
+        return pa.record_batch(
+            [batch.column(0), longs(values), batch.column(2)], ["id", "fingerprint", "mark"]
+        )
+
+    rows = docs.select(
+        F.col(id_column).cast("long").alias("id"),
+        F.col(text_column).alias("text"),
+        text_mark(text_column).alias("mark"),
+    )
+    return arrow_map(rows, run, "id long, fingerprint long, mark long")
 
 
 # --- Golay code ---------------------------------------------------------------------------
@@ -245,7 +251,10 @@ def links(values: DataFrame, distance: int = DISTANCE, block: int = BLOCK) -> Da
                 rows, keys = fuzzy_keys(part)
                 yield pa.record_batch([pa.array(keys), longs(part[rows])], ["key", "value"])
 
-    keyed = values.select("fingerprint").mapInArrow(emit, "key long, value long")
+    # A fingerprint has over a hundred keys: its partitions are not to be merged for being small.
+    parts = int(values.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = values.select("fingerprint").repartition(parts, "fingerprint")
+    keyed = dealt.mapInArrow(emit, "key long, value long")
     grouped = keyed.repartition(F.shiftright("key", 1)).sortWithinPartitions("key")
     found = written(grouped.mapInArrow(_search(distance, block), "a long, b long, key long"), "near")
     small = found.where("key is null").select("a", "b")
@@ -296,7 +305,7 @@ def near_duplicates(
     text_column: str = "text",
     distance: int = DISTANCE,
 ) -> DataFrame:
-    """(id, fingerprint bigint, component): one row per row of `docs`.
+    """(id, fingerprint bigint, mark, component): one row per row of `docs`.
 
     The component is the smallest id that chains of fingerprints at most `distance` bits apart
     reach. Equal fingerprints are one node, so thousands of copies cost one. A null text counts
@@ -312,4 +321,12 @@ def near_duplicates(
     named = written(named, "classes")
     least = named.groupBy("class").agg(F.min("least").alias("component"))
     classes = named.join(least, "class").select("fingerprint", "component")
-    return rows.join(classes, "fingerprint").select("id", "fingerprint", "component")
+    return rows.join(classes, "fingerprint").select("id", "fingerprint", "mark", "component")
+
+
+def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of `docs`, all columns, that stay: of each component the row with the least id."""
+    found = near_duplicates(docs, id_column, text_column)
+    first = found.where(F.col("id").eqNullSafe(F.col("component")))
+    stay = first.groupBy(F.col("component").alias("id")).agg(F.min("mark").alias("mark"))
+    return keep_rows(docs, stay, id_column, text_column)
