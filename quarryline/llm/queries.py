@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import decontaminate, exact_dedup, langid, packing, simhash
+from quarryline.llm import decontaminate, exact_dedup, html_text, langid, packing, simhash, suffix_dedup, url_filter, warc
 from quarryline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,68 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.withColumnRenamed("id", "doc_id")
+
+
+@query
+def op1_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archive = warc.write(table(spark, sf_dir, "pages"))
+    found = warc.read(spark, archive)
+    return found.select(
+        "page_id",
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        "refers_to",
+        F.length("record").cast("long").alias("record_bytes"),
+    )
+
+
+SQL["op1_warc_archive"] = """
+WITH bodies AS (
+  SELECT page_id, url, coalesce(html, '') AS body, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+typed AS (
+  SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY body) END AS original FROM bodies),
+known AS (SELECT *, original > page_id AS revisit FROM typed)
+SELECT page_id,
+       CAST(n AS bigint) AS payload_bytes,
+       sha1(body) AS payload_digest,
+       CASE WHEN revisit THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN revisit THEN original END AS refers_to,
+       CAST(octet_length(encode('WARC/1.1' || 'WARC-Type: ' || CASE WHEN revisit THEN 'revisit' ELSE 'response' END
+         || 'WARC-Record-ID: <urn:uuid:' || repeat('x', 36) || '>'
+         || 'WARC-Date: 1970-01-01T00:00:00Z'
+         || coalesce('WARC-Target-URI: ' || url || 'rn', '')
+         || 'WARC-Payload-Digest: sha1:' || repeat('x', 40)
+         || 'X-Payload-SHA256: ' || repeat('x', 64)
+         || coalesce('X-Page-ID: ' || page_id || 'rn', '')
+         || CASE WHEN revisit THEN 'WARC-Refers-To: <urn:uuid:' || repeat('x', 36) || '>rn'
+              || 'X-Refers-To-Page: ' || original || 'rn'
+              || 'WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digestrn' ELSE '' END
+         || 'Content-Type: text/html; charset=utf-8'
+         || 'Content-Length: ' || CASE WHEN revisit THEN 0 ELSE n END))
+         + CASE WHEN revisit THEN 0 ELSE n END + 9 * 2 + 4 AS bigint) AS record_bytes
+FROM known
+"""
+
+
+@query
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "n_bytes",
+        "n_removed",
+        "n_spans",
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+@query
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return url_filter.judge(pages)
