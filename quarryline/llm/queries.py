@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm import decontaminate, exact_dedup, html_text, langid, packing, simhash, suffix_dedup, url_filter, warc
+from quarryline.llm import (
+    decontaminate,
+    exact_dedup,
+    html_text,
+    langid,
+    packing,
+    simhash,
+    substring_dedup,
+    suffix_dedup,
+    url_filter,
+    warc,
+)
 from quarryline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,3 +157,9 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_filter.judge(pages)
+
+
+@query
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("id", "doc_id")
