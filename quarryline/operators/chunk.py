@@ -16,12 +16,12 @@ from quarryline.operators import parse
 
 # Fixed values.
 TURN_PATTERN = r"([A-Z][a-z]+ [A-Z][a-z]+|[A-Z]{2,}|Q:|A:)"
-MAX_TABLE_ROWS = 10
+ROWS_PER_TABLE_TEXT = 10
 PAGES_PER_SHARD = 50
 QA_SECTION = "qa_session"
 
 _META = "map<string,string>"
-_TABLES = "array<struct<table_id:string,method:string,page:int,content:string>>"
+_TABLES = "array<struct<table_id:string,method:string,page:int,part:int,content:string>>"
 
 
 def chunk_id(document_id: Column, sequence: Column, content: Column) -> Column:
@@ -87,10 +87,13 @@ def utterances(sections: DataFrame) -> DataFrame:
     )
 
 
-def records_text(table_id: Column, rows: Column) -> Column:
-    """Text of a table whose rows are arrays of (key, value): first ten, empty values out."""
+def records_text(table_id: Column, rows: Column, max_rows: int | None = None) -> Column:
+    """Text of a table whose rows are arrays of (key, value), empty values out.
+
+    `max_rows` keeps the first rows only.
+    """
     lines = F.transform(
-        F.slice(rows, 1, MAX_TABLE_ROWS),
+        rows if max_rows is None else F.slice(rows, 1, max_rows),
         lambda row: F.array_join(
             F.transform(
                 F.filter(row, lambda e: F.coalesce(e["value"], F.lit("")) != ""),
@@ -102,10 +105,10 @@ def records_text(table_id: Column, rows: Column) -> Column:
     return _table_text(table_id, rows, lines)
 
 
-def cells_text(table_id: Column, rows: Column) -> Column:
-    """Text of a table whose rows are arrays of cells."""
+def cells_text(table_id: Column, rows: Column, max_rows: int | None = None) -> Column:
+    """Text of a table whose rows are arrays of cells; `max_rows` keeps the first only."""
     lines = F.transform(
-        F.slice(rows, 1, MAX_TABLE_ROWS),
+        rows if max_rows is None else F.slice(rows, 1, max_rows),
         lambda row: F.array_join(F.filter(row, lambda c: F.coalesce(c, F.lit("")) != ""), " | "),
     )
     return _table_text(table_id, rows, lines)
@@ -119,27 +122,37 @@ def _table_text(table_id: Column, rows: Column, lines: Column) -> Column:
     )
 
 
-def table_texts(cells: DataFrame) -> DataFrame:
-    """One text per extracted table (header in row 0, records below).
+def table_texts(
+    cells: DataFrame, max_rows: int | None = None, rows_per_text: int = ROWS_PER_TABLE_TEXT
+) -> DataFrame:
+    """Texts of extracted tables (header in row 0, records below), as parts from 0.
 
-    Only the first ten non-empty records can show, so the rest is cut per table before
-    the rows of a table come together; a long table never gathers in one task.
+    A table is known by document, table id and method. Every text holds `rows_per_text` rows
+    under the table's name, so a long table becomes several parts and never gathers in one
+    task. With `max_rows` only the first non-empty records count, which are cut per table
+    before the rows of a table come together.
     """
-    key = ["document_id", "table_id"]
-    heads = cells.filter("row_no = 0").select(*key, "method", "page")
-    order = Window.partitionBy(*key).orderBy("row_no")
-    first = (
-        parse.table_records(cells)
-        .withColumn("_row", F.row_number().over(order))
-        .filter(F.col("_row") <= MAX_TABLE_ROWS)
-    )
-    rows = first.groupBy(*key).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("_row", "record"))), lambda r: r["record"]
-        ).alias("rows")
+    key = ["document_id", "table_id", "method"]
+    heads = cells.filter("row_no = 0").select(*key, "page")
+    records = parse.table_records(cells).withColumn("_row", F.col("row_no"))
+    if max_rows is not None:
+        order = Window.partitionBy(*key).orderBy("row_no")
+        numbered = records.withColumn("_row", F.row_number().over(order))
+        records = numbered.filter(F.col("_row") <= max_rows)
+    part = F.floor((F.col("_row") - 1) / rows_per_text).cast("int")
+    rows = (
+        records.groupBy(*key, part.alias("part"))
+        .agg(
+            F.transform(
+                F.array_sort(F.collect_list(F.struct("_row", "record"))), lambda r: r["record"]
+            ).alias("rows")
+        )
     )
     return heads.join(rows, key, "left").select(
-        *key, "method", "page", records_text(F.col("table_id"), F.col("rows")).alias("content")
+        *key,
+        "page",
+        F.coalesce("part", F.lit(0)).alias("part"),
+        records_text(F.col("table_id"), F.col("rows")).alias("content"),
     )
 
 
@@ -249,6 +262,7 @@ def _table_pieces(tables: Column) -> Column:
                 table_id=t["table_id"],
                 table_method=t["method"],
                 page=t["page"],
+                part=F.when(t["part"] > 0, t["part"]),
             ),
         ),
     )
@@ -259,8 +273,9 @@ def _dates(dates: Column) -> Column:
 
 
 def _with_tables(documents: DataFrame, tables: DataFrame) -> DataFrame:
-    """Documents with the texts of their tables, a few per admitted document."""
-    listed = F.array_sort(F.collect_list(F.struct("table_id", "method", "page", "content")))
+    """Documents with the texts of their tables, by table, method and part."""
+    part = F.col("part") if "part" in tables.columns else F.lit(0).alias("part")
+    listed = F.array_sort(F.collect_list(F.struct("table_id", "method", "page", part, "content")))
     return documents.join(
         tables.groupBy("document_id").agg(listed.cast(_TABLES).alias("tables")), "document_id", "left"
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarryline.functions.binding import bind
 from quarryline.functions.ranking import broadcast_if_small, top_per_group
-from quarryline.operators.index import lexemes
+from quarryline.operators.index import TERM_BUCKETS, lexemes, term_bucket
 from quarryline.schemas import DEFAULT_COLLECTION
 from quarryline.session import materialise
 
@@ -51,7 +51,18 @@ def anchors(postings: DataFrame, terms: DataFrame, small: bool) -> DataFrame:
     )
 
 
-def match(postings: DataFrame, terms: DataFrame) -> DataFrame:
+def pruned(postings: DataFrame, terms: DataFrame, buckets: int = TERM_BUCKETS) -> DataFrame:
+    """Stored postings cut to the partitions that the terms lie in.
+
+    At most `buckets` numbers come to the driver, so the scan has a partition filter.
+    """
+    if "term_bucket" not in postings.columns:
+        return postings
+    needed = terms.select(term_bucket(F.col("term"), buckets).alias("b")).distinct().collect()
+    return postings.filter(F.col("term_bucket").isin(sorted(r.b for r in needed)))
+
+
+def match(postings: DataFrame, terms: DataFrame, buckets: int = TERM_BUCKETS) -> DataFrame:
     """Chunks holding every term of a query, with the positions of each term.
 
     A query of one term takes that term's postings. A query of several can only match
@@ -60,13 +71,17 @@ def match(postings: DataFrame, terms: DataFrame) -> DataFrame:
     (query, chunk) rows of their own. The query side is broadcast only when its count
     proves it small (anchors and distinct terms are never more rows than it), the
     looked-up pairs only when theirs does. Several terms read the postings three times
-    and store the candidates: pass a stored table.
+    and store the candidates: pass a stored table, of which only the partitions of the
+    asked terms are read (`buckets` is the number it was written with).
     """
+    postings = pruned(postings, terms, buckets)
+    if "sequence" not in postings.columns:
+        postings = postings.withColumn("sequence", F.lit(None).cast("int"))
     counts = terms.agg(
         F.count("*").alias("all"), F.count_if(F.col("n_terms") > 1).alias("several")
     ).first()
     small = counts["all"] <= MAX_BROADCAST_TERMS
-    keys = ["query_id", "chunk_id", "document_id", "n_terms"]
+    keys = ["query_id", "chunk_id", "document_id", "sequence", "n_terms"]
     single = _candidates(postings, terms.filter("n_terms = 1"), small).select(
         *keys, F.array("positions").alias("places")
     )
@@ -101,44 +116,54 @@ def _candidates(postings: DataFrame, terms: DataFrame, small: bool) -> DataFrame
 def cover_density(places: Column) -> Column:
     """Rank by minimal covers: 0.1 / (1 + words in between) each.
 
-    `places` holds one sorted position list per term. For every occurrence the latest
-    start that still covers all terms is found; of the occurrences sharing a start the
-    first ends the cover.
+    `places` holds one sorted position list per term. One pass over all occurrences in order
+    keeps the last place of every term: the least of these begins the latest cover that ends
+    here, and of the occurrences with the same begin the first ends the cover.
     """
-    def ends(spots: Column) -> Column:
-        """For every occurrence the latest start that covers all terms up to it."""
-        return F.filter(
+    spots = F.array_sort(
+        F.flatten(
             F.transform(
-                spots,
-                lambda q: F.struct(
-                    F.array_min(
-                        F.transform(
-                            places,
-                            lambda p: F.coalesce(F.array_max(F.filter(p, lambda x: x <= q)), F.lit(0)),
-                        )
-                    ).alias("start"),
-                    q.alias("end"),
-                ),
-            ),
-            lambda e: e["start"] > 0,
+                places,
+                lambda p, term: F.transform(p, lambda x: F.struct(x.cast("int").alias("at"), term.alias("term"))),
+            )
         )
+    )
+    numbered = F.transform(
+        spots, lambda s, i: F.struct(s["at"].alias("at"), s["term"].alias("term"), i.alias("index"))
+    )
 
-    def covers(found: Column) -> Column:
-        return F.filter(
-            found, lambda e, i: (i == 0) | (e["start"] != F.get(found, i - 1)["start"])
+    def step(state: Column, spot: Column) -> Column:
+        last = F.transform(
+            state["last"], lambda v, term: F.when(term == spot["term"], spot["index"]).otherwise(v)
+        )
+        return bind(last, lambda found: advanced(state, spot, found, F.array_min(found)))
+
+    def advanced(state: Column, spot: Column, found: Column, begin: Column) -> Column:
+        def gain(all_spots: Column) -> Column:
+            words = spot["at"] - F.get(all_spots, begin)["at"]
+            inside = spot["index"] - begin + 1
+            return F.lit(DEFAULT_WEIGHT) / (F.lit(2) + words - inside)
+
+        covers = (begin >= 0) & (begin != state["begin"])
+        added = F.when(covers, gain(state["spots"])).otherwise(F.lit(0.0))
+        return F.struct(
+            found.alias("last"),
+            F.greatest(begin, state["begin"]).alias("begin"),
+            (state["total"] + added).alias("total"),
+            state["spots"].alias("spots"),
         )
 
-    def total(spots: Column) -> Column:
-        def gain(cover: Column) -> Column:
-            inside = F.size(F.filter(spots, lambda s: s.between(cover["start"], cover["end"])))
-            return F.lit(DEFAULT_WEIGHT) / (F.lit(2) + cover["end"] - cover["start"] - inside)
-
-        return F.aggregate(
-            bind(ends(spots), covers), F.lit(0.0), lambda summed, cover: summed + gain(cover)
+    def total(all_spots: Column) -> Column:
+        start = F.struct(
+            F.transform(places, lambda _: F.lit(-1)).alias("last"),
+            F.lit(-1).alias("begin"),
+            F.lit(0.0).alias("total"),
+            all_spots.alias("spots"),
         )
+        return F.aggregate(all_spots, start, step, lambda state: state["total"])
 
-    several = bind(F.array_sort(F.flatten(places)), total)
     single = F.size(F.element_at(places, 1)) * F.lit(DEFAULT_WEIGHT)
+    several = bind(numbered, total)
     return F.round(F.when(F.size(places) == 1, single).otherwise(several), SCORE_DIGITS)
 
 
@@ -148,6 +173,7 @@ def search(
     k: int = 10,
     *,
     collection: str | None = DEFAULT_COLLECTION,
+    buckets: int = TERM_BUCKETS,
 ) -> DataFrame:
     """Top k chunks per query by cover density, ties by chunk id.
 
@@ -155,8 +181,8 @@ def search(
     """
     if collection is not None:
         postings = postings.filter(F.col("collection") == collection)
-    scored = match(postings, query_terms(queries)).select(
-        "query_id", "chunk_id", "document_id", cover_density(F.col("places")).alias("score")
+    scored = match(postings, query_terms(queries), buckets).select(
+        "query_id", "chunk_id", "document_id", "sequence", cover_density(F.col("places")).alias("score")
     )
     return top_per_group(scored, ["query_id"], [F.col("score").desc(), F.col("chunk_id")], k)
 

@@ -114,9 +114,7 @@ def vector_leg(vectors: DataFrame, queries: DataFrame, depth: int = LEG_DEPTH, *
 
 def fulltext_leg(postings: DataFrame, queries: DataFrame, depth: int = LEG_DEPTH, **options) -> DataFrame:
     hits = fulltext.search(postings, queries, depth, **options)
-    return hits.withColumn("sequence", F.lit(None).cast("int")).select(
-        "query_id", "chunk_id", "document_id", "sequence", "score", "rank"
-    )
+    return hits.select("query_id", "chunk_id", "document_id", "sequence", "score", "rank")
 
 
 def hybrid_search(

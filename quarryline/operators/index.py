@@ -71,7 +71,7 @@ def postings(chunks: DataFrame, text: str = "content") -> DataFrame:
     No stemming: terms are lower-cased words. A chunk's postings are built inside its
     own row, so building the index shuffles nothing and a frequent term fills no task.
     """
-    keys = [c for c in ("chunk_id", "document_id", "collection") if c in chunks.columns]
+    keys = [c for c in ("chunk_id", "document_id", "sequence", "collection") if c in chunks.columns]
     return chunks.select(*keys, F.inline(chunk_postings(F.coalesce(F.col(text), F.lit("")))))
 
 

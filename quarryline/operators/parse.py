@@ -65,8 +65,7 @@ def strategy(kind: Column) -> Column:
 def full_texts(pages: DataFrame) -> DataFrame:
     """One row per document: pages in order joined by a blank line, and their number.
 
-    A document is one admitted upload (see `intake.MAX_FILE_BYTES`); `corpus.chunked`
-    sends documents of very many pages through `chunk.chunk_page_shards` instead.
+    A document is one admitted upload (see `intake.MAX_FILE_BYTES`), which bounds its text.
     """
     ordered = F.array_sort(F.collect_list(F.struct("page_no", "text")))
     return pages.groupBy("document_id").agg(
@@ -199,12 +198,15 @@ def record_entries(header: Column, row: Column) -> Column:
 
 
 def table_records(cells: DataFrame) -> DataFrame:
-    """Rows of extracted tables as records; row 0 of a table is its header."""
-    key = ["document_id", "table_id"]
+    """Rows of extracted tables as records; row 0 of a table is its header.
+
+    Extraction methods may use the same table ids, so the method is part of the key.
+    """
+    key = ["document_id", "table_id", "method"]
     header = cells.filter("row_no = 0").select(*key, F.col("cells").alias("header"))
     body = cells.filter((F.col("row_no") > 0) & (F.size("cells") > 0))
     return body.join(header, key).select(
-        *key, "method", "page", "row_no", record_entries(F.col("header"), F.col("cells")).alias("record")
+        *key, "page", "row_no", record_entries(F.col("header"), F.col("cells")).alias("record")
     )
 
 

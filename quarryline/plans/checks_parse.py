@@ -138,15 +138,14 @@ RECORDS_SQL = """
 @check(
     "px6_table_records",
     f"""WITH {RECORDS_SQL}
-    SELECT document_id, table_id, row_no, header[2] AS key, cells[2] AS value FROM body WHERE method = 'plumber'
-    UNION ALL SELECT document_id, table_id, row_no, header[3], cells[3] FROM body WHERE method = 'plumber'
-    UNION ALL SELECT document_id, table_id, row_no, header[1], cells[4] FROM body WHERE method = 'plumber'""",
+    SELECT document_id, table_id, method, row_no, header[2] AS key, cells[2] AS value FROM body
+    UNION ALL SELECT document_id, table_id, method, row_no, header[3], cells[3] FROM body
+    UNION ALL SELECT document_id, table_id, method, row_no, header[1], cells[4] FROM body""",
     longs="row_no",
 )
 def px6(t):
-    records = parse.table_records(t.cells.filter("method = 'plumber'"))
-    return records.select(
-        "document_id", "table_id", F.col("row_no").cast("long").alias("row_no"), F.inline("record")
+    return parse.table_records(t.cells).select(
+        "document_id", "table_id", "method", F.col("row_no").cast("long").alias("row_no"), F.inline("record")
     )
 
 
@@ -373,28 +372,32 @@ def ch3(t):
 
 
 TABLE_TEXT_SQL = f"""WITH {RECORDS_SQL},
-  rows_ AS (SELECT document_id, table_id, row_no, row_number() OVER (PARTITION BY document_id, table_id ORDER BY row_no) AS n,
+  rows_ AS (SELECT document_id, table_id, method, row_no, cast(floor((row_no - 1) / 10) as int) AS part,
     concat_ws(', ', CASE WHEN cells[4] <> '' THEN header[1] || ': ' || cells[4] END, CASE WHEN cells[2] <> '' THEN header[2] || ': ' || cells[2] END,
-      CASE WHEN cells[3] <> '' THEN header[3] || ': ' || cells[3] END) AS line FROM body WHERE method = 'plumber'),
-  texts AS (SELECT h.document_id, h.table_id, coalesce('Table ' || h.table_id || ':' || chr(10) || r.lines, 'Table ' || h.table_id || ': No data') AS content
-    FROM (SELECT document_id, table_id FROM heads WHERE method = 'plumber') h LEFT JOIN (SELECT document_id, table_id, string_agg(line, chr(10) ORDER BY row_no) AS lines FROM rows_
-      WHERE n <= 10 AND line <> '' GROUP BY document_id, table_id) r USING (document_id, table_id))"""
+      CASE WHEN cells[3] <> '' THEN header[3] || ': ' || cells[3] END) AS line FROM body),
+  texts AS (SELECT h.document_id, h.table_id, h.method, coalesce(r.part, 0) AS part,
+      coalesce('Table ' || h.table_id || ':' || chr(10) || r.lines, 'Table ' || h.table_id || ': No data') AS content
+    FROM heads h LEFT JOIN (SELECT document_id, table_id, method, part, string_agg(line, chr(10) ORDER BY row_no) AS lines FROM rows_
+      WHERE line <> '' GROUP BY document_id, table_id, method, part) r USING (document_id, table_id, method))"""
+
+# The tables of one method per document, as long ones with all their parts.
+PREFERRED_SQL = """ chosen AS (SELECT * FROM texts
+    WHERE method = 'lattice' OR document_id NOT IN (SELECT document_id FROM cells WHERE method = 'lattice'))"""
 
 
 @check(
     "ch4_release_chunks",
     TABLE_TEXT_SQL
-    + f""", docs AS (SELECT DISTINCT document_id FROM texts),
-    pieces AS (SELECT document_id, 1 AS sequence, 'text of ' || document_id AS content FROM docs
-      UNION ALL SELECT document_id, 1 + row_number() OVER (PARTITION BY document_id ORDER BY table_id), content FROM texts)
+    + f""", {PREFERRED_SQL}, docs AS (SELECT 'd' || document_id AS document_id, full_text FROM narratives),
+    pieces AS (SELECT document_id, 1 AS sequence, full_text AS content FROM docs
+      UNION ALL SELECT document_id, 1 + row_number() OVER (PARTITION BY document_id ORDER BY table_id, part), content
+        FROM chosen JOIN docs USING (document_id))
     SELECT sha256(document_id || chr(1) || cast(sequence as string) || chr(1) || content) AS chunk_id, document_id, sequence, content,
       len(regexp_extract_all(content, '{WORD}')) AS token_count FROM pieces""",
 )
 def ch4(t):
-    tables = chunk.table_texts(t.cells.filter("method = 'plumber'"))
-    documents = tables.select("document_id").distinct().withColumn(
-        "full_text", F.concat(F.lit("text of "), "document_id")
-    )
+    tables = chunk.table_texts(parse.preferred_tables(t.cells, "lattice", "plumber"))
+    documents = t.narratives.select(F.concat(F.lit("d"), "document_id").alias("document_id"), "full_text")
     return _plain(chunk.chunk_releases(documents, tables))
 
 
@@ -435,9 +438,20 @@ def ch7(t):
     )
 
 
-@check("ch8_table_texts", TABLE_TEXT_SQL + " SELECT document_id, table_id, content FROM texts")
+@check("ch8_table_texts", TABLE_TEXT_SQL + " SELECT document_id, table_id, method, part, content FROM texts", longs="part")
 def ch8(t):
-    return chunk.table_texts(t.cells.filter("method = 'plumber'")).select("document_id", "table_id", "content")
+    texts = chunk.table_texts(t.cells)
+    return texts.select("document_id", "table_id", "method", F.col("part").cast("long").alias("part"), "content")
+
+
+# The form that shows the first ten records of a table only.
+@check(
+    "ch8_first_table_rows",
+    TABLE_TEXT_SQL + f", {PREFERRED_SQL} SELECT document_id, table_id, method, content FROM chosen WHERE part = 0",
+)
+def ch8_first(t):
+    tables = parse.preferred_tables(t.cells, "lattice", "plumber")
+    return chunk.table_texts(tables, max_rows=10).select("document_id", "table_id", "method", "content")
 
 
 @check(

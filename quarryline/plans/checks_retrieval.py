@@ -209,7 +209,7 @@ HYBRID_SQL = f"""
   {fts_sql('doc_chunks', 'queries')},
   vec AS (SELECT query_id, chunk_id, document_id, sequence, 1 / (1 + distance) AS score, rank FROM ({knn_sql()}) x WHERE rank <= 30),
   legs AS (SELECT 0 AS leg, query_id, chunk_id, document_id, sequence, score, rank FROM vec
-    UNION ALL SELECT 1, query_id, chunk_id, document_id, NULL, score, rank FROM fts_ranked WHERE rank <= 30),
+    UNION ALL SELECT 1, query_id, chunk_id, document_id, cast(document_id as bigint) % 3, score, rank FROM fts_ranked WHERE rank <= 30),
   fused AS (SELECT query_id, chunk_id, round(sum(score + 1 / (60.0::double + rank)), 6) AS score, min(leg * 1000 + rank) AS first,
       arg_min(sequence, leg * 1000 + rank) AS sequence FROM legs GROUP BY query_id, chunk_id),
   top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, chunk_id) AS rank FROM fused)"""

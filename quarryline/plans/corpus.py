@@ -5,44 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.functions.ranking import broadcast_if_small
 from quarryline.operators import chunk, embed, index, parse
 from quarryline.schemas import DEFAULT_COLLECTION
 
-# A document with more pages than this is chunked by page range.
-MAX_PAGES = 5000
-MAX_BROADCAST_IDS = 500_000
-
-
 def parsed_documents(pages: DataFrame) -> DataFrame:
     """Parsed rows of all documents; the one shuffle brings a document's pages together."""
     return parse.parse_documents(parse.full_texts(pages))
 
 
-def chunked(
-    pages: DataFrame, tables: DataFrame | None = None, max_pages: int = MAX_PAGES
-) -> DataFrame:
-    """Chunks of all documents.
+def chunked(pages: DataFrame, tables: DataFrame | None = None) -> DataFrame:
+    """Chunks of all documents, each by the rules of its type whatever its length.
 
-    Deck pages are slides and need no joining. Documents of more than `max_pages` pages
-    are never brought together: they are chunked by page range, whatever their type. The
-    page count reads the id column only; without long documents the plan has no join.
+    Deck pages are slides and need no joining. Any other document's pages come together in
+    one row; `chunk.chunk_page_shards` is the other way for callers who rather have documents
+    of any type cut by page range.
     """
     is_deck = parse.route(F.col("document_type")) == "slides"
     slides = parse.slide_rows(pages.filter(is_deck))
-    texts = pages.filter(~is_deck)
-    long = (
-        texts.groupBy("document_id")
-        .agg(F.count("*").alias("pages"))
-        .filter(F.col("pages") > max_pages)
-        .select("document_id")
-    )
-    if long.isEmpty():
-        return chunk.chunk_documents(parsed_documents(texts), slides, tables)
-    listed = broadcast_if_small(long, MAX_BROADCAST_IDS)
-    short = texts.join(listed, "document_id", "left_anti")
-    by_range = chunk.chunk_page_shards(texts.join(listed, "document_id", "left_semi"))
-    return chunk.chunk_documents(parsed_documents(short), slides, tables).unionByName(by_range)
+    return chunk.chunk_documents(parsed_documents(pages.filter(~is_deck)), slides, tables)
 
 
 def ingest(

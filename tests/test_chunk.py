@@ -79,7 +79,9 @@ def test_table_texts(spark):
     rows = [("d", "t", "m", 1, 0, ["k", "v"])] + [("d", "t", "m", 1, i, [str(i), "" if i == 2 else "x"]) for i in range(1, 13)]
     rows.append(("d", "u", "m", 1, 0, ["k"]))
     cells = spark.createDataFrame(rows, "document_id string, table_id string, method string, page int, row_no int, cells array<string>")
-    got = {r.table_id: r.content for r in chunk.table_texts(cells).collect()}
+    got = {r.table_id: r.content for r in chunk.table_texts(cells, max_rows=10).collect()}
+    whole = sorted((r.part, r.content) for r in chunk.table_texts(cells).filter("table_id = 't'").collect())
+    assert [p for p, _ in whole] == [0, 1] and whole[1][1] == "Table t:\nk: 11, v: x\nk: 12, v: x"
     lines = got["t"].split("\n")
     assert lines[0] == "Table t:" and len(lines) == 11 and lines[1] == "k: 1, v: x" and lines[2] == "k: 2"
     assert got["u"] == "Table u: No data"
@@ -118,15 +120,35 @@ def test_release_tables_follow_the_text(spark):
     ]
 
 
-def test_long_documents_are_chunked_by_page_range(spark):
+def test_methods_may_share_table_ids(spark):
+    rows = [("d", "t", m, 1, i, c) for m, v in (("lattice", "x"), ("plumber", "y")) for i, c in ((0, ["k"]), (1, [v]))]
+    cells = spark.createDataFrame(rows, "document_id string, table_id string, method string, page int, row_no int, cells array<string>")
+    got = sorted((r.method, r.content) for r in chunk.table_texts(cells).collect())
+    assert got == [("lattice", "Table t:\nk: x"), ("plumber", "Table t:\nk: y")]
+
+
+def test_length_does_not_change_how_a_document_is_chunked(spark):
     from quarryline.plans import corpus
 
-    rows = [("long", "transcript", i, f"page {i}") for i in range(1, 121)] + [("short", "press", 1, "a text"), ("deck", "slides", 1, "slide")]
+    talk = ["Jane Smith: hello", "Questions and Answers", "Q: growth?", "A: 3% growth"]
+    rows = [("long", "transcript", i + 1, talk[i] if i < 4 else f"A: page {i}") for i in range(6000)]
+    rows += [("release", "release", i, f"page {i}") for i in range(1, 7)] + [("deck", "slides", 1, "slide")]
     pages = spark.createDataFrame(rows, "document_id string, document_type string, page_no int, text string")
-    got = corpus.chunked(pages, max_pages=100).collect()
-    long = sorted((r for r in got if r.document_id == "long"), key=lambda r: r.sequence)
+    cells = [("release", "t", "m", 1, i, ["k"] if i == 0 else [f"v{i}"]) for i in range(26)]
+    tables = chunk.table_texts(
+        spark.createDataFrame(cells, "document_id string, table_id string, method string, page int, row_no int, cells array<string>")
+    )
+    got = corpus.chunked(pages, tables).collect()
+    turns = [r for r in got if r.document_id == "long" and r.metadata["section_type"] == "qa_session"]
+    assert len(turns) > 5990 and any(r.metadata["speaker"] == "Q:" for r in turns)
+    text = "\n".join(r.content for r in got if r.document_id == "release")
+    assert all(f"k: v{i}" in text for i in range(1, 26))
+
+
+def test_shards_by_page_range_are_the_callers_choice(spark):
+    rows = [("long", i, f"page {i}") for i in range(1, 121)]
+    pages = spark.createDataFrame(rows, "document_id string, page_no int, text string")
+    long = sorted(chunk.chunk_page_shards(pages).collect(), key=lambda r: r.sequence)
     assert [r.sequence for r in long] == list(range(1, len(long) + 1))
     assert sorted({r.metadata["shard"] for r in long}) == ["0", "1", "2"]
     assert all(any(f"page {i}" in r.content for r in long) for i in range(1, 121))
-    assert sorted(r.content for r in got if r.document_id != "long") == ["a text", "slide"]
-    assert corpus.chunked(pages).filter("document_id = 'long'").count() >= 1
