@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +29,7 @@ STOP_WORDS = tuple(
 TERM_BUCKETS = 256
 LSH_BITS = 8
 LSH_SEED = 42
+ROWS_PER_BUCKET = 1000
 
 
 def lexemes(text: Column) -> Column:
@@ -104,6 +107,11 @@ def read_postings(
     return table.join(F.broadcast(needed), "term_bucket", "left_semi")
 
 
+def bits_for(rows: int, rows_per_bucket: int = ROWS_PER_BUCKET) -> int:
+    """Bits for a corpus of that many rows: buckets grow with it, up to 65,536 of them."""
+    return min(16, max(1, math.ceil(math.log2(max(1, rows) / rows_per_bucket)))) if rows > rows_per_bucket else 1
+
+
 def with_buckets(vectors: DataFrame, bits: int = LSH_BITS, seed: int = LSH_SEED) -> DataFrame:
     """Nearest-neighbour index: the vector table with its random-hyperplane bucket."""
     present = vectors.filter(F.col("embedding").isNotNull())

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -13,15 +13,12 @@ from pyspark.sql import functions as F
 
 from quarryline.functions import vectors as vx
 from quarryline.functions.ranking import top_per_group
-from quarryline.operators.index import LSH_BITS, LSH_SEED, with_buckets
+from quarryline.operators.index import LSH_BITS, LSH_SEED
 from quarryline.schemas import DEFAULT_COLLECTION
 from quarryline.session import materialise
 
-# Queries shipped to every task: checked before use. At 1536 doubles each this is 50 MB.
+# Queries shipped to every task at a time. At 1536 doubles each this is 50 MB.
 MAX_SHIPPED_QUERIES = 4096
-# Beyond that, both sides are cut into blocks of about this many rows.
-QUERIES_PER_BLOCK = 1024
-ROWS_PER_BLOCK = 50_000
 FIRST_FLIPS = 1
 TARGET_RECALL = 0.95
 
@@ -78,25 +75,50 @@ def knn(
     `queries` has query_id, embedding and optionally document_id (a filter, applied
     before ranking). Up to `max_shipped` queries travel to the tasks that read the
     corpus; each task keeps k rows per query, so the corpus is never shuffled and no
-    (query, chunk) table arises. More queries than that meet the corpus in blocks.
+    (query, chunk) table arises. More queries go in turn, in batches of that size, each
+    of which reads the corpus once and stores its hits.
     """
     corpus = _corpus(vectors, collection, model)
-    wanted = queries.filter(F.col("embedding").isNotNull()).select(
+    slim = corpus.select("chunk_id", "document_id", F.col("sequence").cast("int").alias("sequence"), "embedding")
+    order = [F.col("distance").asc_nulls_last(), F.col("chunk_id")]
+
+    def search(asked: pa.Table) -> DataFrame:
+        return top_per_group(_knn_shipped(slim, asked, k), ["query_id"], order, k)
+
+    ranked = in_batches(_wanted(queries), max_shipped, search)
+    return ranked.withColumn("relevance", vx.relevance(F.col("distance")))
+
+
+def _wanted(queries: DataFrame) -> DataFrame:
+    return queries.filter(F.col("embedding").isNotNull()).select(
         F.col("query_id").cast("long").alias("query_id"),
         "embedding",
         (F.col("document_id") if "document_id" in queries.columns else F.lit(None))
         .cast("string")
         .alias("document_id"),
     )
-    slim = corpus.select("chunk_id", "document_id", F.col("sequence").cast("int").alias("sequence"), "embedding")
-    shipped = wanted.limit(max_shipped + 1).toArrow()
-    if shipped.num_rows <= max_shipped:
-        found = _knn_shipped(slim, shipped, k)
-    else:
-        found = _knn_blocked(slim, wanted, k)
-    order = [F.col("distance").asc_nulls_last(), F.col("chunk_id")]
-    ranked = top_per_group(found, ["query_id"], order, k)
-    return ranked.withColumn("relevance", vx.relevance(F.col("distance")))
+
+
+def in_batches(
+    queries: DataFrame, size: int, search: Callable[[pa.Table], DataFrame]
+) -> DataFrame:
+    """`search` of all queries, about `size` at a time on the driver.
+
+    One batch is searched as it is; of several, each is stored before the next is fetched.
+    """
+    first = queries.limit(size + 1).toArrow()
+    if first.num_rows <= size:
+        return search(first)
+    stored = materialise(queries, "queries")
+    batches = 2 * -(-stored.count() // max(1, size))
+    number = F.pmod(F.xxhash64("query_id"), F.lit(batches))
+    found = None
+    for batch in range(batches):
+        asked = stored.filter(number == batch).toArrow()
+        if asked.num_rows:
+            hits = materialise(search(asked), "batch-hits")
+            found = hits if found is None else found.unionByName(hits)
+    return found
 
 
 def _knn_shipped(corpus: DataFrame, queries: pa.Table, k: int) -> DataFrame:
@@ -131,37 +153,6 @@ def _hits(found: pd.DataFrame) -> pa.RecordBatch:
     )
 
 
-def _knn_blocked(corpus: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Blocks of queries against blocks of chunks, joined on both block numbers.
-
-    Every task holds one block of each side; block counts follow from row counts.
-    """
-    query_blocks = -(-queries.count() // QUERIES_PER_BLOCK)
-    row_blocks = max(1, -(-corpus.count() // ROWS_PER_BLOCK))
-    left = corpus.withColumn("row_block", F.pmod(F.xxhash64("chunk_id"), F.lit(row_blocks))).withColumn(
-        "query_block", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)).cast("array<long>"))
-    )
-    right = queries.withColumn(
-        "query_block", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks))
-    ).withColumn("row_block", F.explode(F.sequence(F.lit(0), F.lit(row_blocks - 1)).cast("array<long>")))
-
-    def search(points: pa.Table, asked: pa.Table) -> pa.Table:
-        if not points.num_rows or not asked.num_rows:
-            return _HIT_SCHEMA.empty_table()
-        query_rows = vx.unit_rows(vx.matrix(asked["embedding"].combine_chunks()))
-        rows = vx.unit_rows(vx.matrix(points["embedding"].combine_chunks(), query_rows.shape[1]))
-        payload = _payload(points)
-        allowed = _allowed(
-            np.array(asked["document_id"].to_pylist(), dtype=object),
-            payload["document_id"].to_numpy(dtype=object),
-        )
-        found = vx.nearest_in(asked["query_id"].to_numpy(), query_rows, rows, payload, k, allowed)
-        return pa.Table.from_batches([_hits(found)])
-
-    keys = ["query_block", "row_block"]
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, _HIT)
-
-
 def semantic_search(
     vectors: DataFrame,
     queries: DataFrame,
@@ -231,6 +222,8 @@ def approximate_knn(
     queries: DataFrame,
     k: int,
     *,
+    collection: str | None = None,
+    model: str | None = None,
     bits: int = LSH_BITS,
     seed: int = LSH_SEED,
     flips: int = FIRST_FLIPS,
@@ -239,62 +232,83 @@ def approximate_knn(
 ) -> DataFrame:
     """k nearest among the probed buckets, exact distances, full k for every query.
 
-    `indexed` carries `bucket` (see `index.with_buckets`); probed buckets become a
-    partition filter. The distance of the k-th chunk found in the nearest buckets tells
-    how many more bits to flip for the expected `recall`; queries that need more buckets,
-    or found fewer than k chunks, are searched again in all those. More queries than can
-    be shipped are all searched exactly, in blocks.
+    `indexed` carries `bucket` (see `index.with_buckets`, with the same `bits`); probed
+    buckets become a partition filter. The distance of the k-th chunk found in the nearest
+    buckets tells how many more bits to flip for the expected `recall`; queries that need
+    more buckets, or found fewer than k chunks, go on to those not read yet. A query's
+    `document_id`, the collection and the model filter as in `knn`. More than `max_shipped`
+    queries are searched in turn, in batches.
     """
-    present = queries.filter(F.col("embedding").isNotNull())
-    shipped = (
-        with_buckets(present, bits, seed)
-        .select(F.col("query_id").cast("long").alias("query_id"), "embedding", "bucket")
-        .limit(max_shipped + 1)
-        .toArrow()
-    )
-    if shipped.num_rows > max_shipped:
-        return knn(indexed, queries, k, max_shipped=max_shipped)
-    if not shipped.num_rows:
-        return knn(indexed, present, k)
+    corpus = _corpus(indexed, collection, model)
+
+    def search(shipped: pa.Table) -> DataFrame:
+        if not shipped.num_rows:
+            return corpus.sparkSession.createDataFrame([], f"{_HIT}, rank int")
+        return _approximate(corpus, shipped, k, bits, seed, flips, recall)
+
+    ranked = in_batches(_wanted(queries), max_shipped, search)
+    return ranked.withColumn("relevance", vx.relevance(F.col("distance")))
+
+
+def _approximate(
+    indexed: DataFrame, shipped: pa.Table, k: int, bits: int, seed: int, flips: int, recall: float
+) -> DataFrame:
+    matrix = vx.matrix(shipped["embedding"].combine_chunks())
+    marks = vx.signatures(matrix, bits, seed)
     asked = {
-        query: (row, bucket)
-        for query, row, bucket in zip(
+        query: (row, int(mark), document)
+        for query, row, mark, document in zip(
             shipped["query_id"].to_pylist(),
-            vx.unit_rows(vx.matrix(shipped["embedding"].combine_chunks())),
-            shipped["bucket"].to_pylist(),
+            vx.unit_rows(matrix),
+            marks,
+            shipped["document_id"].to_pylist(),
         )
     }
-    first = _probe(indexed, asked, dict.fromkeys(asked, flips), k, bits)
+    near = {query: set(probed_buckets(a[1], bits, flips)) for query, a in asked.items()}
+    first = _probe(indexed, asked, near, k, bits)
     reached = first.groupBy("query_id").agg(
         F.max(F.when(F.col("rank") == k, F.col("distance"))).alias("distance")
     )
     last = {row.query_id: row.distance for row in reached.collect()}
     needed = {query: flips_needed(last.get(query), bits, recall) for query in asked}
-    again = {query: n for query, n in needed.items() if n > flips}
-    if not again:
+    more = {
+        query: set(probed_buckets(asked[query][1], bits, n)) - near[query]
+        for query, n in needed.items()
+        if n > flips
+    }
+    if not more:
         return first
-    second = _probe(indexed, {q: asked[q] for q in again}, again, k, bits)
-    return first.filter(~F.col("query_id").isin(list(again))).unionByName(second)
+    second = _probe(indexed, {q: asked[q] for q in more}, more, k, bits)
+    order = [F.col("distance").asc_nulls_last(), F.col("chunk_id")]
+    both = first.drop("rank").unionByName(second.drop("rank"))
+    return top_per_group(both, ["query_id"], order, k)
 
 
-def _probe(indexed: DataFrame, asked: dict, flips: dict[int, int], k: int, bits: int) -> DataFrame:
-    """Search of the buckets within each query's number of flipped bits; stored once."""
+def _probe(
+    indexed: DataFrame, asked: dict, wanted: dict[int, set[int]], k: int, bits: int
+) -> DataFrame:
+    """Search of every query's wanted buckets; stored once."""
     ids = np.array(list(asked), dtype=np.int64)
-    rows = np.array([row for row, _ in asked.values()])
+    rows = np.array([row for row, *_ in asked.values()])
+    documents = np.array([document for *_, document in asked.values()], dtype=object)
     probes = np.zeros((len(ids), 1 << bits), dtype=bool)
-    for i, (query, (_, signature)) in enumerate(asked.items()):
-        probes[i, probed_buckets(signature, bits, flips[query])] = True
-    sent = indexed.sparkSession.sparkContext.broadcast((ids, rows, probes))
+    for i, query in enumerate(asked):
+        probes[i, list(wanted[query])] = True
+    sent = indexed.sparkSession.sparkContext.broadcast((ids, rows, probes, documents))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, query_rows, query_probes = sent.value
+        query_ids, query_rows, query_probes, query_documents = sent.value
         best = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             points = vx.unit_rows(vx.matrix(batch.column("embedding"), query_rows.shape[1]))
+            payload = _payload(batch)
             allowed = query_probes[:, batch.column("bucket").to_numpy()]
-            found = vx.nearest_in(query_ids, query_rows, points, _payload(batch), k, allowed)
+            only = _allowed(query_documents, payload["document_id"].to_numpy(dtype=object))
+            if only is not None:
+                allowed = allowed & only
+            found = vx.nearest_in(query_ids, query_rows, points, payload, k, allowed)
             best = found if best is None else vx.best_of(pd.concat([best, found]), k)
         if best is not None:
             yield _hits(best)
@@ -309,6 +323,4 @@ def _probe(indexed: DataFrame, asked: dict, flips: dict[int, int], k: int, bits:
     )
     order = [F.col("distance").asc_nulls_last(), F.col("chunk_id")]
     ranked = top_per_group(slim.mapInArrow(search, _HIT), ["query_id"], order, k)
-    return materialise(
-        ranked.withColumn("relevance", vx.relevance(F.col("distance"))), "probed-hits"
-    )
+    return materialise(ranked, "probed-hits")

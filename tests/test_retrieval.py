@@ -38,7 +38,7 @@ def found(hits):
     return {(r.query_id, r.chunk_id, r.distance) for r in hits.collect()}
 
 
-@pytest.mark.parametrize("shipped", [100, 0])
+@pytest.mark.parametrize("shipped", [100, 3])
 def test_knn_is_exact_with_many_copies_and_filters(spark, shipped):
     rng = np.random.default_rng(1)
     points = rng.standard_normal((300, 8)).astype(np.float32).astype(float)
@@ -78,6 +78,28 @@ def test_approximate_search_has_full_k_and_recall(spark):
     assert len(near & exact) / len(exact) >= 0.9
 
 
+def test_approximate_search_keeps_filters_in_batches(spark):
+    rng = np.random.default_rng(5)
+    points, asked = rng.standard_normal((200, 8)), rng.standard_normal((9, 8))
+    table = vectors_of(spark, points)
+    documents = [f"d{i % 3}" if i % 2 else None for i in range(9)]
+    wanted = queries_of(spark, asked, documents)
+    exact = found(vector_search.knn(table, wanted, 4))
+    for bits in (1, 4):
+        indexed = index.with_buckets(table, bits)
+        for shipped in (4, 4096):
+            near = vector_search.approximate_knn(indexed, wanted, 4, bits=bits, recall=1.0, max_shipped=shipped)
+            assert found(near) == exact
+    with_models = index.with_buckets(table, 2).withColumn("model_name", F.lit("a"))
+    mixed = with_models.unionByName(with_models.withColumn("model_name", F.lit("b")))
+    with pytest.raises(ValueError):
+        vector_search.approximate_knn(mixed, wanted, 4, bits=2)
+
+
+def test_buckets_grow_with_the_corpus():
+    assert [index.bits_for(n) for n in (0, 1000, 2000, 4001, 10**6, 10**12)] == [1, 1, 1, 3, 10, 16]
+
+
 def test_clustered_vectors_need_few_buckets_and_short_queries_many(spark):
     rng = np.random.default_rng(2)
     centres = rng.standard_normal((4, 8))
