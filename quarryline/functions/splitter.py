@@ -17,8 +17,6 @@ _PIECE = pa.list_(pa.struct([("content", pa.string()), ("start_index", pa.int32(
 
 def _cut_points(text: str, begin: int, end: int, separator: str) -> list[int]:
     """Where the parts of text[begin:end] start when each keeps its leading separator."""
-    if not separator:
-        return list(range(begin, end))
     points = [begin]
     at = text.find(separator, begin, end)
     while at >= 0:
@@ -41,10 +39,22 @@ def _windows(points: list[int], end: int, size: int, overlap: int):
         yield points[left], end
 
 
+def _character_windows(begin: int, end: int, size: int, overlap: int):
+    """The spans that `_windows` finds over single characters, without a list of them."""
+    step = size - min(overlap, size - 1)
+    while begin + size < end:
+        yield begin, begin + size
+        begin += step
+    yield begin, end
+
+
 def _spans(text: str, begin: int, end: int, level: int, size: int, overlap: int):
     """Spans of text[begin:end] in order, before stripping."""
     while SEPARATORS[level] and text.find(SEPARATORS[level], begin, end) < 0:
         level += 1
+    if not SEPARATORS[level]:
+        yield from _character_windows(begin, end, size, overlap)
+        return
     points = _cut_points(text, begin, end, SEPARATORS[level])
     run: list[int] = []
     for start, stop in zip(points, [*points[1:], end]):
@@ -54,10 +64,7 @@ def _spans(text: str, begin: int, end: int, level: int, size: int, overlap: int)
         if run:
             yield from _windows(run, start, size, overlap)
             run = []
-        if SEPARATORS[level]:
-            yield from _spans(text, start, stop, level + 1, size, overlap)
-        else:
-            yield start, stop
+        yield from _spans(text, start, stop, level + 1, size, overlap)
     if run:
         yield from _windows(run, end, size, overlap)
 

@@ -60,10 +60,17 @@ def fill(template: str, **fields: Column) -> Column:
     return F.concat(*parts)
 
 
-def prompt(kind: str, template: str | None = None, **fields: Column) -> Column:
-    """Prompt of a kind, long inputs cut as the kind asks."""
-    limits = {"grade": ("chunk", GRADE_CHARS), "revision": ("report", REPORT_CHARS)}
-    if kind in limits:
+PROMPT_LIMITS = {"grade": ("chunk", GRADE_CHARS), "revision": ("report", REPORT_CHARS)}
+
+
+def prompt(
+    kind: str,
+    template: str | None = None,
+    limits: dict[str, tuple[str, int]] | None = PROMPT_LIMITS,
+    **fields: Column,
+) -> Column:
+    """Prompt of a kind; `limits` cut one input of a kind to a model's room (None: all whole)."""
+    if limits and kind in limits:
         field, limit = limits[kind]
         fields[field] = F.substring(fields[field], 1, limit)
     return fill(template or TEMPLATES[kind], **fields)
@@ -158,8 +165,10 @@ def confidence(answer: Column, sources: Column) -> Column:
     return F.round(F.greatest(F.lit(0.1), F.least(F.lit(1.0), total)), 6)
 
 
-def citations(evidence: DataFrame) -> DataFrame:
-    """Citation rows of the evidence used."""
+def citations(evidence: DataFrame, excerpt_chars: int | None = EXCERPT_CHARS) -> DataFrame:
+    """Citation rows of the evidence used, with an excerpt of its text (None: all of it)."""
+    content = F.coalesce("content", F.lit(""))
+    excerpt = content if excerpt_chars is None else F.substring(content, 1, excerpt_chars)
     page = F.col("page_number") if "page_number" in evidence.columns else F.lit(None)
     return evidence.select(
         "query_id",
@@ -167,7 +176,7 @@ def citations(evidence: DataFrame) -> DataFrame:
         "chunk_id",
         "document_id",
         F.coalesce(F.col("document_name"), F.lit("")).alias("document_filename"),
-        F.substring(F.coalesce("content", F.lit("")), 1, EXCERPT_CHARS).alias("content_excerpt"),
+        excerpt.alias("content_excerpt"),
         F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("relevance_score"),
         page.cast("int").alias("page_number"),
     )

@@ -145,6 +145,18 @@ def delete_cascade(
     return tables
 
 
+def delete_conversations(
+    doomed: DataFrame, conversations: DataFrame, messages: DataFrame
+) -> dict[str, DataFrame]:
+    """Both tables without the conversations in `doomed` (column id) and their messages."""
+    ids = doomed.select("id").distinct()
+    of_conversation = ids.withColumnRenamed("id", "conversation_id")
+    return {
+        "conversations": conversations.join(ids, "id", "left_anti"),
+        "messages": messages.join(of_conversation, "conversation_id", "left_anti"),
+    }
+
+
 def insert(rows: DataFrame, new: DataFrame) -> DataFrame:
     return rows.unionByName(new, allowMissingColumns=True)
 

@@ -189,29 +189,32 @@ def bm25(pool: DataFrame, chunks: DataFrame, queries: DataFrame, k: int) -> Data
     sizes = members.groupBy("query_id").agg(
         F.count("*").alias("n"), F.avg("length").alias("mean_length")
     )
-    frequency = (
-        pooled.select("query_id", "chunk_id")
-        .join(counts, "chunk_id")
-        .groupBy("query_id", "word")
-        .agg(F.count("*").alias("df"))
-    )
-    raw = frequency.join(sizes.select("query_id", "n"), "query_id").select(
-        "query_id",
-        "word",
-        (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("idf"),
-    )
     asked = queries.select(
         "query_id", F.inline(fx.word_counts(fx.words(F.col("text"))))
     ).withColumnRenamed("tf", "times")
-    valued = raw.join(asked, ["query_id", "word"], "left").groupBy("query_id").agg(
-        F.avg("idf").alias("mean_idf"),
-        F.collect_list(
-            F.when(F.col("times").isNotNull(), F.struct("word", "times", "idf"))
-        ).alias("asked"),
+
+    def idfs(pairs: DataFrame) -> DataFrame:
+        """idf of (query, chunk, word) rows' words within the query's pool."""
+        frequency = pairs.groupBy("query_id", "word").agg(F.count("*").alias("df"))
+        return frequency.join(sizes.select("query_id", "n"), "query_id").select(
+            "query_id",
+            "word",
+            (F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)).alias("idf"),
+        )
+
+    places = pooled.select("query_id", "chunk_id")
+    known = idfs(
+        places.join(asked.select("query_id", "word"), "query_id").join(counts, ["chunk_id", "word"])
     )
+    # Only a query with a word in over half its pool needs the mean over all the pool's words.
+    common = known.filter(F.col("idf") < 0).select("query_id").distinct()
+    everything = places.join(common, "query_id", "left_semi").join(counts, "chunk_id")
+    means = idfs(everything).groupBy("query_id").agg(F.avg("idf").alias("mean_idf"))
     chosen = F.when(F.col("idf") < 0, F.lit(BM25_EPSILON) * F.col("mean_idf")).otherwise(F.col("idf"))
-    weights = valued.select("query_id", "mean_idf", F.inline("asked")).select(
-        "query_id", "word", (F.col("times") * chosen).alias("weight")
+    weights = (
+        known.join(asked, ["query_id", "word"])
+        .join(means, "query_id", "left")
+        .select("query_id", "word", (F.col("times") * chosen).alias("weight"))
     )
     norm = F.lit(1 - BM25_B) + F.lit(BM25_B) * F.col("length") / F.col("mean_length")
     totals = (
@@ -349,6 +352,8 @@ def result_rows(hits: DataFrame) -> DataFrame:
         field("document_id").alias("document_id"),
         F.coalesce(field("document_name"), F.lit("")).alias("document_filename"),
         F.coalesce(*position, F.lit(0)).alias("position"),
+        F.coalesce(field("content"), F.lit("")).alias("content"),
+        (F.col("metadata") if "metadata" in hits.columns else F.lit(None).cast("map<string,string>")).alias("metadata"),
         F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"),
         F.count("*").over(Window.partitionBy("query_id")).alias("total_results"),
     )

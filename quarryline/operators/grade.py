@@ -134,28 +134,33 @@ def select_evidence(ordered: DataFrame, top_m: int = TOP_M) -> DataFrame:
     )
 
 
-def hyde_keywords(question: Column, raw: Column) -> Column:
-    """First twelve keywords of the model's JSON joined by commas, else the question."""
+def hyde_keywords(question: Column, raw: Column, keep: int | None = MAX_KEYWORDS) -> Column:
+    """First keywords of the model's JSON joined by commas (None: all), else the question."""
     keywords = F.from_json(
         F.get_json_object(jx.lenient_json(raw), "$.keywords"), "array<string>"
     )
     return bind(
         keywords,
         lambda found: F.when(
-            F.size(found) > 0, F.array_join(F.slice(found, 1, MAX_KEYWORDS), ", ", "None")
+            F.size(found) > 0,
+            F.array_join(found if keep is None else F.slice(found, 1, keep), ", ", "None"),
         ).otherwise(question),
     )
 
 
-def variant_list(question: Column, raw: Column, n: int = FUSION_QUERIES) -> Column:
-    """Up to n alternative queries of a JSON list, each cut to 200 characters."""
+def variant_list(
+    question: Column, raw: Column, n: int = FUSION_QUERIES, chars: int | None = MAX_VARIANT_CHARS
+) -> Column:
+    """Up to n alternative queries of a JSON list, each cut to `chars` characters (None: whole)."""
     listed = bind(
         jx.lenient_json(raw),
         lambda text: F.when(jx.json_kind(text) == "ARRAY", F.from_json(text, "array<string>")),
     )
 
     def chosen(found: Column) -> Column:
-        cut = F.transform(F.slice(found, 1, n), lambda q: F.substring(q, 1, MAX_VARIANT_CHARS))
+        cut = F.slice(found, 1, n)
+        if chars is not None:
+            cut = F.transform(cut, lambda q: F.substring(q, 1, chars))
         return F.when(F.size(found) > 0, cut).otherwise(F.array(question))
 
     return bind(listed, chosen)

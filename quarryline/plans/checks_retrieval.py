@@ -446,12 +446,13 @@ def rt16(t):
     "rt17_search_results",
     f"""WITH {HYBRID_SQL}
     SELECT t.query_id, t.chunk_id, coalesce(c.filename, t.chunk_id) AS document_filename, cast(coalesce(t.sequence, 0) as bigint) AS position,
-      t.score, t.rank, count(*) OVER (PARTITION BY t.query_id) AS total_results
-    FROM top t LEFT JOIN catalog c ON c.id = t.chunk_id WHERE t.rank <= 8""",
+      coalesce(d.content, '') AS content, t.score, t.rank, count(*) OVER (PARTITION BY t.query_id) AS total_results
+    FROM top t LEFT JOIN catalog c ON c.id = t.chunk_id LEFT JOIN doc_chunks d ON d.chunk_id = t.chunk_id WHERE t.rank <= 8""",
 )
 def rt17(t):
-    return fusion.result_rows(fusion.attach_names(_hybrid(t), t.catalog)).select(
-        "query_id", "chunk_id", "document_filename", F.col("position").cast("long").alias("position"), "score",
+    hits = _hybrid(t).join(t.doc_chunks.select("chunk_id", "content"), "chunk_id", "left")
+    return fusion.result_rows(fusion.attach_names(hits, t.catalog)).select(
+        "query_id", "chunk_id", "document_filename", F.col("position").cast("long").alias("position"), "content", "score",
         F.col("rank").cast("long").alias("rank"), "total_results",
     )
 

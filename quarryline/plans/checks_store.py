@@ -213,6 +213,20 @@ def ct7(t):
     return out
 
 
+@check(
+    "ct7_conversation_cascade",
+    """WITH gone AS (SELECT DISTINCT conversation_id AS id FROM messages WHERE role = 'assistant' AND length(content) > 200)
+    SELECT 'conversations' AS name, count(DISTINCT conversation_id) AS n FROM messages WHERE conversation_id NOT IN (SELECT id FROM gone)
+    UNION ALL SELECT 'messages', count(*) FROM messages WHERE conversation_id NOT IN (SELECT id FROM gone)""",
+)
+def ct7_conversations(t):
+    talks = t.messages.select(F.col("conversation_id").alias("id")).distinct()
+    doomed = t.messages.filter("role = 'assistant' AND length(content) > 200").select(F.col("conversation_id").alias("id"))
+    left = catalog.delete_conversations(doomed, talks, t.messages)
+    parts = [left[n].agg(F.count("*").alias("n")).select(F.lit(n).alias("name"), "n") for n in ("conversations", "messages")]
+    return parts[0].unionByName(parts[1])
+
+
 @check("ct8_inserts", "SELECT id, doc_type FROM catalog")
 def ct8(t):
     rows = _catalog(t)

@@ -27,7 +27,11 @@ def search(
     *,
     collection: str = DEFAULT_COLLECTION,
 ) -> DataFrame:
-    """Hybrid search results of every query, with document names."""
+    """Hybrid search results of every query, with document names, texts and metadata.
+
+    Hits are at most k per query; their texts are matched on the unique chunk id.
+    """
     hits = fusion.hybrid_search(vectors, postings, queries, k, collection=collection)
-    return fusion.result_rows(fusion.attach_names(hits, catalog))
+    shown = vectors.select("chunk_id", "content", "metadata")
+    return fusion.result_rows(fusion.attach_names(hits.join(shown, "chunk_id", "left"), catalog))
 

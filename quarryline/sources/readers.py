@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarryline import schemas
 from quarryline.functions import text as fx
+from quarryline.functions.binding import bind
 
 
 def raw_objects(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
@@ -66,12 +67,15 @@ def pages_with_fallback(primary: DataFrame, secondary: DataFrame) -> DataFrame:
 
 def lines_as_pages(documents: DataFrame, lines_per_page: int = 5) -> DataFrame:
     """Long text cut into pages of a fixed number of lines, inside the row."""
-    lines = F.split("text", "\n")
-    count = F.ceil(F.size(lines) / lines_per_page).cast("int")
-    pages = F.transform(
-        F.sequence(F.lit(1), count),
-        lambda p: F.array_join(F.slice(lines, (p - 1) * lines_per_page + 1, lines_per_page), "\n"),
-    )
+
+    def paged(lines: Column) -> Column:
+        count = F.ceil(F.size(lines) / lines_per_page).cast("int")
+        return F.transform(
+            F.sequence(F.lit(1), count),
+            lambda p: F.array_join(F.slice(lines, (p - 1) * lines_per_page + 1, lines_per_page), "\n"),
+        )
+
+    pages = bind(F.split("text", "\n"), paged)
     return documents.select(
         "document_id", "document_type", F.posexplode(pages).alias("position", "text")
     ).select("document_id", "document_type", (F.col("position") + 1).alias("page_no"), "text")
