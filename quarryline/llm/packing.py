@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,9 +17,10 @@ GROUP_CHARS = 32 << 20
 # Free room up to this many tokens is left as padding; larger gaps are filled by cutting.
 TOLERATED = 8
 # Words whose ids a task remembers, and words encoded in one go.
-REMEMBERED = 1_000_000
+REMEMBERED = 700_000
 ENCODED_AT_ONCE = 1000
 MARKS = tuple(".,;:!?")
+WORD_END = "</w>"
 
 
 class WordIds:
@@ -33,6 +35,9 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        for token, number in self.tokenizer.get_vocab().items():
+            self.ends[number] = token.endswith(WORD_END)
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
@@ -65,16 +70,40 @@ class WordIds:
             known[word] = known[form] + known[tail]
 
     def _encode(self, words: list[str]) -> None:
-        for at in range(0, len(words), ENCODED_AT_ONCE):
-            part = words[at : at + ENCODED_AT_ONCE]
+        """Ids of new words, a thousand words in one text.
+
+        A word of letters is one unit of the vocabulary, whose last token is marked as an end;
+        anything else is cut by the place of each token in the text.
+        """
+        letters = [w for w in words if w.isalpha()]
+        others = [w for w in words if not w.isalpha()]
+        for at in range(0, len(letters), ENCODED_AT_ONCE):
+            part = letters[at : at + ENCODED_AT_ONCE]
+            found = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0]
+            ids = np.array(found.ids, "<u4")
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(part):
+                self._keep(part, ids, np.append(0, cuts))
+            else:
+                others += part
+        for at in range(0, len(others), ENCODED_AT_ONCE):
+            part = others[at : at + ENCODED_AT_ONCE]
             found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
-            data = np.array(found.ids, "<u4").tobytes()
             begins = np.fromiter((o[0] for o in found.offsets), np.int64, len(found.offsets))
             sizes = np.fromiter(map(len, part), np.int64, len(part)) + 1
-            cuts = 4 * np.searchsorted(begins, np.append(0, np.cumsum(sizes)))
-            cuts[-1] = len(data)
-            for word, a, b in zip(part, cuts.tolist(), cuts[1:].tolist()):
-                self.known[word] = data[a:b]
+            cuts = np.searchsorted(begins, np.append(0, np.cumsum(sizes)))
+            cuts[-1] = len(begins)
+            self._keep(part, np.array(found.ids, "<u4"), cuts)
+
+    def _keep(self, words: list[str], ids: np.ndarray, cuts: np.ndarray) -> None:
+        data, bounds = ids.tobytes(), (4 * cuts).tolist()
+        self.known.update(zip(words, [data[a:b] for a, b in zip(bounds, bounds[1:])]))
+
+
+@cache
+def word_ids(path: str) -> WordIds:
+    """One table of words per worker process, whichever tasks it runs."""
+    return WordIds(path)
 
 
 class RoomTree:
@@ -202,7 +231,7 @@ def pieces(
     """(id, start, doc_tokens, ids): every document's tokens, overlong ones cut into full windows."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        encode = WordIds(tokenizer)
+        encode = word_ids(tokenizer)
         last = np.array([end], "<u4").tobytes()
         for batch in batches:
             out = []
