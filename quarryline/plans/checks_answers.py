@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from quarryline.functions import jsontext as jx
 from quarryline.functions import text as fx
-from quarryline.operators import answer, grade
+from quarryline.operators import answer, grade, index
+from quarryline.plans import self_rag
+from quarryline.plans.checks_retrieval import hybrid_sql
 from quarryline.plans.registry import check
+from quarryline.session import materialise
 
 WORD = f"[^{fx.BLANK_CLASS}]+"
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
@@ -160,6 +163,56 @@ def gr9(t):
     )
 
 
+# Grades follow from a chunk's number; every question has three wordings with vectors of their own.
+def _sorted_sql(hits: str) -> str:
+    return f"""SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rank) AS grade_rank FROM (
+      SELECT *, round((c % 10)::double / 10 + (c * 7 % 10)::double / 10 + 0.25, 6) AS score,
+        CASE WHEN c % 10 >= 6 AND c * 7 % 10 >= 5 THEN 1 ELSE 0 END AS p
+      FROM (SELECT *, cast(chunk_id as bigint) AS c FROM {hits} WHERE rank <= 8) h) g"""
+
+
+def _evidence_sql(sorted_hits: str) -> str:
+    return f"""SELECT query_id, chunk_id, grade_rank, score FROM (
+      SELECT *, sum(p) OVER (PARTITION BY query_id ORDER BY grade_rank) AS seen,
+        least(sum(p) OVER (PARTITION BY query_id), 5) AS chosen, least(count(*) OVER (PARTITION BY query_id), 2) AS needed
+      FROM ({_sorted_sql(sorted_hits)}) s) x
+      WHERE CASE WHEN chosen < needed THEN grade_rank <= 5 ELSE p = 1 AND seen <= 5 END"""
+
+
+SELF_RAG_SQL = f"""WITH asked AS (SELECT query_id, text, embedding FROM queries WHERE query_id % 7 <> 0),
+    hits1 AS (WITH {hybrid_sql('asked')} SELECT query_id, chunk_id, rank FROM top),
+    round1 AS ({_evidence_sql('hits1')}),
+    decided AS (SELECT a.query_id, count(e.chunk_id) AS n FROM asked a LEFT JOIN round1 e USING (query_id) GROUP BY a.query_id),
+    wordings AS (SELECT query_id * 64 + variant AS query_id, text, embedding FROM variants JOIN decided USING (query_id) WHERE n < 2),
+    hits AS (WITH {hybrid_sql('wordings')} SELECT * FROM top WHERE rank <= 8),
+    merged AS (SELECT cast(floor(query_id / 64) as bigint) AS query_id, chunk_id, round(sum(1 / (60.0::double + rank - 1)), 6) AS total,
+      min((query_id % 64) * 1000 + rank) AS first FROM hits GROUP BY ALL),
+    hits2 AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY total DESC, first, chunk_id) AS rank FROM merged),
+    round2 AS ({_evidence_sql('hits2')})
+    SELECT r.query_id, chunk_id, grade_rank, score, 1 AS round FROM round1 r JOIN decided USING (query_id) WHERE n >= 2
+    UNION ALL SELECT query_id, chunk_id, grade_rank, score, 2 FROM round2"""
+
+
+@check("gr9_self_rag", SELF_RAG_SQL, longs="round")
+def gr9_self_rag(t):
+    chunk_no = F.col("chunk_id").cast("long")
+    numbers = t.doc_chunks.select("chunk_id").union(t.vectors.select("chunk_id")).distinct()
+    grades = numbers.select(
+        "chunk_id",
+        F.format_string(
+            '{"relevance": 0.%d, "supportiveness": 0.%d, "usefulness": 0.5}', chunk_no % 10, chunk_no * 7 % 10
+        ).alias("raw"),
+    )
+    no = F.when(F.col("query_id") % 7 == 0, '{"retrieval_needed": false}')
+    questions = t.queries.select("query_id", "text", "embedding", no.alias("needed_raw"))
+    postings = materialise(index.postings(t.doc_chunks), "postings")
+    found = self_rag.self_rag(t.vectors, postings, questions, t.variants, grades)
+    return found.select(
+        "query_id", "chunk_id", F.col("grade_rank").cast("long").alias("grade_rank"), "score",
+        F.col("round").cast("long").alias("round"),
+    )
+
+
 CITED_SQL = "(SELECT r.*, d.text AS content FROM ranked r JOIN documents d ON d.doc_id = cast(r.document_id as bigint))"
 
 

@@ -233,9 +233,11 @@ def rt7(t):
     return named.select("query_id", "chunk_id", "document_name")
 
 
-HYBRID_SQL = f"""
-  {fts_sql('doc_chunks', 'queries')},
-  vec AS (SELECT query_id, chunk_id, document_id, sequence, 1 / (1 + distance) AS score, rank FROM ({knn_sql()}) x WHERE rank <= 30),
+def hybrid_sql(queries: str) -> str:
+    """Common tables up to `top`, the fused and ranked hits of a query table."""
+    return f"""
+  {fts_sql('doc_chunks', queries)},
+  vec AS (SELECT query_id, chunk_id, document_id, sequence, 1 / (1 + distance) AS score, rank FROM ({knn_sql(queries=queries)}) x WHERE rank <= 30),
   legs AS (SELECT 0 AS leg, query_id, chunk_id, document_id, sequence, score, rank FROM vec
     UNION ALL SELECT 1, query_id, chunk_id, document_id, cast(document_id as bigint) % 3, score, rank FROM fts_ranked WHERE rank <= 30),
   fused AS (SELECT query_id, chunk_id, round(sum(score + 1 / (60.0::double + rank)), 6) AS score, min(leg * 1000 + rank) AS first,
@@ -243,6 +245,9 @@ HYBRID_SQL = f"""
   top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, chunk_id) AS rank FROM fused)"""
 
 
+HYBRID_SQL = hybrid_sql("queries")
+
+
 @check("rt8_hybrid_fusion", f"WITH {HYBRID_SQL} SELECT query_id, chunk_id, score, rank FROM top WHERE rank <= 8")
 def rt8(t):
     return _hybrid(t).select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))

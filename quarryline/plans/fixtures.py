@@ -133,6 +133,13 @@ DERIVED: dict[str, str] = {
     "queries": """
         SELECT b.item_id AS query_id, b.text, e.embedding
         FROM benchmark b JOIN embeddings e ON b.item_id = e.vec_id""",
+    # Three wordings of every question, each with a vector of its own.
+    "variants": """
+        SELECT b.item_id AS query_id, b.variant,
+          CASE WHEN b.variant = 0 THEN b.text WHEN b.variant = 1 THEN split_part(b.text, ' ', 2)
+               ELSE split_part(b.text, ' ', 3) || ' ' || split_part(b.text, ' ', 4) END AS text, e.embedding
+        FROM (SELECT item_id, text, cast(place % 3 as bigint) AS variant FROM benchmark @PLACES(3)) b
+        JOIN embeddings e ON e.vec_id = b.item_id + 11 * (b.variant + 1)""",
     # One query per distinct long word of every item; some restricted to one document.
     "word_queries": """
         SELECT item_id * 1000 + row_number() OVER (PARTITION BY item_id ORDER BY word) AS query_id,
