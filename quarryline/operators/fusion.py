@@ -9,6 +9,7 @@ from quarryline.functions import text as fx
 from quarryline.functions import vectors as vx
 from quarryline.functions.ranking import broadcast_if_small, top_per_group
 from quarryline.operators import fulltext, vector_search
+from quarryline.operators.index import TERM_BUCKETS
 from quarryline.schemas import DEFAULT_COLLECTION
 from quarryline.session import materialise
 
@@ -127,15 +128,17 @@ def hybrid_search(
     mode: str = "score_plus_rrf",
     vector_depth: int = LEG_DEPTH,
     fulltext_depth: int = LEG_DEPTH,
+    buckets: int = TERM_BUCKETS,
 ) -> DataFrame:
     """Vector and full-text legs over one collection, fused.
 
-    A query's `document_id` filters both legs before they rank.
+    A query's `document_id` filters both legs before they rank. `buckets` is the number of
+    term buckets that stored postings were written with.
     """
     return fuse(
         [
             vector_leg(vectors, queries, vector_depth, collection=collection),
-            fulltext_leg(postings, queries, fulltext_depth, collection=collection),
+            fulltext_leg(postings, queries, fulltext_depth, collection=collection, buckets=buckets),
         ],
         k,
         mode=mode,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarryline.functions import text as fx
-from quarryline.operators import fulltext, fusion, index, vector_search
+from quarryline.operators import embed, fulltext, fusion, index, vector_search
 from quarryline.plans import corpus
 from quarryline.plans import search as searching
 from quarryline.plans.registry import check
@@ -233,13 +233,18 @@ def rt7(t):
     return named.select("query_id", "chunk_id", "document_name")
 
 
-def hybrid_sql(queries: str) -> str:
-    """Common tables up to `top`, the fused and ranked hits of a query table."""
+def hybrid_sql(
+    queries: str, source: str = "doc_chunks", near: str | None = None, sequence: str = "cast(document_id as bigint) % 3"
+) -> str:
+    """Common tables up to `top`, the fused and ranked hits of a query table.
+
+    `near` ranks chunks by distance, `sequence` is that of a full-text hit.
+    """
     return f"""
-  {fts_sql('doc_chunks', queries)},
-  vec AS (SELECT query_id, chunk_id, document_id, sequence, 1 / (1 + distance) AS score, rank FROM ({knn_sql(queries=queries)}) x WHERE rank <= 30),
+  {fts_sql(source, queries)},
+  vec AS (SELECT query_id, chunk_id, document_id, sequence, 1 / (1 + distance) AS score, rank FROM ({near or knn_sql(queries=queries)}) x WHERE rank <= 30),
   legs AS (SELECT 0 AS leg, query_id, chunk_id, document_id, sequence, score, rank FROM vec
-    UNION ALL SELECT 1, query_id, chunk_id, document_id, cast(document_id as bigint) % 3, score, rank FROM fts_ranked WHERE rank <= 30),
+    UNION ALL SELECT 1, query_id, chunk_id, document_id, {sequence}, score, rank FROM fts_ranked WHERE rank <= 30),
   fused AS (SELECT query_id, chunk_id, round(sum(score + 1 / (60.0::double + rank)), 6) AS score, min(leg * 1000 + rank) AS first,
       arg_min(sequence, leg * 1000 + rank) AS sequence FROM legs GROUP BY query_id, chunk_id),
   top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first, chunk_id) AS rank FROM fused)"""
@@ -505,3 +510,41 @@ def hybrid_search_results(t):
     vectors = materialise(corpus.ingest(pages), "vectors")
     questions = searching.embed_queries(t.benchmark.select(F.col("item_id").alias("query_id"), "text"))
     return searching.search(vectors, _postings(vectors), questions, t.catalog)
+
+
+# From text lines to results in SQL: token slots as in `em1_hash_vectors`, sparse dot products.
+def _slots_sql(key: str, text: str, source: str) -> str:
+    return f"""SELECT {key}, slot, v, sqrt(sum(v * v) OVER (PARTITION BY {key})) AS norm FROM (
+      SELECT {key}, cast('0x' || substr(md5(w), 1, 8) as bigint) % 64 AS slot,
+        sum(CASE WHEN substr(md5(w), 9, 1) < '8' THEN 1 ELSE -1 END) AS v
+      FROM (SELECT {key}, unnest(@WORDS({text})) AS w FROM {source}) a GROUP BY ALL) b"""
+
+
+LINE_SEARCH_SQL = f"""WITH asked AS (SELECT item_id AS query_id, text FROM benchmark),
+    lines AS (SELECT * FROM line_chunks WHERE collection = 'rag_chunks_v1'),
+    line_slots AS ({_slots_sql('chunk_id', 'content', 'lines')}),
+    asked_slots AS ({_slots_sql('query_id', 'text', 'asked')}),
+    dots AS (SELECT a.query_id, l.chunk_id, sum(a.v * l.v) / (min(a.norm) * min(l.norm)) AS dot
+      FROM asked_slots a JOIN line_slots l USING (slot) GROUP BY a.query_id, l.chunk_id),
+    {hybrid_sql('asked', 'line_chunks', near="""SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM (
+        SELECT a.query_id, l.chunk_id, l.document_id, l.sequence, round(1 - coalesce(d.dot, 0), 6) AS distance
+        FROM asked a CROSS JOIN (SELECT * FROM lines WHERE chunk_id IN (SELECT chunk_id FROM line_slots WHERE norm > 0)) l
+        LEFT JOIN dots d ON d.query_id = a.query_id AND d.chunk_id = l.chunk_id) n""", sequence="cast(split_part(chunk_id, ':', 2) as bigint)")}
+    SELECT t.query_id, t.chunk_id, coalesce(nullif(c.filename, ''), l.document_id) AS document_filename, cast(l.sequence as bigint) AS position,
+      l.content, t.score, t.rank, count(*) OVER (PARTITION BY t.query_id) AS total_results
+    FROM top t JOIN line_chunks l ON l.chunk_id = t.chunk_id LEFT JOIN catalog c ON c.id = l.document_id WHERE t.rank <= 8"""
+
+
+@check("rt16_line_search", LINE_SEARCH_SQL)
+def line_search(t):
+    """Text lines to vectors and postings, all benchmark texts as questions, results with texts."""
+    chunks = t.line_chunks.withColumn("metadata", F.lit(None).cast("map<string,string>"))
+    vectors = materialise(embed.embed_chunks(chunks), "vectors")
+    path = fresh_path(t.spark, "postings")
+    index.write_postings(index.postings(vectors), path, buckets=8, files_per_bucket=1)
+    questions = searching.embed_queries(t.benchmark.select(F.col("item_id").alias("query_id"), "text"))
+    found = searching.search(vectors, index.read_postings(t.spark, path), questions, t.catalog, buckets=8)
+    return found.select(
+        "query_id", "chunk_id", "document_filename", F.col("position").cast("long").alias("position"), "content", "score",
+        F.col("rank").cast("long").alias("rank"), "total_results",
+    )

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.operators import embed, fusion
+from quarryline.operators.index import TERM_BUCKETS
 from quarryline.schemas import DEFAULT_COLLECTION
 
 
@@ -26,12 +27,13 @@ def search(
     k: int = fusion.FUSED_K,
     *,
     collection: str = DEFAULT_COLLECTION,
+    buckets: int = TERM_BUCKETS,
 ) -> DataFrame:
     """Hybrid search results of every query, with document names, texts and metadata.
 
     Hits are at most k per query; their texts are matched on the unique chunk id.
     """
-    hits = fusion.hybrid_search(vectors, postings, queries, k, collection=collection)
+    hits = fusion.hybrid_search(vectors, postings, queries, k, collection=collection, buckets=buckets)
     shown = vectors.select("chunk_id", "content", "metadata")
     return fusion.result_rows(fusion.attach_names(hits.join(shown, "chunk_id", "left"), catalog))
 

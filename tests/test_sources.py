@@ -71,3 +71,20 @@ def test_stored_postings_search_like_fresh_ones(spark):
 def test_empty_upserts_rewrite_nothing(spark):
     table, stored = stored_vectors(spark)
     assert writers.rewrite_vectors(stored, table.limit(0), fresh_path(spark, "none")) is stored
+
+
+def test_search_reads_only_the_partitions_of_its_terms(spark, capfd):
+    from quarryline.operators import fulltext
+
+    chunks = spark.createDataFrame(
+        [(str(i), "d", i, "c", f"word{i} common") for i in range(200)],
+        "chunk_id string, document_id string, sequence int, collection string, content string",
+    )
+    path = fresh_path(spark, "postings")
+    index.write_postings(index.postings(chunks), path, buckets=32, files_per_bucket=1)
+    asked = spark.createDataFrame([(1, "word7"), (2, "word9")], "query_id long, text string")
+    stored = index.read_postings(spark, path)
+    found = fulltext.search(stored, asked, 5, collection="c", buckets=32)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [term_bucket" in plan.replace("isnotnull(term_bucket#", "term_bucket")
+    assert {(r.query_id, r.chunk_id, r.sequence) for r in found.collect()} == {(1, "7", 7), (2, "9", 9)}
