@@ -132,6 +132,24 @@ def search_tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}\p{M}]+"), lambda w: w != "")
 
 
+def stem(word: Column) -> Column:
+    """A light English stem of a lower-cased word: plurals and -ed, -ing, -e endings go.
+
+    It only has to map the forms of a word to one term, not to a word.
+    """
+    rules = (
+        (r"^(.{2,})ies$", "$1y"),
+        (r"^(.+(?:ss|sh|ch|x|z))es$", "$1"),
+        (r"^(.{2,}[^siu])s$", "$1"),
+        (r"^([^aeiouy]*[aeiouy].*?[^aeiou])(?:ing|ed)$", "$1"),
+        (r"^(.{2,})([bdgmnprt])\2$", "$1$2"),
+        (r"^(.{3,})e$", "$1"),
+    )
+    for pattern, kept in rules:
+        word = F.regexp_replace(word, pattern, kept)
+    return word
+
+
 def run_starts(ordered: Column, key=lambda x: x) -> Column:
     """Indexes at which a sorted array's key changes, the first included."""
     numbers = F.transform(ordered, lambda _, i: i)

@@ -18,10 +18,10 @@ SCORE_DIGITS = 6
 MAX_BROADCAST_TERMS = 500_000
 
 
-def query_terms(queries: DataFrame, text: str = "text") -> DataFrame:
+def query_terms(queries: DataFrame, text: str = "text", stem: bool = False) -> DataFrame:
     """Distinct terms per query, with their number; queries of stop words only vanish."""
     keep = ["query_id"] + (["document_id"] if "document_id" in queries.columns else [])
-    terms = F.array_distinct(F.transform(lexemes(F.col(text)), lambda t: t["term"]))
+    terms = F.array_distinct(F.transform(lexemes(F.col(text), stem), lambda t: t["term"]))
     return queries.select(*keys_as(keep), terms.alias("_terms")).select(
         *keep, F.size("_terms").alias("n_terms"), F.explode("_terms").alias("term")
     )
@@ -174,14 +174,17 @@ def search(
     *,
     collection: str | None = DEFAULT_COLLECTION,
     buckets: int = TERM_BUCKETS,
+    stem: bool = False,
 ) -> DataFrame:
     """Top k chunks per query by cover density, ties by chunk id.
 
+    `stem` is for postings built with it.
+
     A `document_id` column of `queries` restricts a query to one document, before ranking.
     """
     if collection is not None:
         postings = postings.filter(F.col("collection") == collection)
-    scored = match(postings, query_terms(queries), buckets).select(
+    scored = match(postings, query_terms(queries, stem=stem), buckets).select(
         "query_id", "chunk_id", "document_id", "sequence", cover_density(F.col("places")).alias("score")
     )
     return top_per_group(scored, ["query_id"], [F.col("score").desc(), F.col("chunk_id")], k)

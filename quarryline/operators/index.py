@@ -32,15 +32,21 @@ LSH_SEED = 42
 ROWS_PER_BUCKET = 1000
 
 
-def lexemes(text: Column) -> Column:
-    """Terms with their positions (stop words counted, then left out): array of structs."""
+def lexemes(text: Column, stem: bool = False) -> Column:
+    """Terms with their positions (stop words counted, then left out): array of structs.
+
+    With `stem` the forms of an English word are one term.
+    """
     numbered = F.transform(
         fx.search_tokens(text), lambda w, i: F.struct(w.alias("term"), (i + 1).alias("position"))
     )
-    return F.filter(numbered, lambda t: ~t["term"].isin(*STOP_WORDS))
+    kept = F.filter(numbered, lambda t: ~t["term"].isin(*STOP_WORDS))
+    if not stem:
+        return kept
+    return F.transform(kept, lambda t: F.struct(fx.stem(t["term"]).alias("term"), t["position"].alias("position")))
 
 
-def chunk_postings(text: Column) -> Column:
+def chunk_postings(text: Column, stem: bool = False) -> Column:
     """Postings of one text: array of (term, tf, positions).
 
     Lexemes are sorted within the row and cut where the term changes, which is linear
@@ -61,21 +67,21 @@ def chunk_postings(text: Column) -> Column:
         )
 
     return bind(
-        F.array_sort(lexemes(text)),
+        F.array_sort(lexemes(text, stem)),
         lambda ordered: bind(
             fx.run_starts(ordered, lambda t: t["term"]), lambda starts: cut(ordered, starts)
         ),
     )
 
 
-def postings(chunks: DataFrame, text: str = "content") -> DataFrame:
+def postings(chunks: DataFrame, text: str = "content", stem: bool = False) -> DataFrame:
     """Full-text index: one row per (term, chunk) with tf and sorted positions.
 
-    No stemming: terms are lower-cased words. A chunk's postings are built inside its
+    Terms are lower-cased words, with `stem` their stems (searches must then ask alike). A chunk's postings are built inside its
     own row, so building the index shuffles nothing and a frequent term fills no task.
     """
     keys = [c for c in ("chunk_id", "document_id", "sequence", "collection") if c in chunks.columns]
-    return chunks.select(*keys, F.inline(chunk_postings(F.coalesce(F.col(text), F.lit("")))))
+    return chunks.select(*keys, F.inline(chunk_postings(F.coalesce(F.col(text), F.lit("")), stem)))
 
 
 def term_bucket(term: Column, buckets: int = TERM_BUCKETS) -> Column:

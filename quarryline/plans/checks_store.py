@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quarryline.functions import text as fx
 from quarryline.operators import catalog, conversations, costs, requests
+from quarryline.plans import ingest_job
 from quarryline.plans.checks_intake import _manifests
 from quarryline.plans.checks_parse import ALL_CHUNKS_SQL, CHUNK_ID_SQL
 from quarryline.plans.registry import check
@@ -413,11 +414,46 @@ def st1(t):
     pages = t.narratives.select(
         "document_id", "document_type", F.lit(1).alias("page_no"), F.col("full_text").alias("text")
     )
-    return ingest.run_available(t.spark, _stored(t, pages, "pages"), files=8).select(
+    # The second pages arrive in a later batch, which ingests their documents anew.
+    path = _stored(t, pages, "pages", 2)
+    later = pages.filter("cast(document_id as bigint) % 2 = 0").withColumns({"page_no": F.lit(2), "text": F.lit("")})
+    later.coalesce(1).write.mode("append").parquet(path)
+    return ingest.run_available(t.spark, path, files_per_batch=1, files=8, buckets=8).select(
         "chunk_id", "document_id", F.col("sequence").cast("long").alias("sequence"), "content"
     )
 
 
+# Of documents with the same text the first goes on; every eighth is indexed already.
+@check(
+    "sk4_ingest_job",
+    """WITH firsts AS (SELECT text, min(doc_id) AS first FROM documents GROUP BY text)
+    SELECT cast(d.doc_id as string) AS document_id,
+      CASE WHEN d.doc_id % 8 = 0 THEN 'skipped' ELSE 'completed' END AS register_status,
+      CASE WHEN d.doc_id <> f.first THEN 'failed' ELSE 'completed' END AS manifest_status,
+      CASE WHEN d.doc_id % 8 = 0 THEN 'uploaded' WHEN d.doc_id <> f.first THEN 'failed' ELSE 'indexed' END AS status,
+      d.doc_id % 8 <> 0 AND d.doc_id = f.first AS has_chunks
+    FROM documents d JOIN firsts f ON f.text = d.text WHERE trim(d.text) <> ''""",
+)
+def ingest_job_rows(t):
+    documents = t.documents.filter("trim(text) <> ''")
+    number = F.col("doc_id").cast("string")
+    rows = documents.select(
+        number.alias("id"), F.md5("text").alias("checksum"), F.lit("general").alias("doc_type"),
+        F.lit("uploaded").alias("status"), F.lit(None).cast("string").alias("error_message"),
+        F.timestamp_seconds("doc_id").alias("created_at"), F.timestamp_seconds("doc_id").alias("updated_at"),
+    )
+    pages = documents.select(
+        number.alias("document_id"), F.lit("general").alias("document_type"), F.lit(1).alias("page_no"), "text"
+    )
+    known = rows.filter("cast(id as bigint) % 8 = 0").select("id")
+    done = ingest_job.run(rows, pages, known, "run-1", F.timestamp_seconds(F.lit(1_700_000_000)))
+    manifests = done.manifests.select(
+        "document_id", F.col("steps.register").alias("register_status"), F.col("status").alias("manifest_status"),
+        (F.col("chunk_count") > 0).alias("has_chunks"),
+    )
+    return manifests.join(done.catalog.select(F.col("id").alias("document_id"), "status"), "document_id")
+
+
 def _finished(stream, path, checkpoint, mode="append"):
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").start(path)
     query.awaitTermination()
@@ -428,8 +464,17 @@ def _finished(stream, path, checkpoint, mode="append"):
     ACCEPTED_SQL + " SELECT request_id FROM accepted",
 )
 def st2(t):
-    source = _stored(t, _requests(t).select("key", "request_id", "ts"), "requests", 1)
-    rows = t.spark.readStream.schema("key string, request_id long, ts timestamp").parquet(source)
+    asked = _requests(t).select("key", "request_id", "ts")
+    # Three batches, in the order of time.
+    source = fresh_path(t.spark, "requests")
+    ends = asked.select(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [0.33, 0.66]).alias("e")).first().e
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    for low, high in ((None, ends[0]), (ends[0], ends[1]), (ends[1], None)):
+        part = asked if low is None else asked.filter(at > low)
+        part = part if high is None else part.filter(at <= high)
+        part.coalesce(1).write.mode("append").parquet(source)
+    schema = "key string, request_id long, ts timestamp"
+    rows = t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
     target = fresh_path(t.spark, "accepted")
     dedup.accept_first_stream(rows, target, fresh_path(t.spark, "accepted-checkpoint")).awaitTermination()
     return dedup.accepted_rows(t.spark, target).select("request_id")

@@ -12,6 +12,8 @@ from quarryline.plans.corpus import ingest
 from quarryline.schemas import PAGES
 from quarryline.session import fresh_path
 
+PAGE_BUCKETS = 64
+
 
 def page_stream(spark: SparkSession, path: str, files_per_batch: int = 1000) -> DataFrame:
     """Page rows as they arrive in a folder of Parquet files."""
@@ -28,18 +30,39 @@ def ingest_stream(
     checkpoint: str,
     transform: Callable[[DataFrame], DataFrame] = ingest,
     files: int | None = None,
+    buckets: int = PAGE_BUCKETS,
 ) -> StreamingQuery:
     """Parses, chunks, embeds and stores all available pages, then stops.
 
-    A batch is written under its own number with overwrite, so a batch that is run again
-    after a failure replaces itself. All pages of a document arrive in one file. Chunk
-    ids depend on content only; `latest_rows` settles repeats across batches.
+    Pages are kept by bucket of their document. A batch brings back all pages of the documents
+    it touches, whichever batches they came in (of one page number the newest), and ingests
+    those documents anew; only their buckets are read. It writes under its own number with
+    overwrite, so a batch that is run again after a failure replaces itself. `latest_rows`
+    keeps the rows that a document got last.
     """
 
     def store(batch: DataFrame, number: int) -> None:
-        rows = transform(batch)
+        bucket = F.pmod(F.xxhash64("document_id"), F.lit(buckets)).cast("int")
+        placed = batch.withColumn("bucket", bucket)
+        placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/pages/batch={number}")
+        session = batch.sparkSession
+        arrived = _numbered(session, f"{target}/pages").filter(F.col("batch") == number)
+        touched = arrived.select("bucket", "document_id").distinct()
+        # At most `buckets` numbers, which become a partition filter.
+        needed = sorted(r.bucket for r in touched.select("bucket").distinct().collect())
+        stored = _numbered(session, f"{target}/pages").filter(
+            F.col("bucket").isin(needed) & (F.col("batch") <= number)
+        )
+        columns = [c for c in batch.columns if c not in ("document_id", "page_no")]
+        whole = (
+            stored.join(touched, ["bucket", "document_id"], "left_semi")
+            .groupBy("document_id", "page_no")
+            .agg(F.max_by(F.struct(*columns), "batch").alias("_page"))
+            .select("document_id", "page_no", "_page.*")
+        )
+        rows = transform(whole.select(*batch.columns))
         spread = rows if files is None else rows.repartition(files, "chunk_id")
-        spread.write.mode("overwrite").parquet(f"{target}/batch={number}")
+        spread.write.mode("overwrite").parquet(f"{target}/rows/batch={number}")
 
     return (
         pages.writeStream.foreachBatch(store)
@@ -49,20 +72,23 @@ def ingest_stream(
     )
 
 
+def _numbered(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("basePath", path).parquet(f"{path}/batch=*")
+
+
 def latest_rows(spark: SparkSession, target: str) -> DataFrame:
-    """The upserted state: per chunk id the row of the newest batch."""
-    stored = spark.read.option("basePath", target).parquet(f"{target}/batch=*")
-    columns = [c for c in stored.columns if c not in ("batch", "chunk_id")]
-    return (
-        stored.groupBy("chunk_id")
-        .agg(F.max_by(F.struct(*columns), "batch").alias("_row"))
-        .select("chunk_id", "_row.*")
-    )
+    """Rows of every document from the last batch that touched it; older ones are stale.
+
+    Only ids and batch numbers are grouped, never the rows with their vectors.
+    """
+    last = _numbered(spark, f"{target}/pages").groupBy("document_id").agg(F.max("batch").alias("batch"))
+    rows = _numbered(spark, f"{target}/rows")
+    return rows.join(last, ["document_id", "batch"], "left_semi").drop("batch")
 
 
-def run_available(spark: SparkSession, path: str, **options) -> DataFrame:
+def run_available(spark: SparkSession, path: str, files_per_batch: int = 1000, **options) -> DataFrame:
     """Everything now in `path`, ingested incrementally; returns the resulting table."""
     target = fresh_path(spark, "ingest")
-    query = ingest_stream(page_stream(spark, path), target, fresh_path(spark, "ingest-checkpoint"), **options)
-    query.awaitTermination()
+    stream = page_stream(spark, path, files_per_batch)
+    ingest_stream(stream, target, fresh_path(spark, "ingest-checkpoint"), **options).awaitTermination()
     return latest_rows(spark, target)

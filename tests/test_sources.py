@@ -88,3 +88,17 @@ def test_search_reads_only_the_partitions_of_its_terms(spark, capfd):
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [term_bucket" in plan.replace("isnotnull(term_bucket#", "term_bucket")
     assert {(r.query_id, r.chunk_id, r.sequence) for r in found.collect()} == {(1, "7", 7), (2, "9", 9)}
+
+
+def test_stemmed_postings_find_other_forms(spark, one):
+    from quarryline.functions.text import stem
+    from quarryline.operators import fulltext
+
+    groups = (("revenue", "revenues"), ("price", "priced", "pricing", "prices"), ("company", "companies"), ("plan", "planned", "planning"), ("process", "processes"))
+    for forms in groups:
+        assert len({one(stem(F.col("x")), x=f) for f in forms}) == 1, forms
+    assert one(stem(F.col("x")), x="bus") == "bus" and one(stem(F.col("x")), x="red") == "red"
+    chunks = spark.createDataFrame([("1", "d", 1, "c", "Revenues grew")], "chunk_id string, document_id string, sequence int, collection string, content string")
+    asked = spark.createDataFrame([(1, "revenue")], "query_id long, text string")
+    found = lambda s: fulltext.search(index.postings(chunks, stem=s), asked, 5, collection="c", stem=s).count()
+    assert (found(True), found(False)) == (1, 0)

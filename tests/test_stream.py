@@ -33,6 +33,17 @@ def test_stream_equals_batch_and_a_second_arrival_changes_nothing(spark):
     assert content(streamed.latest_rows(spark, target)) == batch
 
 
+def test_a_document_whose_pages_come_in_several_batches_is_ingested_whole(spark):
+    source, target, checkpoint = (fresh_path(spark, n) for n in ("pages", "target", "checkpoint"))
+    schema = "document_id string, document_type string, page_no int, text string"
+    rows = [("a", "press", 1, "first page"), ("a", "press", 2, "second page"), ("b", "press", 1, "other"), ("a", "press", 1, "changed page")]
+    for row in rows:
+        spark.createDataFrame([row], schema).coalesce(1).write.mode("append").parquet(source)
+        streamed.ingest_stream(streamed.page_stream(spark, source), target, checkpoint, buckets=4).awaitTermination()
+    whole = spark.createDataFrame([rows[3], rows[1], rows[2]], schema)
+    assert content(streamed.latest_rows(spark, target)) == content(ingest(whole))
+
+
 def test_upsert_twice_is_upsert_once(spark):
     table = ingest(pages(spark))
     new = table.limit(50).withColumn("content", F.lit("new"))
