@@ -8,7 +8,8 @@ suffixes still equal then are exactly the repeated windows. Digits are hashed by
    windows have equal anchors at equal places, so a gram that occurs once ends its row here.
 2. The hull of a row, all bytes its windows cover. Rows with equal hulls repeat each other whole,
    however many they are; one of each kind goes on against the other kinds.
-3. A core of 232 bytes, the part that all windows of one half of a row share.
+3. A core of 232 bytes, the part that all windows of one half of a row share; then one of 337
+   bytes, the part that 64 neighbouring windows share.
 4. The whole window, for what is left: mostly the ends of copied passages.
 
 Every pass is a sort in which a row only looks at its neighbours, so a string with a third of
@@ -36,6 +37,8 @@ from quarryline.llm.words import mixed
 
 LENGTH = 400
 GRAM = 64
+# Windows whose shared core is looked at before each of them is.
+BLOCK = 64
 # Bytes of a document hashed at a time.
 SEGMENT = 1 << 20
 BASES = (0x9E3779B97F4A7C15 | 5, 0xC2B2AE3D27D4EB4F & ~7 | 5)
@@ -155,33 +158,65 @@ def _by_hull(batches):
                 )
 
 
-def _windows(length: int):
-    """(one, two, id, mark, at): both hashes of every window in the ranges of a document."""
-    names = ["one", "two", "id", "mark", "at"]
+def _blocks(length: int, block: int):
+    """(core, id, mark, lo, piece): window ranges of a document cut at fixed places of an anchor.
+
+    `core` is the hash of what all windows of an uncut block share, `piece` holds the bytes of
+    the windows that the range has of it.
+    """
+    names = ["core", "id", "mark", "lo", "piece"]
 
     def run(batches):
         for batch in batches:
             ids, marks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for i, text, ranges in zip(range(batch.num_rows), batch.column(2), batch.column(3)):
-                data = np.frombuffer(text.as_py() or b"", np.uint8)
-                pairs = ranges.values.flatten()
-                lo, hi = (np.asarray(p) for p in pairs)
-                order = np.argsort(lo)
-                lo, hi = lo[order], hi[order]
-                at = np.repeat(lo, hi - lo + 1) + _within(hi - lo + 1)
-                at = np.unique(at)
-                for base in range(int(at[0]), int(at[-1]) + 1, SEGMENT):
-                    here = at[(at >= base) & (at < base + SEGMENT)] - base
-                    if not len(here):
+                text = text.as_py() or b""
+                data = np.frombuffer(text, np.uint8)
+                at, lo, hi = (np.asarray(c) for c in ranges.values.flatten())
+                first, last = (at - hi) // block, (at - lo) // block
+                number = np.repeat(first, last - first + 1) + _within(last - first + 1)
+                at, lo, hi = (np.repeat(c, last - first + 1) for c in (at, lo, hi))
+                core = at - number * block
+                lo, hi = np.maximum(lo, core - block + 1), np.minimum(hi, core)
+                order = np.argsort(core)
+                core, lo, hi = core[order], lo[order], hi[order]
+                for base in range(int(core[0]), int(core[-1]) + 1, SEGMENT):
+                    here = slice(*np.searchsorted(core, [base, base + SEGMENT]))
+                    begin = core[here] - base
+                    if not len(begin):
                         continue
-                    part = data[base : base + int(here[-1]) + length]
-                    found = [
-                        Hashes(part, which, SEGMENT + length).of(here, here + length).view(np.int64)
-                        for which in (0, 1)
-                    ]
-                    size = len(here)
-                    columns = (*found, np.full(size, ids[i]), np.full(size, marks[i]), here + base)
-                    yield pa.record_batch([pa.array(c) for c in columns], names)
+                    size = length - block + 1
+                    part = data[base : base + int(begin[-1]) + size]
+                    found = Hashes(part, 0, SEGMENT + length).of(begin, begin + size)
+                    pieces = [text[x : y + length] for x, y in zip(lo[here].tolist(), hi[here].tolist())]
+                    fill = [np.full(len(begin), v[i]) for v in (ids, marks)]
+                    columns = [pa.array(c) for c in (found.view(np.int64), *fill, lo[here])]
+                    yield pa.record_batch([*columns, pa.array(pieces, pa.binary())], names)
+
+    return run
+
+
+def _windows(length: int, block: int):
+    """(one, two, id, mark, at): both hashes of every window in each piece."""
+    names = ["one", "two", "id", "mark", "at"]
+
+    def run(batches):
+        for batch in batches:
+            pieces = batch.column(3).to_pylist()
+            ids, marks, lo = (batch.column(c).to_numpy() for c in range(3))
+            for begin in range(0, len(pieces), 1000):
+                part = pieces[begin : begin + 1000]
+                sizes = np.array([len(p) - length + 1 for p in part])
+                data = np.frombuffer(b"".join(part), np.uint8)
+                ends = np.cumsum(sizes + length - 1)
+                places = np.repeat(ends - sizes - length + 1, sizes) + _within(sizes)
+                rows = np.repeat(np.arange(begin, begin + len(part)), sizes)
+                found = [
+                    Hashes(data, which, 1000 * (length + block)).of(places, places + length).view(np.int64)
+                    for which in (0, 1)
+                ]
+                at = lo[rows] + _within(sizes)
+                yield pa.record_batch([pa.array(c) for c in (*found, ids[rows], marks[rows], at)], names)
 
     return run
 
@@ -210,7 +245,7 @@ def repeated_starts(
     text_column: str = "text",
 ) -> DataFrame:
     """(id, mark, lo, hi): runs of starts of strings of `length` bytes that start elsewhere too."""
-    half = (length - gram) // 2
+    half, block = (length - gram) // 2, max(1, min(BLOCK, (length - gram) // 4))
     texts = _texts(docs, id_column, text_column)
     suffixes = texts.select("id", "mark", "text").mapInArrow(_suffix_rows(length, gram), SCHEMA)
     order = ["key", "span", "hull1", "hull2"]
@@ -224,6 +259,7 @@ def repeated_starts(
     sides = open_rows.select(
         "id",
         "mark",
+        "at",
         F.explode(
             F.array(
                 F.struct(
@@ -240,13 +276,15 @@ def repeated_starts(
                 ),
             )
         ).alias("s"),
-    ).select("id", "mark", "s.*").where("lo <= hi")
-    close = repeated_rows(sides, ["core", "side"], ["id", "mark", "lo", "hi"])
-    ranges = close.groupBy("id", "mark").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    ).select("id", "mark", "at", "s.*").where("lo <= hi")
+    close = repeated_rows(sides, ["core", "side"], ["id", "mark", "at", "lo", "hi"])
+    ranges = close.groupBy("id", "mark").agg(F.collect_list(F.struct("at", "lo", "hi")).alias("ranges"))
     one_text = texts.select("id", "mark", "text").join(ranges, ["id", "mark"]).select(
         "id", "mark", "text", "ranges"
     )
-    windows = one_text.mapInArrow(_windows(length), "one long, two long, id long, mark long, at long")
+    blocks = one_text.mapInArrow(_blocks(length, block), "core long, id long, mark long, lo long, piece binary")
+    near = repeated_rows(blocks, ["core"], ["id", "mark", "lo", "piece"])
+    windows = near.mapInArrow(_windows(length, block), "one long, two long, id long, mark long, at long")
     single = repeated_rows(windows, ["one", "two"], ["id", "mark", "at"])
     return whole.union(single.select("id", "mark", F.col("at").alias("lo"), F.col("at").alias("hi")))
 
@@ -266,7 +304,9 @@ def without_repeats(
     repeated rows repeat each other, and a null id is returned as null.
     """
     starts = repeated_starts(docs, length, gram, id_column, text_column)
-    spans = starts.groupBy("id", "mark").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    # A run of starts in one number: the first above, how many follow below.
+    run_of_starts = F.shiftleft("lo", 20).bitwiseOR(F.col("hi") - F.col("lo"))
+    spans = starts.groupBy("id", "mark").agg(F.collect_list(run_of_starts).alias("spans"))
     rows = (
         _texts(docs, id_column, text_column)
         .join(spans, ["id", "mark"], "left")
@@ -288,7 +328,9 @@ def cut(text: bytes, spans: pa.ListScalar, length: int) -> tuple[int, int, int,
     """Sizes of a text and of what goes, the number of runs that go, and the rest."""
     if not spans.is_valid:
         return len(text), 0, 0, text
-    lo, hi = (np.asarray(c) for c in spans.values.flatten())
+    runs = np.asarray(spans.values)
+    lo = runs >> 20
+    hi = lo + (runs & ((1 << 20) - 1))
     edges = np.zeros(len(text) + 1, np.int64)
     np.add.at(edges, lo, 1)
     np.add.at(edges, np.minimum(hi + length, len(text)), -1)
