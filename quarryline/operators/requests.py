@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarryline.session import materialise
+
 # Fixed value.
 TTL_SECONDS = 3600
 
@@ -29,8 +26,10 @@ def accept_first(
     to live older. Requests (id_column, key, ts) are first summed up per key and
     time-to-live slot; where a slot begins at least one time to live after the slot
     before it, a new independent run of slots starts, whose first request is accepted.
-    Runs of one slot need nothing more. Only the distinct times of longer runs are
-    sorted, and read through once with a single time kept in memory.
+    Runs of one slot need nothing more. In longer ones at most one time per slot is accepted,
+    and the time after an accepted one follows from it alone: the first that is a time to live
+    later. These steps are found slot by slot, then doubled until they span the longest
+    run, so a key that is never at rest is dealt out by its times.
     """
     ttl = ttl_seconds * 1_000_000
     timed = requests.select(
@@ -44,46 +43,90 @@ def accept_first(
     runs = slots.withColumn("_starts", starts.cast("int")).withColumn(
         "_run", F.sum("_starts").over(by_slot.rowsBetween(Window.unboundedPreceding, 0))
     ).withColumn("_slots", F.count("*").over(Window.partitionBy("key", "_run")))
+    runs = materialise(runs, "request-runs")
     heads = runs.filter("_slots = 1").select(F.col("_first._id").alias("_id"))
-    times = (
-        timed.join(runs.filter("_slots > 1").select("key", "_slot", "_run"), ["key", "_slot"])
-        .groupBy("key", "_run", "_at")
-        .agg(F.min("_id").alias("_id"))
-        .repartition("key", "_run")
-        .sortWithinPartitions("key", "_run", "_at")
-    )
-    walked = times.mapInArrow(_walk(ttl), times.select("_id").schema)
-    accepted = heads.unionByName(walked).select(F.col("_id").alias(id_column), F.lit(True).alias("_won"))
+    longest = runs.agg(F.max("_slots")).first()[0] or 0
+    accepted = heads
+    if longest > 1:
+        several = runs.filter("_slots > 1")
+        times = materialise(
+            timed.join(several.select("key", "_slot"), ["key", "_slot"], "left_semi")
+            .groupBy("key", "_slot", "_at")
+            .agg(F.min("_id").alias("_id")),
+            "request-times",
+        )
+        chosen = _chains(times, several, ttl, longest)
+        accepted = heads.unionByName(times.join(chosen, ["key", "_at"]).select("_id"))
+    won = accepted.select(F.col("_id").alias(id_column), F.lit(True).alias("_won"))
     return (
-        requests.join(accepted, id_column, "left")
+        requests.join(won, id_column, "left")
         .withColumn("accepted", F.coalesce("_won", F.lit(False)))
         .drop("_won")
     )
 
 
-def _walk(ttl: int):
-    """Reads sorted (key, run, time) rows; yields the ids of accepted ones."""
+def _steps(times: DataFrame, runs: DataFrame, ttl: int) -> DataFrame:
+    """(key, _at, _next): the first time of the key's run at least a time to live later.
+
+    It lies in the next slot, or else is the first of the slot after; only the times of two
+    neighbouring slots meet.
+    """
+    by_run = Window.partitionBy("key", "_run").orderBy("_slot")
+    ahead = runs.select(
+        "key",
+        "_slot",
+        (F.lead("_slot").over(by_run) == F.col("_slot") + 1).alias("_near"),
+        F.lead("_first._at", 1).over(by_run).alias("_one"),
+        F.lead("_first._at", 2).over(by_run).alias("_two"),
+    )
+    asked = times.select(
+        "key",
+        (F.col("_slot") + 1).alias("_slot"),
+        (F.col("_at") + ttl).alias("_value"),
+        F.lit(None).cast("long").alias("_time"),
+        F.col("_at").alias("_from"),
+    )
+    known = times.select(
+        "key", "_slot", F.col("_at").alias("_value"), F.col("_at").alias("_time"), F.lit(None).cast("long").alias("_from")
+    )
+    later = (
+        Window.partitionBy("key", "_slot")
+        .orderBy(F.col("_value").desc(), F.col("_time").desc_nulls_last())
+        .rowsBetween(Window.unboundedPreceding, 0)
+    )
+    found = (
+        known.unionByName(asked)
+        .withColumn("_found", F.min("_time").over(later))
+        .filter(F.col("_from").isNotNull())
+        .select("key", (F.col("_slot") - 1).alias("_slot"), F.col("_from").alias("_at"), "_found")
+    )
+    # Without a next slot in a row the run's next one begins late enough by itself.
+    step = F.when(F.col("_near"), F.coalesce("_found", "_two")).otherwise(F.col("_one"))
+    return found.join(ahead, ["key", "_slot"]).select("key", "_at", step.alias("_next")).filter("_next IS NOT NULL")
 
-    def accepted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, last = None, 0
-        for batch in batches:
-            at = batch.column("_at").to_numpy()
-            keys, runs = batch.column("key"), batch.column("_run")
-            changed = pc.or_(
-                pc.not_equal(keys.slice(1), keys.slice(0, len(keys) - 1)),
-                pc.not_equal(runs.slice(1), runs.slice(0, len(runs) - 1)),
-            ).to_numpy(zero_copy_only=False)
-            edges = [0, *(np.flatnonzero(changed) + 1), len(at)]
-            chosen = []
-            for row, end in zip(edges, edges[1:]):
-                group = (keys[row].as_py(), runs[row].as_py())
-                if group != current:
-                    current, last = group, at[row] - ttl
-                row += int(np.searchsorted(at[row:end], last + ttl))
-                while row < end:
-                    last = at[row]
-                    chosen.append(row)
-                    row += int(np.searchsorted(at[row:end], last + ttl))
-            yield batch.select(["_id"]).take(pa.array(chosen, pa.int64()))
 
-    return accepted
+def _chains(times: DataFrame, runs: DataFrame, ttl: int, longest: int) -> DataFrame:
+    """(key, _at) of all times that steps reach from the first of their run.
+
+    After a round every step is twice as long and twice as much is reached, so a run of n
+    slots takes log2(n) rounds.
+    """
+    first = Window.partitionBy("key", "_run").orderBy("_slot")
+    reached = (
+        runs.withColumn("_n", F.row_number().over(first))
+        .filter("_n = 1")
+        .select("key", F.col("_first._at").alias("_at"))
+    )
+    steps = materialise(_steps(times, runs, ttl), "request-steps")
+    span = 1
+    while span < longest:
+        onward = reached.join(steps, ["key", "_at"]).select("key", F.col("_next").alias("_at"))
+        reached = materialise(reached.unionByName(onward).distinct(), "request-reached")
+        span *= 2
+        if span < longest:
+            second = steps.select("key", F.col("_at").alias("_next"), F.col("_next").alias("_then"))
+            steps = materialise(
+                steps.join(second, ["key", "_next"]).select("key", "_at", F.col("_then").alias("_next")),
+                "request-steps",
+            )
+    return reached
