@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
+import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarryline.llm.common import arrow_map, byte_values
 from quarryline.session import fresh_path
 
 # Equal payloads of at least so many bytes are stored as one response and revisits of it.
@@ -14,6 +18,8 @@ REVISIT_BYTES = 1000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 UNKNOWN_DATE = "1970-01-01T00:00:00Z"
 LINE = "\r\n"
+# Bytes of records handed on at a time when an archive is read.
+READ_BYTES = 8 << 20
 
 
 @dataclass(frozen=True)
@@ -21,7 +27,8 @@ class Archive:
     """Folders of the two tables of an archive.
 
     headers: page_id, record_type, payload_key, refers_to, header (exact bytes up to and with the
-    blank line). payloads: payload_key (SHA-256), n_bytes, sha1, payload, one row per payload.
+    blank line). payloads: payload_key (SHA-256), n_bytes, sha1, body (the payload as a Zstandard
+    frame), one row per payload.
     """
 
     headers: str
@@ -113,27 +120,39 @@ def write(
     archive = Archive(f"{base}/headers", f"{base}/payloads")
     rows = records(pages, id_column, url_column, html_column, date)
     rows.select("page_id", "record_type", "payload_key", "refers_to", "header").write.parquet(archive.headers)
-    payload = F.encode(F.coalesce(F.col(html_column), F.lit("")), "utf-8")
-    bodies = pages.select(payload.alias("payload")).select(
-        F.sha2("payload", 256).alias("payload_key"),
-        F.length("payload").cast("long").alias("n_bytes"),
-        F.sha1("payload").alias("sha1"),
-        "payload",
-    )
-    bodies.dropDuplicates(["payload_key"]).write.parquet(archive.payloads)
+    packed = arrow_map(pages.select(F.col(html_column).cast("string")), _pack, PAYLOAD)
+    packed.dropDuplicates(["payload_key"]).write.parquet(archive.payloads)
     return archive
 
 
-def payloads(spark: SparkSession, archive: Archive) -> DataFrame:
-    """Stored payloads; reading one whose bytes do not have its digest fails."""
-    rows = spark.read.parquet(archive.payloads)
-    sound = (
-        (F.sha2("payload", 256) == F.col("payload_key"))
-        & (F.sha1("payload") == F.col("sha1"))
-        & (F.length("payload") == F.col("n_bytes"))
+PAYLOAD = "payload_key string, n_bytes long, sha1 string, body binary"
+
+
+def _pack(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Digests of the payloads, which go on compressed: they are moved twice."""
+    press = zstandard.ZstdCompressor()
+    texts = byte_values(batch.column(0))
+    return pa.record_batch(
+        [
+            pa.array([hashlib.sha256(t).hexdigest() for t in texts]),
+            pa.array([len(t) for t in texts], pa.int64()),
+            pa.array([hashlib.sha1(t).hexdigest() for t in texts]),
+            pa.array([press.compress(t) for t in texts], pa.binary()),
+        ],
+        ["payload_key", "n_bytes", "sha1", "body"],
     )
-    broken = F.concat(F.lit("damaged payload "), F.col("payload_key"))
-    return rows.withColumn("payload", F.when(sound, F.col("payload")).otherwise(F.raise_error(broken)))
+
+
+def unpacked(key: str, size: int, sha1: str, body: bytes) -> bytes:
+    """A stored payload, whose length and both digests must be right."""
+    try:
+        data = zstandard.ZstdDecompressor().decompress(body)
+    except zstandard.ZstdError as error:
+        raise ValueError(f"damaged payload {key}") from error
+    sound = len(data) == size and hashlib.sha256(data).hexdigest() == key
+    if not sound or hashlib.sha1(data).hexdigest() != sha1:
+        raise ValueError(f"damaged payload {key}")
+    return data
 
 
 def header_field(name: str) -> Column:
@@ -159,18 +178,40 @@ def read(spark: SparkSession, archive: Archive) -> DataFrame:
         header_field("X-Refers-To-Page").cast("long").alias("refers_to"),
         header_field("Content-Length").cast("long").alias("content_length"),
     )
-    block = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    joined = heads.join(payloads(spark, archive), "payload_key", "left").withColumn("block", block)
-    whole = F.coalesce(F.length("block") == F.col("content_length"), F.lit(False))
-    broken = F.concat(F.lit("no whole payload for "), F.decode("header", "utf-8"))
-    checked = F.when(whole, F.col("block")).otherwise(F.raise_error(broken))
-    return joined.select(
-        "page_id",
-        "url",
-        "record_type",
-        "refers_to",
-        F.col("n_bytes").alias("payload_bytes"),
-        F.col("sha1").alias("payload_digest"),
-        "payload",
-        F.concat("header", checked, F.lit((LINE + LINE).encode())).alias("record"),
-    )
+    joined = heads.join(spark.read.parquet(archive.payloads), "payload_key", "left")
+    return joined.select(*READ).mapInArrow(_records, RECORD)
+
+
+READ = (
+    "page_id url record_type refers_to n_bytes sha1 header payload_key content_length body"
+).split()
+RECORD = (
+    "page_id long, url string, record_type string, refers_to long, payload_bytes long, "
+    "payload_digest string, payload binary, record binary"
+)
+
+
+def _records(batches):
+    """Headers and payloads put together, a few megabytes at a time."""
+    end = (LINE + LINE).encode()
+    for batch in batches:
+        n, sha1, header, key, length, body = (batch.column(i).to_pylist() for i in range(4, 10))
+        names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload", "record"]
+        kinds = batch.column(2).to_pylist()
+        first, size, payloads, records = 0, 0, [], []
+        for i in range(batch.num_rows):
+            if body[i] is None:
+                raise ValueError(f"no payload for {header[i]!r}")
+            payload = unpacked(key[i], n[i], sha1[i], body[i])
+            block = payload if kinds[i] == "response" else b""
+            if len(block) != length[i]:
+                raise ValueError(f"no whole payload for {header[i]!r}")
+            payloads.append(payload)
+            records.append(header[i] + block + end)
+            size += len(payload) + len(records[-1])
+            if size >= READ_BYTES or i + 1 == batch.num_rows:
+                columns = [c.slice(first, len(records)) for c in batch.columns[:6]]
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.array(payloads, pa.binary()), pa.array(records, pa.binary())], names
+                )
+                first, size, payloads, records = i + 1, 0, [], []

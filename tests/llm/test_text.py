@@ -68,17 +68,18 @@ def test_archive_round_trip(spark):
 def test_damaged_payloads_are_not_read(spark):
     pages = spark.createDataFrame([(1, "u", "text")], "page_id long, url string, html string")
     archive = warc.write(pages)
-    broken = spark.read.parquet(archive.payloads).withColumn("payload", pages_payload())
+    broken = spark.read.parquet(archive.payloads).withColumn("body", damaged())
     path = archive.payloads + "-broken"
     broken.write.parquet(path)
     with pytest.raises(Exception, match="damaged payload"):
         warc.read(spark, warc.Archive(archive.headers, path)).collect()
 
 
-def pages_payload():
+def damaged():
+    import zstandard
     from pyspark.sql import functions as F
 
-    return F.lit(b"tExt")
+    return F.lit(zstandard.compress(b"tExt"))
 
 
 # --- URLs ----------------------------------------------------------------------------------
