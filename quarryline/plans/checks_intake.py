@@ -25,10 +25,23 @@ def files(t: Tables):
 
 @check(
     "sr1_object_digests",
-    "SELECT document_id, strlen(content) AS size_bytes, sha256(content) AS sha256 FROM files",
+    "SELECT document_id, strlen(content) + 1 AS size_bytes, sha256(content || chr(10)) AS sha256 FROM files",
+    longs="size_bytes",
 )
 def sr1(t):
-    return readers.measured(t.files).select("document_id", "size_bytes", "sha256")
+    objects = readers.raw_objects(t.spark, _folder(t.files), "*.txt")
+    return readers.measured(objects.withColumn("document_id", _owner())).select("document_id", "size_bytes", "sha256")
+
+
+def _folder(files):
+    """A folder with a text file per document, ended by a line break."""
+    path = fresh_path(files.sparkSession, "objects")
+    files.select("document_id", "content").write.partitionBy("document_id").text(path)
+    return path
+
+
+def _owner():
+    return F.regexp_extract("path", "document_id=([^/]+)/", 1)
 
 
 @check(
@@ -72,9 +85,8 @@ def sr3(t):
     """SELECT document_id, doc_id % 23 <> 0 AS object_exists FROM files""",
 )
 def sr4(t):
-    listing = t.files.filter("content <> ''").select(
-        intake.storage_path(F.col("document_id"), F.lit("x.pdf")).alias("path")
-    )
+    stored = readers.raw_objects(t.spark, _folder(t.files.filter("content <> ''")), "*.txt")
+    listing = stored.select(intake.storage_path(_owner(), F.lit("x.pdf")).alias("path"))
     wanted = t.files.select(
         "document_id", intake.storage_path(F.col("document_id"), F.lit("x.pdf")).alias("path")
     )
@@ -86,7 +98,10 @@ def sr4(t):
     "SELECT chunk_id, cast(sequence as bigint) AS sequence FROM vectors WHERE collection = 'rag_chunks_v1'",
 )
 def sr5(t):
-    return readers.collection(t.vectors).select("chunk_id", F.col("sequence").cast("long").alias("sequence"))
+    path = fresh_path(t.spark, "vectors")
+    writers.write_vectors(t.vectors, path)
+    stored = readers.collection(t.spark.read.parquet(path))
+    return stored.select("chunk_id", F.col("sequence").cast("long").alias("sequence"))
 
 
 @check(
