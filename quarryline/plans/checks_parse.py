@@ -311,18 +311,23 @@ def ch2(t):
 # value follows from the text alone.
 @check(
     "ch2_split_invariants",
-    f"""SELECT cast(doc_id as string) AS document_id, 0 AS too_long, 0 AS misplaced, 0 AS out_of_order,
-      trim(text, '{B}') = '' AS blank FROM documents""",
-    longs="too_long misplaced out_of_order",
+    f"""SELECT cast(doc_id as string) AS document_id, 0 AS too_long, 0 AS misplaced, 0 AS out_of_order, 0 AS overlapping,
+      length(regexp_replace(text, '[{B}]', '', 'g')) AS covered, trim(text, '{B}') = '' AS blank FROM documents""",
+    longs="too_long misplaced out_of_order overlapping covered",
 )
 def ch2_invariants(t):
     pieces = chunk.split_documents(_documents(t))
     before = F.lag("start_index").over(_in_order())
-    joined = pieces.withColumn("_before", before).join(
+    stop = F.coalesce(F.lag(F.col("start_index") + F.length("content")).over(_in_order()), F.lit(0))
+    joined = pieces.withColumns({"_before": before, "_stop": stop}).join(
         _documents(t).select("document_id", "full_text"), "document_id", "right"
     )
     found = F.substring("full_text", F.col("start_index") + 1, F.length("content"))
+    # What a piece adds to those before it: all of these hold every character but blanks.
+    added = F.substr("content", F.greatest(F.lit(0), F.col("_stop") - F.col("start_index")) + 1)
     return joined.groupBy("document_id").agg(
+        F.coalesce(F.sum(F.length(F.regexp_replace(added, f"[{fx.BLANK_CLASS}]", ""))), F.lit(0)).alias("covered"),
+        F.count_if(F.col("_stop") - F.col("start_index") > 200).alias("overlapping"),
         F.count_if(F.length("content") > 1000).alias("too_long"),
         F.count_if(found != F.col("content")).alias("misplaced"),
         F.count_if(F.col("start_index") < F.col("_before")).alias("out_of_order"),
