@@ -83,13 +83,19 @@ def _between(previous, current, following):
     return pa.concat_tables(parts).combine_chunks(), first, first + current.num_rows
 
 
-def repeated_rows(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """`columns` of the rows whose key occurs more than once."""
-    schema = df.select(*columns).schema
+def repeated_rows(
+    df: DataFrame, keys: list[str], columns: list[str], group: list[str] | None = None
+) -> DataFrame:
+    """`columns` of the rows whose key occurs more than once.
+
+    With `group`, the first of `keys`, it is their group that must recur; rows still come
+    sorted by all keys.
+    """
+    schema, named = df.select(*columns).schema, group or keys
 
     def run(batches):
         for rows, first, end in with_neighbours(batches):
-            new = changes([rows[k].to_numpy() for k in keys])
+            new = changes([rows[k].to_numpy() for k in named])
             alone = new & np.append(new[1:], True)
             mask = ~alone
             mask[:first] = mask[end:] = False
@@ -97,7 +103,7 @@ def repeated_rows(df: DataFrame, keys: list[str], columns: list[str]) -> DataFra
             if kept.num_rows:
                 yield from kept.to_batches()
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    return df.repartition(*named).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 def unused(columns: list[str], name: str) -> str:

@@ -196,14 +196,51 @@ def _blocks(length: int, block: int):
     return run
 
 
+def _by_piece(length: int):
+    """Kind 1: blocks whose piece another block has. Kind 0: one of every piece, with its bytes,
+    where blocks of the same core differ.
+
+    Rows come sorted by core and piece, of which one of each is held at a time.
+    """
+    names = ["kind", "id", "mark", "lo", "hi", "piece"]
+
+    def run(batches):
+        core = first = None
+        count, several, out = 0, False, []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if row[0] != core:
+                    if several:
+                        out.append((0, *first[1:4], None, first[4]))
+                    core, first, count, several = row[0], row, 1, False
+                elif row[4] == first[4]:
+                    for repeated in (first, row) if count == 1 else (row,):
+                        out.append((1, *repeated[1:4], repeated[3] + len(row[4]) - length, None))
+                    count += 1
+                else:
+                    out.append((0, *first[1:4], None, first[4]))
+                    first, count, several = row, 1, True
+            yield block_batch(out)
+            out = []
+        if several:
+            yield block_batch([(0, *first[1:4], None, first[4])])
+
+    def block_batch(rows):
+        kinds = [*[pa.int64()] * 5, pa.binary()]
+        columns = zip(*rows) if rows else [[]] * 6
+        return pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+    return run
+
+
 def _windows(length: int, block: int):
     """(one, two, id, mark, at): both hashes of every window in each piece."""
     names = ["one", "two", "id", "mark", "at"]
 
     def run(batches):
         for batch in batches:
-            pieces = batch.column(3).to_pylist()
             ids, marks, lo = (batch.column(c).to_numpy() for c in range(3))
+            pieces = batch.column(3).to_pylist()
             for begin in range(0, len(pieces), 1000):
                 part = pieces[begin : begin + 1000]
                 sizes = np.array([len(p) - length + 1 for p in part])
@@ -283,7 +320,12 @@ def repeated_starts(
         "id", "mark", "text", "ranges"
     )
     blocks = one_text.mapInArrow(_blocks(length, block), "core long, id long, mark long, lo long, piece binary")
-    near = repeated_rows(blocks, ["core"], ["id", "mark", "lo", "piece"])
+    near = repeated_rows(blocks, ["core", "piece"], ["core", "id", "mark", "lo", "piece"], group=["core"])
+    pieces = written(
+        near.mapInArrow(_by_piece(length), "kind long, id long, mark long, lo long, hi long, piece binary"), "pieces"
+    )
+    whole = whole.union(pieces.where("kind = 1").select("id", "mark", "lo", "hi"))
+    near = pieces.where("kind = 0").select("id", "mark", "lo", "piece")
     windows = near.mapInArrow(_windows(length, block), "one long, two long, id long, mark long, at long")
     single = repeated_rows(windows, ["one", "two"], ["id", "mark", "at"])
     return whole.union(single.select("id", "mark", F.col("at").alias("lo"), F.col("at").alias("hi")))
