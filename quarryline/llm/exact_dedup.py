@@ -126,10 +126,12 @@ def clashes(docs: DataFrame, groups: DataFrame, id_column: str, text_column: str
     Each text of a group is compared with that of the group's largest id. The join meets one
     row per group, so a group with a third of all rows is split among tasks.
     """
-    members = _bodies(docs, id_column, text_column).join(groups, KEY)
+    bodies = _bodies(docs, id_column, text_column)
+    # Met by id as well, leaders are found without bringing a whole group together.
+    is_leader = (bodies.id.eqNullSafe(groups.keep_id)) & (bodies.fingerprint == groups.fingerprint)
     leaders = (
-        members.where(F.col("id").eqNullSafe(F.col("keep_id")))
-        .select(*KEY, F.col("body").alias("leader"))
+        bodies.join(groups, is_leader & (bodies.n_bytes == groups.n_bytes))
+        .select(bodies.fingerprint, bodies.n_bytes, bodies.body.alias("leader"))
         .dropDuplicates(KEY)
     )
 
@@ -138,7 +140,7 @@ def clashes(docs: DataFrame, groups: DataFrame, id_column: str, text_column: str
         differs = pa.array([not same(a, b) for a, b in zip(own, leader)], pa.bool_())
         return batch.select([0, 1]).filter(differs)
 
-    pairs = members.join(leaders, KEY).select(*KEY, "body", "leader")
+    pairs = _bodies(docs, id_column, text_column).join(leaders, KEY).select(*KEY, "body", "leader")
     return arrow_map(pairs, run, "fingerprint long, n_bytes long").distinct()
 
 
