@@ -20,6 +20,7 @@ BUCKETS = 1 << 15
 # At most so many labelled rows of each language are learned from, and so many are landmarks.
 SAMPLE = 400
 LANDMARKS = 64
+PARTS = 64
 RIDGE = 1e-3
 # Rows of one matrix product, and characters turned into n-grams at a time.
 ROWS = 64
@@ -130,14 +131,13 @@ def fit(
         F.col(lang_column).cast("string").alias("lang"),
         F.xxhash64(text_column).alias("mark"),
     )
-    order = Window.partitionBy("lang").orderBy("mark")
-    chosen = (
-        rows.select("lang", "mark")
-        .withColumn("place", F.row_number().over(order))
-        .where(F.col("place") <= sample)
-        .select("lang", "mark")
-        .distinct()
-    )
+    # The least of every part first, so that no task sees more than the parts' least.
+    parted = rows.select("lang", "mark").withColumn("part", F.pmod(F.xxhash64("mark"), F.lit(PARTS)))
+    chosen = parted
+    for keys in (["lang", "part"], ["lang"]):
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy("mark"))
+        chosen = chosen.withColumn("place", place).where(F.col("place") <= sample)
+    chosen = chosen.select("lang", "mark").distinct()
     # At most `sample` keys of each language, so the broadcast is bounded.
     found = rows.join(F.broadcast(chosen), ["lang", "mark"]).dropDuplicates(["lang", "mark"])
 
