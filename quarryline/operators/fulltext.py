@@ -201,4 +201,4 @@ def project_hits(hits: DataFrame, chunks: DataFrame) -> DataFrame:
         F.col("metadata")["filename"].alias("document_name"),
         F.coalesce(F.col("sequence").cast("int"), F.lit(0)).alias("sequence"),
     )
-    return hits.join(payload, "chunk_id", "left").withColumn("retriever", F.lit("fts"))
+    return hits.drop("sequence").join(payload, "chunk_id", "left").withColumn("retriever", F.lit("fts"))
