@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 WINDOW = 4096
 END = 2
 # Characters of text whose pieces one packing group receives.
-GROUP_CHARS = 32 << 20
+GROUP_CHARS = 16 << 20
 # Free room up to this many tokens is left as padding; larger gaps are filled by cutting.
 TOLERATED = 8
 # Words whose ids a task remembers, and words encoded in one go.
-REMEMBERED = 700_000
+REMEMBERED = 400_000
 ENCODED_AT_ONCE = 1000
+# Pieces handed on at a time.
+SENT_AT_ONCE = 1000
 MARKS = tuple(".,;:!?")
 WORD_END = "</w>"
 
@@ -233,20 +235,23 @@ def pieces(
     def run(batches: Iterator[pa.RecordBatch]):
         encode = word_ids(tokenizer)
         last = np.array([end], "<u4").tobytes()
+        out: list[tuple] = []
         for batch in batches:
-            out = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = encode(text.as_py() or "") + last
                 total = len(ids) // 4
                 for at in range(0, total, window):
                     out.append((key, at, total, ids[4 * at : 4 * (at + window)]))
-            columns = list(zip(*out))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            for at in range(0, len(out), 2000):
-                yield pa.record_batch(
-                    [pa.array(c[at : at + 2000], k) for c, k in zip(columns, kinds)],
-                    ["id", "start", "doc_tokens", "ids"],
-                )
+                    if len(out) == SENT_AT_ONCE:
+                        yield piece_batch(out)
+                        out = []
+        if out:
+            yield piece_batch(out)
+
+    def piece_batch(out: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+        columns = [pa.array(c, k) for c, k in zip(zip(*out), kinds)]
+        return pa.record_batch(columns, ["id", "start", "doc_tokens", "ids"])
 
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     return rows.mapInArrow(run, "id long, start long, doc_tokens long, ids binary")
@@ -303,9 +308,9 @@ def pack(
                 offset += length
         columns = list(zip(*out))
         names = ["id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
-        for at in range(0, len(out), 4000):
-            arrays = [pa.array(c[at : at + 4000], pa.int64()) for c in columns[:-1]]
-            arrays.append(pa.array(columns[-1][at : at + 4000], pa.binary()))
+        for at in range(0, len(out), SENT_AT_ONCE):
+            arrays = [pa.array(c[at : at + SENT_AT_ONCE], pa.int64()) for c in columns[:-1]]
+            arrays.append(pa.array(columns[-1][at : at + SENT_AT_ONCE], pa.binary()))
             yield pa.record_batch(arrays, names)
 
     schema = "id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
