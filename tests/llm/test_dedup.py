@@ -358,3 +358,41 @@ def test_passages_that_texts_share(spark, rate, recall):
         assert r.n_words == sum(p.n_words for p in r.passages) and r.class_id is not None
         if r.id in texts:
             assert all(p.first_word + p.n_words <= len(texts[r.id].split()) for p in r.passages)
+
+
+def test_run_digests_and_cores():
+    rng = np.random.default_rng(5)
+    tokens = rng.integers(1, 4, 300).astype(np.uint64)
+    for size in (1, 2, 5, 8, 41):
+        found = substring_dedup.run_digests(tokens, size)
+        runs = [tuple(tokens[i : i + size]) for i in range(300 - size + 1)]
+        assert len(found) == len(runs) and len(set(found.tolist())) == len(set(runs))
+        assert len(set(zip(found.tolist(), runs))) == len(set(runs))
+    # Wherever a run of 46 stands, both texts name a core that lies in it.
+    shared = rng.integers(1, 1 << 60, 46).astype(np.uint64)
+    named = []
+    for before in range(0, 90, 7):
+        text = np.concatenate([rng.integers(1, 1 << 60, before), shared, rng.integers(1, 1 << 60, 95 - before)]).astype(np.uint64)
+        values = substring_dedup.mixed(text) | np.uint64(1 << 24)
+        _, place = substring_dedup.cores(*substring_dedup.compact_windows(values, 46), 46, 41)
+        named.append({p - before for p in place.tolist() if 0 <= p - before <= 5})
+    assert set.intersection(*named)
+
+
+@pytest.mark.parametrize("size", [56, 60, 80])
+def test_partial_holders_do_not_part_copies(spark, size):
+    rng = random.Random(size)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows, pairs = [], []
+    for trial in range(40):
+        lines = words(size)
+        # Some of the many partial holders have smaller marks than both copies of the whole.
+        for i, part in enumerate([lines[: size * 2 // 3], lines[size // 3 :]] * 6):
+            rows.append((trial * 100 + i, " ".join(words(40) + part + words(40))))
+        pairs.append((trial * 100 + 50, trial * 100 + 51))
+        rows += [(i, " ".join(words(40) + lines + words(40))) for i in pairs[-1]]
+    found = {r.id: r for r in substring_dedup.repeated_passages(frame(spark, rows)).collect()}
+    for a, b in pairs:
+        assert a in found and b in found and found[a].class_id == found[b].class_id
+        for i in (a, b):
+            assert any(p.first_word <= 40 and p.first_word + p.n_words >= 40 + size for p in found[i].passages)
