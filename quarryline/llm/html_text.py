@@ -33,12 +33,12 @@ ITEMS = {
 # An item only closes another one of the same list or table.
 FENCES = frozenset("ul ol dl menu table select html body".split())
 DROPPED = frozenset(
-    "aside audio button canvas datalist dialog embed fieldset footer form frameset head iframe input "
+    "aside audio button canvas datalist dialog embed footer frameset head iframe input "
     "map math menu nav noframes noscript object option script select style svg template textarea title video".split()
 )
 HEADERS = frozenset(["header", "hgroup"])
 DROPPED_ROLES = frozenset(
-    "alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split()
+    "alert alertdialog banner complementary contentinfo dialog menu menubar navigation search toolbar".split()
 )
 DROPPED_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising adsense aside banner breadcrumb breadcrumbs byline "
@@ -47,6 +47,16 @@ DROPPED_WORDS = frozenset(
     "popup promo promoted promotion recommended related reply respond search share sharing sidebar signup "
     "skip social sponsor sponsored subscribe subscription taboola toolbar topbar warning widget widgets".split()
 )
+# Words for text of others, which never make an element a wrapper of the page by its size.
+FOREIGN_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising adsense comment comments commentlist consent cookie "
+    "cookies disqus gdpr hidden modal outbrain overlay popup reply respond taboola".split()
+)
+FORMS = frozenset(["form", "fieldset"])
+# Names such as no-sidebar say what the page around has, not what the element is.
+SAYS_OF_PAGE = re.compile(
+    r"(?<![a-z0-9])(?:(?:no|not|has|have|with|without)[-_]+[a-z0-9_-]+|[a-z0-9_-]+[-_]+(?:enabled|disabled))(?![a-z0-9_-])"
+)
 CONTENT = frozenset(["article", "main"])
 
 TOKEN = re.compile(
@@ -64,6 +74,8 @@ class Tree:
     tags: list[str] = field(default_factory=lambda: ["html"])
     parents: list[int] = field(default_factory=lambda: [-1])
     dropped: list[bool] = field(default_factory=lambda: [False])
+    # 1: left out unless it wraps the article; 2: unless it holds the only article there is.
+    doubted: list[int] = field(default_factory=lambda: [0])
     linked: list[bool] = field(default_factory=lambda: [False])
     inside: list[bool] = field(default_factory=lambda: [False])
     texts: list[tuple[int, str]] = field(default_factory=list)
@@ -79,21 +91,29 @@ def _attributes(text: str) -> dict[str, str]:
     return out
 
 
-def _left_out(tag: str, attributes: dict[str, str], inside: bool) -> bool:
-    """Whether an element is none of the article, by its name, role, class or id."""
+def _left_out(tag: str, attributes: dict[str, str]) -> bool:
+    """Whether an element is none of the article, whatever it holds."""
     if tag in DROPPED or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
         return True
     if attributes.get("role", "").lower() in DROPPED_ROLES:
         return True
     if "style" in attributes and re.search(r"display\s*:\s*none", attributes["style"], re.I):
         return True
+    return False
+
+
+def _doubted(tag: str, attributes: dict[str, str], inside: bool) -> int:
+    """Whether an element is none of the article by its class or id, or as a form: 0, 1 or 2."""
     if tag in CONTENT or tag in ("html", "body"):
-        return False
-    names = set(WORD.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()))
-    if names & DROPPED_WORDS:
-        return True
+        return 0
+    names = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()
+    words = set(WORD.findall(SAYS_OF_PAGE.sub(" ", names)))
+    if words & FOREIGN_WORDS:
+        return 2
+    if words & DROPPED_WORDS or tag in FORMS or attributes.get("role", "").lower() == "form":
+        return 1
     # A header in the article holds its heading; any other one belongs to the site.
-    return not inside and (tag in HEADERS or "header" in names)
+    return int(not inside and (tag in HEADERS or "header" in words))
 
 
 def parse(page: str) -> Tree:
@@ -153,7 +173,8 @@ def parse(page: str) -> Tree:
         tree.tags.append(tag)
         tree.parents.append(parent)
         tree.inside.append(inside)
-        tree.dropped.append(tree.dropped[parent] or _left_out(tag, attributes, tree.inside[parent]))
+        tree.dropped.append(tree.dropped[parent] or _left_out(tag, attributes))
+        tree.doubted.append(_doubted(tag, attributes, tree.inside[parent]))
         tree.linked.append(tree.linked[parent] or tag == "a")
         if tag in BLOCK:
             tree.texts.append((parent, BORDER))
@@ -168,9 +189,46 @@ def parse(page: str) -> Tree:
         stack.append(node)
         open_tags[tag] = open_tags.get(tag, 0) + 1
     close(1)
+    _settle(tree)
     return tree
 
 
+def _settle(tree: Tree) -> None:
+    """Leaves out doubted elements with all they hold, but for those that wrap the article.
+
+    A wrapper holds more text of articles or main parts than is kept elsewhere or, where no such
+    part is, more text outside of links than is kept elsewhere.
+    """
+    if not any(tree.doubted):
+        return
+    count = len(tree.tags)
+    own = [0] * count
+    for node, value in tree.texts:
+        if not tree.dropped[node] and not tree.linked[node]:
+            own[node] += len(value.strip())
+    # Of each subtree, by text and by text in articles: all of it, and what lies in no doubted part.
+    sizes = [own, [n if tree.inside[i] else 0 for i, n in enumerate(own)]]
+    held, free = [list(s) for s in sizes], [list(s) for s in sizes]
+    for node in range(count - 1, 0, -1):
+        parent = tree.parents[node]
+        for whole, open_ in zip(held, free):
+            whole[parent] += whole[node]
+            if not tree.doubted[node]:
+                open_[parent] += open_[node]
+    kept = [free[0][0], free[1][0]]
+    for node in range(1, count):
+        if tree.dropped[node] or tree.dropped[tree.parents[node]]:
+            tree.dropped[node] = True
+        elif doubt := tree.doubted[node]:
+            if doubt == 2:
+                wraps = held[1][node] > 0 and not tree.inside[node] and not kept[1]
+            else:
+                wraps = held[1][node] > kept[1] or (not kept[1] and held[0][node] > kept[0])
+            tree.dropped[node] = not wraps
+            if wraps:
+                kept = [kept[0] + free[0][node], kept[1] + free[1][node]]
+
+
 def _close_to(tree: Tree, stack: list[int], tags: tuple[str, ...], close) -> None:
     """Closes the outermost open element of `tags` above the nearest fence."""
     found = None

@@ -292,6 +292,30 @@ def test_any_markup_is_read(page):
     assert text == text.strip() and "\n\n\n" not in text
 
 
+BODY = "<p>" + "one two three " * 20 + "</p><p>" + "four five six " * 20 + "</p>"
+BODY_TEXT = "\n\n".join((w * 20).strip() for w in ("one two three ", "four five six "))
+WRAPPERS = ["content no-sidebar", "has-sidebar", "with-nav", "social-enabled", "post related", "page-header-wide", "widget"]
+
+
+@pytest.mark.parametrize("name", [*WRAPPERS, None])
+@pytest.mark.parametrize("inner", ["<article>{}</article>", "<div><main>{}</main></div>", "<div>{}</div>"])
+def test_wrappers_keep_their_article(name, inner):
+    tag = f'<div class="{name}">' if name else '<form action="x.aspx"><fieldset>'
+    close = "</div>" if name else "</fieldset></form>"
+    page = f"<body><nav>menu</nav>{tag}{inner.format(BODY)}<div class=sidebar>links</div>{close}<footer>f</footer>"
+    assert html_text.main_text(page) == BODY_TEXT
+
+
+def test_what_is_no_wrapper_still_goes():
+    others = "<div id=comments><article>" + "<p>comment text</p>" * 200 + "</article></div>"
+    for inner in (f"<article>{BODY}</article>", f"<div>{BODY}</div>"):
+        for extra in ("<form><p>" + "field " * 9 + "</form>", "<div class='related'><article>teaser</article></div>", "<div class=cookie-consent>" + "we ask " * 500 + "</div>"):
+            if "<article>" in inner or "<article>" not in extra:
+                assert html_text.main_text(f"<body>{inner}{extra}") == BODY_TEXT
+    assert html_text.main_text(f"<body><article>{BODY}</article>{others}") == BODY_TEXT
+    assert html_text.main_text("<form><div class=ad>only ads</div></form>") == ""
+
+
 def test_articles_of_the_pages(spark):
     found = queries.op9_html_text(spark, "/root/testdata/sf0.01").collect()
     texts = {r.page_id: (r.text, r.n_chars) for r in found}
