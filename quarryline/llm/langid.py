@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cache
 
 import numpy as np
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from quarryline.llm.common import arrow_map, unused
+from quarryline.llm.common import arrow_map
 
 UNKNOWN = "und"
 # Orders of the blended spectrum and buckets that their n-grams are hashed to.
@@ -25,8 +25,14 @@ RIDGE = 1e-3
 # Rows of one matrix product, and characters turned into n-grams at a time.
 ROWS = 64
 CHARACTERS = 1 << 20
-# A text whose best score stays below this is in none of the learned languages.
+# A text whose best score stays below this is in none of the learned languages, whatever its length.
 REJECTED_BELOW = 0.1
+# Nor is one that stays below halfway from an undecided score to the one that all but this share of
+# the learned texts, and of their beginnings of so many characters, have in their own language, among
+# those of about as many n-grams.
+REJECTED_SHARE = 0.01
+BEGINNINGS = (8, 16, 32, 64, 128, 256, 512)
+LEAST_JUDGED = 50
 
 
 @cache
@@ -76,6 +82,8 @@ class Model:
 
     languages: tuple[str, ...]
     weights: np.ndarray
+    # Least score of a text in a learned language, by the binary digits of its number of n-grams.
+    floors: tuple[float, ...] = ()
 
 
 def landmarks(features: np.ndarray, labels: np.ndarray, count: int) -> np.ndarray:
@@ -142,16 +150,53 @@ def fit(
     found = rows.join(F.broadcast(chosen), ["lang", "mark"]).dropDuplicates(["lang", "mark"])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        features = [presence(t) for t in batch.column(2).to_pylist()]
-        bits = [None if f is None else np.packbits(f).tobytes() for f in features]
-        return pa.record_batch(
-            [batch.column(0), batch.column(1), pa.array(bits, pa.binary())], ["lang", "mark", "bits"]
-        )
+        texts = batch.column(2).to_pylist()
+        bits = [None if (f := presence(t)) is None else np.packbits(f).tobytes() for t in texts]
+        begun = [[np.packbits(f).tobytes() for n in BEGINNINGS if n < len(t) and (f := presence(t[:n])) is not None] for t in texts]
+        columns = [batch.column(0), batch.column(1), pa.array(bits, pa.binary()), pa.array(begun, pa.list_(pa.binary()))]
+        return pa.record_batch(columns, ["lang", "mark", "bits", "begun"])
+
+    features = arrow_map(
+        found.select("lang", "mark", "text"), run, "lang string, mark long, bits binary, begun array<binary>"
+    )
+    rows = features.where("bits is not null").collect()
+    taken = sorted((r.lang, r.mark, bytes(r.bits), [bytes(b) for b in r.begun]) for r in rows)
+    present, labels = [_unpacked(t[2]) for t in taken], [t[0] for t in taken]
+    model = train(present, labels)
+    return replace(model, floors=floors(present, labels, [t[3] for t in taken]))
+
+
+def _unpacked(bits: bytes) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
+
+
+def floors(present: list[np.ndarray], labels: list[str], begun: list[list[bytes]]) -> tuple[float, ...]:
+    """Least scores by number of n-grams, from those of texts and beginnings in their own language.
 
-    features = arrow_map(found.select("lang", "mark", "text"), run, "lang string, mark long, bits binary")
-    taken = sorted((r.lang, r.mark, bytes(r.bits)) for r in features.where("bits is not null").collect())
-    present = [np.unpackbits(np.frombuffer(t[2], np.uint8)).astype(bool) for t in taken]
-    return train(present, [t[0] for t in taken])
+    Every second text of each language is scored by a model of the others.
+    """
+    scores: dict[int, list[float]] = {}
+    order = np.argsort(np.array(labels), kind="stable") if labels else []
+    for half in (order[0::2], order[1::2]):
+        others = sorted(set(range(len(labels))) - set(half))
+        model = train([present[i] for i in others], [labels[i] for i in others])
+        for i in half:
+            if labels[i] not in model.languages:
+                continue
+            rows = np.array([present[i], *map(_unpacked, begun[i])], np.float32)
+            grams = rows.sum(axis=1)
+            own = rows @ model.weights[:, model.languages.index(labels[i])] / np.sqrt(grams)
+            for count, score in zip(grams.tolist(), own.tolist()):
+                scores.setdefault(int(count).bit_length(), []).append(score)
+    out = [0.0] * (BUCKETS.bit_length() + 1)
+    for digits in range(1, len(out)):
+        judged = scores.get(digits, [])
+        # Too few to tell: what holds for fewer n-grams.
+        out[digits] = out[digits - 1]
+        if len(judged) >= LEAST_JUDGED:
+            low = float(np.quantile(judged, REJECTED_SHARE))
+            out[digits] = min(low, (low + 1 / len(set(labels))) / 2)
+    return tuple(out)
 
 
 def predict(docs: DataFrame, model: Model, text_column: str = "text") -> DataFrame:
@@ -181,18 +226,25 @@ def predict(docs: DataFrame, model: Model, text_column: str = "text") -> DataFra
     return docs.select(*kept).mapInArrow(run, StructType([*fields, *added]))
 
 
-def score_rows(texts: list[str | None], model: Model) -> tuple[list[str], list[float]]:
-    names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+def _scored(texts: list[str | None], model: Model) -> list[tuple[int, int, float, int]]:
+    """(text number, language number, score, n-grams) of the texts with letters."""
     if not model.languages:
-        return names, scores
+        return []
     found = [(i, p) for i, t in enumerate(texts) if t and (p := presence(t)) is not None]
-    if found:
-        rows = np.array([p for _, p in found], np.float32)
-        results = (rows @ model.weights) / np.sqrt(rows.sum(axis=1, keepdims=True))
-        best = results.argmax(axis=1)
-        for (i, _), b, r in zip(found, best, results):
-            names[i] = model.languages[b]
-            scores[i] = float(min(1.0, max(0.0, round(float(r[b]), 6))))
+    if not found:
+        return []
+    rows = np.array([p for _, p in found], np.float32)
+    grams = rows.sum(axis=1, keepdims=True)
+    results = (rows @ model.weights) / np.sqrt(grams)
+    best = results.argmax(axis=1)
+    return [(i, b, float(r[b]), int(g)) for (i, _), b, r, (g,) in zip(found, best, results, grams)]
+
+
+def score_rows(texts: list[str | None], model: Model) -> tuple[list[str], list[float]]:
+    names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    for i, language, score, _ in _scored(texts, model):
+        names[i] = model.languages[language]
+        scores[i] = float(min(1.0, max(0.0, round(score, 6))))
     return names, scores
 
 
@@ -201,14 +253,25 @@ def held_out(id_column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_column).cast("string")) % 4 == 2, F.lit(False))
 
 
-def in_known_language(docs: DataFrame, model: Model, below: float = REJECTED_BELOW) -> DataFrame:
-    """The rows of `docs` that have letters and a best score of at least `below`."""
-    name, score = "lang_pred", "score"
-    if {name, score} & {c.lower() for c in docs.columns}:
-        renamed = {c: unused(docs.columns, f"own_{c}") for c in docs.columns if c.lower() in (name, score)}
-        judged = predict(docs.withColumnsRenamed(renamed), model)
-        back = {v: k for k, v in renamed.items()}
-        kept = judged.where((F.col(name) != UNKNOWN) & (F.col(score) >= below)).drop(name, score)
-        return kept.withColumnsRenamed(back)
-    judged = predict(docs, model)
-    return judged.where((F.col(name) != UNKNOWN) & (F.col(score) >= below)).drop(name, score)
+def in_known_language(
+    docs: DataFrame, model: Model, below: float = REJECTED_BELOW, text_column: str = "text"
+) -> DataFrame:
+    """The rows of `docs` that have letters and a best score of at least `below`.
+
+    The score must also reach the model's floor for texts of about as many n-grams.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        model = shared.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                known = np.zeros(part.num_rows, bool)
+                texts = part.column(part.schema.names.index(text_column)).to_pylist()
+                for i, _, score, grams in _scored(texts, model):
+                    floor = model.floors[grams.bit_length()] if model.floors else below
+                    known[i] = score >= max(below, floor)
+                yield part.filter(pa.array(known))
+
+    return docs.mapInArrow(run, docs.schema)

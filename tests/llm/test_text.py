@@ -190,6 +190,32 @@ def test_held_out_accuracy_and_edge_cases(spark):
     assert langid.predict(odd.limit(0), model).collect() == []
 
 
+UNLEARNED = [
+    "Wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw. Są oni obdarzeni rozumem i sumieniem "
+    "i powinni postępować wobec innych w duchu braterstwa.",
+    "Tutti gli esseri umani nascono liberi ed eguali in dignità e diritti. Essi sono dotati di ragione e di coscienza e "
+    "devono agire gli uni verso gli altri in spirito di fratellanza.",
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, "
+    "ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+    "Bütün insanlar hür, haysiyet ve haklar bakımından eşit doğarlar. Akıl ve vicdana sahiptirler ve birbirlerine karşı "
+    "kardeşlik zihniyeti ile hareket etmelidirler.",
+    "Tất cả mọi người sinh ra đều được tự do và bình đẳng về nhân phẩm và quyền lợi. Mọi con người đều được tạo hoá ban "
+    "cho lý trí và lương tâm và cần phải đối xử với nhau trong tình bằng hữu.",
+]
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_unlearned_languages_go_and_short_texts_stay(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet")
+    model = langid.fit(docs, ~langid.held_out())
+    short = ["the and of that", "les des une", "the of and that with these words"]
+    rows = [(i, t) for i, t in enumerate(UNLEARNED + short)]
+    stay = langid.in_known_language(docs_of(spark, rows), model)
+    assert key(r.doc_id for r in stay.collect()) == list(range(len(UNLEARNED), len(rows)))
+    clean = docs.where(langid.held_out() & docs.lang.isNotNull()).where("text rlike '[a-z]'")
+    assert langid.in_known_language(clean, model).count() >= 0.97 * clean.count()
+
+
 # --- Leaks ---------------------------------------------------------------------------------
 
 
