@@ -1,4 +1,4 @@
-"""Benchmark decontamination: CGK embeddings, position sampling and edit verification."""
+"""Benchmark decontamination: CGK embeddings, position sampling, unedited runs and edit verification."""
 
 from __future__ import annotations
 
@@ -18,6 +18,8 @@ MIN_WORDS = 5
 # Longer items are searched part by part, each part counting for the item.
 PART_WORDS = 400
 REPEATS = 6
+# Longest run of unedited words that is looked for.
+LONGEST_RUN = 8
 # Characters of items that are searched for in one pass over the documents.
 ITEM_CHARS_AT_ONCE = 2 << 20
 # Words of a document looked at in one go; longer ones in overlapping stretches.
@@ -70,6 +72,24 @@ def window_keys(hashes: np.ndarray, starts: np.ndarray, walk: Walk, repeat: int)
     return keys
 
 
+def unedited(count: int, distance: float) -> int:
+    """Words of a run that every passage at that distance of an item of `count` words still holds.
+
+    k edits part the others of its words into k + 1 runs at most.
+    """
+    edits = int(distance * count)
+    return max(1, min(LONGEST_RUN, -(-(count - edits) // (edits + 1))))
+
+
+def run_keys(hashes: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+    """Key of the `size` words from every start on."""
+    keys = np.zeros(len(starts), np.uint64)
+    for step in range(size):
+        keys = (keys ^ hashes[starts + step]) * np.uint64(0x9FB21C651E98DF25)
+        keys ^= keys >> np.uint64(28)
+    return keys
+
+
 def edit_distance_within(item: list[int], text: list[int]) -> int:
     """Least edit distance of `item` to any substring of `text` (bit-parallel, exact)."""
     size = len(item)
@@ -104,13 +124,13 @@ class Item:
 
 @dataclass
 class Index:
-    """Items of one pass and, by walk and repeat, the keys of all their windows."""
+    """Items of one pass, the keys of all their windows by walk and repeat, those of their runs by size."""
 
     items: list[Item] = field(default_factory=list)
-    tables: list[tuple[Walk, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
+    tables: list[tuple[Walk | None, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)
 
     @staticmethod
-    def build(rows: list[tuple[int | None, str | None]], repeats: int) -> Index:
+    def build(rows: list[tuple[int | None, str | None]], repeats: int, distance: float = DISTANCE) -> Index:
         index = Index()
         for item_id, text in rows:
             words = Words(text or "")
@@ -121,6 +141,7 @@ class Index:
                     index.items.append(Item(item_id, own, own.tolist()))
         for walk in WALKS:
             index._add(walk, repeats)
+        index._add_runs(distance)
         return index
 
     def _add(self, walk: Walk, repeats: int) -> None:
@@ -141,18 +162,30 @@ class Index:
         hashes, starts = np.concatenate(hashes), np.concatenate(starts)
         owners, offsets = np.concatenate(owners), np.concatenate(offsets)
         for repeat in range(repeats):
-            keys = window_keys(hashes, starts, walk, repeat)
-            order = np.argsort(keys, kind="stable")
-            present = np.zeros(1 << 20, bool)
-            present[keys & np.uint64((1 << 20) - 1)] = True
-            self.tables.append((walk, repeat, keys[order], owners[order], offsets[order], present))
+            self._keep(walk, repeat, window_keys(hashes, starts, walk, repeat), owners, offsets)
+
+    def _add_runs(self, distance: float) -> None:
+        sizes: dict[int, list[int]] = {}
+        for n, item in enumerate(self.items):
+            sizes.setdefault(unedited(len(item.hashes), distance), []).append(n)
+        for size, numbers in sorted(sizes.items()):
+            counts = [len(self.items[n].hashes) - size + 1 for n in numbers]
+            offsets = np.concatenate([np.arange(c) for c in counts])
+            keys = np.concatenate([run_keys(self.items[n].hashes, np.arange(c), size) for n, c in zip(numbers, counts)])
+            self._keep(None, size, keys, np.repeat(numbers, counts), offsets)
+
+    def _keep(self, walk: Walk | None, which: int, keys: np.ndarray, owners: np.ndarray, offsets: np.ndarray) -> None:
+        order = np.argsort(keys, kind="stable")
+        present = np.zeros(1 << 20, bool)
+        present[keys & np.uint64((1 << 20) - 1)] = True
+        self.tables.append((walk, which, keys[order], owners[order], offsets[order], present))
 
     def candidates(self, hashes: np.ndarray, starts_of) -> np.ndarray:
         """(document word, item number, item word) where a window's key is an item's."""
         out = []
-        for walk, repeat, keys, owners, offsets, present in self.tables:
-            starts = starts_of(walk)
-            own = window_keys(hashes, starts, walk, repeat)
+        for walk, which, keys, owners, offsets, present in self.tables:
+            starts = starts_of(walk.stride if walk else 1)
+            own = window_keys(hashes, starts, walk, which) if walk else run_keys(hashes, starts, which)
             maybe = np.flatnonzero(present[own & np.uint64((1 << 20) - 1)])
             low = np.searchsorted(keys, own[maybe])
             many = np.searchsorted(keys, own[maybe], side="right") - low
@@ -184,7 +217,7 @@ def _search(pending, index: Index, distance: float, best: dict) -> None:
     """Finds leaks in stretches of texts laid end to end, with gaps that walks end in."""
     if not index.tables:
         return
-    gap = max(w.steps for w in WALKS) + 1
+    gap = max(LONGEST_RUN, *(w.steps for w in WALKS)) + 1
     parts, bounds, at = [], [], 0
     for _, base, words in pending:
         # Windows of the next stretch begin where this one's starts end; the tail is shared.
@@ -195,8 +228,8 @@ def _search(pending, index: Index, distance: float, best: dict) -> None:
     hashes = np.concatenate(parts)
     origins = np.array([b[0] for b in bounds])
 
-    def starts_of(walk: Walk) -> np.ndarray:
-        return np.concatenate([np.arange(a, a + n, walk.stride) for a, n in bounds])
+    def starts_of(stride: int) -> np.ndarray:
+        return np.concatenate([np.arange(a, a + n, stride) for a, n in bounds])
 
     found = index.candidates(hashes, starts_of)
     if not len(found):
@@ -248,7 +281,9 @@ def leaks(
     """(id, item_id, distance, similarity): every item of which a document holds a passage.
 
     Words are runs of letters and digits, lower-cased; a passage counts if its edit distance
-    in words to the whole item is at most `distance` of the item's words.
+    in words to the whole item is at most `distance` of the item's words. Such a passage holds a
+    run of unedited words whose length follows from the item's; all these runs are looked for, so
+    every such passage is found.
     Each pass over the documents takes items of about `item_chars_at_once` characters with it,
     so what tasks hold is bounded; a larger benchmark takes more passes. Null texts are empty
     and match nothing, null ids are returned as null, repeated rows are searched each. Items
@@ -257,7 +292,7 @@ def leaks(
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     out = None
     for block in _blocks(items, item_column, item_text_column, item_chars_at_once):
-        shared = _shared(block, repeats)
+        shared = _shared(block, repeats, distance)
 
         def run(batches, shared=shared):
             index = shared.value
@@ -285,9 +320,9 @@ def leaks(
     return out
 
 
-def _shared(block: DataFrame, repeats: int):
+def _shared(block: DataFrame, repeats: int, distance: float):
     held = sorted(((r.id, r.text) for r in block.collect()), key=repr)
-    return block.sparkSession.sparkContext.broadcast(Index.build(held, repeats))
+    return block.sparkSession.sparkContext.broadcast(Index.build(held, repeats, distance))
 
 
 def without_leaks(
@@ -302,7 +337,7 @@ def without_leaks(
 ) -> DataFrame:
     """The rows of `docs`, all columns, that hold no passage of any item; nothing is shuffled."""
     for block in _blocks(items, item_column, item_text_column, item_chars_at_once):
-        shared = _shared(block, repeats)
+        shared = _shared(block, repeats, distance)
 
         def run(batches, shared=shared):
             for batch in batches:

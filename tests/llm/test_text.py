@@ -287,6 +287,22 @@ def test_long_texts_are_searched_in_stretches(monkeypatch):
     assert [x[:3] for x in decontaminate.leaks_in([text], index, 0.2)] == [(0, 0, 0)]
 
 
+def test_leaks_at_the_full_distance_are_all_found():
+    rng = random.Random(3)
+    texts, items = [], []
+    for n in [5, 7, 10, 12, 15, 20, 29, 40, 60] * 20:
+        item = [f"i{rng.randrange(10**6)}" for _ in range(n)]
+        passage = list(item)
+        for at in rng.sample(range(n), n // 5):
+            passage[at] = rng.choice(["", f"other{rng.randrange(99)}", passage[at] + " more"])
+        items.append((len(items), " ".join(item)))
+        texts.append(" ".join(f"w{rng.randrange(10**6)}" for _ in range(rng.randrange(50))) + " " + " ".join(passage) + " end" * 9)
+    found = decontaminate.leaks_in(texts, decontaminate.Index.build(items, 6), 0.2)
+    assert [x[:2] for x in found] == [(i, i) for i in range(len(items))]
+    for t, i, d, _ in found:
+        assert d == slow_distance(items[i][1].split(), texts[t].split()) <= len(items[i][1].split()) // 5
+
+
 # --- HTML ----------------------------------------------------------------------------------
 
 
