@@ -15,8 +15,6 @@ from quarryline.llm.words import Words, mixed
 DISTANCE = 0.2
 # Items of fewer words say too little to tell a leak from ordinary prose.
 MIN_WORDS = 5
-# Longer items are searched part by part, each part counting for the item.
-PART_WORDS = 400
 REPEATS = 6
 # Longest run of unedited words that is looked for.
 LONGEST_RUN = 8
@@ -134,11 +132,8 @@ class Index:
         index = Index()
         for item_id, text in rows:
             words = Words(text or "")
-            for at in range(0, len(words), PART_WORDS):
-                last = min(len(words), at + PART_WORDS)
-                if last - at >= MIN_WORDS:
-                    own = words.hashes[at:last]
-                    index.items.append(Item(item_id, own, own.tolist()))
+            if len(words) >= MIN_WORDS:
+                index.items.append(Item(item_id, words.hashes, words.hashes.tolist()))
         for walk in WALKS:
             index._add(walk, repeats)
         index._add_runs(distance)
@@ -235,17 +230,24 @@ def _search(pending, index: Index, distance: float, best: dict) -> None:
     if not len(found):
         return
     stretch = np.searchsorted(origins, found[:, 0], side="right") - 1
-    # Candidates of one item that begin near each other are one place.
+    # Candidates of one item that begin near each other are one place; items count whole, however long.
     first = found[:, 0] - origins[stretch] - found[:, 2]
-    places = np.unique(np.stack([stretch, found[:, 1], first // 4], axis=1), axis=0)
-    for s, number, quarter in places.tolist():
+    quarters = np.unique(np.stack([stretch, found[:, 1], first // 4], axis=1), axis=0)
+    counts = np.array([len(i.words) for i in index.items])
+    slacks = 4 + (counts * distance).astype(np.int64)
+    same = (np.diff(quarters[:, :2], axis=0) == 0).all(axis=1)
+    near = same & (4 * np.diff(quarters[:, 2]) <= slacks[quarters[1:, 1]])
+    heads = np.flatnonzero(np.append(True, ~near))
+    tails = np.append(heads[1:], len(quarters)) - 1
+    for (s, number, low), high in zip(quarters[heads].tolist(), quarters[tails, 2].tolist()):
         text, base, words = pending[s]
         item = index.items[number]
-        count = len(item.hashes)
-        slack = 4 + int(count * distance)
-        begin = max(0, base + quarter * 4 - slack)
-        end = min(len(words), base + quarter * 4 + 4 + count + slack)
-        passage, allowed = words.hashes[begin:end].tolist(), int(distance * count)
+        count, slack, allowed = len(item.words), int(slacks[number]), int(distance * len(item.words))
+        begin = max(0, base + low * 4 - slack)
+        end = min(len(words), base + high * 4 + 4 + count + slack)
+        if end - begin < count - allowed:
+            continue
+        passage = words.hashes[begin:end].tolist()
         # An edit breaks one word at most, so the others must be there.
         there = set(passage)
         if sum(w not in there for w in item.words) > allowed:

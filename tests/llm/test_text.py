@@ -303,6 +303,22 @@ def test_leaks_at_the_full_distance_are_all_found():
         assert d == slow_distance(items[i][1].split(), texts[t].split()) <= len(items[i][1].split()) // 5
 
 
+@pytest.mark.parametrize("size", [403, 405, 411, 900, 1700])
+def test_long_items_count_whole(size):
+    rng = random.Random(size)
+    item = [f"i{rng.randrange(10**6)}" for _ in range(size)]
+    around = lambda words: " ".join(["x"] * 50 + words + ["y"] * 50)
+    passage = list(item)
+    for at in rng.sample(range(size), size // 6):
+        passage[at] = rng.choice(["", "other", passage[at] + " more"])
+    tail = size % 400
+    texts = [around(item[-tail:]), around(item[:400]), around(item[: size // 2]), around(passage), around(item)]
+    index = decontaminate.Index.build([(1, " ".join(item))], 6)
+    found = {t: d for t, _, d, _ in decontaminate.leaks_in(texts, index, 0.2)}
+    assert set(found) == {3, 4} | ({1} if size < 500 else set()) and found[4] == 0
+    assert found[3] == slow_distance(item, texts[3].split()) if size < 500 else found[3] <= size // 5
+
+
 # --- HTML ----------------------------------------------------------------------------------
 
 
