@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.llm import (
+    centroid_clusters,
     decontaminate,
     exact_dedup,
     html_text,
+    impact_search,
     langid,
     packing,
     periodic_runs,
@@ -181,3 +183,72 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         periodic_runs.runs_digest(F.col("runs")).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query
+def op12_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return impact_search.top_k(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
+WHOLE_VECTORS = """
+numbers AS (
+  SELECT vec_id, embedding, list_transform(embedding, lambda x: floor(256 * CAST(x AS double))) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding))
+"""
+
+SQL["op12_exact_top_k"] = f"""
+WITH {WHOLE_VECTORS},
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS bigint) AS score
+  FROM numbers q JOIN numbers c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, CAST(rank AS integer) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+
+@query
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = centroid_clusters.clusters(table(spark, sf_dir, "embeddings"))
+    return found.withColumnRenamed("id", "vec_id")
+
+
+def _cluster_sql(count: int = 40, rounds: int = 5, dim: int = 64) -> str:
+    """k-means as one pair of common table expressions a round."""
+    steps = [
+        WHOLE_VECTORS.strip().removesuffix(")") + f" AND len(embedding) = {dim})",
+        f"""c0 AS (
+  SELECT CAST(row_number() OVER (ORDER BY key) - 1 AS integer) AS cluster, v
+  FROM (SELECT sha256('2:' || vec_id) AS key, v FROM numbers ORDER BY key LIMIT {count}))""",
+    ]
+    for r in range(rounds + 1):
+        steps.append(
+            f"""a{r} AS MATERIALIZED (
+  SELECT n.vec_id, n.v, min(struct_pack(
+           d := CAST(list_sum(list_transform(list_zip(n.v, c.v), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS bigint),
+           cluster := c.cluster)) AS near
+  FROM numbers n CROSS JOIN c{r} c GROUP BY n.vec_id, n.v)"""
+        )
+        if r < rounds:
+            steps.append(
+                f"""c{r + 1} AS MATERIALIZED (
+  SELECT c.cluster, coalesce(m.v, c.v) AS v
+  FROM c{r} c LEFT JOIN (
+    SELECT cluster, list(floor(total / n) ORDER BY place) AS v FROM (
+      SELECT near.cluster AS cluster, place, sum(v[place]) AS total, count(*) AS n
+      FROM a{r}, range(1, {dim + 1}) AS places(place) GROUP BY ALL)
+    GROUP BY cluster) m ON m.cluster = c.cluster)"""
+            )
+    return f"""
+WITH {", ".join(steps)}
+SELECT a.vec_id, a.near.cluster AS cluster, a.near.d AS distance,
+       CAST(sum(a.near.d) OVER (PARTITION BY a.near.cluster) AS bigint) AS cluster_inertia,
+       CAST(sum(a.near.d) OVER () AS bigint) AS inertia,
+       sha256(array_to_string(list_transform(c.v, lambda x: CAST(CAST(x AS bigint) AS varchar)), ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON c.cluster = a.near.cluster
+"""
+
+
+SQL["op13_centroid_clusters"] = _cluster_sql()
