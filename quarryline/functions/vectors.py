@@ -6,7 +6,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
@@ -14,6 +13,8 @@ from pyspark.sql import functions as F
 
 DISTANCE_DIGITS = 6
 QUERY_BLOCK = 256
+# Hits that a task gathers before it keeps the best of them.
+HITS_HELD = 1 << 20
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -56,40 +57,82 @@ def unit_rows(rows: np.ndarray) -> np.ndarray:
         return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def best_of(found: pd.DataFrame, k: int) -> pd.DataFrame:
-    """First k rows per query by distance, then chunk id."""
-    ordered = found.sort_values(["query_id", "distance", "chunk_id"], kind="stable")
-    return ordered.groupby("query_id", sort=False).head(k)
+class Nearest:
+    """The k nearest rows of every query among the blocks seen, ties by chunk id.
 
-
-def nearest_in(
-    query_ids: np.ndarray,
-    query_rows: np.ndarray,
-    rows: np.ndarray,
-    payload: pd.DataFrame,
-    k: int,
-    allowed: np.ndarray | None = None,
-) -> pd.DataFrame:
-    """The k nearest rows of one block for every query, ties by chunk id.
-
-    `allowed` marks the (query, row) pairs a filter lets through.
+    A running bound, the k-th best distance so far or the `bound` known before, keeps rows
+    that are no nearer from being gathered at all.
     """
-    parts = []
-    for start in range(0, len(query_ids), QUERY_BLOCK):
-        block = slice(start, start + QUERY_BLOCK)
-        distance = np.round(1.0 - query_rows[block] @ rows.T, DISTANCE_DIGITS)
-        distance[np.isnan(distance)] = np.inf
-        open_pairs = np.ones_like(distance, dtype=bool) if allowed is None else allowed[block]
-        ranked = np.where(open_pairs, distance, np.inf)
-        if rows.shape[0] > k:
-            limit = np.partition(ranked, k - 1, axis=1)[:, k - 1 : k]
-            open_pairs = open_pairs & (ranked <= limit)
-        which, where = np.nonzero(open_pairs)
-        part = payload.iloc[where].reset_index(drop=True)
-        part.insert(0, "query_id", query_ids[block][which])
-        part["distance"] = distance[which, where]
-        parts.append(best_of(part, k))
-    return pd.concat(parts, ignore_index=True)
+
+    def __init__(self, ids: np.ndarray, rows: np.ndarray, k: int, bound: np.ndarray | None = None):
+        self.ids, self.rows, self.k = ids, rows, k
+        self.bound = np.full(len(ids), np.inf) if bound is None else bound.copy()
+        self.held: list[pa.Table] = []
+        self.size = 0
+
+    def add(self, points: np.ndarray, payload: pa.RecordBatch, who: np.ndarray, allowed: np.ndarray | None = None):
+        """Measures the rows `points` for the queries numbered `who`.
+
+        `allowed` marks the (query, row) pairs a filter lets through.
+        """
+        for start in range(0, len(who), QUERY_BLOCK):
+            some = who[start : start + QUERY_BLOCK]
+            distance = np.round(1.0 - self.rows[some] @ points.T, DISTANCE_DIGITS)
+            # What has no direction is infinitely far, yet may fill up to k.
+            distance[np.isnan(distance)] = np.inf
+            near = distance <= self.bound[some][:, None]
+            if allowed is not None:
+                near &= allowed[start : start + QUERY_BLOCK]
+            many = np.flatnonzero(near.sum(axis=1) > self.k)
+            if len(many):
+                ranked = np.where(near[many], distance[many], np.inf)
+                limit = np.partition(ranked, self.k - 1, axis=1)[:, self.k - 1 : self.k]
+                near[many] &= distance[many] <= limit
+            which, where = np.nonzero(near)
+            if len(which):
+                self._hold(some[which], distance[which, where], payload, where)
+
+    def _hold(self, which: np.ndarray, distance: np.ndarray, payload: pa.RecordBatch, where: np.ndarray) -> None:
+        hits = pa.Table.from_batches([payload]).take(pa.array(where))
+        hits = hits.append_column("which", pa.array(which)).append_column("distance", pa.array(distance))
+        self.held.append(hits)
+        self.size += len(which)
+        if self.size > max(HITS_HELD, 4 * self.k * len(self.ids)):
+            self.settle()
+
+    def settle(self) -> pa.Table | None:
+        """Keeps the k best of every query; returns them."""
+        if not self.held:
+            return None
+        hits = pa.concat_tables(self.held).combine_chunks()
+        order = pc.sort_indices(
+            hits, [("which", "ascending"), ("distance", "ascending"), ("chunk_id", "ascending")]
+        ).to_numpy()
+        which = hits["which"].to_numpy()[order]
+        first = np.flatnonzero(np.append(True, which[1:] != which[:-1]))
+        place = np.arange(len(which)) - np.repeat(first, np.diff(np.append(first, len(which))))
+        order, place = order[place < self.k], place[place < self.k]
+        hits = hits.take(pa.array(order))
+        full = place == self.k - 1
+        owner, reached = hits["which"].to_numpy()[full], hits["distance"].to_numpy()[full]
+        self.bound[owner] = np.minimum(self.bound[owner], reached)
+        self.held, self.size = [hits], len(hits)
+        return hits
+
+    def hits(self, columns: list[str]) -> pa.RecordBatch | None:
+        """The rows kept, as (query_id, columns, distance); an infinite distance is null."""
+        found = self.settle()
+        if found is None:
+            return None
+        distance = found["distance"].to_numpy()
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(self.ids[found["which"].to_numpy()]),
+                *(found[c].combine_chunks() for c in columns),
+                pa.array(distance, mask=np.isinf(distance)),
+            ],
+            ["query_id", *columns, "distance"],
+        )
 
 
 def hyperplanes(dim: int, bits: int, seed: int) -> np.ndarray:

@@ -6,7 +6,6 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,15 +22,7 @@ FIRST_FLIPS = 1
 TARGET_RECALL = 0.95
 
 _HIT = "query_id long, chunk_id string, document_id string, sequence int, distance double"
-_HIT_SCHEMA = pa.schema(
-    [
-        ("query_id", pa.int64()),
-        ("chunk_id", pa.string()),
-        ("document_id", pa.string()),
-        ("sequence", pa.int32()),
-        ("distance", pa.float64()),
-    ]
-)
+PAYLOAD = ["chunk_id", "document_id", "sequence"]
 
 
 def _corpus(vectors: DataFrame, collection: str | None, model: str | None) -> DataFrame:
@@ -47,17 +38,12 @@ def _corpus(vectors: DataFrame, collection: str | None, model: str | None) -> Da
     return vectors.filter(F.col("embedding").isNotNull())
 
 
-def _payload(table: pa.RecordBatch) -> pd.DataFrame:
-    return table.select(["chunk_id", "document_id", "sequence"]).to_pandas(
-        types_mapper={pa.int32(): pd.Int32Dtype()}.get
-    )
-
-
-def _allowed(wanted: np.ndarray, documents: np.ndarray) -> np.ndarray | None:
+def _allowed(wanted: np.ndarray, documents: pa.Array) -> np.ndarray | None:
     """Pairs the per-query document filter lets through; None when no query filters."""
     filtered = np.array([w is not None for w in wanted])
     if not filtered.any():
         return None
+    documents = documents.to_numpy(zero_copy_only=False)
     return ~filtered[:, None] | (wanted[:, None] == documents[None, :])
 
 
@@ -85,11 +71,11 @@ def knn(
     def search(asked: pa.Table) -> DataFrame:
         return top_per_group(_knn_shipped(slim, asked, k), ["query_id"], order, k)
 
-    ranked = in_batches(_wanted(queries), max_shipped, search)
+    ranked = in_batches(wanted_queries(queries), max_shipped, search)
     return ranked.withColumn("relevance", vx.relevance(F.col("distance")))
 
 
-def _wanted(queries: DataFrame) -> DataFrame:
+def wanted_queries(queries: DataFrame) -> DataFrame:
     return queries.filter(F.col("embedding").isNotNull()).select(
         F.col("query_id").cast("long").alias("query_id"),
         "embedding",
@@ -131,28 +117,19 @@ def _knn_shipped(corpus: DataFrame, queries: pa.Table, k: int) -> DataFrame:
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         query_ids, query_rows, query_documents = sent.value
-        best = None
+        nearest, all_queries = vx.Nearest(query_ids, query_rows, k), np.arange(len(query_ids))
         for batch in batches:
             if not batch.num_rows:
                 continue
             points = vx.unit_rows(vx.matrix(batch.column("embedding"), query_rows.shape[1]))
-            payload = _payload(batch)
-            allowed = _allowed(query_documents, payload["document_id"].to_numpy(dtype=object))
-            found = vx.nearest_in(query_ids, query_rows, points, payload, k, allowed)
-            best = found if best is None else vx.best_of(pd.concat([best, found]), k)
-        if best is not None:
-            yield _hits(best)
+            allowed = _allowed(query_documents, batch.column("document_id"))
+            nearest.add(points, batch.select(PAYLOAD), all_queries, allowed)
+        if (hits := nearest.hits(PAYLOAD)) is not None:
+            yield hits
 
     return corpus.mapInArrow(search, _HIT)
 
 
-def _hits(found: pd.DataFrame) -> pa.RecordBatch:
-    found = found.assign(distance=found["distance"].replace(np.inf, np.nan))
-    return pa.RecordBatch.from_pandas(
-        found[_HIT_SCHEMA.names], schema=_HIT_SCHEMA, preserve_index=False
-    )
-
-
 def semantic_search(
     vectors: DataFrame,
     queries: DataFrame,
@@ -195,9 +172,14 @@ def metadata_predicate(*terms: tuple) -> Column:
     return combined
 
 
-def probed_buckets(signature: int, bits: int, flips: int) -> list[int]:
-    """The bucket itself and those at most `flips` bits away."""
-    return [b for b in range(1 << bits) if bin(b ^ signature).count("1") <= flips]
+def buckets_within(marks: np.ndarray, radius: np.ndarray, bits: int) -> list[int]:
+    """Buckets that differ from some signature in more than its lower and up to its upper radius."""
+    every, needed = np.arange(1 << bits), np.zeros(1 << bits, dtype=bool)
+    pairs = np.unique(np.column_stack([marks, radius]), axis=0)
+    for mark, low, high in pairs:
+        apart = np.bitwise_count(every ^ mark)
+        needed |= (apart > low) & (apart <= high)
+    return np.flatnonzero(needed).tolist()
 
 
 def flips_needed(distance: float | None, bits: int, recall: float) -> int:
@@ -246,7 +228,7 @@ def approximate_knn(
             return corpus.sparkSession.createDataFrame([], f"{_HIT}, rank int")
         return _approximate(corpus, shipped, k, bits, seed, flips, recall)
 
-    ranked = in_batches(_wanted(queries), max_shipped, search)
+    ranked = in_batches(wanted_queries(queries), max_shipped, search)
     return ranked.withColumn("relevance", vx.relevance(F.col("distance")))
 
 
@@ -264,18 +246,13 @@ def _approximate(
             shipped["document_id"].to_pylist(),
         )
     }
-    near = {query: set(probed_buckets(a[1], bits, flips)) for query, a in asked.items()}
-    first = _probe(indexed, asked, near, k, bits)
+    first = _probe(indexed, asked, {query: (-1, flips) for query in asked}, k, bits)
     reached = first.groupBy("query_id").agg(
         F.max(F.when(F.col("rank") == k, F.col("distance"))).alias("distance")
     )
     last = {row.query_id: row.distance for row in reached.collect()}
     needed = {query: flips_needed(last.get(query), bits, recall) for query in asked}
-    more = {
-        query: set(probed_buckets(asked[query][1], bits, n)) - near[query]
-        for query, n in needed.items()
-        if n > flips
-    }
+    more = {query: (flips, n) for query, n in needed.items() if n > flips}
     if not more:
         return first
     second = _probe(indexed, {q: asked[q] for q in more}, more, k, bits)
@@ -285,36 +262,33 @@ def _approximate(
 
 
 def _probe(
-    indexed: DataFrame, asked: dict, wanted: dict[int, set[int]], k: int, bits: int
+    indexed: DataFrame, asked: dict, wanted: dict[int, tuple[int, int]], k: int, bits: int
 ) -> DataFrame:
-    """Search of every query's wanted buckets; stored once."""
+    """Search of the buckets between two radii of every query; stored once."""
     ids = np.array(list(asked), dtype=np.int64)
     rows = np.array([row for row, *_ in asked.values()])
     documents = np.array([document for *_, document in asked.values()], dtype=object)
-    probes = np.zeros((len(ids), 1 << bits), dtype=bool)
-    for i, query in enumerate(asked):
-        probes[i, list(wanted[query])] = True
-    sent = indexed.sparkSession.sparkContext.broadcast((ids, rows, probes, documents))
+    marks = np.array([mark for _, mark, _ in asked.values()], dtype=np.int64)
+    radius = np.array([wanted[query] for query in asked], dtype=np.int64)
+    sent = indexed.sparkSession.sparkContext.broadcast((ids, rows, marks, radius, documents))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        query_ids, query_rows, query_probes, query_documents = sent.value
-        best = None
+        query_ids, query_rows, query_marks, query_radius, query_documents = sent.value
+        nearest, all_queries = vx.Nearest(query_ids, query_rows, k), np.arange(len(query_ids))
         for batch in batches:
             if not batch.num_rows:
                 continue
             points = vx.unit_rows(vx.matrix(batch.column("embedding"), query_rows.shape[1]))
-            payload = _payload(batch)
-            allowed = query_probes[:, batch.column("bucket").to_numpy()]
-            only = _allowed(query_documents, payload["document_id"].to_numpy(dtype=object))
+            apart = np.bitwise_count(query_marks[:, None] ^ batch.column("bucket").to_numpy()[None, :])
+            allowed = (apart > query_radius[:, :1]) & (apart <= query_radius[:, 1:])
+            only = _allowed(query_documents, batch.column("document_id"))
             if only is not None:
-                allowed = allowed & only
-            found = vx.nearest_in(query_ids, query_rows, points, payload, k, allowed)
-            best = found if best is None else vx.best_of(pd.concat([best, found]), k)
-        if best is not None:
-            yield _hits(best)
-
-    buckets = [int(b) for b in np.nonzero(probes.any(axis=0))[0]]
-    slim = indexed.filter(F.col("bucket").isin(buckets)).select(
+                allowed &= only
+            nearest.add(points, batch.select(PAYLOAD), all_queries, allowed)
+        if (hits := nearest.hits(PAYLOAD)) is not None:
+            yield hits
+
+    slim = indexed.filter(F.col("bucket").isin(buckets_within(marks, radius, bits))).select(
         "chunk_id",
         "document_id",
         F.col("sequence").cast("int").alias("sequence"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarryline.functions import text as fx
-from quarryline.operators import embed, fulltext, fusion, index, vector_search
+from quarryline.operators import embed, fulltext, fusion, index, vector_index, vector_search
 from quarryline.plans import corpus
 from quarryline.plans import search as searching
 from quarryline.plans.registry import check
@@ -89,14 +89,11 @@ def ix1_stored(t):
     )
 
 
-# A stored index of as many buckets as the corpus asks for; every query has k hits and recall.
-@check(
-    "ix2_approximate_knn",
-    f"""SELECT query_id, count(*) FILTER (WHERE rank <= {K}) = {K} AS full_k, true AS exact_distances
-    FROM ({knn_sql()}) x GROUP BY query_id""",
-)
-def ix2(t):
-    found, exact = _approximate(t)
+FULL_K_SQL = f"""SELECT query_id, count(*) FILTER (WHERE rank <= {K}) = {K} AS full_k, true AS exact_distances
+    FROM ({knn_sql()}) x GROUP BY query_id"""
+
+
+def _full_k(found, exact):
     both = found.join(exact.select("query_id", "chunk_id", F.col("distance").alias("true")), ["query_id", "chunk_id"], "left")
     return both.groupBy("query_id").agg(
         (F.count("*") == K).alias("full_k"),
@@ -104,25 +101,64 @@ def ix2(t):
     )
 
 
-@check("ix2_recall", "SELECT true AS reached, count(*) AS queries FROM queries")
-def ix2_recall(t):
-    found, exact = _approximate(t)
+def _reached(found, exact, share):
     shared = exact.join(found.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_semi")
     both = exact.select("query_id", F.lit(0).alias("hit")).unionByName(shared.select("query_id", F.lit(1).alias("hit")))
     return both.agg(
-        (F.sum("hit") >= 0.9 * F.count_if(F.col("hit") == 0)).alias("reached"),
+        (F.sum("hit") >= share * F.count_if(F.col("hit") == 0)).alias("reached"),
         F.countDistinct("query_id").alias("queries"),
     )
 
 
-def _approximate(t):
+def _exact(t):
+    return vector_search.knn(t.vectors, t.queries, K, collection="rag_chunks_v1")
+
+
+def cell_index(t):
+    """A stored index with as many cells as the corpus asks for."""
+    path = fresh_path(t.spark, "cells")
+    vector_index.write(t.vectors, vector_index.fit(t.vectors), path)
+    return vector_index.read(t.spark, path)
+
+
+# Every query has k hits, with exact distances, and nearly all of the nearest.
+@check("ix2_approximate_knn", FULL_K_SQL)
+def ix2(t):
+    return _full_k(vector_index.search(cell_index(t), t.queries, K, collection="rag_chunks_v1"), _exact(t))
+
+
+@check("ix2_recall", "SELECT true AS reached, count(*) AS queries FROM queries")
+def ix2_recall(t):
+    return _reached(vector_index.search(cell_index(t), t.queries, K, collection="rag_chunks_v1"), _exact(t), 0.95)
+
+
+# The same index, all rows but those that bounds rule out.
+@check(
+    "ix2_bounded_knn",
+    f"SELECT query_id, chunk_id, distance, rank FROM ({knn_sql()}) x WHERE rank <= {K}",
+)
+def ix2_bounded(t):
+    hits = vector_index.search(cell_index(t), t.queries, K, collection="rag_chunks_v1", recall=None)
+    return hits.select("query_id", "chunk_id", "distance", F.col("rank").cast("long").alias("rank"))
+
+
+# The other index: signatures, with as many buckets as the corpus asks for.
+@check("ix2_signature_knn", FULL_K_SQL)
+def ix2_signatures(t):
+    return _full_k(_by_signature(t), _exact(t))
+
+
+@check("ix2_signature_recall", "SELECT true AS reached, count(*) AS queries FROM queries")
+def ix2_signature_recall(t):
+    return _reached(_by_signature(t), _exact(t), 0.9)
+
+
+def _by_signature(t):
     vectors = t.vectors.filter("collection = 'rag_chunks_v1'")
     bits = index.bits_for(vectors.count())
     path = fresh_path(t.spark, "buckets")
     index.write_buckets(index.with_buckets(vectors, bits), path)
-    stored = t.spark.read.parquet(path)
-    found = vector_search.approximate_knn(stored, t.queries, K, collection="rag_chunks_v1", bits=bits)
-    return found, vector_search.knn(t.vectors, t.queries, K, collection="rag_chunks_v1")
+    return vector_search.approximate_knn(t.spark.read.parquet(path), t.queries, K, collection="rag_chunks_v1", bits=bits)
 
 
 @check(

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarryline.operators import fulltext, fusion, index, vector_search
+from quarryline.operators import fulltext, fusion, index, vector_index, vector_search
+from quarryline.session import fresh_path
 
 SF = "/root/testdata/sf0.001"
 VECTORS = "chunk_id string, document_id string, sequence int, collection string, model_name string, embedding array<float>"
@@ -115,6 +116,90 @@ def test_clustered_vectors_need_few_buckets_and_short_queries_many(spark):
     assert vector_search.flips_needed(None, 8, 0.95) == 8
 
 
+def indexed(spark, table, cells=None, **options):
+    path = fresh_path(spark, "cells")
+    vector_index.write(table, vector_index.fit(table, cells), path, **options)
+    return path, vector_index.read(spark, path)
+
+
+def clustered(seed, centres=9, each=40, dim=8):
+    rng = np.random.default_rng(seed)
+    middle = rng.standard_normal((centres, dim))
+    points = np.repeat(middle, each, axis=0) + 0.1 * rng.standard_normal((centres * each, dim))
+    asked = middle + 0.1 * rng.standard_normal((centres, dim))
+    return points.astype(np.float32).astype(float), asked.astype(np.float32).astype(float)
+
+
+@pytest.mark.parametrize("shipped", [100, 4])
+def test_cells_with_bounds_are_exact(spark, shipped):
+    points, asked = clustered(1)
+    points[::3] = points[0]
+    asked = np.vstack([asked, points[:1]])
+    documents = [None, "d1", None, "d2", "nowhere", *[None] * 5]
+    _, opened = indexed(spark, vectors_of(spark, points), 7, files_per_cell=2)
+    hits = vector_index.search(
+        opened, queries_of(spark, asked, documents), 7, collection="c", recall=None, max_shipped=shipped
+    )
+    assert found(hits) == brute(points, asked, 7, documents)
+
+
+def test_cells_reach_recall_and_read_few_partitions(spark):
+    points, asked = clustered(2)
+    _, opened = indexed(spark, vectors_of(spark, points))
+    assert len(opened.model.centroids) == index_cells(360) and opened.sizes["c"].sum() == 360
+    near = vector_index.search(opened, queries_of(spark, asked), 10, collection="c")
+    exact = brute(points, asked, 10)
+    assert len(found(near)) == 90 and len(found(near) & exact) >= 85
+    one = vector_index.search(opened, queries_of(spark, asked[:1]), 10, collection="c")
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    filters = plan[plan.index("PartitionFilters") :].split("]")[0]
+    assert "collection" in filters and "cell" in filters
+    read = {f.split("cell=")[1].split("/")[0] for f in one.inputFiles() if "cell=" in f}
+    assert read and filters.count("cell") and len(filters) < 2000
+
+
+def index_cells(rows):
+    return vector_index.cells_for(rows)
+
+
+def test_bounds_rule_out_cells_and_rows(spark):
+    points, asked = clustered(3, centres=20, each=50)
+    _, opened = indexed(spark, vectors_of(spark, points), 20)
+    batch = vector_index._Asked(
+        opened, queries_of(spark, asked).withColumn("document_id", F.lit(None).cast("string")).toArrow(), "c"
+    )
+    first = batch.nearest_cells(5, 1)
+    assert first.sum(axis=1).max() <= 2
+    bound = np.sort(1 - batch.unit @ (points / np.linalg.norm(points, axis=1, keepdims=True)).T, axis=1)[:, 4]
+    bound = np.round(bound, 6)
+    left = batch.scan(np.ones_like(first), 5, bound).count()
+    assert 5 * len(asked) <= left <= 6 * len(asked)
+    possible = batch.far - batch.reach <= np.sqrt(2 * (bound + vector_index.SLACK))[:, None]
+    assert possible.sum() < 0.3 * possible.size
+
+
+def test_cell_index_of_odd_rows(spark):
+    points, asked = clustered(4, centres=3, each=10)
+    points[5] = 0.0
+    table = vectors_of(spark, points).unionByName(vectors_of(spark, points[:4], collection="other"))
+    nulls = table.limit(2).withColumn("embedding", F.lit(None).cast("array<float>"))
+    path, opened = indexed(spark, table.unionByName(nulls), 4)
+    assert opened.sizes["c"].sum() == 30 and opened.sizes["other"].sum() == 4
+    wanted = queries_of(spark, asked)
+    for recall in (0.95, None):
+        assert vector_index.search(opened, wanted, 50, collection="c", recall=recall).count() == 90
+        assert vector_index.search(opened, wanted, 50, collection="other", recall=recall).count() == 12
+        assert vector_index.search(opened, wanted, 5, collection="absent", recall=recall).count() == 0
+        assert vector_index.search(opened, wanted.limit(0), 5, collection="c", recall=recall).count() == 0
+    vector_index.write(vectors_of(spark, points[:4], collection="c").withColumn("chunk_id", F.concat(F.lit("n"), "chunk_id")), opened.model, path)
+    assert vector_index.read(spark, path).sizes["c"].sum() == 34
+    vector_index.write(vectors_of(spark, points[:4], model="b"), opened.model, path)
+    with pytest.raises(ValueError):
+        vector_index.read(spark, path)
+    empty = vectors_of(spark, points).limit(0)
+    assert vector_index.fit(empty).dim == 0
+
+
 def test_similarity_branches(one):
     from quarryline.functions.vectors import relevance, similarity
 
