@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarryline.functions import text as fx
-from quarryline.operators import embed, fulltext, fusion, index, vector_index, vector_search
+from quarryline.operators import blocks, embed, fulltext, fusion, index, vector_index, vector_search
 from quarryline.plans import corpus
 from quarryline.plans import search as searching
 from quarryline.plans.registry import check
@@ -242,6 +242,34 @@ def rt5(t):
     return hits.select("query_id", "chunk_id", "document_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
+# The same from blocks, most of which their bounds skip.
+@check(
+    "rt5_block_search",
+    f"""WITH {fts_sql('line_chunks', 'word_queries', ONLY)}
+    SELECT query_id, chunk_id, document_id, score, rank FROM fts_ranked WHERE rank <= {K}""",
+)
+def rt5_blocks(t):
+    hits = blocks.search(_blocks(t.line_chunks), t.word_queries, K)
+    return hits.select("query_id", "chunk_id", "document_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@check(
+    "rt5_block_search_several_terms",
+    f"""WITH {fts_sql('line_chunks', 'pair_queries')}
+    SELECT query_id, chunk_id, document_id, score, rank FROM fts_ranked WHERE rank <= {K}""",
+)
+def rt5_blocks_several(t):
+    hits = blocks.search(_blocks(t.line_chunks), t.pair_queries, K)
+    return hits.select("query_id", "chunk_id", "document_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+def _blocks(chunks):
+    """The block index of a chunk table, stored once."""
+    path = fresh_path(chunks.sparkSession, "blocks")
+    blocks.write_blocks(blocks.blocks(_postings(chunks)), path)
+    return blocks.read_blocks(chunks.sparkSession, path)
+
+
 @check(
     "rt6_fulltext_hits",
     f"""WITH {fts_sql('line_chunks', 'word_queries')}

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarryline.operators import fulltext, fusion, index, vector_index, vector_search
+from quarryline.operators import blocks, fulltext, fusion, index, vector_index, vector_search
 from quarryline.session import fresh_path
 
 SF = "/root/testdata/sf0.001"
@@ -293,3 +293,73 @@ def test_unknown_search_options_raise(spark):
         fusion.fuse([], mode="other")
     with pytest.raises(ValueError):
         vector_search.predicate("a", "like", 1)
+
+
+def made_chunks(spark, seed, count=900):
+    rng = np.random.default_rng(seed)
+    words = [f"w{i}" for i in range(40)]
+    weight = 1 / np.arange(1, 41)
+    texts = [
+        " ".join(["hot"] * int(rng.integers(0, 4)) + list(rng.choice(words, rng.integers(1, 30), p=weight / weight.sum())))
+        for _ in range(count)
+    ]
+    return chunks_of(spark, texts)
+
+
+def blocked(spark, chunks, size):
+    path = fresh_path(spark, "blocks")
+    stored = fresh_path(spark, "postings")
+    index.postings(chunks).write.parquet(stored)
+    blocks.write_blocks(blocks.blocks(spark.read.parquet(stored), size, 16), path)
+    return blocks.read_blocks(spark, path)
+
+
+def test_block_search_gives_the_rows_of_the_plain_search(spark):
+    chunks = made_chunks(spark, 1)
+    table = blocked(spark, chunks, 16)
+    rows = [
+        (1, "hot", None), (2, "w0 w1", None), (3, "w0 w1 w2 w3", None), (4, "w30", None), (5, "w5 absent", None),
+        (6, "the of", None), (7, "hot w0", "d7"), (8, "w39 w38", None), (9, "w0", "d11"), (10, "w1 hot w2", None),
+    ]
+    asked = spark.createDataFrame(rows, "query_id long, text string, document_id string")
+    for queries in (asked, asked.drop("document_id")):
+        plain = fulltext.search(index.postings(chunks), queries, 6)
+        want = {(r.query_id, r.chunk_id, r.document_id, r.score, r.rank) for r in plain.collect()}
+        for at_once in (0, 10**9):
+            got = blocks.search(table, queries, 6, buckets=16, first_blocks=2, at_once=at_once)
+            assert {(r.query_id, r.chunk_id, r.document_id, r.score, r.rank) for r in got.collect()} == want
+    none = blocks.search(table, asked.limit(0), 6, buckets=16)
+    assert none.count() == 0
+
+
+def test_blocks_are_bounded_and_skipped(spark):
+    chunks = made_chunks(spark, 2)
+    table = blocked(spark, chunks, 16)
+    whole = index.postings(chunks)
+    assert table.agg(F.sum("n"), F.max("n")).first()[:] == (whole.count(), 16)
+    entries = table.select("term", "tf", "first_chunk", F.explode("entries").alias("e"))
+    assert entries.filter("size(e.positions) <> tf or e.chunk_id < first_chunk").count() == 0
+    asked = spark.createDataFrame([(1, "hot"), (2, "w0"), (3, "w0 w1")], "query_id long, text string")
+    terms = fulltext.query_terms(asked)
+    planned = blocks.planned_blocks(table, terms)
+    first = blocks.scored(table, terms, planned.filter("place <= 2"))
+    order = [F.col("score").desc(), F.col("chunk_id")]
+    best = blocks.top_per_group(first, ["query_id"], order, 5)
+    rest = planned.filter("place > 2")
+    needed = {r.query_id: r.n for r in blocks.needed_blocks(rest, best, 5).groupBy("query_id").agg(F.count("*").alias("n")).collect()}
+    there = {r.query_id: r.n for r in rest.groupBy("query_id").agg(F.count("*").alias("n")).collect()}
+    assert there[1] > 25 and needed.get(1, 0) <= 1
+    assert there[2] > 20 and needed.get(2, 0) <= there[2] / 4
+
+
+def test_no_chunk_scores_over_its_bound(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for n in range(200):
+        spots = rng.permutation(24)[: rng.integers(2, 20)] + 1
+        owner = rng.integers(0, 1 + n % 4, len(spots))
+        rows.append((n, [sorted(int(s) for s, o in zip(spots, owner) if o == t) for t in sorted(set(owner))]))
+    table = spark.createDataFrame(rows, "n int, places array<array<int>>")
+    least = F.array_min(F.transform("places", lambda p: F.size(p)))
+    over = table.filter(fulltext.cover_density(F.col("places")) > blocks.bound(F.size("places"), least))
+    assert over.count() == 0
