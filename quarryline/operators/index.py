@@ -164,16 +164,19 @@ def vector_rows(chunks: DataFrame, collection: str = DEFAULT_COLLECTION) -> Data
 def upsert(existing: DataFrame, incoming: DataFrame, key: str = "chunk_id") -> DataFrame:
     """Existing rows whose key does not come in, and all incoming rows.
 
-    Of several incoming rows with one key the one with the greatest content hash stays,
-    chosen by a combined aggregate.
+    Of several incoming rows with one key the one with the greatest content hash stays, of equal
+    ones that with the greatest metadata as sorted text, chosen by a combined aggregate.
     """
     columns = existing.columns
+    order = [F.xxhash64(*[c for c in columns if c not in (key, "metadata")])]
+    if "metadata" in columns:
+        order.append(F.to_json(F.array_sort(F.map_entries("metadata"))))
     latest = (
         incoming.groupBy(key)
         .agg(
             F.max_by(
                 F.struct(*[c for c in columns if c != key]),
-                F.xxhash64(*[c for c in columns if c not in (key, "metadata")]),
+                F.struct(*order),
             ).alias("_row")
         )
         .select(key, "_row.*")

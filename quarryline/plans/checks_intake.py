@@ -8,7 +8,7 @@ from quarryline.functions import text as fx
 from quarryline.operators import chunk, embed, index, intake
 from quarryline.plans.registry import Tables, check
 from quarryline.session import fresh_path
-from quarryline.sources import readers, writers
+from quarryline.sources import readers, store, writers
 
 B = fx.BLANKS
 WORD = f"[^{fx.BLANK_CLASS}]+"
@@ -150,15 +150,30 @@ def sk2_entries(t):
     )
 
 
-@check(
-    "sk3_vector_upsert",
-    """
+SK3_SQL = """
     SELECT coalesce(n.chunk_id, v.chunk_id) AS chunk_id,
       CASE WHEN n.chunk_id IS NULL THEN 'old' ELSE 'new' END AS version,
       coalesce(cast(n.sequence as string), '-') AS meta_sequence
-    FROM vectors v FULL JOIN (SELECT * FROM doc_chunks) n ON n.chunk_id = v.chunk_id""",
-)
+    FROM vectors v FULL JOIN (SELECT * FROM doc_chunks) n ON n.chunk_id = v.chunk_id"""
+
+
+@check("sk3_vector_upsert", SK3_SQL)
 def sk3(t):
+    old, new = _vector_versions(t)
+    return _versions(writers.rewrite_vectors(old, new, fresh_path(t.spark, "vectors")))
+
+
+# The same on a stored table in buckets of the document.
+@check("sk3_bucketed_upsert", SK3_SQL)
+def sk3_buckets(t):
+    old, new = _vector_versions(t)
+    path = fresh_path(t.spark, "vector-store")
+    store.create(old, path, "document_id", 16)
+    store.upsert(t.spark, path, new)
+    return _versions(store.read(t.spark, path))
+
+
+def _vector_versions(t):
     old = t.vectors.select(
         "chunk_id", "document_id", "sequence", "collection", "model_name",
         F.lit("old").alias("content"), F.create_map(F.lit("version"), F.lit("old")).alias("metadata"), "embedding",
@@ -169,7 +184,10 @@ def sk3(t):
         .withColumn("metadata", F.create_map(F.lit("version"), F.lit("new"), F.lit("sequence"), F.lit("x")))
         .withColumn("embedding", F.array(F.lit(0.0).cast("float")))
     )
-    merged = writers.rewrite_vectors(old, new, fresh_path(t.spark, "vectors"))
+    return old, new
+
+
+def _versions(merged):
     return merged.select(
         "chunk_id",
         F.col("metadata")["version"].alias("version"),

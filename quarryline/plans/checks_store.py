@@ -11,6 +11,7 @@ from quarryline.plans.checks_intake import _manifests
 from quarryline.plans.checks_parse import ALL_CHUNKS_SQL, CHUNK_ID_SQL
 from quarryline.plans.registry import check
 from quarryline.session import fresh_path
+from quarryline.sources import store
 from quarryline.streaming import dedup, ingest, spend
 
 WORD = f"[^{fx.BLANK_CLASS}]+"
@@ -214,6 +215,43 @@ def ct7(t):
     return out
 
 
+# Stored tables in buckets: only those of the deleted documents are read and rewritten.
+@check(
+    "ct7_stored_cascade",
+    """WITH gone AS (SELECT id FROM catalog WHERE status = 'failed')
+    SELECT 'catalog' AS name, id FROM catalog WHERE id NOT IN (SELECT id FROM gone)
+    UNION ALL SELECT 'chunks', chunk_id FROM line_chunks WHERE document_id NOT IN (SELECT id FROM gone)
+    UNION ALL SELECT 'vectors', chunk_id FROM vectors WHERE document_id NOT IN (SELECT id FROM gone)""",
+)
+def ct7_stored(t):
+    rows = _catalog(t)
+    tables = {"catalog": (rows, "id"), "chunks": (t.line_chunks, "document_id"), "vectors": (t.vectors, "document_id")}
+    paths = {name: fresh_path(t.spark, f"{name}-store") for name in tables}
+    for name, (table, by) in tables.items():
+        store.create(table, paths[name], by, 16)
+    doomed = rows.filter("status = 'failed'").select("id")
+    store.delete_cascade(t.spark, doomed, paths["catalog"], [paths["vectors"], paths["chunks"]])
+    out = None
+    for name, key in (("catalog", "id"), ("chunks", "chunk_id"), ("vectors", "chunk_id")):
+        part = store.read(t.spark, paths[name]).select(F.lit(name).alias("name"), F.col(key).alias("id"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@check(
+    "ct5_stored_updates",
+    """SELECT id, CASE WHEN doc_id % 97 = 0 THEN 'indexed' ELSE status END AS status,
+      CASE WHEN doc_id % 97 = 0 THEN 1800000000 ELSE updated_s END AS updated_s FROM catalog""",
+)
+def ct5_stored(t):
+    rows = _catalog(t)
+    path = fresh_path(t.spark, "catalog-store")
+    store.create(rows, path, "id", 16)
+    changes = rows.filter("doc_id % 97 = 0").select("id", F.lit("indexed").alias("status"))
+    store.update(t.spark, path, changes, F.timestamp_seconds(F.lit(1800000000)))
+    return store.read(t.spark, path).select("id", "status", F.unix_seconds("updated_at").alias("updated_s"))
+
+
 @check(
     "ct7_conversation_cascade",
     """WITH gone AS (SELECT DISTINCT conversation_id AS id FROM messages WHERE role = 'assistant' AND length(content) > 200)

@@ -27,12 +27,15 @@ def build_session(master: str | None = None, **conf: str) -> SparkSession:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``; where unset, one in the warehouse.
+    """The shared folder named in ``spark.checkpoint.dir``.
 
-    Both are folders that the driver and all executors reach.
+    A session on one machine may do without: there it is a folder in the warehouse. On a cluster
+    that could be a folder that executors do not reach, so the setting is required.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
         folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/work"
     return folder
 
@@ -48,3 +51,9 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = fresh_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder in whatever file system it lies."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
