@@ -502,8 +502,28 @@ def _finished(stream, path, checkpoint, mode="append"):
     ACCEPTED_SQL + " SELECT request_id FROM accepted",
 )
 def st2(t):
+    target = fresh_path(t.spark, "accepted")
+    dedup.accept_first_stream(_request_stream(t), target, fresh_path(t.spark, "accepted-checkpoint")).awaitTermination()
+    return dedup.accepted_rows(t.spark, target).select("request_id")
+
+
+# The same with state and timers per key.
+@check("st2_keyed_requests", ACCEPTED_SQL + " SELECT request_id FROM accepted")
+def st2_keyed(t):
+    target = fresh_path(t.spark, "keyed")
+    store_class = "spark.sql.streaming.stateStore.providerClass"
+    before = t.spark.conf.get(store_class)
+    t.spark.conf.set(store_class, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        _finished(dedup.accept_first_keyed(_request_stream(t)), target, fresh_path(t.spark, "keyed-checkpoint"))
+    finally:
+        t.spark.conf.set(store_class, before)
+    return t.spark.read.schema("key string, request_id long, ts timestamp").parquet(target).select("request_id")
+
+
+def _request_stream(t):
+    """Requests in three batches, in the order of time."""
     asked = _requests(t).select("key", "request_id", "ts")
-    # Three batches, in the order of time.
     source = fresh_path(t.spark, "requests")
     ends = asked.select(F.percentile_approx(F.unix_micros(F.col("ts").cast("timestamp")), [0.33, 0.66]).alias("e")).first().e
     at = F.unix_micros(F.col("ts").cast("timestamp"))
@@ -511,11 +531,7 @@ def st2(t):
         part = asked if low is None else asked.filter(at > low)
         part = part if high is None else part.filter(at <= high)
         part.coalesce(1).write.mode("append").parquet(source)
-    schema = "key string, request_id long, ts timestamp"
-    rows = t.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-    target = fresh_path(t.spark, "accepted")
-    dedup.accept_first_stream(rows, target, fresh_path(t.spark, "accepted-checkpoint")).awaitTermination()
-    return dedup.accepted_rows(t.spark, target).select("request_id")
+    return t.spark.readStream.schema("key string, request_id long, ts timestamp").option("maxFilesPerTrigger", 1).parquet(source)
 
 
 @check("st2_streamed_repeats", ACCEPTED_SQL + " SELECT key, count(DISTINCT key) AS kept FROM keyed GROUP BY key")

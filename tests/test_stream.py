@@ -73,3 +73,61 @@ def test_streamed_requests_follow_the_batch_rule_over_several_batches(spark):
     run()
     want = {r.request_id for r in accept_first(rows).filter("accepted").collect()}
     assert {r.request_id for r in dedup.accepted_rows(spark, target).collect()} == want
+
+
+def requests_of(spark):
+    return spark.range(1500).select(
+        F.when(F.col("id") % 3 == 0, "hot").otherwise((F.col("id") % 11).cast("string")).alias("key"),
+        F.col("id").alias("request_id"),
+        F.timestamp_seconds(F.col("id") * 37 + 1_000_000).alias("ts"),
+    )
+
+
+def test_a_batch_reads_the_state_of_the_one_before_and_no_output(spark):
+    from quarryline.operators.requests import accept_first
+    from quarryline.streaming import dedup
+
+    rows = requests_of(spark)
+    source, target, checkpoint = (fresh_path(spark, n) for n in ("requests", "accepted", "checkpoint"))
+    got = set()
+    for number, low in enumerate(range(0, 1500, 500)):
+        rows.filter(F.col("request_id").between(low, low + 499)).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema("key string, request_id long, ts timestamp").parquet(source)
+        dedup.accept_first_stream(stream, target, checkpoint, keep_seconds=7200).awaitTermination()
+        output = f"{target}/batch={number}"
+        got |= {r.request_id for r in spark.read.parquet(output).collect()}
+        # What was accepted is not looked at again.
+        spark.createDataFrame([], "key string, request_id long, ts timestamp").write.mode("overwrite").parquet(output)
+    assert got == {r.request_id for r in accept_first(rows).filter("accepted").collect()}
+    state = spark.read.parquet(f"{target}/_state/batch=2")
+    spread = state.agg(F.unix_seconds(F.max("last")) - F.unix_seconds(F.min("last")), F.count("*")).first()
+    assert spread[0] < 7200 and 0 < spread[1] <= 12
+
+
+def test_keyed_state_follows_the_batch_rule_and_is_cleared(spark):
+    from quarryline.operators.requests import accept_first
+    from quarryline.streaming import dedup
+
+    rows = requests_of(spark)
+    once = rows.unionByName(spark.createDataFrame([("once", 5000, 1_000_000)], "key string, request_id long, s long").select("key", "request_id", F.timestamp_seconds("s").alias("ts")))
+    source, target, checkpoint = (fresh_path(spark, n) for n in ("requests", "keyed", "checkpoint"))
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for low in range(0, 1500, 500):
+            part = once.filter(F.col("ts").between(F.timestamp_seconds(F.lit(low * 37 + 1_000_000)), F.timestamp_seconds(F.lit((low + 499) * 37 + 1_000_000))))
+            part.orderBy(F.rand(1)).coalesce(1).write.mode("append").parquet(source)
+            stream = spark.readStream.schema("key string, request_id long, ts timestamp").parquet(source)
+            query = dedup.accept_first_keyed(stream).writeStream.option("checkpointLocation", checkpoint).trigger(
+                availableNow=True
+            ).format("parquet").start(target)
+            query.awaitTermination()
+        left = spark.read.format("statestore").option("stateVarName", "last").load(checkpoint)
+        keys = {r.key.key for r in left.collect()}
+    finally:
+        spark.conf.set(provider, before)
+    got = [r.request_id for r in spark.read.parquet(target).collect()]
+    want = {r.request_id for r in accept_first(once).filter("accepted").collect()}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert "once" not in keys and "hot" in keys
