@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions import text as fx
+from quarryline.session import materialise
 
 # USD per token.
 UNIT_PRICE_IN = "0.000015"
 UNIT_PRICE_OUT = "0.000060"
 _PRICE = "decimal(12,6)"
+EVENTS_PER_RANGE = 100_000
 
 
 def price(column: Column | None, default: str) -> Column:
@@ -111,67 +113,74 @@ def _totals() -> list[Column]:
     ]
 
 
-def _bucket_sums(events: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Spend per key and minute, with the key's spend before that minute."""
-    before = Window.partitionBy(*keys).orderBy("minute").rowsBetween(Window.unboundedPreceding, -1)
+def _ranged(events: DataFrame, tenant: str) -> DataFrame:
+    """Events with their month and `_range`: ranges of (tenant, ts, id) of about equal size, stored.
+
+    The cut is by the whole order of a tenant's events, so neither a tenant with a third of all
+    events nor a minute with all of one tenant's fills a task.
+    """
+    ranges = max(1, -(-events.count() // EVENTS_PER_RANGE))
+    placed = events.withColumn("month", F.date_trunc("month", "ts"))
+    dealt = placed.repartitionByRange(ranges, tenant, "ts", "id").withColumn("_range", F.spark_partition_id())
+    return materialise(dealt, "spend-ranges")
+
+
+def _range_sums(ranged: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Spend per key and range, with the key's spend in the ranges before: a row per range."""
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     return (
-        events.groupBy(*keys, "minute")
+        ranged.groupBy(*keys, "_range")
         .agg(F.sum("cost_total_usd").alias("spent"))
         .withColumn("spent_before", F.coalesce(F.sum("spent").over(before), F.lit(0)))
     )
 
 
-def _periods(events: DataFrame, tenant: str) -> DataFrame:
-    return events.withColumn("month", F.date_trunc("month", "ts")).withColumn(
-        "minute", F.date_trunc("minute", "ts")
-    )
-
-
 def running_spend(events: DataFrame, tenant: str = "tenant") -> DataFrame:
-    """Month-to-date spend of the tenant after each event.
+    """Month-to-date spend of the tenant after each event, by (ts, id).
 
-    Minutes are summed first and only summed minutes are ordered per tenant; events are
-    ordered within their minute. A tenant with a third of all events stays spread out.
+    A scan in two levels: ranges of events are summed, the sums of a tenant's ranges are added up
+    in order, and events are ordered within their range only.
     """
     keys = [tenant, "month"]
-    placed = _periods(events, tenant)
-    minutes = _bucket_sums(placed, keys).select(*keys, "minute", "spent_before")
-    within = Window.partitionBy(*keys, "minute").orderBy("ts", "id").rowsBetween(
+    ranged = _ranged(events, tenant)
+    sums = _range_sums(ranged, keys).select(*keys, "_range", "spent_before")
+    within = Window.partitionBy(*keys, "_range").orderBy("ts", "id").rowsBetween(
         Window.unboundedPreceding, 0
     )
     return (
-        placed.withColumn("_within", F.sum("cost_total_usd").over(within))
-        .join(minutes, [*keys, "minute"])
+        ranged.withColumn("_within", F.sum("cost_total_usd").over(within))
+        .join(sums, [*keys, "_range"])
         .withColumn("burn", F.col("spent_before") + F.col("_within"))
-        .drop("minute", "spent_before", "_within")
+        .drop("spent_before", "_within", "_range")
     )
 
 
 def budget_breaches(events: DataFrame, caps: DataFrame, tenant: str = "tenant") -> DataFrame:
     """Month spend against the tenant's cap, with the first event that went over it.
 
-    Only the events of the one breaching minute are ordered one by one.
+    Costs are not negative, so only the events of the one range that crosses the cap are ordered
+    one by one.
     """
     keys = [tenant, "month"]
-    placed = _periods(events, tenant)
-    minutes = _bucket_sums(placed, keys).join(caps, tenant)
-    totals = minutes.groupBy(*keys, "cap").agg(
-        F.sum("spent").alias("spent"),
-        F.min(F.when(F.col("spent_before") + F.col("spent") > F.col("cap"), F.col("minute"))).alias("minute"),
+    ranged = _ranged(events, tenant)
+    sums = _range_sums(ranged, keys).join(caps, tenant)
+    over = F.col("spent_before") + F.col("spent") > F.col("cap")
+    totals = sums.groupBy(*keys, "cap").agg(
+        F.sum("spent").alias("spent"), F.min(F.when(over, F.col("_range"))).alias("_range")
     )
-    crossing = totals.filter(F.col("minute").isNotNull()).join(
-        minutes.select(*keys, "minute", "spent_before"), [*keys, "minute"]
+    crossing = totals.filter(F.col("_range").isNotNull()).join(
+        sums.select(*keys, "_range", "spent_before"), [*keys, "_range"]
     )
     within = Window.partitionBy(*keys).orderBy("ts", "id").rowsBetween(Window.unboundedPreceding, 0)
     first = (
-        placed.select(*keys, "minute", "ts", "id", "cost_total_usd")
-        .join(crossing.select(*keys, "minute", "cap", "spent_before"), [*keys, "minute"])
+        ranged.select(*keys, "_range", "ts", "id", "cost_total_usd")
+        .join(crossing.select(*keys, "_range", "cap", "spent_before"), [*keys, "_range"])
         .withColumn("burn", F.col("spent_before") + F.sum("cost_total_usd").over(within))
         .filter(F.col("burn") > F.col("cap"))
         .groupBy(*keys)
         .agg(F.min_by("id", F.struct("ts", "id")).alias("breach_id"), F.min("ts").alias("breach_ts"))
     )
-    return totals.drop("minute").join(first, keys, "left").withColumn(
+    return totals.drop("_range").join(first, keys, "left").withColumn(
         "breached", F.col("breach_id").isNotNull()
     )
 
