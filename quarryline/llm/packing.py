@@ -18,6 +18,8 @@ GROUP_CHARS = 16 << 20
 TOLERATED = 8
 # Words whose ids a task remembers, and words encoded in one go.
 REMEMBERED = 400_000
+# Characters of texts whose new words are encoded together.
+TOGETHER = 1 << 19
 ENCODED_AT_ONCE = 1000
 # Pieces handed on at a time.
 SENT_AT_ONCE = 1000
@@ -37,21 +39,39 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         for token, number in self.tokenizer.get_vocab().items():
             self.ends[number] = token.endswith(WORD_END)
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
-        words = text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        known = self.known
-        missing = [w for w in set(words) if w not in known]
+        return self.of([text])[0]
+
+    def of(self, texts: list[str]) -> list[bytes]:
+        """The ids of several texts, whose new words are encoded together.
+
+        Once half of the words to remember are known, they become the older half and the half
+        before them is forgotten, but for words that are met again meanwhile.
+        """
+        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        wanted = set().union(*split)
+        if len(self.known) > REMEMBERED // 2:
+            self.older, self.known = self.known, {}
+        missing = self._recalled(wanted)
         if missing:
-            if len(known) + 2 * len(missing) > REMEMBERED:
-                known.clear()
-                missing = list(set(words))
             self._learn(missing)
-        return b"".join(map(known.__getitem__, words))
+        known = self.known
+        return [b"".join(map(known.__getitem__, words)) for words in split]
+
+    def _recalled(self, words: set[str]) -> list[str]:
+        """The words that neither half knows; those of the older half go over to the newer."""
+        known, older = self.known, self.older
+        absent = words.difference(known)
+        for word in [w for w in absent if w in older]:
+            known[word] = older[word]
+            absent.remove(word)
+        return list(absent)
 
     def _learn(self, words: list[str]) -> None:
         """Looks up each word's plain form, and encodes the plain forms that are new.
@@ -66,8 +86,7 @@ class WordIds:
             if form[-1:] in MARKS and form[-2:-1].isascii() and form[-2:-1].isalnum():
                 form, tail = form[:-1], form[-1]
             plain[word] = (form, tail)
-        new = {p for pair in plain.values() for p in pair if p not in known}
-        self._encode(sorted(new))
+        self._encode(sorted(self._recalled({p for pair in plain.values() for p in pair})))
         for word, (form, tail) in plain.items():
             known[word] = known[form] + known[tail]
 
@@ -237,8 +256,8 @@ def pieces(
         last = np.array([end], "<u4").tobytes()
         out: list[tuple] = []
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py() or "") + last
+            for key, tokens in zip(batch.column(0).to_pylist(), encoded(encode, batch.column(1))):
+                ids = tokens + last
                 total = len(ids) // 4
                 for at in range(0, total, window):
                     out.append((key, at, total, ids[4 * at : 4 * (at + window)]))
@@ -248,6 +267,16 @@ def pieces(
         if out:
             yield piece_batch(out)
 
+    def encoded(encode: WordIds, column: pa.Array) -> Iterator[bytes]:
+        held, size = [], 0
+        for text in column:
+            held.append(text.as_py() or "")
+            size += len(held[-1])
+            if size > TOGETHER:
+                yield from encode.of(held)
+                held, size = [], 0
+        yield from encode.of(held)
+
     def piece_batch(out: list[tuple]) -> pa.RecordBatch:
         kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
         columns = [pa.array(c, k) for c, k in zip(zip(*out), kinds)]
