@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarryline.functions import text as fx
 from quarryline.functions import vectors as vx
 from quarryline.functions.ranking import broadcast_if_small, top_per_group
-from quarryline.operators import fulltext, vector_search
+from quarryline.operators import blocks, fulltext, vector_search
 from quarryline.operators.index import TERM_BUCKETS
 from quarryline.schemas import DEFAULT_COLLECTION
 from quarryline.session import materialise
@@ -114,7 +114,9 @@ def vector_leg(vectors: DataFrame, queries: DataFrame, depth: int = LEG_DEPTH, *
 
 
 def fulltext_leg(postings: DataFrame, queries: DataFrame, depth: int = LEG_DEPTH, **options) -> DataFrame:
-    hits = fulltext.search(postings, queries, depth, **options)
+    """Full-text hits from postings or, where the table holds them, from blocks of postings."""
+    search = blocks.search if blocks.is_blocked(postings) else fulltext.search
+    hits = search(postings, queries, depth, **options)
     return hits.select("query_id", "chunk_id", "document_id", "sequence", "score", "rank")
 
 
@@ -129,16 +131,20 @@ def hybrid_search(
     vector_depth: int = LEG_DEPTH,
     fulltext_depth: int = LEG_DEPTH,
     buckets: int = TERM_BUCKETS,
+    stem: bool = False,
 ) -> DataFrame:
     """Vector and full-text legs over one collection, fused.
 
-    A query's `document_id` filters both legs before they rank. `buckets` is the number of
-    term buckets that stored postings were written with.
+    A query's `document_id` filters both legs before they rank. `postings` are rows or blocks;
+    `buckets` is the number of term buckets they were written with, `stem` whether their terms
+    are stems.
     """
     return fuse(
         [
             vector_leg(vectors, queries, vector_depth, collection=collection),
-            fulltext_leg(postings, queries, fulltext_depth, collection=collection, buckets=buckets),
+            fulltext_leg(
+                postings, queries, fulltext_depth, collection=collection, buckets=buckets, stem=stem
+            ),
         ],
         k,
         mode=mode,

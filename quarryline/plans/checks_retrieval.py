@@ -23,19 +23,41 @@ def knn_sql(where: str = "v.collection = 'rag_chunks_v1'", queries: str = "queri
       FROM {queries} q JOIN vectors v ON {where}) d"""
 
 
-def postings_sql(source: str) -> str:
+def stem_sql(word: str) -> str:
+    """`text.stem` in the twin's dialect, which has no back references."""
+    rules = [
+        ("^(.{2,})ies$", r"\1y"),
+        ("^(.+(?:ss|sh|ch|x|z))es$", r"\1"),
+        ("^(.{2,}[^siu])s$", r"\1"),
+        ("^([^aeiouy]*[aeiouy].*?[^aeiou])(?:ing|ed)$", r"\1"),
+        *((f"^(.{{2,}}){c}{c}$", rf"\1{c}") for c in "bdgmnprt"),
+        ("^(.{3,})e$", r"\1"),
+    ]
+    for pattern, kept in rules:
+        word = f"regexp_replace({word}, '{pattern}', '{kept}')"
+    return word
+
+
+def postings_sql(source: str, stem: bool = False) -> str:
+    if stem:
+        return f"""SELECT chunk_id, document_id, collection, term, count(*) AS tf, list(p ORDER BY p) AS positions FROM (
+          SELECT chunk_id, document_id, collection, {stem_sql('w')} AS term, p FROM (
+            SELECT chunk_id, document_id, collection, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS p FROM (
+              SELECT chunk_id, document_id, collection, @WORDS(content) AS ws FROM {source}) a) b
+          WHERE w NOT IN ({STOPS})) c GROUP BY chunk_id, document_id, collection, term"""
     return f"""SELECT chunk_id, document_id, collection, w AS term, count(*) AS tf, list(p ORDER BY p) AS positions FROM (
       SELECT chunk_id, document_id, collection, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS p FROM (
         SELECT chunk_id, document_id, collection, @WORDS(content) AS ws FROM {source}) a) b
       WHERE w NOT IN ({STOPS}) GROUP BY chunk_id, document_id, collection, w"""
 
 
-def fts_sql(source: str, queries: str, document_filter: str = "") -> str:
+def fts_sql(source: str, queries: str, document_filter: str = "", stem: bool = False) -> str:
     """Common tables `post`, `qterms`, `matched`, `fts` (scored, all matches)."""
+    term = stem_sql("term") if stem else "term"
     return f"""
-    post AS (SELECT * FROM ({postings_sql(source)}) p WHERE collection = 'rag_chunks_v1'),
+    post AS (SELECT * FROM ({postings_sql(source, stem)}) p WHERE collection = 'rag_chunks_v1'),
     qterms AS (SELECT *, count(*) OVER (PARTITION BY query_id) AS n_terms FROM (
-      SELECT DISTINCT {document_filter and 'only_document, '} query_id, term FROM (
+      SELECT DISTINCT {document_filter and 'only_document, '} query_id, {term} AS term FROM (
         SELECT query_id, {document_filter and 'document_id AS only_document, '} unnest(@WORDS(text)) AS term FROM {queries}) a
       WHERE term NOT IN ({STOPS})) b),
     matched AS (SELECT q.query_id, p.chunk_id, p.document_id, q.n_terms FROM qterms q JOIN post p USING (term)
@@ -270,6 +292,18 @@ def _blocks(chunks):
     return blocks.read_blocks(chunks.sparkSession, path)
 
 
+# Forms of a word are one term, in postings and in questions.
+@check(
+    "rt5_stemmed_search",
+    f"""WITH {fts_sql('line_chunks', 'word_queries', ONLY, stem=True)}
+    SELECT query_id, chunk_id, document_id, score, rank FROM fts_ranked WHERE rank <= {K}""",
+)
+def rt5_stemmed(t):
+    stored = materialise(index.postings(t.line_chunks, stem=True), "postings")
+    hits = fulltext.search(stored, t.word_queries, K, stem=True)
+    return hits.select("query_id", "chunk_id", "document_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 @check(
     "rt6_fulltext_hits",
     f"""WITH {fts_sql('line_chunks', 'word_queries')}
@@ -326,6 +360,19 @@ def _hybrid(t, **options):
     return fusion.hybrid_search(t.vectors, _postings(t.doc_chunks), t.queries, **options)
 
 
+# Both legs over stems, the full-text one from blocks.
+@check(
+    "rt8_stemmed_block_fusion",
+    f"WITH {HYBRID_SQL.replace(fts_sql('doc_chunks', 'queries'), fts_sql('doc_chunks', 'queries', stem=True))} SELECT query_id, chunk_id, score, rank FROM top WHERE rank <= 8",
+)
+def rt8_stemmed(t):
+    path = fresh_path(t.spark, "blocks")
+    stored = materialise(index.postings(t.doc_chunks, stem=True), "postings")
+    blocks.write_blocks(blocks.blocks(stored), path)
+    hits = fusion.hybrid_search(t.vectors, blocks.read_blocks(t.spark, path), t.queries, stem=True)
+    return hits.select("query_id", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 @check(
     "rt8_pure_rank_fusion",
     f"WITH {HYBRID_SQL.replace('score + 1 / (60.0::double + rank)', '1 / (60.0::double + rank)')} SELECT query_id, chunk_id, score, rank FROM top WHERE rank <= 8",

@@ -28,12 +28,16 @@ def search(
     *,
     collection: str = DEFAULT_COLLECTION,
     buckets: int = TERM_BUCKETS,
+    stem: bool = False,
 ) -> DataFrame:
     """Hybrid search results of every query, with document names, texts and metadata.
 
-    Hits are at most k per query; their texts are matched on the unique chunk id.
+    `stem` is for postings, rows or blocks, that were built with it. Hits are at most k per query;
+    their texts are matched on the unique chunk id.
     """
-    hits = fusion.hybrid_search(vectors, postings, queries, k, collection=collection, buckets=buckets)
+    hits = fusion.hybrid_search(
+        vectors, postings, queries, k, collection=collection, buckets=buckets, stem=stem
+    )
     shown = vectors.select("chunk_id", "content", "metadata")
     return fusion.result_rows(fusion.attach_names(hits.join(shown, "chunk_id", "left"), catalog))
 

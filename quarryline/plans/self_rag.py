@@ -7,16 +7,13 @@ of theirs is searched anew and the lists are fused, reranked and graded alike.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.operators import fusion, grade
 from quarryline.schemas import DEFAULT_COLLECTION
 from quarryline.session import materialise
 
-# Wordings of one question in the second round are numbered below this.
-MAX_VARIANTS = 64
-
 
 def _reranked(hits: DataFrame, scores: DataFrame | None) -> DataFrame:
     """Scored hits first (nothing is dropped), ranked from 1."""
@@ -45,6 +42,13 @@ def first_round(
     return _reranked(fusion.hybrid_search(vectors, postings, questions, depth, collection=collection), scores)
 
 
+def numbered_wordings(variants: DataFrame) -> DataFrame:
+    """`variants` with `wording`, a number for each (query_id, variant), however many there are."""
+    ranged = variants.repartitionByRange("query_id", "variant").withColumn("_part", F.spark_partition_id())
+    in_part = F.row_number().over(Window.partitionBy("_part").orderBy("query_id", "variant")).cast("long")
+    return ranged.withColumn("wording", F.shiftleft(F.col("_part").cast("long"), 40) + in_part).drop("_part")
+
+
 def variant_round(
     vectors: DataFrame,
     postings: DataFrame,
@@ -55,12 +59,14 @@ def variant_round(
 ) -> DataFrame:
     """Hits of every wording, fused per question. `variants`: query_id, variant, text, embedding."""
     depth = grade.retrieve_depth(k, scores is not None)
-    number = F.col("query_id") * MAX_VARIANTS + F.col("variant")
-    asked = variants.withColumn("query_id", number).drop("variant")
+    # Searches take whole numbers: each wording gets one of its own, kept beside it.
+    numbered = materialise(numbered_wordings(variants), "wordings")
+    asked = numbered.withColumn("query_id", F.col("wording")).drop("variant", "wording")
     hits = fusion.hybrid_search(vectors, postings, asked, depth, collection=collection)
-    ranked = hits.select(
-        F.floor(F.col("query_id") / MAX_VARIANTS).alias("question_id"),
-        (F.col("query_id") % MAX_VARIANTS).alias("variant"),
+    own = numbered.select(F.col("wording").alias("query_id"), F.col("query_id").alias("question_id"), "variant")
+    ranked = hits.join(own, "query_id").select(
+        "question_id",
+        "variant",
         (F.col("rank") - 1).alias("position"),
         "chunk_id",
         "document_id",

@@ -115,3 +115,12 @@ def test_cascade_flags(spark):
     assert size() == {"catalog": 1, "chunks": 1, "vectors": 1}
     assert size(delete_embeddings=False) == {"catalog": 1, "chunks": 1, "vectors": 2}
     assert size(delete_chunks=False) == {"catalog": 1, "chunks": 2, "vectors": 2}
+
+
+def test_every_wording_has_a_number_of_its_own(spark):
+    from quarryline.plans.self_rag import numbered_wordings
+
+    rows = spark.range(700).selectExpr("id % 5 as query_id", "cast(floor(id / 5) as int) as variant", "'x' as text")
+    numbered = numbered_wordings(rows.repartition(7)).collect()
+    assert len({r.wording for r in numbered}) == 700
+    assert {(r.query_id, r.variant) for r in numbered} == {(i % 5, i // 5) for i in range(700)}
