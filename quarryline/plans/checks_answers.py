@@ -213,12 +213,12 @@ def gr9_self_rag(t):
     )
 
 
-CITED_SQL = "(SELECT r.*, d.text AS content FROM ranked r JOIN documents d ON d.doc_id = cast(r.document_id as bigint))"
+CITED_SQL = "(SELECT r.*, coalesce(d.text, 'no text') AS content FROM ranked r LEFT JOIN documents d ON d.doc_id = cast(r.document_id as bigint))"
 
 
 def _evidence(t):
     texts = t.documents.select(F.col("doc_id").cast("string").alias("document_id"), F.col("text").alias("content"))
-    return t.ranked.join(texts, "document_id")
+    return t.ranked.join(texts, "document_id", "left").withColumn("content", F.coalesce("content", F.lit("no text")))
 
 
 @check(
@@ -256,19 +256,22 @@ def _template_sql(kind: str, **fields: str) -> str:
 
 @check(
     "gr11_prompts",
-    f"""SELECT item_id AS query_id, {_template_sql('hyde', question='b.text')} AS hyde, {_template_sql('retrieval_needed', question='b.text')} AS retrieval,
+    f"""SELECT item_id AS query_id, d.doc_id, {_template_sql('hyde', question='b.text')} AS hyde, {_template_sql('retrieval_needed', question='b.text')} AS retrieval,
       {_template_sql('grade', chunk='substr(d.text, 1, 2000)', question='b.text')} AS grade,
       {_template_sql('revision', report='substr(d.text, 1, 1500)', answer='lower(b.text)', question='b.text')} AS revision,
       'Earlier conversation, not to be cited:' || chr(10) || d.source || chr(10) || chr(10) || {_template_sql('answer', evidence='d.lang', question='b.text')} AS answer
-    FROM benchmark b JOIN documents d ON d.doc_id = b.item_id""",
+    FROM benchmark b JOIN (SELECT doc_id % (SELECT count(*) FROM benchmark) AS item_id, coalesce(text, '') AS text, source, lang, doc_id
+      FROM documents) d USING (item_id)""",
 )
 def gr11(t):
+    items = t.benchmark.count()
     rows = t.benchmark.withColumnRenamed("text", "question").join(
-        t.documents, F.col("item_id") == F.col("doc_id")
+        t.documents.withColumn("item_id", F.col("doc_id") % items).withColumn("text", F.coalesce("text", F.lit(""))), "item_id"
     )
     question, text = F.col("question"), F.col("text")
     return rows.select(
         F.col("item_id").alias("query_id"),
+        "doc_id",
         answer.prompt("hyde", question=question).alias("hyde"),
         answer.prompt("retrieval_needed", question=question).alias("retrieval"),
         answer.prompt("grade", question=question, chunk=text).alias("grade"),

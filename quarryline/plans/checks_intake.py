@@ -446,8 +446,8 @@ def em3_vectors(t):
     "em1_embed_status",
     """SELECT d.document_id, CASE WHEN n.n IS NULL THEN 'skipped' ELSE 'completed' END AS embed_status, coalesce(n.n, 0) AS chunk_count
     FROM (SELECT cast(doc_id as string) AS document_id FROM documents) d
-    LEFT JOIN (SELECT document_id, count(*) AS n FROM line_chunks WHERE collection = 'archive' GROUP BY document_id) n USING (document_id)""",
+    LEFT JOIN (SELECT document_id, count(*) AS n FROM line_chunks GROUP BY document_id) n USING (document_id)""",
 )
 def em1_status(t):
     documents = t.documents.select(F.col("doc_id").cast("string").alias("document_id"))
-    return embed.embed_statuses(documents, t.line_chunks.filter("collection = 'archive'"))
+    return embed.embed_statuses(documents, t.line_chunks)
