@@ -9,6 +9,8 @@ from quarryline.session import materialise
 
 # Fixed value.
 TTL_SECONDS = 3600
+# Requests of a run that are gone through in one row.
+FOLDED_REQUESTS = 2000
 
 
 def idempotency_key(task: Column, args: Column) -> Column:
@@ -18,7 +20,10 @@ def idempotency_key(task: Column, args: Column) -> Column:
 
 
 def accept_first(
-    requests: DataFrame, ttl_seconds: int = TTL_SECONDS, id_column: str = "request_id"
+    requests: DataFrame,
+    ttl_seconds: int = TTL_SECONDS,
+    id_column: str = "request_id",
+    folded: int = FOLDED_REQUESTS,
 ) -> DataFrame:
     """Adds `accepted`: whether the request starts work or repeats an accepted one.
 
@@ -26,8 +31,8 @@ def accept_first(
     to live older. Requests (id_column, key, ts) are first summed up per key and
     time-to-live slot; where a slot begins at least one time to live after the slot
     before it, a new independent run of slots starts, whose first request is accepted.
-    Runs of one slot need nothing more. In longer ones at most one time per slot is accepted,
-    and the time after an accepted one follows from it alone: the first that is a time to live
+    Runs of one slot need nothing more. Those of at most `folded` requests are gone through in
+    order, within a row. In longer ones at most one time per slot is accepted, and the time after an accepted one follows from it alone: the first that is a time to live
     later. These steps are found slot by slot, then doubled until they span the longest
     run, so a key that is never at rest is dealt out by its times.
     """
@@ -36,27 +41,34 @@ def accept_first(
         F.col(id_column).alias("_id"), "key", F.unix_micros(F.col("ts").cast("timestamp")).alias("_at")
     ).withColumn("_slot", F.floor(F.col("_at") / F.lit(ttl)))
     slots = timed.groupBy("key", "_slot").agg(
-        F.min(F.struct("_at", "_id")).alias("_first"), F.max("_at").alias("_last")
+        F.min(F.struct("_at", "_id")).alias("_first"), F.max("_at").alias("_last"), F.count("*").alias("_rows")
     )
     by_slot = Window.partitionBy("key").orderBy("_slot")
     starts = F.coalesce(F.col("_first._at") - F.lag("_last").over(by_slot) >= ttl, F.lit(True))
-    runs = slots.withColumn("_starts", starts.cast("int")).withColumn(
-        "_run", F.sum("_starts").over(by_slot.rowsBetween(Window.unboundedPreceding, 0))
-    ).withColumn("_slots", F.count("*").over(Window.partitionBy("key", "_run")))
+    in_run = Window.partitionBy("key", "_run")
+    runs = (
+        slots.withColumn("_starts", starts.cast("int"))
+        .withColumn("_run", F.sum("_starts").over(by_slot.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumns({"_slots": F.count("*").over(in_run), "_requests": F.sum("_rows").over(in_run)})
+    )
     runs = materialise(runs, "request-runs")
-    heads = runs.filter("_slots = 1").select(F.col("_first._id").alias("_id"))
-    longest = runs.agg(F.max("_slots")).first()[0] or 0
-    accepted = heads
-    if longest > 1:
-        several = runs.filter("_slots > 1")
+    short = (F.col("_slots") > 1) & (F.col("_requests") <= folded)
+    accepted = (
+        runs.filter("_slots = 1")
+        .select(F.col("_first._id").alias("_id"))
+        .unionByName(_folded(timed, runs.filter(short), ttl))
+    )
+    long = runs.filter((F.col("_slots") > 1) & ~short)
+    longest = long.agg(F.max("_slots")).first()[0] or 0
+    if longest:
         times = materialise(
-            timed.join(several.select("key", "_slot"), ["key", "_slot"], "left_semi")
+            timed.join(long.select("key", "_slot"), ["key", "_slot"], "left_semi")
             .groupBy("key", "_slot", "_at")
             .agg(F.min("_id").alias("_id")),
             "request-times",
         )
-        chosen = _chains(times, several, ttl, longest)
-        accepted = heads.unionByName(times.join(chosen, ["key", "_at"]).select("_id"))
+        chosen = _chains(times, long, ttl, longest)
+        accepted = accepted.unionByName(times.join(chosen, ["key", "_at"]).select("_id"))
     won = accepted.select(F.col("_id").alias(id_column), F.lit(True).alias("_won"))
     return (
         requests.join(won, id_column, "left")
@@ -65,6 +77,27 @@ def accept_first(
     )
 
 
+def _folded(timed: DataFrame, runs: DataFrame, ttl: int) -> DataFrame:
+    """Accepted ids of short runs: each run's requests in order, in one row."""
+    kind = timed.schema["_id"].dataType.simpleString()
+    in_order = F.array_sort(F.collect_list(F.struct("_at", "_id")))
+    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(f"array<{kind}>").alias("ids"))
+
+    def step(state: Column, request: Column) -> Column:
+        opens = state["last"].isNull() | (request["_at"] - state["last"] >= ttl)
+        return F.struct(
+            F.when(opens, request["_at"]).otherwise(state["last"]).alias("last"),
+            F.when(opens, F.concat(state["ids"], F.array(request["_id"]))).otherwise(state["ids"]).alias("ids"),
+        )
+
+    return (
+        timed.join(runs.select("key", "_slot", "_run"), ["key", "_slot"])
+        .groupBy("key", "_run")
+        .agg(in_order.alias("_requests"))
+        .select(F.explode(F.aggregate("_requests", start, step, lambda s: s["ids"])).alias("_id"))
+    )
+
+
 def _steps(times: DataFrame, runs: DataFrame, ttl: int) -> DataFrame:
     """(key, _at, _next): the first time of the key's run at least a time to live later.
 

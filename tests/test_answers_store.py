@@ -83,7 +83,8 @@ def test_positions_split_hot_groups_and_stay_exact(spark):
         assert r.position == seen[r.g]
 
 
-def test_accepted_requests_follow_the_one_by_one_rule(spark):
+@pytest.mark.parametrize("folded", [0, 40, 10**6])
+def test_accepted_requests_follow_the_one_by_one_rule(spark, folded):
     rng = random.Random(5)
     rows, at = [], 0
     for i in range(3000):
@@ -96,7 +97,7 @@ def test_accepted_requests_follow_the_one_by_one_rule(spark):
             want.add(i)
     rng.shuffle(rows)
     table = spark.createDataFrame(rows, "request_id long, key string, at long").withColumn("ts", F.timestamp_seconds("at"))
-    got = {r.request_id for r in requests.accept_first(table, 100).filter("accepted").collect()}
+    got = {r.request_id for r in requests.accept_first(table, 100, folded=folded).filter("accepted").collect()}
     assert got == want
 
 
