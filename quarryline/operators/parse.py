@@ -11,10 +11,7 @@ from quarryline.functions.binding import bind
 # Patterns, markers and aliases.
 SPEAKER_PATTERN = rf"^([A-Z][a-z]+ [A-Z][a-z]+|[A-Z]{{2,}})[{fx.BLANK_CLASS}]*[-:]"
 QA_MARKERS = ("Q&A", "Question and Answer", "Questions and Answers", "Q-and-A")
-DATE_PATTERN = (
-    r"\b(?:January|February|March|April|May|June|July|August|September|October|November|December)"
-    r"\s+\d{1,2},?\s+\d{4}\b"
-)
+DATE_PATTERN = r"\b(?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{1,2},?\s+\d{4}\b"
 REVENUE_PATTERN = (
     r"\$?(\d{1,3}(?:,\d{3})*(?:\.\d+)?)\s*(?:million|billion|M|B)?\s*(?:revenue|sales)"
 )
