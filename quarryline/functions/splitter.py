@@ -69,11 +69,16 @@ def _spans(text: str, begin: int, end: int, level: int, size: int, overlap: int)
         yield from _windows(run, end, size, overlap)
 
 
+def spans(text: str, level: int = 0, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP):
+    """Spans of a text in order, before stripping, from the separator of `level` on."""
+    return _spans(text, 0, len(text), level, size, overlap) if text else iter(())
+
+
 def split_text(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> list[dict]:
     """Stripped, non-blank pieces with the index at which each is found again."""
     pieces = []
     index = length = 0
-    for begin, end in _spans(text, 0, len(text), 0, size, overlap) if text else ():
+    for begin, end in spans(text, 0, size, overlap):
         piece = text[begin:end].strip()
         if piece:
             index = text.find(piece, max(0, index + length - overlap))

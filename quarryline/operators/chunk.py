@@ -171,6 +171,11 @@ def _meta(**entries: Column) -> Column:
     return F.map_from_entries(F.filter(pairs, lambda e: e["value"].isNotNull()))
 
 
+def string_map(**entries: Column) -> Column:
+    """`_meta` as the metadata type, also where every entry is null."""
+    return _meta(**entries).cast(_META)
+
+
 def _piece(content: Column, metadata: Column) -> Column:
     return F.struct(content.alias("content"), metadata.cast(_META).alias("metadata"))
 

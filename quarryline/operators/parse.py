@@ -79,13 +79,16 @@ def speakers(text: Column) -> Column:
 
 
 def qa_position(text: Column) -> Column:
-    """1-based position of the Q&A marker: the first marker *in list order* that occurs."""
-    return F.coalesce(
-        *[
-            F.nullif(F.regexp_instr(text, F.lit(rf"{_ANY_CASE}\b{marker}\b")), F.lit(0))
-            for marker in QA_MARKERS
-        ]
-    )
+    """1-based position of the Q&A marker: the first marker *in list order* that occurs.
+
+    Counted in characters, as `substring` does: the length of what stands before the marker.
+    """
+
+    def place(marker: str) -> Column:
+        pattern = rf"{_ANY_CASE}\b{marker}\b"
+        return F.when(text.rlike(pattern), F.length(F.get(F.split(text, pattern, 2), F.lit(0))) + 1)
+
+    return F.coalesce(*[place(marker) for marker in QA_MARKERS])
 
 
 def _section(kind: str, content: Column, first: Column, last: Column) -> Column:

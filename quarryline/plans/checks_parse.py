@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarryline.functions import text as fx
-from quarryline.operators import chunk, parse
+from quarryline.operators import chunk, parse, shards
 from quarryline.plans import corpus
 from quarryline.plans.registry import check
 from quarryline.sources import readers
@@ -472,3 +472,18 @@ def ch9(t):
 @check("ch10_page_shards")
 def ch10(t):
     return _plain(chunk.chunk_page_shards(_pages(t), 2))
+
+
+# Turns that go over pages and shards, as the chunks of the whole call.
+@check(
+    "ch10_sharded_calls",
+    f"""WITH turns AS (
+      SELECT document_id, CASE WHEN page_no < 3 THEN page_no ELSE 3 + cast(floor((page_no - 3) / 3) as int) END AS sequence,
+        trim(string_agg(text, chr(10) || chr(10) ORDER BY page_no), '{B}') AS content
+      FROM call_pages GROUP BY ALL)
+    SELECT sha256(document_id || chr(1) || cast(sequence as string) || chr(1) || content) AS chunk_id, document_id, sequence, content,
+      len(regexp_extract_all(content, '{WORD}')) AS token_count FROM turns""",
+    longs="sequence token_count",
+)
+def ch10_calls(t):
+    return _plain(shards.chunk_sharded(t.call_pages, pages_per_shard=4))

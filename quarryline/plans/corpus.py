@@ -17,8 +17,8 @@ def chunked(pages: DataFrame, tables: DataFrame | None = None) -> DataFrame:
     """Chunks of all documents, each by the rules of its type whatever its length.
 
     Deck pages are slides and need no joining. Any other document's pages come together in
-    one row; `chunk.chunk_page_shards` is the other way for callers who rather have documents
-    of any type cut by page range.
+    one row. `shards.chunk_sharded` gives the same chunks where documents are too long for that;
+    `chunk.chunk_page_shards` cuts by page range and knows nothing of turns, sections and tables.
     """
     is_deck = parse.route(F.col("document_type")) == "slides"
     slides = parse.slide_rows(pages.filter(is_deck))

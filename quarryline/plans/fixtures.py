@@ -112,6 +112,17 @@ DERIVED: dict[str, str] = {
                  CASE WHEN c_custkey % 5 = 0 THEN '' ELSE cast(c_nationkey as string) END,
                  'C' || cast(c_custkey as string)) END AS cells
         FROM customer WHERE cast(floor(c_custkey / 100) as bigint) % 2 = 0""",
+    # Calls of one page a line, a question on every third, so that turns go over pages.
+    "call_pages": """
+        SELECT cast(doc_id as string) AS document_id, 'transcript' AS document_type, cast(pos + 3 as int) AS page_no,
+          CASE WHEN pos % 3 = 0 THEN 'Q: ' ELSE '- ' END || line AS text
+        FROM documents @NUMBERED_LINES(text)
+        UNION ALL
+        SELECT cast(doc_id as string) AS document_id, 'transcript' AS document_type, 1 AS page_no,
+          'Opening of ' || cast(doc_id as string) AS text FROM documents
+        UNION ALL
+        SELECT cast(doc_id as string) AS document_id, 'transcript' AS document_type, 2 AS page_no,
+          'Questions and Answers' AS text FROM documents""",
     # One chunk per non-blank text line: a splitter both sides can express.
     "line_chunks": """
         SELECT cast(doc_id as string) || ':' || cast(pos + 1 as string) AS chunk_id,

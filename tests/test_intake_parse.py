@@ -110,3 +110,11 @@ def test_preferred_extractor_per_document(spark):
     rows = [("a", "t1", "x"), ("a", "t2", "y"), ("b", "t3", "y")]
     cells = spark.createDataFrame(rows, "document_id string, table_id string, method string")
     assert sorted(r.table_id for r in parse.preferred_tables(cells, "x", "y").collect()) == ["t1", "t3"]
+
+
+def test_qa_position_counts_characters_beyond_the_basic_plane(one):
+    from quarryline.operators import parse
+
+    assert one(parse.qa_position(F.col("t")), t="😀😀 Q&A") == 4
+    assert one(parse.qa_position(F.col("t")), t="q&a first") == 1
+    assert one(parse.qa_position(F.col("t")), t="none") is None
