@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarryline.functions import text as fx
-from quarryline.operators import catalog, conversations, costs, requests
+from quarryline.operators import catalog, conversations, costs, partials, requests
 from quarryline.plans import ingest_job
 from quarryline.plans.checks_intake import _manifests
 from quarryline.plans.checks_parse import ALL_CHUNKS_SQL, CHUNK_ID_SQL
 from quarryline.plans.registry import check
 from quarryline.session import fresh_path
-from quarryline.sources import store
+from quarryline.sources import runs, store
 from quarryline.streaming import dedup, ingest, spend
 
 WORD = f"[^{fx.BLANK_CLASS}]+"
@@ -407,6 +407,27 @@ def co5_subtotals(t):
     return costs.rollup_subtotals(_ledger(t)).withColumn("spend", F.col("spend").cast("double"))
 
 
+# The same from partial sums of four batches, of which one came twice and two were folded.
+@check(
+    "co5_merged_batches",
+    """SELECT cast(floor(ts_us / 86400000000) as bigint) AS day, provider, model, count(*) AS calls, sum(total_tokens) AS tokens,
+      cast(sum(cost_total_usd) as double) AS spend FROM ledger GROUP BY ALL""",
+    longs="tokens",
+)
+def co5_merged(t):
+    ledger, path = _ledger(t), fresh_path(t.spark, "partials")
+    batch = F.pmod(F.col("tenant"), F.lit(4))
+    for i, step in enumerate((0, 1, 1, "fold", 2, 3)):
+        if step == "fold":
+            partials.fold(t.spark, path, f"fold-{i}")
+        else:
+            partials.append(t.spark, path, f"batch-{step}", ledger.filter(batch == step))
+    return partials.rollup(t.spark, path, by=("provider", "model")).select(
+        F.datediff("day", F.lit("1970-01-01")).cast("long").alias("day"), "provider", "model", "calls", "tokens",
+        F.col("spend").cast("double").alias("spend"),
+    )
+
+
 RUNNING_SQL = """
   burned AS (SELECT id, tenant, date_trunc('month', ts) AS month, ts_us, sum(cost_total_usd) OVER (PARTITION BY tenant, date_trunc('month', ts) ORDER BY ts_us, id ROWS UNBOUNDED PRECEDING) AS burn FROM ledger)"""
 
@@ -462,6 +483,28 @@ def st1(t):
 
 
 # Of documents with the same text the first goes on; every eighth is indexed already.
+# Three runs over chunks and their documents; the second is repeated with fewer rows.
+@check(
+    "sk4_marked_runs",
+    """WITH kept AS (SELECT *, cast(document_id as bigint) % 3 AS part FROM line_chunks)
+    SELECT document_id, 'run-' || cast(part as string) AS run, count(*) AS chunks FROM kept
+    WHERE part <> 1 OR sequence % 2 = 1 GROUP BY ALL""",
+)
+def sk4_marked(t):
+    path = fresh_path(t.spark, "runs")
+    chunks = t.line_chunks.select("document_id", "sequence", "content")
+    part = F.col("document_id").cast("long") % 3
+    for run, odd in ((0, False), (1, False), (2, False), (1, True)):
+        rows = chunks.filter((part == run) & (F.lit(not odd) | (F.col("sequence") % 2 == 1)))
+        tables = {"chunks": rows, "status": rows.select("document_id").distinct()}
+        runs.commit(t.spark, path, f"run-{run}", tables)
+    found = runs.read(t.spark, path, "chunks", with_run=True)
+    status = runs.read(t.spark, path, "status", with_run=True)
+    return found.join(status, ["document_id", "run"]).groupBy("document_id", "run").agg(
+        F.count("*").alias("chunks")
+    )
+
+
 @check(
     "sk4_ingest_job",
     """WITH firsts AS (SELECT text, min(doc_id) AS first FROM documents GROUP BY text)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.operators import catalog as store
@@ -12,6 +12,7 @@ from quarryline.operators import intake
 from quarryline.plans.corpus import ingest
 from quarryline.schemas import DEFAULT_COLLECTION
 from quarryline.session import materialise
+from quarryline.sources import runs
 from quarryline.sources.writers import run_manifests
 
 DUPLICATE, NO_TEXT = "duplicate of an earlier document", "no text was extracted"
@@ -76,3 +77,18 @@ def run(
     )
     transitions = reached.select("id", F.posexplode(passed).alias("step", "status"), F.lit(run_id).alias("run_id"))
     return Ingested(vectors, manifests, store.update(catalog, reached, moment), transitions)
+
+
+def publish(done: Ingested, path: str, run_id: str) -> None:
+    """Stores what a run adds, all of it visible at once; the same run again takes its own place.
+
+    Read with `published`. The catalog is a state and no addition: update it from the published
+    transitions, which a failed run does not have.
+    """
+    tables = {"vectors": done.vectors, "manifests": done.manifests, "transitions": done.transitions}
+    runs.commit(done.vectors.sparkSession, path, run_id, tables)
+
+
+def published(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """Vectors, manifests and transitions of all runs that came to their end."""
+    return {name: runs.read(spark, path, name) for name in ("vectors", "manifests", "transitions")}
