@@ -58,6 +58,8 @@ SAYS_OF_PAGE = re.compile(
     r"(?<![a-z0-9])(?:(?:no|not|has|have|with|without)[-_]+[a-z0-9_-]+|[a-z0-9_-]+[-_]+(?:enabled|disabled))(?![a-z0-9_-])"
 )
 CONTENT = frozenset(["article", "main"])
+PAGE = frozenset(["html", "body"])
+PARAGRAPHS = HEADINGS | frozenset("blockquote dl figure ol p pre table ul".split())
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>", re.S
@@ -65,6 +67,8 @@ TOKEN = re.compile(
 PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 WORD = re.compile(r"[a-z0-9]+")
+# A slash that ends a tag; one that ends an unquoted value belongs to the value.
+CLOSED = re.compile(r"(?<![^\s\"'])/\Z|\A/\Z|\A[^=]*/\Z")
 
 
 @dataclass
@@ -110,6 +114,8 @@ def _doubted(tag: str, attributes: dict[str, str], inside: bool) -> int:
     words = set(WORD.findall(SAYS_OF_PAGE.sub(" ", names)))
     if words & FOREIGN_WORDS:
         return 2
+    if inside and (tag in HEADINGS or tag in ("p", "pre")):
+        return 0  # a paragraph of the article, whatever its class says of its looks
     if words & DROPPED_WORDS or tag in FORMS or attributes.get("role", "").lower() == "form":
         return 1
     # A header in the article holds its heading; any other one belongs to the site.
@@ -180,7 +186,7 @@ def parse(page: str) -> Tree:
             tree.texts.append((parent, BORDER))
         if tag == "br":
             text(" ")
-        if tag in VOID or (m[3].endswith("/") and tag not in BLOCK and tag not in RAW):
+        if tag in VOID or (CLOSED.search(m[3]) and tag not in BLOCK and tag not in RAW):
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
@@ -273,28 +279,49 @@ def densities(tree: Tree) -> tuple[list[float], list[float]]:
 
 
 def _root(tree: Tree, own: list[float], sums: list[float]) -> set[int]:
-    """The nodes whose text is the article."""
+    """The nodes whose text is the article, by density.
+
+    Of the nodes that hold blocks, the one with the greatest sum of its children's densities is the
+    article. The body can be it by its many children only: if the best node that holds blocks in
+    it has at least half the sum of its bare blocks, that one is taken. The threshold is the
+    least density on the path from there up to the body; other branches of the path belong to
+    the article if they reach it and are paragraphs or hold blocks, headings on the path in any
+    case. An `article` or `main` on the path is taken whole if it is denser than the body, so
+    one that wraps the page is not.
+    """
     nodes = [n for n in range(len(tree.tags)) if not tree.dropped[n] and (own[n] or sums[n])]
     if not nodes:
         return {0}
-    best = max(nodes, key=lambda n: (sums[n], own[n], -n))
+    holders = {tree.parents[n] for n in nodes if n and tree.tags[n] in BLOCK}
+    rank = lambda n: (sums[n], own[n], tree.tags[n] in CONTENT, -n)
+    best = max((n for n in nodes if n in holders), key=rank, default=None)
+    if best is None:
+        best = max(nodes, key=rank)
+    while tree.tags[best] in PAGE:
+        inside = [n for n in nodes if n and tree.parents[n] == best]
+        first = max((n for n in inside if n in holders), key=rank, default=None)
+        bare = sum(own[n] for n in inside if n not in holders)
+        if first is None or (tree.tags[first] not in PAGE and sums[first] < bare / 2):
+            break
+        best = first
     path, node = [best], best
     while node:
         node = tree.parents[node]
         path.append(node)
-    content = next((n for n in path if tree.tags[n] in CONTENT), None)
+    body = next((n for n in path if tree.tags[n] == "body"), 0)
+    content = next((n for n in path if tree.tags[n] in CONTENT and own[n] > own[body]), None)
     if content is not None:
         return {content}
-    # Whatever is as dense as the thinnest node between the best one and the body belongs to it.
-    ways = [n for n in path if tree.tags[n] not in ("html", "body")] or path[:1]
-    least = min(own[n] for n in path)
+    ways = [n for n in path if tree.tags[n] not in PAGE]
+    least = min(own[n] for n in ways or path)
     chosen = {best}
     for n in range(1, len(tree.tags)):
         on_path = tree.parents[n] in path and n not in path and not tree.dropped[n]
-        if on_path and (own[n] >= least or tree.tags[n] in HEADINGS and tree.parents[n] in ways):
+        dense = own[n] >= least and (tree.tags[n] in PARAGRAPHS or n in holders)
+        if on_path and (dense or tree.tags[n] in HEADINGS and tree.parents[n] in ways):
             chosen.add(n)
-    for n in path:
-        if n != best and tree.tags[n] not in ("html",):
+    for n in ways:
+        if n != best:
             chosen.add(-n - 1)  # text that stands in the node itself
     return chosen
 
@@ -326,7 +353,8 @@ def extract(
     """(page_id, url, text, n_chars): the main text of every page, from its whole html.
 
     Null html is empty and has an empty text. Pages are judged one by one, so repeated rows,
-    null ids and null urls pass through as they are.
+    null ids and null urls pass through as they are, an empty table gives an empty one, and a page
+    of any length is read whole in one task. Other columns of the input are left out.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

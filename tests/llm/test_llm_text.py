@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import html
+import math
 import random
 import re
 import zlib
@@ -385,6 +386,103 @@ def test_articles_of_the_pages(spark):
         assert texts[r.page_id] == (want, len(want))
 
 
+RENAMED = {
+    "article": lambda page: re.sub(r"<(/?)article\b", r"<\1div", page),
+    "all names": lambda page: re.sub(
+        r"(<\w+)\s(?:class|id|role)=(?:\"[^\"]*\"|[^\s>]+)", r"\1", re.sub(r"<(/?)(?:article|nav|footer)\b", r"<\1div", page)
+    ),
+}
+
+
+@pytest.mark.parametrize("names", RENAMED)
+def test_articles_are_found_without_names(spark, names):
+    from collections import Counter
+
+    kept = found = both = 0
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        want = Counter(html_text.main_text(r.html).split("\n\n"))
+        got = Counter(html_text.main_text(RENAMED[names](r.html)).split("\n\n"))
+        kept, found, both = kept + want.total(), found + got.total(), both + (want & got).total()
+    assert both >= 0.98 * kept and both >= 0.98 * found
+
+
+def slow_densities(tree):
+    """The densities by their definition, node by node over all texts below it."""
+    count = len(tree.tags)
+
+    def above(node):
+        while node >= 0:
+            yield node
+            node = tree.parents[node]
+
+    def of(node):
+        below = [n for n in range(1, count) if n != node and node in above(n) and not tree.dropped[n]]
+        texts = [(n, len(v.strip())) for n, v in tree.texts if not tree.dropped[n] and node in above(n)]
+        return (
+            sum(n for _, n in texts), len(below),
+            sum(n for at, n in texts if tree.linked[at]), sum(tree.tags[n] == "a" for n in below),
+        )
+
+    c, _, lc, _ = of(0)
+    body = lc / max(1, c)
+    own = []
+    for node in range(count):
+        c, t, lc, lt = of(node)
+        if not c or tree.dropped[node]:
+            own.append(0.0)
+            continue
+        share = c / max(1, lc) * max(1, t) / max(1, lt)
+        base = math.log(c / max(1, c - lc) * lc + body * c + math.e)
+        own.append(c / max(1, t) * max(0.0, math.log(share) / base))
+    sums = [sum(own[n] for n in range(1, count) if tree.parents[n] == node) for node in range(count)]
+    return own, sums
+
+
+def test_densities_and_choice_against_the_definition():
+    rng = random.Random(11)
+
+    def markup(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return "word " * rng.randrange(12)
+        tag = rng.choice(["div", "p", "a", "section", "b", "ul", "article", "nav", "div class=ad"])
+        return f"<{tag}>" + "".join(markup(depth - 1) for _ in range(rng.randrange(4))) + f"</{tag.split()[0]}>"
+
+    for _ in range(150):
+        tree = html_text.parse("<body>" + "".join(markup(5) for _ in range(4)))
+        own, sums = html_text.densities(tree)
+        slow_own, slow_sums = slow_densities(tree)
+        assert own == pytest.approx(slow_own) and sums == pytest.approx(slow_sums)
+        held = [n for n in range(1, len(own)) if not tree.dropped[n] and tree.tags[n] in html_text.BLOCK and (own[n] or sums[n])]
+        holders = {tree.parents[n] for n in held}
+        if holders - {0, 1}:
+            top = max(sums[n] for n in holders)
+            best = [n for n in holders if sums[n] >= top * (1 - 1e-9)]
+            above = set(best)
+            for n in best:
+                while n > 0:
+                    n = tree.parents[n]
+                    above.add(n)
+            if not any(tree.tags[n] in html_text.PAGE for n in best):
+                assert html_text._root(tree, own, sums) & above
+
+
+def test_paragraphs_of_the_article_keep_their_looks():
+    for name in ("warning", "share", "related", "notice", "search"):
+        assert html_text.main_text(f"<article><p>one<p class={name}>two</article>") == "one\n\ntwo"
+        assert html_text.main_text(f"<article><p>one<ul class={name}><li><a href=x>two</a></ul></article>") == "one"
+
+
+def test_a_slash_that_ends_an_unquoted_value_does_not_close():
+    tree = html_text.parse("<p>a <a href=/x/>link</a> <span class='x'/>b <i/>c")
+    assert [v.strip() for n, v in tree.texts if tree.linked[n] and v.strip()] == ["link"]
+
+
+def test_a_main_around_the_whole_page_is_no_article():
+    links = "<ul>" + "".join(f"<li><a href=/{i}>menu {i}</a></li>" for i in range(30)) + "</ul>"
+    page = f"<body><main><div>{links}</div><div>{BODY}</div><div>short note</div></main>"
+    assert html_text.main_text(page) == BODY_TEXT
+
+
 def test_pages_of_every_kind(spark):
     deep = "<div>" * 3000 + "text" + "</div>" * 3000
     rows = [(1, "u", None), (None, None, "<p>x"), (2, "u", deep), (2, "u", deep), (3, "u", "<p>" + "word " * 200_000)]
