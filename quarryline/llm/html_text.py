@@ -286,8 +286,8 @@ def _root(tree: Tree, own: list[float], sums: list[float]) -> set[int]:
     it has at least half the sum of its bare blocks, that one is taken. The threshold is the
     least density on the path from there up to the body; other branches of the path belong to
     the article if they reach it and are paragraphs or hold blocks, headings on the path in any
-    case. An `article` or `main` on the path is taken whole if it is denser than the body, so
-    one that wraps the page is not.
+    case. An `article` or `main` on the path is taken whole if it has half the density of the best
+    node or is nearer to that than to the body's; one that wraps menus and all is neither.
     """
     nodes = [n for n in range(len(tree.tags)) if not tree.dropped[n] and (own[n] or sums[n])]
     if not nodes:
@@ -309,7 +309,8 @@ def _root(tree: Tree, own: list[float], sums: list[float]) -> set[int]:
         node = tree.parents[node]
         path.append(node)
     body = next((n for n in path if tree.tags[n] == "body"), 0)
-    content = next((n for n in path if tree.tags[n] in CONTENT and own[n] > own[body]), None)
+    like_best = lambda n: 2 * own[n] >= own[best] or own[n] ** 2 >= own[best] * own[body]
+    content = next((n for n in path if tree.tags[n] in CONTENT and like_best(n)), None)
     if content is not None:
         return {content}
     ways = [n for n in path if tree.tags[n] not in PAGE]
