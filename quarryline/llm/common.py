@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.session import materialise
+from quarryline.session import fresh_path, materialise, remove
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return materialise(df, label)
 
 
+def written_for_now(df: DataFrame, label: str) -> tuple[DataFrame, Callable[[], None]]:
+    """`df` as `written`, and what removes the table once nothing reads it any more.
+
+    Call it only after everything made from the table is itself written.
+    """
+    spark = df.sparkSession
+    path = fresh_path(spark, label)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), lambda: remove(spark, path)
+
+
 def arrow_map(df: DataFrame, per_batch: Callable[[pa.RecordBatch], pa.RecordBatch], schema):
     """Rows made from each Arrow batch on its own."""
 
