@@ -34,14 +34,14 @@ def sr1(t):
 
 
 def _folder(files):
-    """A folder with a text file per document, ended by a line break."""
+    """A folder with a text object per document, ended by a line break."""
     path = fresh_path(files.sparkSession, "objects")
-    files.select("document_id", "content").write.partitionBy("document_id").text(path)
+    writers.write_texts(files, path)
     return path
 
 
 def _owner():
-    return F.regexp_extract("path", "document_id=([^/]+)/", 1)
+    return writers.object_owner(F.col("path"))
 
 
 @check(

@@ -5,6 +5,10 @@ Every writer appends or writes to a new path; a path being read is never overwri
 
 from __future__ import annotations
 
+import os
+from zlib import crc32
+
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +22,52 @@ def write_objects(files: DataFrame, path: str) -> None:
     files.write.mode("append").partitionBy("document_id").parquet(path)
 
 
+# Folders that text objects are dealt over, so that a listing is shared out among tasks.
+OBJECT_FOLDERS = 256
+
+
+def write_texts(texts: DataFrame, path: str) -> None:
+    """A text object per document and task below a new path; every row is ended by a line break.
+
+    `texts` has document_id and content. An object is found by `object_owner`. On a local or
+    mounted file system Spark's writer runs several programs per file to set its rights, and
+    moves each file in the driver; there the tasks write the objects themselves. A task that
+    runs twice writes the same objects again.
+    """
+    texts = texts.select("document_id", "content")
+    folder = texts.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    system = folder.getFileSystem(texts.sparkSession._jsc.hadoopConfiguration())
+    if system.getScheme() != "file":
+        return texts.write.partitionBy("document_id").text(path)
+    root = folder.toUri().getPath()
+
+    def run(rows):
+        number, held, out = TaskContext.get().partitionId(), None, None
+        for document, content in rows:
+            name = DEFAULT_OWNER if document is None else document
+            if name != held:
+                if out:
+                    out.close()
+                below = f"{root}/{crc32(name.encode()) % OBJECT_FOLDERS:03d}"
+                os.makedirs(below, exist_ok=True)
+                held, out = name, open(f"{below}/document_id={name}.{number}.txt", "wb")
+            out.write((content or "").encode() + b"\n")
+        if out:
+            out.close()
+
+    os.makedirs(root, exist_ok=True)
+    texts.sortWithinPartitions("document_id").foreachPartition(run)
+
+
+# What Spark calls the folder of rows without a document.
+DEFAULT_OWNER = "__HIVE_DEFAULT_PARTITION__"
+
+
+def object_owner(path: Column) -> Column:
+    """The document of an object of `write_texts`."""
+    return F.regexp_extract(path, r"document_id=([^/]+?)(\.\d+\.txt$|/)", 1)
+
+
 def write_chunk_manifest(chunks: DataFrame, path: str) -> None:
     """Manifest as JSON lines: one head per document and one line per chunk."""
     ck.manifest_totals(chunks).write.mode("append").json(f"{path}/documents")

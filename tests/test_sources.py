@@ -20,6 +20,19 @@ def test_raw_objects_are_measured_and_found(spark, tmp_path):
     assert {r.path: r.object_exists for r in readers.present(wanted, listing).collect()} == {rows["x.pdf"].path: True, "nowhere": False}
 
 
+def test_text_objects_lie_in_few_folders_and_name_their_document(spark, tmp_path):
+    path = str(tmp_path / "objects")
+    rows = [(str(i), f"text {i}\n") for i in range(2000)] + [("a b", "one"), ("a b", "two"), ("7.8.txt", ""), (None, None)]
+    writers.write_texts(spark.createDataFrame(rows, "document_id string, content string").coalesce(1), path)
+    # A folder per document makes a writer and a listing go through as many folders as documents.
+    assert sum(p.is_dir() for p in (tmp_path / "objects").rglob("*")) <= 256
+    objects = readers.raw_objects(spark, path, "*.txt").withColumn("document_id", writers.object_owner(F.col("path")))
+    found = {r.document_id: bytes(r.content) for r in objects.collect()}
+    assert found.pop("a b") == b"one\ntwo\n" and found.pop("7.8.txt") == b"\n"
+    assert found.pop(writers.DEFAULT_OWNER) == b"\n"
+    assert found == {str(i): f"text {i}\n\n".encode() for i in range(2000)}
+
+
 def test_page_files_keep_page_order(spark, tmp_path):
     (tmp_path / "doc-1.txt").write_text("first\fsecond\nline")
     got = readers.page_files(spark, str(tmp_path)).orderBy("page_no").collect()
