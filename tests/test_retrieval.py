@@ -332,6 +332,38 @@ def test_block_search_gives_the_rows_of_the_plain_search(spark):
     assert none.count() == 0
 
 
+def shuffled_rows(spark, frame):
+    """Rows that the exchanges of a plan moved, once it ran."""
+    frame.collect()
+    plan, moved = frame._jdf.queryExecution().executedPlan(), 0
+    todo = [plan.executedPlan() if "AdaptiveSparkPlan" in plan.nodeName() else plan]
+    while todo:
+        node = todo.pop()
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+        if "QueryStage" in node.nodeName():
+            todo.append(node.plan())
+        if node.nodeName() == "Exchange":
+            moved += node.metrics().apply("shuffleRecordsWritten").value()
+    return moved
+
+
+def test_many_candidates_are_cut_before_common_terms_are_looked_up(spark, monkeypatch):
+    texts = [f"common frequent often r{i % 7} s{i % 5} t{i % 3} u{i} v{i} x{i} y{i}" for i in range(600)]
+    stored = fulltext.materialise(index.postings(chunks_of(spark, texts)), "postings")
+    rows = [(q, f"common r{q % 7} s{q % 5} often t{q % 3}") for q in range(8)]
+    rows += [(20, "common often"), (21, "common absent"), (22, "frequent"), (23, "r1 s1"), (23, "t1 often")]
+    terms = fulltext.query_terms(spark.createDataFrame(rows, "query_id long, text string"))
+    found = lambda frame: sorted((r.query_id, r.chunk_id, sorted(map(tuple, r.places))) for r in frame.collect())
+    want = found(fulltext.match(stored, terms))
+    assert {q for q, *_ in want} == {*range(8), 20, 22, 23}
+    monkeypatch.setattr(fulltext, "MAX_BROADCAST_TERMS", 25)
+    matched = fulltext.match(stored, terms)
+    assert found(matched) == want
+    # Terms that nobody asked for, over half of the postings, do not move.
+    assert shuffled_rows(spark, matched) < stored.count()
+
+
 def test_blocks_are_bounded_and_skipped(spark):
     chunks = made_chunks(spark, 2)
     table = blocked(spark, chunks, 16)
