@@ -78,3 +78,25 @@ def test_checksums(one):
 def test_word_counts(one):
     counted = one(fx.word_counts(fx.words(C)), x="b a b c a b")
     assert [tuple(r) for r in counted] == [("a", 2), ("b", 3), ("c", 1)]
+
+
+def test_pieces_of_a_batch_are_python_objects_a_few_at_a_time():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from quarryline.functions import splitter
+
+    def peak(rows):
+        texts = pa.array([None, "", *("word " * 400 + str(i) for i in range(rows))])
+        tracemalloc.start()
+        found = splitter.split_texts(texts)
+        held = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return held, found.to_pylist()
+
+    few, _ = peak(200)
+    many, pieces = peak(4000)
+    assert many < 2 * few
+    assert pieces[:2] == [None, []] and pieces[-1] == splitter.split_text("word " * 400 + "3999")
+    assert splitter.split_texts(pa.array([], pa.string())).to_pylist() == []
