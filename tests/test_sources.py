@@ -115,3 +115,22 @@ def test_stemmed_postings_find_other_forms(spark, one):
     asked = spark.createDataFrame([(1, "revenue")], "query_id long, text string")
     found = lambda s: fulltext.search(index.postings(chunks, stem=s), asked, 5, collection="c", stem=s).count()
     assert (found(True), found(False)) == (1, 0)
+
+
+def test_no_file_of_stored_postings_grows_with_the_table(spark, tmp_path):
+    texts = spark.range(6000).select(
+        F.col("id").cast("string").alias("chunk_id"), F.concat_ws(" ", *(F.sha2((F.col("id") * 9 + i).cast("string"), 256) for i in range(9))).alias("content")
+    )
+    table, path = index.postings(texts.repartition(8)), str(tmp_path / "postings")
+    with_small_parts = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "200k"}
+    for key, value in with_small_parts.items():
+        spark.conf.set(key, value)
+    try:
+        index.write_postings(table, path, buckets=2, files_per_bucket=1)
+    finally:
+        for key in with_small_parts:
+            spark.conf.unset(key)
+    stored = spark.read.parquet(path)
+    rows = [r["count"] for r in stored.groupBy(F.input_file_name()).count().collect()]
+    assert sum(rows) == 54_000 and len(rows) > 8 and max(rows) < 54_000 / 8
+    assert sorted(map(tuple, stored.select("chunk_id", "term", "tf").collect())) == sorted(map(tuple, table.select("chunk_id", "term", "tf").collect()))
