@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from quarryline.llm.common import arrow_map
+from quarryline.llm.common import arrow_map, written
 
 UNKNOWN = "und"
 # Orders of the blended spectrum and buckets that their n-grams are hashed to.
@@ -86,30 +86,39 @@ class Model:
     floors: tuple[float, ...] = ()
 
 
-def landmarks(features: np.ndarray, labels: np.ndarray, count: int) -> np.ndarray:
-    """As many rows of every label as fit, in the order given."""
+def landmarks(labels: np.ndarray, count: int) -> np.ndarray:
+    """Numbers of as many rows of every label as fit, in the order given."""
     chosen, kinds = [], np.unique(labels)
     for kind in kinds:
         chosen.append(np.flatnonzero(labels == kind)[: max(1, count // len(kinds))])
-    return features[np.sort(np.concatenate(chosen))]
+    return np.sort(np.concatenate(chosen))
+
+
+def normalised(present: list[np.ndarray | bytes]) -> np.ndarray:
+    """Presence rows as rows of length 1."""
+    rows = np.array([_unpacked(p) for p in present], np.float32)
+    rows /= np.sqrt(rows.sum(axis=1, keepdims=True))
+    return rows
 
 
 def train(
-    present: list[np.ndarray], labels: list[str], count: int = LANDMARKS, ridge: float = RIDGE
+    present: list[np.ndarray | bytes], labels: list[str], count: int = LANDMARKS, ridge: float = RIDGE
 ) -> Model:
-    """Fits one-versus-rest ridge regression on the Nyström features of normalised kernels."""
+    """Fits one-versus-rest ridge regression on the Nyström features of normalised kernels.
+
+    Presence rows may come packed; only the landmarks and a few rows at a time are held as numbers.
+    """
     if not present:
         return Model((), np.zeros((BUCKETS, 0), np.float32))
-    features = np.array(present, np.float32)
-    features /= np.sqrt(features.sum(axis=1, keepdims=True))
     names = np.array(labels)
     languages = np.unique(names)
-    marks = landmarks(features, names, count)
+    marks = normalised([present[i] for i in landmarks(names, count)])
     between = (marks @ marks.T).astype(np.float64)
     values, vectors = np.linalg.eigh(between)
     kept = values > 1e-6 * values[-1]
     whiten = vectors[:, kept] / np.sqrt(values[kept])
-    mapped = (features @ marks.T).astype(np.float64) @ whiten
+    parts = [normalised(present[at : at + ROWS]) @ marks.T for at in range(0, len(present), ROWS)]
+    mapped = np.concatenate(parts).astype(np.float64) @ whiten
     targets = (names[:, None] == languages[None, :]).astype(np.float64)
     # Languages count alike however many rows of each were learned from.
     share = 1 / (targets.sum(axis=0) @ targets.T)
@@ -159,18 +168,21 @@ def fit(
     features = arrow_map(
         found.select("lang", "mark", "text"), run, "lang string, mark long, bits binary, begun array<binary>"
     )
-    rows = features.where("bits is not null").collect()
+    # One partition of the sample after another, so that the driver never holds it twice.
+    rows = written(features.where("bits is not null"), "language-sample").toLocalIterator()
     taken = sorted((r.lang, r.mark, bytes(r.bits), [bytes(b) for b in r.begun]) for r in rows)
-    present, labels = [_unpacked(t[2]) for t in taken], [t[0] for t in taken]
+    present, labels = [t[2] for t in taken], [t[0] for t in taken]
     model = train(present, labels)
     return replace(model, floors=floors(present, labels, [t[3] for t in taken]))
 
 
-def _unpacked(bits: bytes) -> np.ndarray:
+def _unpacked(bits: np.ndarray | bytes) -> np.ndarray:
+    if isinstance(bits, np.ndarray):
+        return bits
     return np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
 
 
-def floors(present: list[np.ndarray], labels: list[str], begun: list[list[bytes]]) -> tuple[float, ...]:
+def floors(present: list[bytes], labels: list[str], begun: list[list[bytes]]) -> tuple[float, ...]:
     """Least scores by number of n-grams, from those of texts and beginnings in their own language.
 
     Every second text of each language is scored by a model of the others.
@@ -183,7 +195,7 @@ def floors(present: list[np.ndarray], labels: list[str], begun: list[list[bytes]
         for i in half:
             if labels[i] not in model.languages:
                 continue
-            rows = np.array([present[i], *map(_unpacked, begun[i])], np.float32)
+            rows = np.array([_unpacked(b) for b in (present[i], *begun[i])], np.float32)
             grams = rows.sum(axis=1)
             own = rows @ model.weights[:, model.languages.index(labels[i])] / np.sqrt(grams)
             for count, score in zip(grams.tolist(), own.tolist()):

@@ -7,6 +7,7 @@ import html
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import defaultdict
 
@@ -169,6 +170,19 @@ def test_scores_are_those_of_the_kernel():
     assert np.allclose(scores, kernel @ solution, atol=1e-3)
 
 
+def test_learning_holds_few_rows_as_numbers():
+    rng = np.random.default_rng(4)
+    packed = [np.packbits(rng.random(langid.BUCKETS) < 0.05).tobytes() for _ in range(1200)]
+    labels = [f"l{i % 4}" for i in range(1200)]
+    tracemalloc.start()
+    model = langid.train(packed, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 << 20
+    rows = np.array([np.unpackbits(np.frombuffer(p, np.uint8)) for p in packed]).astype(bool)
+    assert np.allclose(langid.train(list(rows), labels).weights, model.weights)
+
+
 def test_held_out_accuracy_and_edge_cases(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.fit(docs, ~langid.held_out())
