@@ -7,6 +7,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -396,3 +397,36 @@ def test_partial_holders_do_not_part_copies(spark, size):
         assert a in found and b in found and found[a].class_id == found[b].class_id
         for i in (a, b):
             assert any(p.first_word <= 40 and p.first_word + p.n_words >= 40 + size for p in found[i].passages)
+
+
+def test_pairs_verified_together_are_those_of_each_alone(monkeypatch):
+    rng = np.random.default_rng(9)
+    least, want, rows = 10, set(), []
+    for i in range(200):
+        own, other = (rng.integers(1, 40, rng.integers(0, 60)).astype(np.uint64) << np.uint64(40) for _ in range(2))
+        if i % 2:
+            other = np.concatenate([other[:5], own[: rng.integers(0, 60)], other[5:]])
+        rows.append((i, 1000 * i, i + 500, 7, own, other))
+        spans = []
+        for a, b in ((own, other), (other, own)):
+            hit = [t in b.tolist() for t in a.tolist()]
+            held = [at for at in range(len(a) - least + 1) if sum(hit[at : at + least]) >= 9]
+            runs = []
+            for at in held:
+                if runs and at <= runs[-1][1] + 1:
+                    runs[-1][1] = at + least - 1
+                else:
+                    runs.append([at, at + least - 1])
+            spans.append(runs)
+        if all(spans):
+            want |= {(i, i + 500, 1000 * i + a, 1000 * i + b) for a, b in spans[0]}
+            want |= {(i + 500, i, 7 + a, 7 + b) for a, b in spans[1]}
+    packed = [substring_dedup.packed_tokens(t) for row in rows for t in row[4:]]
+    assert sum(map(len, packed)) == 6 * sum(len(t) for row in rows for t in row[4:])
+    columns = [pa.array(c, pa.int64()) for c in list(zip(*rows))[:4]]
+    batch = pa.record_batch([*columns, pa.array(packed[0::2]), pa.array(packed[1::2])], list("abcdef"))
+    for together, pairs in ((200_000, 1 << 15), (300, 1 << 15), (1, 3)):
+        monkeypatch.setattr(substring_dedup, "VERIFIED_AT_ONCE", together)
+        monkeypatch.setattr(substring_dedup, "PAIRS_AT_ONCE", pairs)
+        found = [r for part in substring_dedup._verified(least, 0.8)([batch]) for r in zip(*map(pa.Array.to_pylist, part.columns))]
+        assert len(found) == len(set(found)) and set(found) == want and want
