@@ -86,19 +86,12 @@ class Model:
     floors: tuple[float, ...] = ()
 
 
-def landmarks(labels: np.ndarray, count: int) -> np.ndarray:
-    """Numbers of as many rows of every label as fit, in the order given."""
+def landmarks(features: np.ndarray, labels: np.ndarray, count: int) -> np.ndarray:
+    """As many rows of every label as fit, in the order given."""
     chosen, kinds = [], np.unique(labels)
     for kind in kinds:
         chosen.append(np.flatnonzero(labels == kind)[: max(1, count // len(kinds))])
-    return np.sort(np.concatenate(chosen))
-
-
-def normalised(present: list[np.ndarray | bytes]) -> np.ndarray:
-    """Presence rows as rows of length 1."""
-    rows = np.array([_unpacked(p) for p in present], np.float32)
-    rows /= np.sqrt(rows.sum(axis=1, keepdims=True))
-    return rows
+    return features[np.sort(np.concatenate(chosen))]
 
 
 def train(
@@ -106,19 +99,22 @@ def train(
 ) -> Model:
     """Fits one-versus-rest ridge regression on the Nyström features of normalised kernels.
 
-    Presence rows may come packed; only the landmarks and a few rows at a time are held as numbers.
+    Presence rows may come packed, and are then held as numbers once.
     """
     if not present:
         return Model((), np.zeros((BUCKETS, 0), np.float32))
+    features = np.empty((len(present), BUCKETS), np.float32)
+    for row, bits in zip(features, present):
+        row[:] = _unpacked(bits)
+    features /= np.sqrt(features.sum(axis=1, keepdims=True))
     names = np.array(labels)
     languages = np.unique(names)
-    marks = normalised([present[i] for i in landmarks(names, count)])
+    marks = landmarks(features, names, count)
     between = (marks @ marks.T).astype(np.float64)
     values, vectors = np.linalg.eigh(between)
     kept = values > 1e-6 * values[-1]
     whiten = vectors[:, kept] / np.sqrt(values[kept])
-    parts = [normalised(present[at : at + ROWS]) @ marks.T for at in range(0, len(present), ROWS)]
-    mapped = np.concatenate(parts).astype(np.float64) @ whiten
+    mapped = (features @ marks.T).astype(np.float64) @ whiten
     targets = (names[:, None] == languages[None, :]).astype(np.float64)
     # Languages count alike however many rows of each were learned from.
     share = 1 / (targets.sum(axis=0) @ targets.T)
@@ -168,12 +164,14 @@ def fit(
     features = arrow_map(
         found.select("lang", "mark", "text"), run, "lang string, mark long, bits binary, begun array<binary>"
     )
-    # One partition of the sample after another, so that the driver never holds it twice.
-    rows = written(features.where("bits is not null"), "language-sample").toLocalIterator()
-    taken = sorted((r.lang, r.mark, bytes(r.bits), [bytes(b) for b in r.begun]) for r in rows)
+    # The sample comes in a partition at a time, and the beginnings once the model is there.
+    stored = written(features.where("bits is not null"), "language-sample")
+    taken = sorted((r.lang, r.mark, bytes(r.bits)) for r in stored.select("lang", "mark", "bits").toLocalIterator())
     present, labels = [t[2] for t in taken], [t[0] for t in taken]
     model = train(present, labels)
-    return replace(model, floors=floors(present, labels, [t[3] for t in taken]))
+    rows = stored.select("lang", "mark", "begun").toLocalIterator()
+    begun = {(r.lang, r.mark): [bytes(b) for b in r.begun] for r in rows}
+    return replace(model, floors=floors(present, labels, [begun[t[:2]] for t in taken]))
 
 
 def _unpacked(bits: np.ndarray | bytes) -> np.ndarray:
@@ -182,7 +180,7 @@ def _unpacked(bits: np.ndarray | bytes) -> np.ndarray:
     return np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
 
 
-def floors(present: list[bytes], labels: list[str], begun: list[list[bytes]]) -> tuple[float, ...]:
+def floors(present: list[np.ndarray | bytes], labels: list[str], begun: list[list[bytes]]) -> tuple[float, ...]:
     """Least scores by number of n-grams, from those of texts and beginnings in their own language.
 
     Every second text of each language is scored by a model of the others.
