@@ -179,7 +179,7 @@ def test_learning_holds_the_sample_as_numbers_once():
     floors = langid.floors(packed, labels, [packed[:1]] * 400)
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
-    assert peak < 1.25 * 400 * langid.BUCKETS * 4 + (8 << 20)
+    assert peak < 400 * langid.BUCKETS * 4 + (32 << 20)
     rows = [np.unpackbits(np.frombuffer(p, np.uint8)).astype(bool) for p in packed]
     assert (langid.train(rows, labels).weights == model.weights).all()
     assert langid.floors(rows, labels, [packed[:1]] * 400) == floors
