@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from quarryline.operators import fulltext, index, vector_search
@@ -33,6 +34,34 @@ def test_text_objects_lie_in_few_folders_and_name_their_document(spark, tmp_path
     assert found == {str(i): f"text {i}\n\n".encode() for i in range(2000)}
 
 
+def test_objects_are_listed_by_tasks_and_are_those_of_sparks_reader(spark, tmp_path, monkeypatch):
+    names = ["x.txt", "a/y z.txt", "a/_out.txt", "a/_k=1.txt", "a/_b/q.txt", ".h/p.txt", "_x=1/c d/m%20.txt", "a/e{1}.txt", "a/empty.txt", "a/n._COPYING_", "a/b/é.TXT"]
+    for name in names:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"" if "empty" in name else name.encode() * 3)
+    (tmp_path / "a" / "to_x.txt").symlink_to(tmp_path / "x.txt")
+    (tmp_path / "a" / "to_nothing.txt").symlink_to(tmp_path / "nothing")
+    rows = lambda frame: sorted((r.path, r.modificationTime, r.length, bytes(r.content)) for r in frame.collect())
+    for pattern in ("*", "*.txt", "[a-n]*.{txt,TXT}"):
+        plain = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(str(tmp_path))
+        found = readers.raw_objects(spark, str(tmp_path), pattern)
+        assert rows(found) == rows(plain) and found.schema == plain.schema
+        # The driver knows the tables of the listing only, and contents are not read for paths.
+        assert not [f for f in found.inputFiles() if str(tmp_path) in f]
+        assert "_contents" not in found.select("path")._jdf.queryExecution().executedPlan().toString()
+    (tmp_path / "none").mkdir()
+    assert rows(readers.raw_objects(spark, str(tmp_path / "none"))) == []
+    # Few entries and bytes at a time are the same entries and bytes.
+    paths = [str(tmp_path / n) for n in names]
+    monkeypatch.setattr(readers, "BYTES_AT_ONCE", 20)
+    parts = list(readers._contents(iter([pa.array(paths[:4]), pa.array(paths[4:])])))
+    assert len(parts) > 3 and [c for p in parts for c in p.to_pylist()] == [(tmp_path / n).read_bytes() for n in names]
+    whole = [r for b in readers._entries(iter([pa.record_batch([[str(tmp_path), str(tmp_path / "a")]], ["path"])])) for r in b.to_pylist()]
+    monkeypatch.setattr(readers, "ENTRIES_AT_ONCE", 2)
+    few = list(readers._entries(iter([pa.record_batch([[str(tmp_path), str(tmp_path / "a")]], ["path"])])))
+    assert max(b.num_rows for b in few) == 2 and [r for b in few for r in b.to_pylist()] == whole
+
+
 def test_page_files_keep_page_order(spark, tmp_path):
     (tmp_path / "doc-1.txt").write_text("first\fsecond\nline")
     got = readers.page_files(spark, str(tmp_path)).orderBy("page_no").collect()
