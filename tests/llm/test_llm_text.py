@@ -185,6 +185,25 @@ def test_learning_holds_the_sample_as_numbers_once():
     assert langid.floors(rows, labels, [packed[:1]] * 400) == floors
 
 
+def test_every_size_of_text_has_a_floor_however_few_were_scored():
+    rng = np.random.default_rng(5)
+
+    def text(language, grams):
+        row = np.zeros(langid.BUCKETS, bool)
+        row[rng.choice(4000, grams, replace=False) + 4000 * language] = True
+        return np.packbits(row).tobytes()
+
+    labels = [str(i % 2) for i in range(20)]
+    few = langid.floors([text(i % 2, 700) for i in range(20)], labels, [[]] * 20)
+    assert min(few[1:]) > langid.REJECTED_BELOW and len(set(few[1:])) == 1
+    # The few texts of a size of their own count there, and no floor lies above them.
+    sizes = [700] * 120 + [40] * 4
+    labels = [str(i % 2) for i in range(124)]
+    many = langid.floors([text(i % 2, n) for i, n in enumerate(sizes)], labels, [[]] * 124)
+    assert 0 < many[6] < many[10] and many[1] == many[6]
+    assert langid.floors([], [], []) == (0.0,) * len(many)
+
+
 def test_held_out_accuracy_and_edge_cases(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.fit(docs, ~langid.held_out())
