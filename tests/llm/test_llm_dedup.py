@@ -399,6 +399,54 @@ def test_partial_holders_do_not_part_copies(spark, size):
             assert any(p.first_word <= 40 and p.first_word + p.n_words >= 40 + size for p in found[i].passages)
 
 
+def test_near_copies_do_not_depend_on_the_first_text_of_their_group(spark):
+    rng = random.Random(3)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows, pairs = [], []
+    for trial in range(40):
+        left, right = words(29), words(29)
+        # Texts that hold one half each; most groups have one of them as their first.
+        for i in range(12):
+            rows.append((trial * 100 + i, " ".join(words(40) + (left if i % 2 else right) + words(40))))
+        # Two that are alike with one edited word: neither half is a passage, nor holds 41 equal tokens.
+        pairs.append((trial * 100 + 50, trial * 100 + 51))
+        rows += [(i, " ".join(words(20) + left + [f"edit{i}"] + right + words(20))) for i in pairs[-1]]
+    found = {r.id: r for r in substring_dedup.repeated_passages(frame(spark, rows)).collect()}
+    assert set(found) <= {i for pair in pairs for i in pair}
+    linked = [a in found and b in found and found[a].class_id == found[b].class_id == a for a, b in pairs]
+    assert sum(linked) >= 0.9 * len(pairs)
+    for r in found.values():
+        assert any(p.first_word < 49 < p.first_word + p.n_words for p in r.passages)
+    # A third text with an edit of its own is like one of a pair alone, which has its passage already.
+    left, right = words(29), words(29)
+    middle = words(12)
+    chain = [left + ["a"] + middle + right, left + ["b"] + middle + right, left + ["b"] + middle + ["c"] + right]
+    holders = [(10 + i, " ".join(words(40) + (left if i % 2 else right) + words(40))) for i in range(12)]
+    rows = [(i, " ".join(words(20) + t + words(20))) for i, t in enumerate(chain)] + holders
+    found = {r.id: r for r in substring_dedup.repeated_passages(frame(spark, rows)).collect()}
+    assert set(found) == {0, 1, 2} and {r.class_id for r in found.values()} == {0}
+
+
+def test_packed_cores_make_the_groups_of_their_places():
+    rng = np.random.default_rng(2)
+    own = rng.integers(1, 1 << 60, 500).astype(np.uint64)
+    text = substring_dedup.shingles(own)
+    schema = pa.schema([("mark", pa.int64()), ("text", pa.string())])
+    batch = pa.record_batch([pa.array([7]), pa.array([" ".join(f"w{i % 170}" for i in range(500))])], schema=schema)
+    (windows,) = substring_dedup._window_rows(4, 46, 5, 41)([batch])
+    (groups,) = substring_dedup._grouped(46, 41)([windows])
+    by_cores = [r for r in groups.to_pylist() if r["reach"] >= substring_dedup.SHARED]
+    # The text repeats every 170 words, and so do its cores at their places.
+    places = {}
+    for r in by_cores:
+        places.setdefault(r["group"], set()).add(r["centre"] % 170)
+    assert len(text) == 496 and len(by_cores) > 60 and all(len(p) == 1 for p in places.values())
+    inside = sum(len(x.as_py()) // substring_dedup.TOKEN_BYTES for x in windows.column(5) if x.is_valid)
+    assert len(by_cores) == inside and min(r["centre"] for r in by_cores) >= 0
+    near = substring_dedup._grouped(46, 41, by_cores=False)([windows])
+    assert sum(b.num_rows for b in near) == groups.num_rows - inside
+
+
 def test_pairs_verified_together_are_those_of_each_alone(monkeypatch):
     rng = np.random.default_rng(9)
     least, want, rows = 10, set(), []
