@@ -447,6 +447,14 @@ def test_packed_cores_make_the_groups_of_their_places():
     assert sum(b.num_rows for b in near) == groups.num_rows - inside
 
 
+def test_contents_tell_runs_and_centres_apart():
+    rng = np.random.default_rng(4)
+    tokens = np.tile(rng.integers(1, 1 << 60, 50).astype(np.uint64), 3)
+    at = lambda *x: [np.array(v) for v in zip(*x)]
+    found = substring_dedup.run_contents(tokens, *at((3, 9, 20), (53, 59, 70), (103, 109, 120), (3, 10, 20), (3, 9, 21), (4, 9, 20)))
+    assert found[0] == found[1] == found[2] and len(set(found.tolist())) == 4
+
+
 def test_pairs_verified_together_are_those_of_each_alone(monkeypatch):
     rng = np.random.default_rng(9)
     least, want, rows = 10, set(), []
